@@ -4,10 +4,16 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import quality
+    from . import licenses, quality, warc
 
-    return {"op6_host_quality": quality.op6_host_quality}
+    return {
+        "op5_warc": warc.op5_warc,
+        "op6_host_quality": quality.op6_host_quality,
+        "op9_license_scan": licenses.op9_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import warc
+
+    return {"op5_warc": warc.SQL}
