@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import licenses, quality, warc
+    from . import chat, licenses, pii, quality, warc
 
     return {
+        "op3_pii": pii.op3_pii,
+        "op4_chat_perspectives": chat.op4_chat_perspectives,
         "op5_warc": warc.op5_warc,
         "op6_host_quality": quality.op6_host_quality,
         "op9_license_scan": licenses.op9_license_scan,
@@ -14,6 +16,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import warc
+    from . import chat, warc
 
-    return {"op5_warc": warc.SQL}
+    return {"op4_chat_perspectives": chat.SQL, "op5_warc": warc.SQL}
