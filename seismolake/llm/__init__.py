@@ -4,13 +4,15 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, licenses, pii, quality, warc
+    from . import chat, licenses, packing, pii, quality, sentencepiece_fst, warc
 
     return {
+        "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
         "op4_chat_perspectives": chat.op4_chat_perspectives,
         "op5_warc": warc.op5_warc,
         "op6_host_quality": quality.op6_host_quality,
+        "op7_harmonic_packing": packing.op7_harmonic_packing,
         "op9_license_scan": licenses.op9_license_scan,
     }
 
