@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, licenses, packing, pii, quality, sentencepiece_fst, warc
+    from . import chat, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, warc
 
     return {
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_host_quality": quality.op6_host_quality,
         "op7_harmonic_packing": packing.op7_harmonic_packing,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_license_scan": licenses.op9_license_scan,
     }
 
