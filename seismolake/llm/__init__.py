@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, warc
+    from . import chat, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, suffix_dedup, warc
 
     return {
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_harmonic_packing": packing.op7_harmonic_packing,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_license_scan": licenses.op9_license_scan,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
