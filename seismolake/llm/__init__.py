@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, suffix_dedup, warc
+    from . import chat, embedding_pivots, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, suffix_dedup, warc
 
     return {
+        "op1_pivot_dedup": embedding_pivots.op1_pivot_dedup,
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
         "op4_chat_perspectives": chat.op4_chat_perspectives,
