@@ -1,13 +1,25 @@
-"""The document pipeline: quality rules."""
+"""The document pipeline: quality rules, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes the documents that the one before kept and returns them with its decisions in effect; the last returns the pieces of the
+packed sequences. `run` writes every stage's result to the shared folder and rereads it, so a lost executor costs no earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seismolake.llm import quality
+from seismolake.llm import ngram_join, packing, pii, quality, suffix_dedup
 from seismolake.llm.common import fresh_dir, table
 
-STAGES = [("quality rules", quality.stage)]
+STAGES = [
+    ("quality rules", quality.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
+    ("suffix-array dedup", suffix_dedup.stage),
+    ("PII", pii.stage),
+    ("packing", packing.stage),
+]
+
+#: Token ids can't be had in SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
