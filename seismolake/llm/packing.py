@@ -66,14 +66,51 @@ def cut(total: int, capacity: int = CAPACITY, tails: list[int] | None = None) ->
     return out
 
 
+#: Stems (words without the marks after them) that a worker keeps before it starts anew.
+MOST_STEMS = 400_000
+MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+WORD_END = "</w>"
+
+
+def stem_of(word: str) -> str:
+    """A word without the ASCII marks after its last ASCII letter or digit, lower-cased: what the tokenizer takes by itself. Special tokens stay as they are."""
+    if "<|" in word:
+        return word
+    stem = word.rstrip(MARKS)
+    return stem.lower() if stem and stem[-1:].isascii() and word.isascii() else word
+
+
 def word_encoder(vocabulary: str):
+    """Ids of words. This tokenizer lower-cases, and takes runs of letters, digits and runs of marks one by one, so marks are put on afterwards and the letters in common are encoded once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
+    known: dict[str, list[int]] = {}
+    ends = {i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)}
+
+    def learn(stems: list[str]) -> None:
+        plain = [s for s in stems if s.isascii() and s.isalpha()]
+        for a in range(0, len(plain), 1000):
+            part, run = iter(plain[a : a + 1000]), []
+            for i in tokenizer.encode(" ".join(plain[a : a + 1000]), add_special_tokens=False).ids:
+                run.append(i)
+                if i in ends:
+                    known[next(part)] = run
+                    run = []
+        rest = [s for s in stems if not (s.isascii() and s.isalpha())]
+        known.update(zip(rest, (x.ids for x in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_many(words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        texts = [w.decode("utf-8", "replace") for w in words]
+        stems = [stem_of(t) for t in texts]
+        marks = [t[len(s) :] for t, s in zip(texts, stems, strict=True)]
+        if len(known) > MOST_STEMS:
+            known.clear()
+        fresh = set(stems).union(marks).difference(known)
+        fresh.discard("")
+        learn(list(fresh))
+        return [known[s] + known[m] if m else known[s] for s, m in zip(stems, marks, strict=True)]
 
     return encode_many
 
