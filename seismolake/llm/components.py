@@ -11,22 +11,26 @@ from .common import checkpoint
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node), for the nodes of edges (a, b).
 
-    Each round hooks every group to its smallest neighbour, halves the chains that this makes, and keeps the edges between the
-    groups that are left; the rounds are few, as every group with an edge joins another. Edges and groups stay distributed.
+    In each round every group hooks to the neighbour of least hash, itself included, and follows the hooks a few steps; the edges between
+    groups that are left go on. Hashes change with the round, so chains of hooks are short and a constant part of the groups goes in each
+    round, whatever the order of the nodes. Edges and groups stay distributed.
     """
     edges = checkpoint(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = checkpoint(nodes.select("node", F.col("node").alias("component")))
+    labels = checkpoint(nodes.select("node", F.col("node").alias("group")))
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
+        ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), F.col(c).alias("to"))
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("near")).select("of", F.least("of", "near").alias("to"))
+        hook = both.groupBy(F.col("a").alias("of")).agg(F.min(ranked("b")).alias("near")).select("of", F.least("near", ranked("of"))["to"].alias("to"))
+        for k in range(2):
+            step = hook.select(F.col("of").alias(f"via_{k}"), F.col("to").alias(f"beyond_{k}"))
+            hook = hook.join(step, F.col("to") == F.col(f"via_{k}")).select("of", F.col(f"beyond_{k}").alias("to"))
         hook = checkpoint(hook)
-        for _ in range(2):
-            next_hook = hook.select(F.col("of").alias("via"), F.col("to").alias("beyond"))
-            hook = hook.join(next_hook, F.col("to") == F.col("via"), "left").select("of", F.coalesce("beyond", "to").alias("to"))
-        hook = checkpoint(hook)
-        labels = checkpoint(labels.join(hook, F.col("component") == F.col("of"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        labels = checkpoint(labels.join(hook, F.col("group") == F.col("of"), "left").select("node", F.coalesce("to", "group").alias("group")))
         end = lambda side: hook.select(F.col("of").alias(f"of_{side}"), F.col("to").alias(f"to_{side}"))
         moved = edges.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).filter("to_a <> to_b")
         edges = checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    return labels
+    least = labels.groupBy(F.col("group").alias("of_group")).agg(F.min("node").alias("component"))
+    return labels.join(least, F.col("group") == F.col("of_group")).select("node", "component")
