@@ -1,4 +1,545 @@
-"""Registered queries of the catalogue engine."""
+"""Registered queries of the catalogue engine over the driver's tables, each with the SQL that DuckDB answers alike.
+
+Floats are rounded on both sides, as sums depend on their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import seismology as S
+from .operators import catalogue as C
+from .operators import grids as G
+from .operators import risk as R
+from .operators import scoring as K
+from .operators import sequences as Q
+from .sources.events import DAY_US, catalogue, table
+
+START = 1_704_067_200_000_000
+CUT = START + 20 * DAY_US
+RING = [(81.0, 26.5), (88.0, 27.0), (86.5, 30.2), (83.0, 29.8)]
+STATES = [(0.5, 0.6, 0.05), (1.0, 0.6, 0.2), (2.0, 0.6, 0.6), (4.0, 0.6, 1.0)]
+
+SEIS = f"""seis AS (
+  SELECT event_id, event_type AS lane, epoch_us(ts) AS t_us, CAST(2.5 AS DOUBLE) + value / CAST(115.13 AS DOUBLE) AS mag,
+    CAST(floor((CAST(2.5 AS DOUBLE) + value / CAST(115.13 AS DOUBLE)) / CAST(0.1 AS DOUBLE) + CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT) AS mbin,
+    CAST(80 AS DOUBLE) + CAST((event_id * 7919) % 900 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon,
+    CAST(26 AS DOUBLE) + CAST((event_id * 104729) % 450 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat,
+    CAST((event_id * 31) % 90 AS DOUBLE) AS depth_km,
+    CASE WHEN event_type = 'error' THEN 'landslide' ELSE 'earthquake' END AS etype,
+    CASE WHEN event_id % 10 = 0 THEN NULL ELSE epoch_us(ts) + (event_id % 40) * {DAY_US} END AS avail_us, props
+  FROM events),
+cells AS (
+  SELECT range AS cell_ix, range % 18 AS ix, range // 18 AS iy, CAST(80 AS DOUBLE) + (range % 18) * CAST(0.5 AS DOUBLE) AS lon0,
+         CAST(26 AS DOUBLE) + (range // 18) * CAST(0.5 AS DOUBLE) AS lat0 FROM range(162)),
+placed AS (
+  SELECT *, CASE WHEN ix BETWEEN 0 AND 17 AND iy BETWEEN 0 AND 8 THEN iy * 18 + ix ELSE -1 END AS cell_ix FROM (
+    SELECT *, CAST(floor((lon - 80) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT) AS ix,
+              CAST(floor((lat - 26) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT) AS iy FROM seis)),
+counts AS (SELECT c.cell_ix, c.ix, c.iy, c.lat0, c.lon0, count(p.event_id) AS n FROM cells c LEFT JOIN placed p ON p.cell_ix = c.cell_ix GROUP BY ALL)"""
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, helpers: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"WITH {SEIS} {sql}" if helpers and not sql.lstrip().startswith(",") else f"WITH {SEIS}{sql}" if helpers else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"SELECT event_id, t_us FROM seis WHERE t_us < {CUT}")
+def cat_before(spark: SparkSession, d: str) -> DataFrame:
+    return C.before(catalogue(spark, d), CUT).select("event_id", "t_us")
+
+
+@query(f"SELECT event_id FROM seis WHERE t_us >= {START + 5 * DAY_US} AND t_us < {CUT}")
+def cat_between(spark, d):
+    return C.between(catalogue(spark, d), START + 5 * DAY_US, CUT).select("event_id")
+
+
+@query("SELECT event_id FROM seis WHERE mag >= 3.5 AND etype = 'earthquake'")
+def cat_at_least(spark, d):
+    return C.at_least(C.of_type(catalogue(spark, d), "earthquake"), 3.5).select("event_id")
+
+
+@query(f"SELECT event_id FROM seis WHERE coalesce(avail_us < {CUT}, false)")
+def cat_as_of_exclude(spark, d):
+    return C.as_of(catalogue(spark, d), CUT, False).select("event_id")
+
+
+@query(f"SELECT event_id FROM seis WHERE coalesce(avail_us < {CUT}, true)")
+def cat_as_of_include(spark, d):
+    return C.as_of(catalogue(spark, d), CUT, True).select("event_id")
+
+
+@query(f"SELECT event_id, avail_us FROM seis WHERE avail_us >= {CUT}")
+def cat_revised_after(spark, d):
+    return C.revised_after(catalogue(spark, d), CUT).select("event_id", "avail_us")
+
+
+@query(f"""
+, l AS (SELECT list_sort(list(avail_us - t_us)) AS v FROM seis WHERE avail_us IS NOT NULL)
+SELECT (SELECT count(*) FROM seis) AS n_events, (SELECT count(*) FROM seis WHERE avail_us IS NULL) AS n_unknown,
+  (SELECT count(*) FROM seis WHERE avail_us >= {CUT}) AS n_revised,
+  v[CAST(round_even(0.5 * (len(v) - 1), 0) AS BIGINT) + 1] / 8.64e10 AS median_days,
+  v[CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT) + 1] / 8.64e10 AS p90_days, v[len(v)] / 8.64e10 AS max_days FROM l""")
+def vintage_summary(spark, d):
+    return C.vintage_summary(catalogue(spark, d), CUT)
+
+
+@query(r"""
+, p AS (SELECT event_id // 1000 AS chunk, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest
+        FROM (SELECT event_id, event_id || '|' || t_us AS k FROM seis) GROUP BY 1)
+SELECT sha256(string_agg(digest, chr(10) ORDER BY chunk)) AS event_hash FROM p""")
+def cat_event_hash(spark, d):
+    return C.event_hash(catalogue(spark, d))
+
+
+@query("SELECT k.etype, count(s.event_id) AS n FROM (VALUES ('earthquake'), ('landslide'), ('explosion'), ('other')) k(etype) LEFT JOIN seis s USING (etype) GROUP BY 1")
+def cat_count_by_type(spark, d):
+    return C.count_by_type(catalogue(spark, d))
+
+
+@query(f"""
+SELECT CASE WHEN etype <> 'earthquake' THEN 'not_earthquake' WHEN mag IS NULL THEN 'no_magnitude' WHEN mag < 3 THEN 'below_threshold'
+  WHEN NOT (t_us >= {START} AND t_us < {CUT}) THEN 'outside_window' ELSE 'used' END AS reason, count(*) AS n FROM seis GROUP BY 1""")
+def exclusion_funnel(spark, d):
+    return C.exclusion_funnel(catalogue(spark, d), 3.0, START, CUT)
+
+
+@query("""
+, k AS (SELECT props, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM seis)
+SELECT CASE WHEN props IS NULL THEN 'no_props' WHEN k IS NULL THEN 'no_key' WHEN k > 50 THEN 'out_of_range' ELSE 'ok' END AS reason, count(*) AS n FROM k GROUP BY 1""")
+def reject_side_table(spark, d):
+    return C.parse_rejects(catalogue(spark, d))
+
+
+@query("SELECT mbin, count(*) AS n FROM seis GROUP BY 1")
+def mag_fmd(spark, d):
+    return C.magnitude_counts(catalogue(spark, d))
+
+
+MODE = "m AS (SELECT mbin AS mode_bin, count(*) AS mode_n FROM seis GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"
+
+
+@query(f", {MODE} SELECT mode_bin, mode_n, round(mode_bin * CAST(0.1 AS DOUBLE) + 0.2, 2) AS mc FROM m")
+def mc_maxcurv(spark, d):
+    return C.maximum_curvature(catalogue(spark, d))
+
+
+@query("SELECT count(*) AS n, round(log10(exp(1)) / (avg(mbin * CAST(0.1 AS DOUBLE)) - 2.75), 6) AS b, "
+       "round(2.3 * pow(log10(exp(1)) / (avg(mbin * CAST(0.1 AS DOUBLE)) - 2.75), 2) * sqrt(var_samp(mbin * CAST(0.1 AS DOUBLE)) / count(*)), 6) AS sigma FROM seis WHERE mbin >= 28")
+def b_value_aki(spark, d):
+    return rounded(C.b_value(catalogue(spark, d), 28))
+
+
+@query(f""", {MODE}
+SELECT mode_bin, mode_n, round(mode_bin * CAST(0.1 AS DOUBLE) + 0.2, 2) AS mc, CAST(count(*) AS BIGINT) AS n,
+  round(log10(exp(1)) / (avg(mbin * CAST(0.1 AS DOUBLE)) - ((mode_bin + 2) * CAST(0.1 AS DOUBLE) - 0.05)), 6) AS b
+FROM (SELECT * FROM seis WHERE etype = 'earthquake' AND t_us < {CUT} AND coalesce(avail_us < {CUT}, true)) JOIN mm ON mbin >= mode_bin + 2 GROUP BY mode_bin, mode_n""".replace(
+    MODE, f"mm AS (SELECT mbin AS mode_bin, count(*) AS mode_n FROM seis WHERE etype = 'earthquake' AND t_us < {CUT} AND coalesce(avail_us < {CUT}, true) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"))
+def mc_b_value(spark, d):
+    """The flagship: earthquakes known at the cut-off, their completeness and b value."""
+    return C.mc_and_b(C.as_of(C.before(C.of_type(catalogue(spark, d), "earthquake"), CUT), CUT, True))
+
+
+@query("""
+, c AS (SELECT mbin, count(*) AS k FROM seis GROUP BY 1),
+s AS (SELECT mbin, sum(k) OVER w AS n, sum(k * (mbin * CAST(0.1 AS DOUBLE))) OVER w AS s1, sum(k * (mbin * CAST(0.1 AS DOUBLE)) * (mbin * CAST(0.1 AS DOUBLE))) OVER w AS s2
+      FROM c WINDOW w AS (ORDER BY mbin DESC ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT mbin, CAST(n AS BIGINT) AS n, log10(exp(1)) / (s1 / n - (mbin * CAST(0.1 AS DOUBLE) - 0.05)) AS b, s1, s2 FROM s WHERE n >= 30),
+g AS (SELECT mbin, n, b, 2.3 * b * b * sqrt((s2 - s1 * s1 / n) / (n * (n - 1))) AS sigma,
+      CASE WHEN count(*) OVER w = 6 AND max(mbin) OVER w = mbin + 5 THEN avg(b) OVER w END AS mean_b FROM b WINDOW w AS (ORDER BY mbin ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING))
+SELECT mbin, n, round(b, 5) AS b, round(sigma, 5) AS sigma, round(mean_b, 5) AS mean_b, coalesce(abs(mean_b - b) <= sigma, false) AS stable FROM g""")
+def b_value_stability(spark, d):
+    return rounded(C.b_value_stability(catalogue(spark, d)), 5)
+
+
+@query("""
+, p AS (SELECT a.event_id, max(least(b.mag, b.mag - 4.5 - 0.75 * log10((a.t_us - b.t_us) / 8.64e10))) AS raised
+        FROM seis a JOIN seis b ON b.t_us < a.t_us AND b.t_us >= a.t_us - 86400000000 AND b.mag >= 4.5 GROUP BY 1)
+SELECT event_id, round(greatest(2.6, raised), 6) AS mc FROM seis LEFT JOIN p USING (event_id)""")
+def stai_mc_current(spark, d):
+    return rounded(C.stai_current(catalogue(spark, d), 2.6, DAY_US, 4.5))
+
+
+@query("""
+SELECT event_id, round(CASE WHEN lane = 'click' THEN CASE WHEN mag BETWEEN 3.5 AND 6.2 THEN 0.85 * mag + 1.03 END
+  ELSE CASE WHEN mag BETWEEN 3.0 AND 6.1 THEN 0.67 * mag + 2.07 WHEN mag BETWEEN 6.2 AND 8.2 THEN 0.99 * mag + 0.08 END END, 2) AS mw FROM seis""")
+def scordilis_piecewise(spark, d):
+    kind = F.when(F.col("lane") == "click", "mb").otherwise("ms")
+    return catalogue(spark, d).select("event_id", S.scordilis_mw(kind, F.col("mag")).alias("mw"))
+
+
+@query(f"SELECT event_id, count(*) OVER (ORDER BY t_us RANGE BETWEEN {7 * DAY_US} PRECEDING AND 1 PRECEDING) AS n FROM seis")
+def causal_count_7d(spark, d):
+    return Q.rolling_count(catalogue(spark, d), 7 * DAY_US)
+
+
+@query("SELECT event_id, t_us - max(t_us) OVER (ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since_us FROM seis")
+def time_since_previous(spark, d):
+    return Q.time_since_previous(catalogue(spark, d))
+
+
+@query(f"""
+SELECT event_id, round(ln(1.0 + count(*) OVER (ORDER BY t_us RANGE BETWEEN {DAY_US} PRECEDING AND 1 PRECEDING)), 6) AS n1,
+  round(ln(1.0 + count(*) OVER (ORDER BY t_us RANGE BETWEEN {7 * DAY_US} PRECEDING AND 1 PRECEDING)), 6) AS n7,
+  round(ln(1.0 + count(*) OVER (ORDER BY t_us RANGE BETWEEN {30 * DAY_US} PRECEDING AND 1 PRECEDING)), 6) AS n30,
+  round(coalesce(max(mag) OVER (ORDER BY t_us RANGE BETWEEN {30 * DAY_US} PRECEDING AND 1 PRECEDING), -1), 6) AS max30 FROM seis""")
+def causal_feature_matrix(spark, d):
+    return rounded(Q.causal_features(catalogue(spark, d)))
+
+
+SPLITS = Q.blocked_splits(START, START + 30 * DAY_US, 4, DAY_US)
+
+
+@query(", f AS (SELECT * FROM (VALUES " + ", ".join(map(str, SPLITS)) + ") v(fold, a, b, c, e)) SELECT CAST(fold AS BIGINT) AS fold, "
+       "count(*) FILTER (t_us >= a AND t_us < b) AS n_train, count(*) FILTER (t_us >= c AND t_us < e) AS n_val FROM seis JOIN f ON (t_us >= a AND t_us < b) OR (t_us >= c AND t_us < e) GROUP BY 1")
+def split_membership(spark, d):
+    return Q.split_members(catalogue(spark, d), SPLITS)
+
+
+ISSUED = f", w AS (SELECT range AS k, {START} + range * {DAY_US} AS a FROM range(30)), n AS (SELECT k, count(event_id) AS n FROM w LEFT JOIN (SELECT * FROM seis WHERE mag >= 5.2) ON t_us >= a AND t_us < a + {2 * DAY_US} GROUP BY 1)"
+
+
+@query(f"{ISSUED} SELECT k, n FROM n")
+def window_target_counts(spark, d):
+    return Q.window_counts(C.at_least(catalogue(spark, d), 5.2), START, DAY_US, 2 * DAY_US, 30)
+
+
+@query(f"{ISSUED}, g AS (SELECT k - row_number() OVER (ORDER BY k) AS island FROM n WHERE n > 0) SELECT max(c) AS longest FROM (SELECT count(*) AS c FROM g GROUP BY island)")
+def consecutive_runs(spark, d):
+    return Q.longest_run(Q.window_counts(C.at_least(catalogue(spark, d), 5.2), START, DAY_US, 2 * DAY_US, 30), 1)
+
+
+GAP = 600_000_000
+
+
+@query(f"""
+, o AS (SELECT event_id, t_us, CASE WHEN coalesce(t_us - lag(t_us) OVER (ORDER BY t_us) > {GAP}, true) THEN t_us END AS opens FROM seis)
+SELECT event_id, max(opens) OVER (ORDER BY t_us) AS block FROM o""")
+def gap_blocks(spark, d):
+    return Q.gap_blocks(catalogue(spark, d), GAP).select("event_id", "block")
+
+
+@query(f"""
+SELECT a.event_id AS a, b.event_id AS b, round(2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 6) AS km
+FROM seis a JOIN seis b ON a.event_id < b.event_id AND a.lane <> b.lane AND abs(a.t_us - b.t_us) <= {GAP}
+WHERE 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 100""")
+def assoc_pairs(spark, d):
+    return rounded(Q.association_pairs(catalogue(spark, d), GAP, 100.0))
+
+
+@query()
+def assoc_clusters(spark, d):
+    return Q.associate(catalogue(spark, d), GAP, 100.0)
+
+
+@query("SELECT mbin, arg_min(lane, depth_km * 1000000 + event_id) AS lane, list_sort(list(DISTINCT event_id)) AS ids FROM seis WHERE mag >= 5.5 GROUP BY 1")
+def merge_preferred(spark, d):
+    return C.preferred(C.at_least(catalogue(spark, d), 5.5), ["mbin"], ["depth_km", "event_id", "lane"]).select("mbin", "lane", "ids")
+
+
+@query("SELECT cell_ix, ix, iy, lon0, lat0 FROM cells")
+def lattice_cells(spark, d):
+    return G.lattice(spark).select("cell_ix", "ix", "iy", "lon0", "lat0")
+
+
+@query("SELECT event_id, cell_ix FROM placed")
+def point_to_cell(spark, d):
+    return G.located(catalogue(spark, d)).select("event_id", "cell_ix")
+
+
+@query(f"""
+SELECT t_us // {DAY_US} AS t_bin, cell_ix, least(CAST(floor((mag - 2.5) / 1 + CAST(1e-9 AS DOUBLE)) AS BIGINT), 3) AS m_bin, count(*) AS n
+FROM placed WHERE cell_ix >= 0 AND mag >= 2.5 - CAST(1e-9 AS DOUBLE) GROUP BY ALL""")
+def grid_counts_3d(spark, d):
+    return G.counts_3d(catalogue(spark, d), DAY_US)
+
+
+@query("SELECT cell_ix, n FROM counts")
+def grid_counts_dense(spark, d):
+    return G.dense_counts(catalogue(spark, d))
+
+
+EDGES = ", ".join(str((*a, *b)) for a, b in zip(RING, RING[1:] + RING[:1], strict=True))
+
+
+@query(f"""
+, e AS (SELECT * FROM (VALUES {EDGES}) v(x1, y1, x2, y2))
+SELECT event_id, count(*) FILTER (((y1 > lat) <> (y2 > lat)) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM seis, e GROUP BY 1""")
+def point_in_polygon(spark, d):
+    return G.in_polygon(catalogue(spark, d), RING).select("event_id", "inside")
+
+
+@query("SELECT cell_ix, round(n / sum(n) OVER (), 9) AS mass FROM counts")
+def ref_marginal(spark, d):
+    return rounded(G.reference_marginal(G.dense_counts(catalogue(spark, d))).select("cell_ix", "mass"), 9)
+
+
+AREA = "(6371.0 * 6371.0 * radians(0.5) * (sin(radians(lat0 + 0.5)) - sin(radians(lat0))))"
+
+
+@query(f"SELECT cell_ix, round({AREA}, 4) AS area, round({AREA} / sum({AREA}) OVER (), 9) AS mass FROM cells")
+def ref_uniform_area(spark, d):
+    return G.uniform_area(G.lattice(spark)).select("cell_ix", F.round("area", 4).alias("area"), F.round("mass", 9).alias("mass"))
+
+
+SMOOTH = """s AS (
+  SELECT a.cell_ix, 0.01 + sum(CASE WHEN abs(a.ix - b.ix) <= 3 AND abs(a.iy - b.iy) <= 3 THEN b.n * exp(-((a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy)) / CAST(2 AS DOUBLE)) ELSE 0 END) AS v
+  FROM counts a, counts b GROUP BY 1)"""
+
+
+@query(f", {SMOOTH} SELECT cell_ix, round(v / sum(v) OVER (), 9) AS mass FROM s")
+def ref_smoothed(spark, d):
+    return rounded(G.smoothed(G.dense_counts(catalogue(spark, d)), G.lattice(spark), 1.0, 3, 0.01), 9)
+
+
+@query("""
+, w AS (SELECT (t_us // 864000000000) AS win, cell_ix, count(*) AS k FROM placed WHERE cell_ix >= 0 GROUP BY ALL),
+m AS (SELECT win, cell_ix, k / sum(k) OVER (PARTITION BY win) AS mass, 1.0 + win % 3 AS expected FROM w)
+SELECT win AS "window", cell_ix, round(mass * expected / sum(mass * expected) OVER (), 9) AS mass FROM m""")
+def ref_pooled(spark, d):
+    from pyspark.sql import Window
+
+    w = G.located(catalogue(spark, d)).filter("cell_ix >= 0").groupBy(F.floor(F.col("t_us") / (10 * DAY_US)).cast("long").alias("window"), "cell_ix").agg(F.count("*").alias("k"))
+    mass = F.col("k") / F.sum("k").over(Window.partitionBy("window"))
+    return rounded(G.pooled_reference(w.withColumn("mass", mass).withColumn("expected", F.lit(1.0) + F.col("window") % 3)), 9)
+
+
+@query("""
+, s AS (SELECT event_id, (lon - 80) / CAST(0.5 AS DOUBLE) AS x, (lat - 26) / CAST(0.5 AS DOUBLE) AS y FROM seis),
+p AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0 FROM s),
+k AS (SELECT event_id, c.n * (CASE WHEN c.ix = x0 THEN 1 - (x - x0) ELSE x - x0 END) * (CASE WHEN c.iy = y0 THEN 1 - (y - y0) ELSE y - y0 END) AS v
+      FROM p JOIN counts c ON c.ix IN (x0, x0 + 1) AND c.iy IN (y0, y0 + 1))
+SELECT event_id, round(sum(v), 6) AS value FROM k GROUP BY 1 HAVING count(*) = 4""")
+def bilinear_sample(spark, d):
+    events = catalogue(spark, d)
+    field = G.lattice(spark).join(G.dense_counts(events), "cell_ix").select("ix", "iy", F.col("n").cast("double").alias("value"))
+    return rounded(G.bilinear(events, field))
+
+
+@query("""
+, t AS (SELECT event_id AS site_id, lon AS s_lon, lat AS s_lat FROM seis WHERE mag >= 5.5),
+c AS (SELECT event_id, site_id, round(pow(lon - s_lon, 2) + pow(lat - s_lat, 2), 9) AS d2 FROM placed p, t
+      WHERE abs(ix - CAST(floor((s_lon - 80) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT)) <= 2 AND abs(iy - CAST(floor((s_lat - 26) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT)) <= 2)
+SELECT event_id, site_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, site_id) AS r FROM c) WHERE r = 1""")
+def nearest_site(spark, d):
+    events = catalogue(spark, d)
+    sites = C.at_least(events, 5.5).select(F.col("event_id").alias("site_id"), F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    return G.nearest_site(events, sites, 2)
+
+
+ALARM = """a AS (SELECT cell_ix, coalesce(max(pow(10, 0.5 * (mag - 5)) / (1 + (pow((lon0 + 0.25 - lon) * 111.19 * cos(radians(lat0 + 0.25)), 2) + pow((lat0 + 0.25 - lat) * 111.19, 2)) / 2500.0)), 0) AS alarm
+  FROM cells LEFT JOIN (SELECT lon, lat, mag FROM seis WHERE mag >= 5.5) ON true GROUP BY 1)"""
+
+
+@query(f", {ALARM} SELECT cell_ix, round(alarm, 6) AS alarm FROM a")
+def recent_large_alarm(spark, d):
+    return rounded(G.recent_large_alarm(C.at_least(catalogue(spark, d), 5.5), G.lattice(spark), 5.0, 0.5, 50.0))
+
+
+def _alarm_cells(spark, d):
+    """Counts before the cut-off as alarm, uniform mass, events of the rest as targets."""
+    events = catalogue(spark, d)
+    alarm = G.dense_counts(C.before(events, CUT)).withColumnRenamed("n", "alarm")
+    hits = G.dense_counts(C.at_least(events.filter(F.col("t_us") >= CUT), 4.0))
+    return alarm.join(hits, "cell_ix").withColumn("mass", F.lit(1.0) / F.lit(162.0))
+
+
+MOLCHAN = f"""
+, al AS (SELECT c.cell_ix, count(p.event_id) AS alarm FROM cells c LEFT JOIN placed p ON p.cell_ix = c.cell_ix AND t_us < {CUT} GROUP BY 1),
+hi AS (SELECT c.cell_ix, count(p.event_id) AS n FROM cells c LEFT JOIN placed p ON p.cell_ix = c.cell_ix AND t_us >= {CUT} AND mag >= 4 GROUP BY 1),
+g AS (SELECT alarm, sum(1.0 / 162.0) AS mass, count(*) AS cells, CAST(sum(n) AS BIGINT) AS hits FROM al JOIN hi USING (cell_ix) GROUP BY 1),
+t AS (SELECT alarm, least(1.0, sum(mass) OVER w) AS tau, 1 - sum(hits) OVER w / sum(hits) OVER () AS miss, CAST(sum(cells) OVER w AS BIGINT) AS cells
+      FROM g WINDOW w AS (ORDER BY alarm DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"{MOLCHAN} SELECT alarm, round(mass, 6) AS mass, cells, hits FROM g")
+def molchan_groups(spark, d):
+    return rounded(K.molchan_groups(_alarm_cells(spark, d)))
+
+
+@query(f"{MOLCHAN} SELECT alarm, round(tau, 6) AS tau, round(miss, 6) AS miss, cells FROM t")
+def molchan_trajectory(spark, d):
+    return rounded(K.molchan_trajectory(K.molchan_groups(_alarm_cells(spark, d))))
+
+
+@query(f"""{MOLCHAN},
+s AS (SELECT tau, 1 - miss AS hit, coalesce(lag(tau) OVER w, 0) AS tau0, coalesce(lag(1 - miss) OVER w, 0) AS hit0 FROM t WINDOW w AS (ORDER BY tau, miss DESC))
+SELECT round(sum((tau - tau0) * (hit + hit0) / 2) + (1 - max(tau)) * max(hit), 6) AS area_skill FROM s""")
+def area_skill(spark, d):
+    return rounded(K.area_skill(K.molchan_trajectory(K.molchan_groups(_alarm_cells(spark, d)))))
+
+
+def _terms(spark, d):
+    """Daily windows: events, and log-rate and expectation differences of two toy forecasts."""
+    day = F.floor((F.col("t_us") - START) / DAY_US).cast("long")
+    rate = F.lit(0.1) * (F.col("mag") - 2.5) - F.lit(0.05)
+    return C.at_least(catalogue(spark, d), 4.0).groupBy(day.alias("window")).agg(F.count("*").alias("n"), F.sum(rate).alias("rate_diff"), (F.count("*") * F.lit(0.02)).alias("expected_diff"))
+
+
+TERMS = f", t AS (SELECT (t_us - {START}) // {DAY_US} AS win, count(*) AS n, sum(0.1 * (mag - 2.5) - 0.05) AS r, count(*) * 0.02 AS e FROM seis WHERE mag >= 4 GROUP BY 1)"
+
+
+@query(f"{TERMS} SELECT round((sum(r) - sum(e)) / sum(n), 6) AS gain, round(CAST(sum(n) AS DOUBLE) * sum(n) / sum(n * n), 6) AS effective_blocks, CAST(sum(n) AS BIGINT) AS n_events FROM t")
+def pooled_information_gain(spark, d):
+    return rounded(K.information_gain(_terms(spark, d)))
+
+
+@query(f'{TERMS} SELECT win AS "window", round((sum(r) OVER () - r - sum(e) OVER () + e) / (sum(n) OVER () - n), 6) AS gain FROM t')
+def leave_one_window_out(spark, d):
+    return rounded(K.leave_one_out(_terms(spark, d)))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return K.block_bootstrap(_terms(spark, d), 5, 500, 7)
+
+
+@query("SELECT count(*) AS n, round(avg(v), 6) AS mean, round(var_samp(v), 6) AS variance, round(avg(v) / sqrt(var_samp(v) / count(*)), 4) AS t FROM (SELECT 0.1 * (mag - 2.5) - 0.05 AS v FROM seis WHERE mag >= 4)")
+def paired_t(spark, d):
+    s = K.paired_test(C.at_least(catalogue(spark, d), 4.0).select((F.lit(0.1) * (F.col("mag") - 2.5) - F.lit(0.05)).alias("d")))
+    return s.select("n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), F.round("t", 4).alias("t"))
+
+
+@query("""
+, v AS (SELECT lane AS test, CASE WHEN event_id % 10 = 0 THEN NULL ELSE mag >= 3 END AS passed FROM seis)
+SELECT test, count(*) FILTER (passed) AS n_passed, count(passed) AS n_scored FROM v GROUP BY 1""")
+def pass_rates(spark, d):
+    passed = F.when(F.col("event_id") % 10 != 0, F.col("mag") >= 3)
+    return K.pass_rates(catalogue(spark, d).select(F.col("lane").alias("test"), passed.alias("passed")))
+
+
+@query("SELECT round(sum(n * ln(n + 0.5) - (n + 0.5) - lgamma(n + 1)), 4) AS ll, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(n + 0.5) AS DOUBLE), 4) AS expected FROM counts")
+def poisson_ll(spark, d):
+    return rounded(K.poisson_log_likelihood(G.dense_counts(catalogue(spark, d)).withColumn("rate", F.col("n") + F.lit(0.5))), 4)
+
+
+@query("""
+, r AS (SELECT n, (1.0 + cell_ix % 5) * sum(n) OVER () / sum(1.0 + cell_ix % 5) OVER () AS rate FROM counts)
+SELECT round(sum(n * ln(rate) - rate - lgamma(n + 1)), 3) AS statistic, CAST(sum(n) AS BIGINT) AS n FROM r""")
+def conditional_ll(spark, d):
+    return rounded(K.conditional_statistics(G.dense_counts(catalogue(spark, d)).withColumn("rate", F.lit(1.0) + F.col("cell_ix") % 5)), 3)
+
+
+@query("""
+, f AS (SELECT cell_ix, 'a' AS model, 0.3 AS weight, n + 0.5 AS rate FROM counts UNION ALL SELECT cell_ix, 'b', 0.7, 1.0 + cell_ix % 5 FROM counts),
+l AS (SELECT cell_ix, weight, ln(greatest(rate, 0.01 * avg(rate) OVER w)) AS lr, sum(rate) OVER w AS total FROM f WINDOW w AS (PARTITION BY model)),
+c AS (SELECT cell_ix, exp(sum(weight * lr)) AS rate, exp(sum(weight * ln(total))) AS target FROM l GROUP BY 1)
+SELECT cell_ix, round(rate * target / sum(rate) OVER (), 6) AS rate FROM c""")
+def geometric_pool(spark, d):
+    counts = G.dense_counts(catalogue(spark, d))
+    a = counts.select(F.lit("a").alias("model"), F.lit(0.3).alias("weight"), "cell_ix", (F.col("n") + F.lit(0.5)).alias("rate"))
+    b = counts.select(F.lit("b"), F.lit(0.7), "cell_ix", (F.lit(1.0) + F.col("cell_ix") % 5).alias("rate"))
+    return rounded(K.geometric_pool(a.union(b), 0.01))
+
+
+@query("SELECT event_id, round(pow(10, -1.67 + 0.91 * (mag - 2.5)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08), 6) AS expected FROM seis WHERE mag >= 5")
+def rj_expected_count(spark, d):
+    count = S.reasenberg_jones_count(-1.67, 0.91, 0.05, 1.08, F.col("mag"), F.lit(2.5), F.lit(0.01), F.lit(30.0))
+    return rounded(C.at_least(catalogue(spark, d), 5.0).select("event_id", count.alias("expected")))
+
+
+@query("SELECT mbin, round(pow(10, -0.9 * (mbin * CAST(0.1 AS DOUBLE) - 0.05)) - pow(10, -0.9 * (mbin * CAST(0.1 AS DOUBLE) + 0.05)), 9) AS mass FROM (SELECT DISTINCT mbin FROM seis)")
+def gr_bin_pmf(spark, d):
+    low = F.col("mbin") * F.lit(0.1) - F.lit(0.05)
+    return rounded(catalogue(spark, d).select("mbin").distinct().select("mbin", S.gutenberg_richter_mass(low, 0.9, 0.1).alias("mass")), 9)
+
+
+@query("""
+, q AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedprice AS v FROM lineitem)
+SELECT flag, status, round(avg(v), 4) AS mean, round(greatest(0, least(quantile_cont(v, 0.05), avg(v))), 4) AS low, round(greatest(quantile_cont(v, 0.95), avg(v)), 4) AS high FROM q GROUP BY ALL""")
+def money_range(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("v"))
+    return rounded(R.money_range(rows, ["flag", "status"], "v"), 4)
+
+
+YEARS = ", y AS (SELECT c.range AS catalogue, coalesce(sum(o_totalprice), 0) / 2.0 AS loss FROM range(1000) c LEFT JOIN orders ON o_orderkey % 1000 = c.range GROUP BY 1)"
+
+
+def _years(spark, d):
+    events = table(spark, d, "orders").select((F.col("o_orderkey") % 1000).alias("catalogue"), F.col("o_totalprice").alias("loss"))
+    return R.annual_losses(events, spark.range(1000).withColumnRenamed("id", "catalogue"), 2.0)
+
+
+@query(f"{YEARS} SELECT p AS period, round(quantile_cont(loss, 1 - 2.0 / p), 2) AS loss FROM y, (VALUES (CAST(10 AS DOUBLE)), (100), (1000)) v(p) GROUP BY p".replace("quantile_cont(loss, 1 - 2.0 / p)", "CASE p WHEN 10 THEN quantile_cont(loss, 0.8) WHEN 100 THEN quantile_cont(loss, 0.98) ELSE quantile_cont(loss, 0.998) END"))
+def aep_curve(spark, d):
+    return rounded(R.aggregate_exceedance(_years(spark, d), 2.0, 1000, [10.0, 100.0, 1000.0, 5000.0]), 2)
+
+
+@query("""
+, o AS (SELECT o_totalprice AS loss, sum(0.0005) OVER (ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS upto FROM orders)
+SELECT p AS period, max(loss) FILTER (upto >= 1 / p - 1e-12) AS loss FROM o, (VALUES (CAST(3.3 AS DOUBLE)), (33.3), (333.3)) v(p) GROUP BY p HAVING max(loss) FILTER (upto >= 1 / p - 1e-12) IS NOT NULL""")
+def oep_curve(spark, d):
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("loss"), F.lit(0.0005).alias("rate"))
+    return R.occurrence_exceedance(events, [3.3, 33.3, 333.3])
+
+
+@query(f"{YEARS} SELECT catalogue, round(least(greatest(loss - 1000000.0, 0.0), 500000.0), 4) AS ceded FROM y")
+def insurance_layer(spark, d):
+    return rounded(_years(spark, d).select("catalogue", R.insurance_layer(F.col("loss"), 1e6, 5e5).alias("ceded")), 4)
+
+
+@query(f"{YEARS} SELECT round(avg(loss - (loss * 0.9 + 1000)), 4) AS mean, avg(CAST(loss - (loss * 0.9 + 1000) < 0 AS INT)) AS negative_share FROM y")
+def branch_difference(spark, d):
+    base = _years(spark, d)
+    return R.branch_difference(base, base.select("catalogue", (F.col("loss") * F.lit(0.9) + F.lit(1000.0)).alias("loss"))).select(F.round("mean", 4).alias("mean"), "negative_share")
+
+
+@query("""
+, s AS (SELECT lane, 1001.0 * sum(mag) / sum(sum(mag)) OVER () AS share FROM seis GROUP BY 1),
+f AS (SELECT lane, CAST(floor(share) AS BIGINT) AS whole, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, lane) AS r, 1001 - CAST(sum(floor(share)) OVER () AS BIGINT) AS rest FROM s)
+SELECT lane, whole + CAST(r <= rest AS BIGINT) AS n FROM f""")
+def largest_remainder(spark, d):
+    return R.largest_remainder(catalogue(spark, d).groupBy("lane").agg(F.sum("mag").alias("w")), "lane", "w", 1001)
+
+
+def _phi(x: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({x})))"
+    tail = f"(0.3989422804014327 * exp(-({x}) * ({x}) / 2) * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))))"
+    return f"(CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def _ratio(im: str) -> str:
+    above = [_phi(f"(ln({im} / {m:.1f}) / {b})") for m, b, _ in STATES] + ["0"]
+    return " + ".join(f"greatest(0, {p} - {q}) * {r}" for p, q, (_, _, r) in zip(above, above[1:], STATES, strict=False))
+
+
+@query(f"""
+, f AS (SELECT event_id % 20 AS realisation, cell_ix, 0.05 + mag - 2.5 AS im FROM placed WHERE mag >= 4.5),
+a AS (SELECT cell_ix, 1000.0 + cell_ix AS value FROM cells)
+SELECT realisation, round(sum(value * ({_ratio("im")})), 3) AS loss FROM f JOIN a USING (cell_ix) GROUP BY 1""")
+def damage_losses(spark, d):
+    fields = G.located(C.at_least(catalogue(spark, d), 4.5)).select((F.col("event_id") % 20).alias("realisation"), F.col("cell_ix").alias("site_id"), (F.lit(0.05) + F.col("mag") - F.lit(2.5)).alias("im"))
+    assets = G.lattice(spark).select(F.col("cell_ix").alias("site_id"), (F.lit(1000.0) + F.col("cell_ix")).alias("value"))
+    return rounded(R.portfolio_losses(assets, fields, STATES), 3)
+
+
+@query("""
+SELECT k AS event_type, l AS level, CAST(poe AS DOUBLE) AS poe FROM (
+  SELECT event_type AS k, unnest([3.0, 4.0, 5.0]) AS l, unnest([count(*) FILTER (value >= 57.565) / count(*), count(*) FILTER (value >= 172.695) / count(*), count(*) FILTER (value >= 287.825) / count(*)]) AS poe FROM events GROUP BY 1)""")
+def hazard_unpivot(spark, d):
+    share = lambda v: F.count_if(F.col("value") >= F.lit(v)) / F.count("*")
+    wide = table(spark, d, "events").groupBy("event_type").agg(*(share(115.13 * (m - 2.5)).alias(f"poe-{m}") for m in (3.0, 4.0, 5.0)))
+    return R.unpivot_curves(wide, ["event_type"])
+
+
+@query(helpers=False, sql="""
+WITH t AS (SELECT unnest([0.1, 0.3, 1.0, 3.0]) AS p, unnest([1.0, 2.0, 2.5, 0.5]) AS c), s AS (SELECT p AS p0, c AS c0, lead(p) OVER (ORDER BY p) AS p1, lead(c) OVER (ORDER BY p) AS c1 FROM t),
+w AS (SELECT CAST((range + 1) * 0.05 AS DOUBLE) AS period FROM range(80))
+SELECT round(period, 2) AS period, round(max(c0 + ln(period / p0) / ln(p1 / p0) * (c1 - c0)), 6) AS coefficient FROM w JOIN s ON period BETWEEN p0 AND p1 GROUP BY 1""")
+def coeff_log_interp(spark, d):
+    held = spark.createDataFrame([(0.1, 1.0), (0.3, 2.0), (1.0, 2.5), (3.0, 0.5)], "period double, coefficient double")
+    wanted = spark.range(80).select(((F.col("id") + 1) * F.lit(0.05)).alias("period"))
+    return R.log_interpolated(wanted, held).select(F.round("period", 2).alias("period"), F.round("coefficient", 6).alias("coefficient"))
