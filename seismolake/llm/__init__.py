@@ -21,6 +21,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, warc
+    from . import chat, embedding_pivots, ngram_join, quality, suffix_dedup, warc
 
-    return {"op4_chat_perspectives": chat.SQL, "op5_warc": warc.SQL}
+    return {
+        "op1_pivot_dedup": embedding_pivots.SQL,
+        "op4_chat_perspectives": chat.SQL,
+        "op5_warc": warc.SQL,
+        "op6_host_quality": quality.SQL,
+        "op8_ngram_join": ngram_join.SQL,
+        "op10_suffix_dedup": suffix_dedup.SQL,
+    }

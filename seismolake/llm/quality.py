@@ -138,3 +138,27 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judge(docs).filter("kept").select(*docs.columns)
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, [x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''] AS w FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM c, range(8) x(o) GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (
+  SELECT doc_id, source, len(w) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS host_docs, CAST(sum(CAST(base_failed AS INT)) AS BIGINT) AS host_failures FROM b GROUP BY 1),
+a AS (SELECT CAST(sum(host_docs) AS DOUBLE) AS n, CAST(sum(host_failures) AS DOUBLE) / sum(host_docs) AS m, CAST(count(*) AS DOUBLE) AS hosts, CAST(sum(host_docs * host_docs) AS DOUBLE) AS nn FROM h),
+s AS (SELECT a.*, (SELECT sum(host_docs * pow(CAST(host_failures AS DOUBLE) / host_docs - a.m, 2)) FROM h) AS s, m * (1 - m) AS chance, n - nn / n AS scale FROM a),
+e AS (SELECT *, CASE WHEN scale > 0 THEN (s - (hosts - 1) * chance) / scale END AS between_ FROM s),
+p AS (SELECT m, CASE WHEN chance <= 0 OR between_ IS NULL OR between_ <= chance * 1e-6 THEN 1e6 ELSE greatest(chance / between_ - 1, 1e-3) END AS weight FROM e),
+v AS (SELECT h.*, (host_failures + m * weight) / (host_docs + weight) AS host_rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.75 AS kept, b.source, host_docs, host_failures,
+  round(host_rate, 9) AS host_rate FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+"""

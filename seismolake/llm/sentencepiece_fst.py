@@ -32,7 +32,7 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Agreeing pairs that a worker remembers before it starts anew.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 500_000
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -92,7 +92,10 @@ class Transducer:
             raise ValueError("pieces may hold space marks only at their start, and no line ends")
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown_cost = 10.0 - lowest
-        self.agreeing: dict[tuple[str, str], bool] = {}
+        self.size, self.agreeing = len(self.out), {}
+        self.reach: dict[str, int] = {}
+        for p in self.pieces:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by score, the leftmost of equal scores first."""
@@ -108,35 +111,62 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def agree(self, left: str, right: str) -> bool:
-        got = self.agreeing.get((left, right))
+    def agree(self, left: str, left_id: int, right: str, right_id: int) -> bool:
+        """Are the two pieces, taken together, encoded as these two? An empty left asks whether the right one is a piece by itself."""
+        key = (left_id + 2) * self.size + right_id
+        got = self.agreeing.get(key)
         if got is None:
             if len(self.agreeing) >= MOST_PAIRS:
                 self.agreeing.clear()
-            got = self.agreeing[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            got = self.agreeing[key] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
+    def agreeing_path(self, segment: str) -> list[str]:
+        """The one path of finite weight: longest pieces first. A place that led nowhere is not tried again, as the way to each place is unique."""
+        n, pieces, reach = len(segment), self.pieces, self.reach
+        out, ids, dead = [], [], set()
+        at, end = 0, min(n, reach.get(segment[:2], 1))
+        while at < n:
+            left, left_id = (out[-1], ids[-1]) if out else ("", -2)
+            while end > at:
+                if end not in dead:
+                    piece = segment[at:end]
+                    known = pieces.get(piece)
+                    if known is not None:
+                        # a neighbour without a piece merges with nothing, so the right one stands by itself
+                        if self.agree("" if left_id == -1 else left, -2 if left_id == -1 else left_id, piece, known[0]):
+                            out.append(piece)
+                            ids.append(known[0])
+                            break
+                    elif end == at + 1:
+                        out.append(piece)
+                        ids.append(-1)
+                        break
+                end -= 1
+            if end > at:
+                at = end
+                end = min(n, at + reach.get(segment[at : at + 2], 1))
+            else:
+                dead.add(at)
+                end = at - 1
+                ids.pop()
+                at -= len(out.pop())
+        return out
+
     def path(self, segment: str) -> list[str]:
         """The pieces on the shortest path through a segment's lattice."""
-        n, longest, pieces, bpe = len(segment), self.longest, self.pieces, self.kind == BPE
-        if bpe and segment in pieces and self.agree("", segment):
-            return [segment]
+        if self.kind == BPE:
+            return self.agreeing_path(segment)
+        n, longest, pieces = len(segment), self.longest, self.pieces
         cost: list[float] = [0.0] + [np.inf] * n
         last: list[str] = [""] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - longest), end):
                 piece = segment[start:end]
-                if piece in pieces:
-                    if bpe:
-                        if self.agree(last[start], piece):
-                            cost[end], last[end] = 0.0, piece
-                            break
-                        continue
-                    weight = cost[start] - pieces[piece][1]
-                elif start == end - 1:
-                    weight = cost[start] + (0.0 if bpe else self.unknown_cost)
-                else:
+                known = pieces.get(piece)
+                if known is None and start < end - 1:
                     continue
+                weight = cost[start] - known[1] if known else cost[start] + self.unknown_cost
                 if weight < cost[end]:
                     cost[end], last[end] = weight, piece
         out, at = [], n

@@ -462,3 +462,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM d)),
+f AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+o AS (SELECT doc_id, s, coalesce(s > 100 + lag(s) OVER (PARTITION BY doc_id ORDER BY s), true) AS opens FROM f),
+i AS (SELECT doc_id, s, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM o),
+p AS (SELECT doc_id, min(s) AS low, max(s) + 100 AS high FROM i GROUP BY doc_id, island),
+q AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS from_ FROM p),
+k AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans, max(high) AS last,
+        string_agg(substr(h, 2 * from_ + 1, 2 * (low - from_)), '' ORDER BY low) AS kept FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
