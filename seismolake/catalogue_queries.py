@@ -527,7 +527,7 @@ def damage_losses(spark, d):
 
 
 @query("""
-SELECT k AS event_type, l AS level, CAST(poe AS DOUBLE) AS poe FROM (
+SELECT k AS event_type, CAST(l AS DOUBLE) AS level, CAST(poe AS DOUBLE) AS poe FROM (
   SELECT event_type AS k, unnest([3.0, 4.0, 5.0]) AS l, unnest([count(*) FILTER (value >= 57.565) / count(*), count(*) FILTER (value >= 172.695) / count(*), count(*) FILTER (value >= 287.825) / count(*)]) AS poe FROM events GROUP BY 1)""")
 def hazard_unpivot(spark, d):
     share = lambda v: F.count_if(F.col("value") >= F.lit(v)) / F.count("*")
