@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import projection as P
 from .functions import seismology as S
+from .functions import tails
 from .operators import catalogue as C
 from .operators import grids as G
+from .operators import homogenise as H
+from .operators import models as M
 from .operators import risk as R
 from .operators import scoring as K
 from .operators import sequences as Q
+from .operators import stochastic as T
 from .sources.events import DAY_US, catalogue, table
 
 START = 1_704_067_200_000_000
@@ -543,3 +548,119 @@ def coeff_log_interp(spark, d):
     held = spark.createDataFrame([(0.1, 1.0), (0.3, 2.0), (1.0, 2.5), (3.0, 0.5)], "period double, coefficient double")
     wanted = spark.range(80).select(((F.col("id") + 1) * F.lit(0.05)).alias("period"))
     return R.log_interpolated(wanted, held).select(F.round("period", 2).alias("period"), F.round("coefficient", 6).alias("coefficient"))
+
+
+@query("""
+, g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
+p AS (SELECT a, w / sum(w) OVER () AS p FROM g),
+l AS (SELECT a, ln(p) + 12 * ln(pow(10, a) * 40.0) - pow(10, a) * 40.0 AS l FROM p), e AS (SELECT a, exp(l - max(l) OVER ()) AS w FROM l)
+SELECT round(a, 6) AS a, round(w / sum(w) OVER (), 9) AS p FROM e""")
+def bayes_grid_update(spark, d):
+    posterior = M.productivity_posterior(M.productivity_prior(spark, -1.67, 0.5), 12, 40.0)
+    return posterior.select(F.round("a", 6).alias("a"), F.round("p", 9).alias("p"))
+
+
+@query("""
+, g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
+p AS (SELECT a, w / sum(w) OVER () AS p FROM g),
+r AS (SELECT t AS threshold, p, pow(10, a + 0.91 * (6.5 - t)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08) AS rate FROM p, (VALUES (CAST(4.0 AS DOUBLE)), (5.0), (6.0)) v(t))
+SELECT threshold, round(sum(p * rate), 6) AS expected, round(sum(p * (1 - exp(-rate))), 6) AS probability FROM r GROUP BY 1""")
+def ladder_probabilities(spark, d):
+    return rounded(M.ladder(M.productivity_prior(spark, -1.67, 0.5), 6.5, 0.91, [4.0, 5.0, 6.0], 0.05, 1.08, 0.01, 30.0))
+
+
+ETAS = {"mu": 20.0, "k": 0.02, "alpha": 1.2, "c_days": 0.01, "p": 1.1, "mc": 4.0, "reach_us": DAY_US}
+
+
+@query(f"""
+, e AS (SELECT * FROM seis WHERE mag >= 4),
+r AS (SELECT a.event_id, 20 + coalesce(sum(0.02 * exp(1.2 * (b.mag - 4)) * pow((a.t_us - b.t_us) / 8.64e10 + 0.01, -1.1)), 0) AS rate
+      FROM e a LEFT JOIN e b ON b.t_us < a.t_us AND b.t_us >= a.t_us - {DAY_US} GROUP BY 1),
+m AS (SELECT sum(0.02 * exp(1.2 * (mag - 4)) * (pow(least({START + 30 * DAY_US} - t_us, {DAY_US}) / 8.64e10 + 0.01, -0.1) - pow(0.01, -0.1)) / (-0.1)) AS mass FROM e)
+SELECT count(*) AS n, round(sum(ln(rate)), 4) AS log_rates, round(600 + (SELECT mass FROM m), 4) AS integral, round(sum(ln(rate)) - 600 - (SELECT mass FROM m), 4) AS ll FROM r""")
+def etas_log_likelihood(spark, d):
+    return rounded(M.etas_log_likelihood(C.at_least(catalogue(spark, d), 4.0), START + 30 * DAY_US, 30.0, **ETAS), 4)
+
+
+@query("""
+, c AS (SELECT n, n + 0.5 AS a, 1.0 + cell_ix % 5 AS b FROM counts), w AS (SELECT range / 20.0 AS wa, 1 - range / 20.0 AS wb FROM range(21)),
+s AS (SELECT wa, wb, round(sum(n * (wa * ln(a) + wb * ln(b)) - exp(wa * ln(a) + wb * ln(b))), 6) AS ll FROM c, w GROUP BY ALL)
+SELECT ll, CAST(round(wa, 2) AS DOUBLE) AS w_a, CAST(round(wb, 2) AS DOUBLE) AS w_b FROM s ORDER BY ll DESC, wa DESC LIMIT 1""")
+def ensemble_weights(spark, d):
+    cells = G.dense_counts(catalogue(spark, d)).select("n", (F.col("n") + F.lit(0.5)).alias("a"), (F.lit(1.0) + F.col("cell_ix") % 5).alias("b"))
+    best = M.fit_pool_weights(cells, ["a", "b"], 20)
+    return best.select("ll", F.round("w_a", 2).alias("w_a"), F.round("w_b", 2).alias("w_b"))
+
+
+@query(f"""
+, s AS (SELECT avg(mag) AS m, stddev_pop(mag) AS sd FROM seis WHERE t_us < {CUT})
+SELECT event_id, round((mag - m) / sd, 6) AS mag FROM seis, s""")
+def standardised_magnitudes(spark, d):
+    return rounded(M.standardised(catalogue(spark, d).select("event_id", "t_us", "mag"), ["mag"], CUT).select("event_id", "mag"))
+
+
+@query("""
+, c AS (SELECT event_id, acos(least(1, greatest(-1, sin(radians(28.0)) * sin(radians(lat)) + cos(radians(28.0)) * cos(radians(lat)) * cos(radians(lon - 84.0))))) AS c, lon, lat FROM seis)
+SELECT event_id, round(6371.0 * (CASE WHEN c < 1e-12 THEN 1 ELSE c / sin(c) END) * cos(radians(lat)) * sin(radians(lon - 84.0)), 4) AS x,
+  round(6371.0 * (CASE WHEN c < 1e-12 THEN 1 ELSE c / sin(c) END) * (cos(radians(28.0)) * sin(radians(lat)) - sin(radians(28.0)) * cos(radians(lat)) * cos(radians(lon - 84.0))), 4) AS y FROM c""")
+def projection_forward(spark, d):
+    x, y = P.forward(F.col("lon"), F.col("lat"), 84.0, 28.0)
+    return rounded(catalogue(spark, d).select("event_id", x.alias("x"), y.alias("y")), 4)
+
+
+MAGS = """m AS (SELECT event_id // 3 AS event_id, CASE event_id % 4 WHEN 0 THEN 'gcmt' WHEN 1 THEN 'isc' WHEN 2 THEN 'usgs-comcat' ELSE 'other' END AS source,
+  CASE event_id % 7 WHEN 0 THEN 'mww' WHEN 1 THEN 'mb' WHEN 2 THEN 'ms' WHEN 3 THEN 'ml' WHEN 4 THEN 'mw' ELSE 'xx' END AS kind, mag + 1 AS mag FROM seis)"""
+
+
+@query(f""", {MAGS},
+k AS (SELECT event_id, coalesce(nullif(list_position(['gcmt', 'isc-gem', 'isc', 'usgs-comcat'], source), 0), 99) AS a, list_position(['mww', 'mwc', 'mwb', 'mwr', 'mw'], kind) AS b, kind, mag,
+  round(CASE WHEN kind = 'mb' AND mag BETWEEN 3.5 AND 6.2 THEN 0.85 * mag + 1.03 WHEN kind = 'ms' AND mag BETWEEN 3.0 AND 6.1 THEN 0.67 * mag + 2.07 WHEN kind = 'ms' AND mag BETWEEN 6.2 AND 8.2 THEN 0.99 * mag + 0.08 END, 2) AS v FROM m),
+r AS (SELECT event_id, CASE WHEN b > 0 THEN 1 WHEN v IS NOT NULL THEN 2 WHEN kind = 'ml' THEN 3 END AS step, a, CASE WHEN b > 0 THEN b WHEN kind = 'ms' THEN 1 ELSE 2 END AS b, CASE WHEN b > 0 OR v IS NULL THEN mag ELSE v END AS mw FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY step NULLS LAST, a, b, mw) AS n FROM r)
+SELECT event_id, round(CASE WHEN step IS NOT NULL THEN mw END, 6) AS mw, CASE step WHEN 1 THEN 'moment' WHEN 2 THEN 'converted' WHEN 3 THEN 'assumed' ELSE 'none' END AS how FROM o WHERE n = 1""")
+def preferred_mw(spark, d):
+    i = F.col("event_id")
+    source = F.element_at(F.array(*map(F.lit, ("gcmt", "isc", "usgs-comcat", "other"))), (i % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("mww", "mb", "ms", "ml", "mw", "xx", "xx"))), (i % 7 + 1).cast("int"))
+    rows = catalogue(spark, d).select(F.floor(i / 3).cast("long").alias("event_id"), source.alias("source"), kind.alias("kind"), (F.col("mag") + 1).alias("mag"))
+    return rounded(H.preferred_mw(rows, True))
+
+
+@query()
+def merged_catalogue(spark, d):
+    events = catalogue(spark, d)
+    clusters = Q.associate(events, GAP, 100.0)
+    return H.merge_clusters(events.join(clusters, "event_id"), ["depth_km", "event_id"])
+
+
+@query()
+def stochastic_event_set(spark, d):
+    rates = G.lattice(spark).join(G.dense_counts(C.at_least(catalogue(spark, d), 4.5)), "cell_ix").select("cell_ix", "lon0", "lat0", F.lit(4.5).alias("m0"), (F.col("n") / F.lit(30.0)).alias("rate"))
+    return T.event_set(rates, 100, 1.0, 0.9, 0.5, 3.0, 11)
+
+
+@query()
+def area_skill_null(spark, d):
+    return T.area_skill_null(K.molchan_groups(_alarm_cells(spark, d)), 50, 200, 5)
+
+
+@query()
+def aftershock_cascades(spark, d):
+    parents = C.at_least(catalogue(spark, d), 5.5).select("event_id", F.lit(0.0).alias("t_days"), "mag")
+    return T.cascade(spark, parents, 50, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, 3, 9)
+
+
+@query()
+def trajectory_p_values(spark, d):
+    t = K.molchan_trajectory(K.molchan_groups(_alarm_cells(spark, d)))
+    n = _alarm_cells(spark, d).agg(F.sum("n").alias("total"))
+    hits = F.round((F.lit(1.0) - F.col("miss")) * F.col("total")).cast("long")
+    return t.crossJoin(F.broadcast(n)).select("alarm", "tau", tails.binomial_sf(hits, F.col("total"), F.col("tau")).alias("p"))
+
+
+@query("""
+SELECT l_suppkey AS key, count(*) AS n, round(max(l_extendedprice), 2) AS largest, round(sum(l_quantity), 2) AS quantity
+FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1""", helpers=False)
+def grouped_lineitems(spark, d):
+    rows = table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    return rows.groupBy(F.col("l_suppkey").alias("key")).agg(F.count("*").alias("n"), F.round(F.max("l_extendedprice"), 2).alias("largest"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

@@ -19,3 +19,29 @@ def windowed_counts(feed: DataFrame, time: str, late: str, width: str, key: str)
     """Half-open tumbling windows by key: counts and the largest value; rows later than `late` are left out."""
     w = F.window(time, width)
     return feed.withWatermark(time, late).groupBy(w, key).agg(F.count("*").alias("n"), F.max("value").alias("largest")).select(F.col("window.start").alias("start"), key, "n", "largest")
+
+
+def late_rows(feed: DataFrame, time: str, arrived: str, late_seconds: int) -> DataFrame:
+    """Rows that arrived too long after their time: the side table of late and revised records."""
+    return feed.filter(F.col(arrived).cast("double") - F.col(time).cast("double") > late_seconds)
+
+
+def upsert_latest(key: str, version: str, path: str):
+    """For foreachBatch: keeps the latest version of each key in a Parquet table, batch by batch into a new snapshot, so a repeated batch changes nothing."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fs = spark._jvm.org.apache.hadoop.fs
+        before = f"{path}/{epoch - 1}"
+        held = fs.Path(before).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(before)) if epoch else False
+        rows = spark.read.parquet(before).unionByName(batch) if held else batch
+        latest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
+        latest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return run
+
+
+def session_blocks(feed: DataFrame, time: str, gap: str, late: str, key: str) -> DataFrame:
+    """Blocks of rows of a key with gaps of at most `gap`: start, end and count."""
+    s = F.session_window(time, gap)
+    return feed.withWatermark(time, late).groupBy(s, key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
