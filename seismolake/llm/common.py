@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is one step of its own.
 STEP_BYTES = 2 << 20
@@ -42,6 +43,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The columns of documents that stages know; others are carried through.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(docs) with the columns of docs. Further columns go through under names that clash with nothing, and come back as they were."""
+    names = {c: f"carried_{k}_" for k, c in enumerate(docs.columns) if c not in KNOWN}
+    out = step(docs.withColumnsRenamed(names))
+    return out.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets into them; null is empty."""
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")

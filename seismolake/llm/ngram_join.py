@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, text_bytes
+from .common import checkpoint, sheltered, table, text_bytes
 from .components import components
 from .shingles import BITS, set_keys, shingle_sets, shingle_steps
 
@@ -300,7 +300,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = 5, perc
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that with the smallest id."""
     groups = similar_groups(docs, size=size, percent=percent)
     gone = groups.filter("component_id <> row_id").select(F.col("row_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    return sheltered(docs, lambda d: d.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"))
 
 
 SQL = r"""

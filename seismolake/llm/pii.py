@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, sheltered, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The loops are possessive, which changes no match and keeps Java's matcher from recursing on long texts; the look-behinds skip starts that can't match.
@@ -159,7 +159,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sanitise(docs).withColumn("text", F.col("sanitised"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        out = sanitise(d).withColumn("text", F.col("sanitised"))
+        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+    return sheltered(docs, step)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, span_hashes, steps, table, text_bytes, window_hashes, words
+from .common import SPACE, checkpoint, sheltered, span_hashes, steps, table, text_bytes, window_hashes, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -137,7 +137,7 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).filter("kept").select(*docs.columns)
+    return sheltered(docs, lambda d: judge(d).filter("kept"))
 
 
 SQL = r"""

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BACK, BYTE_CODE, STEP_BYTES, checkpoint, mix, powers, steps, table, text_bytes
+from .common import _BACK, BYTE_CODE, STEP_BYTES, checkpoint, mix, powers, sheltered, steps, table, text_bytes
 
 LENGTH = 100
 GRAM = 28
@@ -458,10 +458,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages. One that loses everything is gone."""
-    out = remove_repeats(docs).filter("n_removed = 0 OR n_removed < n_bytes")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        out = remove_repeats(d).filter("n_removed = 0 OR n_removed < n_bytes")
+        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+    return sheltered(docs, step)
 
 
 SQL = """
