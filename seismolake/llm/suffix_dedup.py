@@ -37,6 +37,8 @@ FIRST_ID = -(1 << 63)
 #: Places that a worker gathers, and suffixes of a sorted run.
 GATHER = 1_000_000
 RUN = 100_000
+#: Open places of a text that are worked on at once.
+STEP_PLACES = 4000
 #: Least number of different suffixes of one gram for it to be dealt window by window.
 SPLIT_LEAST = 256
 
@@ -242,40 +244,45 @@ def suffix_runs(rows: DataFrame, n_parts: int, split: int) -> DataFrame:
             rest.append((int(part[a]), meta[a:b].tobytes(), common[a:b].astype(np.uint8).tobytes(), right[a:b][shown[a:b]].tobytes(), left[a:b][before[a:b]].tobytes(), None))
         return sent(rest + [(p, None, None, None, None, d) for p, d in dealt(found["key"] % n_parts, found)], "meta", "common", "rest", "before", "found")
 
+    def suffixes(text: np.ndarray, key: int, work: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Bytes from each place on and before it, what is known of it, its part, and for places dealt window by window the window's hash."""
+        code = powers(LENGTH + WINDOW, 0xD6E8FEB86659FD93)
+        far, near, at = work["left"].astype(np.int64), work["left"].astype(np.int64) - work["span"], work["low"].astype(np.int64) + work["left"]
+        many = work["n"] > split
+        times = np.where(many, far - near + 1, 1)
+        which = np.repeat(np.arange(len(work)), times)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        each = many[which]
+        at, doc = at[which], work["doc"][which]
+        far = np.where(each, near[which] + nth, far[which])
+        near = np.where(each, far, near[which])
+        right = text[at[:, None] + WINDOW + np.arange(LENGTH)]
+        left = text[at[:, None] + WINDOW - 1 - np.arange(WINDOW)]
+        with np.errstate(over="ignore"):
+            part = mix((BYTE_CODE[right[:, :GRAM]] * code[:GRAM]).sum(1, dtype=np.uint64))
+            window = np.zeros(len(at), np.uint64)
+            if each.any():
+                inside = np.arange(LENGTH) < (LENGTH - far[each])[:, None]
+                value = (BYTE_CODE[right[each]] * code[:LENGTH] * inside).sum(1, dtype=np.uint64)
+                inside = np.arange(WINDOW) < far[each][:, None]
+                value = value + (BYTE_CODE[left[each]] * code[LENGTH:] * inside).sum(1, dtype=np.uint64)
+                window[each] = mix(mix(value) + far[each].astype(np.uint64)) | np.uint64(1)
+                part[each] = mix(window[each])
+        meta = record(SUFFIX, doc=doc, key=np.full(len(at), key), at=at, near=near, far=far)
+        return right, left, meta, (part % np.uint64(n_parts)).astype(np.int64), window
+
     def run(batches):
         unpack, held, n = zstandard.ZstdDecompressor(), [], 0
-        code = powers(LENGTH + WINDOW, 0xD6E8FEB86659FD93)
         for batch in batches:
-            for key, packed, work in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for key, packed, places_left in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = np.frombuffer(b"\0" * WINDOW + unpack.decompress(packed) + b"\0" * LENGTH, np.uint8)
-                work = np.frombuffer(work, WORK)
-                far, near, at = work["left"].astype(np.int64), work["left"].astype(np.int64) - work["span"], work["low"].astype(np.int64) + work["left"]
-                many = work["n"] > split
-                times = np.where(many, far - near + 1, 1)
-                which = np.repeat(np.arange(len(work)), times)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                each = many[which]
-                at, doc = at[which], work["doc"][which]
-                far = np.where(each, near[which] + nth, far[which])
-                near = np.where(each, far, near[which])
-                right = text[at[:, None] + WINDOW + np.arange(LENGTH)]
-                left = text[at[:, None] + WINDOW - 1 - np.arange(WINDOW)]
-                with np.errstate(over="ignore"):
-                    part = mix((BYTE_CODE[right[:, :GRAM]] * code[:GRAM]).sum(1, dtype=np.uint64))
-                    window = np.zeros(len(at), np.uint64)
-                    if each.any():
-                        inside = np.arange(LENGTH) < (LENGTH - far[each])[:, None]
-                        value = (BYTE_CODE[right[each]] * code[:LENGTH] * inside).sum(1, dtype=np.uint64)
-                        inside = np.arange(WINDOW) < far[each][:, None]
-                        value = value + (BYTE_CODE[left[each]] * code[LENGTH:] * inside).sum(1, dtype=np.uint64)
-                        window[each] = mix(mix(value) + far[each].astype(np.uint64)) | np.uint64(1)
-                        part[each] = mix(window[each])
-                meta = record(SUFFIX, doc=doc, key=np.full(len(at), key), at=at, near=near, far=far)
-                held.append((right, left, meta, (part % np.uint64(n_parts)).astype(np.int64), window))
-                n += len(at)
-                if n >= RUN:
-                    yield emit(held)
-                    held, n = [], 0
+                places_left = np.frombuffer(places_left, WORK)
+                for work in np.split(places_left, range(STEP_PLACES, len(places_left), STEP_PLACES)):
+                    held.append(suffixes(text, key, work))
+                    n += len(held[-1][0])
+                    if n >= RUN:
+                        yield emit(held)
+                        held, n = [], 0
         if n:
             yield emit(held)
 
