@@ -1,4 +1,4 @@
-"""Readers of catalogue, hazard and rupture files, and the stores of forecasts and runs."""
+"""Readers of catalogue, hazard and finite-source files, and the stores of forecasts and runs."""
 
 from __future__ import annotations
 
