@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, steps, table, text_bytes
-from .wordcache import WordCache
+from .wordcache import WordCache, kept
 
 CAPACITY = 4096
 END_ID = 2
@@ -67,17 +67,23 @@ def cut(total: int, capacity: int = CAPACITY, tails: list[int] | None = None) ->
 
 
 #: Stems (words without the marks after them) that a worker keeps before it starts anew.
-MOST_STEMS = 400_000
+MOST_STEMS = 250_000
 MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 WORD_END = "</w>"
+LATIN = "\xff"
 
 
 def stem_of(word: str) -> str:
-    """A word without the ASCII marks after its last ASCII letter or digit, lower-cased: what the tokenizer takes by itself. Special tokens stay as they are."""
-    if "<|" in word:
+    """A word without the ASCII marks after its last letter or digit, lower-cased: what the tokenizer takes by itself. Special tokens, and words beyond Latin-1, stay as they are."""
+    if "<|" in word or max(word) > LATIN:
         return word
     stem = word.rstrip(MARKS)
-    return stem.lower() if stem and stem[-1:].isascii() and word.isascii() else word
+    return stem.lower() if stem and (stem[-1].isalpha() or stem[-1] in "0123456789") else word
+
+
+def is_plain(stem: str) -> bool:
+    """One run of letters, which is one word to the tokenizer."""
+    return stem.isalpha() and max(stem) <= LATIN
 
 
 def word_encoder(vocabulary: str):
@@ -90,7 +96,7 @@ def word_encoder(vocabulary: str):
     ends = {i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)}
 
     def learn(stems: list[str]) -> None:
-        plain = [s for s in stems if s.isascii() and s.isalpha()]
+        plain = [s for s in stems if is_plain(s)]
         for a in range(0, len(plain), 1000):
             part, run = iter(plain[a : a + 1000]), []
             for i in tokenizer.encode(" ".join(plain[a : a + 1000]), add_special_tokens=False).ids:
@@ -98,7 +104,7 @@ def word_encoder(vocabulary: str):
                 if i in ends:
                     known[next(part)] = run
                     run = []
-        rest = [s for s in stems if not (s.isascii() and s.isalpha())]
+        rest = [s for s in stems if not is_plain(s)]
         known.update(zip(rest, (x.ids for x in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_many(words: list[bytes]) -> list[list[int]]:
@@ -140,7 +146,8 @@ def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPAC
     """First step: PIECE rows; those of unfinished bins have no sequence, and always their ids."""
 
     def run(batches):
-        cache, tails, bins, made, rows = WordCache(word_encoder(vocabulary)), tail_classes(capacity), {}, 0, []
+        cache = kept(("words", vocabulary), lambda: WordCache(word_encoder(vocabulary)))
+        tails, bins, made, rows = tail_classes(capacity), {}, 0, []
         first = TaskContext.get().partitionId() << 32
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

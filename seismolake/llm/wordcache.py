@@ -7,7 +7,19 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Words that a worker keeps before it starts anew; bounds its memory.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """What make gives, kept by the worker for its next tasks: the few compiled models and bounded caches of words that texts share."""
+    if key not in _kept:
+        if len(_kept) >= 4:
+            _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 class WordCache:
