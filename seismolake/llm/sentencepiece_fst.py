@@ -25,14 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import steps, table, text_bytes
 from .packing import vocabulary_path
-from .wordcache import WordCache
+from .wordcache import WordCache, kept
 
 MODEL = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Agreeing pairs that a worker remembers before it starts anew.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 300_000
+#: Parts of segments, and segments, that it remembers.
+MOST_PARTS = 400_000
+MOST_SEGMENTS = 400_000
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -93,9 +96,9 @@ class Transducer:
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown_cost = 10.0 - lowest
         self.size, self.agreeing = len(self.out), {}
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+        self.parts: dict[str, list[int]] = {}
+        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.starts = {p[:k] for p in self.pieces for k in range(2, len(p) + 1)}
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by score, the leftmost of equal scores first."""
@@ -123,32 +126,34 @@ class Transducer:
 
     def agreeing_path(self, segment: str) -> list[str]:
         """The one path of finite weight: longest pieces first. A place that led nowhere is not tried again, as the way to each place is unique."""
-        n, pieces, reach = len(segment), self.pieces, self.reach
-        out, ids, dead = [], [], set()
-        at, end = 0, min(n, reach.get(segment[:2], 1))
+        n, pieces, starts = len(segment), self.pieces, self.starts
+        out, ids, dead, choices = [], [], set(), []
+        at = 0
         while at < n:
+            if len(choices) == len(out):
+                end, found = at + 1, [at + 1]
+                while end < n and segment[at : end + 1] in starts:
+                    end += 1
+                    if segment[at:end] in pieces:
+                        found.append(end)
+                choices.append(found)
             left, left_id = (out[-1], ids[-1]) if out else ("", -2)
-            while end > at:
-                if end not in dead:
-                    piece = segment[at:end]
-                    known = pieces.get(piece)
-                    if known is not None:
-                        # a neighbour without a piece merges with nothing, so the right one stands by itself
-                        if self.agree("" if left_id == -1 else left, -2 if left_id == -1 else left_id, piece, known[0]):
-                            out.append(piece)
-                            ids.append(known[0])
-                            break
-                    elif end == at + 1:
-                        out.append(piece)
-                        ids.append(-1)
-                        break
-                end -= 1
-            if end > at:
-                at = end
-                end = min(n, at + reach.get(segment[at : at + 2], 1))
+            found = choices[-1]
+            while found:
+                end = found.pop()
+                if end in dead:
+                    continue
+                piece = segment[at:end]
+                known = pieces.get(piece)
+                # a neighbour without a piece merges with nothing, so the right one stands by itself
+                if known is None or self.agree("" if left_id == -1 else left, -2 if left_id == -1 else left_id, piece, known[0]):
+                    out.append(piece)
+                    ids.append(-1 if known is None else known[0])
+                    at = end
+                    break
             else:
                 dead.add(at)
-                end = at - 1
+                choices.pop()
                 ids.pop()
                 at -= len(out.pop())
         return out
@@ -176,6 +181,23 @@ class Transducer:
         return out[::-1]
 
     def ids(self, segment: str) -> list[int]:
+        """A segment's ids. Where two characters stand next to each other in no piece, the lattice falls into parts for certain; parts are remembered."""
+        inside, out, start = self.inside, [], 0
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in inside:
+                out += self.part_ids(segment[start:k])
+                start = k
+        return out + self.part_ids(segment[start:]) if out else self.part_ids(segment)
+
+    def part_ids(self, part: str) -> list[int]:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= MOST_PARTS:
+                self.parts.clear()
+            got = self.parts[part] = self.path_ids(part)
+        return got
+
+    def path_ids(self, segment: str) -> list[int]:
         out = []
         for piece in self.path(segment):
             known = self.pieces.get(piece)
@@ -217,16 +239,18 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs with ids (little-endian unsigned 32-bit) and n_fallback, the number of byte pieces. model: a path that tasks can open."""
-    docs = docs.drop("ids", "n_fallback")
+def encode(docs: DataFrame, model: str, text: str = "text", round_trip: bool = False) -> DataFrame:
+    """docs with ids (little-endian unsigned 32-bit) and n_fallback, the number of byte pieces; with round_trip also decoded, the text of the ids, from the same pass.
+    model: a path that tasks can open."""
+    more = ["ids", "n_fallback", *["decoded"] * round_trip]
+    docs = docs.drop(*more)
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids binary, n_fallback long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids binary, n_fallback long" + ", decoded string" * round_trip])
 
     def run(batches):
-        machine = Transducer(model_bytes(model))
+        machine = kept(("transducer", model), lambda: Transducer(model_bytes(model)))
         low, high = machine.bytes_from, machine.bytes_from + 256
-        cache = WordCache(lambda words: [machine.ids_of_key(w) for w in words])
+        cache = kept(("segments", model), lambda: WordCache(lambda words: [machine.ids_of_key(w) for w in words], MOST_SEGMENTS))
         for batch in batches:
             data, ends = text_bytes(batch.column(names.index(text)))
             raw = memoryview(data)
@@ -240,8 +264,10 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 fallback = np.concatenate([[0], np.cumsum((ids >= low) & (ids < high) & (low >= 0))])
                 packed = ids.astype("<u4").tobytes()
                 own = [packed[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary()), pa.array(np.diff(fallback[bounds]), pa.int64())], names=[*names, "ids", "n_fallback"])
+                columns = [*batch.slice(a, b - a).columns, pa.array(own, pa.binary()), pa.array(np.diff(fallback[bounds]), pa.int64())]
+                if round_trip:
+                    columns.append(pa.array([machine.decode(ids[x:y].tolist()).decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *more])
 
     return docs.mapInArrow(run, schema)
 
@@ -253,7 +279,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded string"])
 
     def run(batches):
-        machine = Transducer(model_bytes(model))
+        machine = kept(("transducer", model), lambda: Transducer(model_bytes(model)))
         for batch in batches:
             texts = [machine.decode(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace") for x in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
@@ -263,7 +289,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary_path(MODEL)
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, round_trip=True)
     whole = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE_MARK), F.lit(" "))
     return rows.select(
         "doc_id",
