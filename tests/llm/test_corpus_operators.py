@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from seismolake.llm import components as components_module
 from seismolake.llm import embedding_pivots, ngram_join, packing, sentencepiece_fst, suffix_dedup
 from seismolake.llm.components import components
 
@@ -51,12 +52,14 @@ def groups(links, nodes):
     return {i: find(i) for i in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1, 1_000_000])
+def test_components(spark, at_once, monkeypatch):
+    monkeypatch.setattr(components_module, "GATHER", at_once)
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = groups(edges, {x for e in edges for x in e})
-    assert all(got.get(k, k) == v for k, v in want.items())
+    want = groups(edges, {x for e in edges if e[0] != e[1] for x in e})
+    assert all(got.get(k, k) == v for k, v in want.items()) and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
