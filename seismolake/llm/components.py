@@ -59,10 +59,6 @@ def components(edges: DataFrame) -> DataFrame:
     contracted again. Odd rounds hook to the smallest neighbour, which ends stars; even rounds to that of least hash, so long chains of rising nodes end too. Edges and groups stay distributed.
     """
     edges = contracted(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if edges.count() <= GATHER:  # as much as a task contracts at once, so one task ends it
-        edges = contracted(edges.repartition(1))
-        roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = nodes.select("node", F.col("node").alias("group"))
     turn = 0
