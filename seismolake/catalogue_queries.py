@@ -228,6 +228,8 @@ def consecutive_runs(spark, d):
 
 
 GAP = 600_000_000
+#: Pairs of an hour, so that sparse catalogues have pairs too.
+PAIR_WINDOW = 6 * GAP
 
 
 @query(f"""
@@ -239,10 +241,10 @@ def gap_blocks(spark, d):
 
 @query(f"""
 SELECT a.event_id AS a, b.event_id AS b, round(2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 6) AS km
-FROM seis a JOIN seis b ON a.event_id < b.event_id AND a.lane <> b.lane AND abs(a.t_us - b.t_us) <= {GAP}
+FROM seis a JOIN seis b ON a.event_id < b.event_id AND a.lane <> b.lane AND abs(a.t_us - b.t_us) <= {PAIR_WINDOW}
 WHERE 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 100""")
 def assoc_pairs(spark, d):
-    return rounded(Q.association_pairs(catalogue(spark, d), GAP, 100.0))
+    return rounded(Q.association_pairs(catalogue(spark, d), PAIR_WINDOW, 100.0))
 
 
 @query()
@@ -646,7 +648,7 @@ def area_skill_null(spark, d):
 
 @query()
 def aftershock_cascades(spark, d):
-    parents = C.at_least(catalogue(spark, d), 5.5).select("event_id", F.lit(0.0).alias("t_days"), "mag")
+    parents = C.at_least(catalogue(spark, d), 4.0).select("event_id", F.lit(0.0).alias("t_days"), "mag")
     return T.cascade(spark, parents, 50, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, 3, 9)
 
 
