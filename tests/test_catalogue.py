@@ -125,3 +125,36 @@ def test_streaming_feed(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.lane, r.n, r.largest) for r in spark.sql("SELECT * FROM counts").collect()} == {("x", 3, 2.0), ("y", 1, 5.0)}
+
+
+def test_association_without_gaps_runs_in_blocks(spark, monkeypatch):
+    rows = [(i, (i * 37 % 4000) * 20, "abcd"[i * 7 % 4], (i * 13 % 29) / 10, (i * 17 % 31) / 10) for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, t_us long, lane string, lat double, lon double")
+    clusters, want = [], {}
+    for i, t, lane, lat, lon in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        near = []
+        for k, c in enumerate(clusters):
+            if c[0][1] >= t - 600 and all(m[2] != lane for m in c):
+                near += [(t - m[1], k) for m in c if Q._km(*(spark_row(x) for x in ((lat, lon), m[3:]))) <= 100]
+        if near:
+            clusters[min(near)[1]].append((i, t, lane, lat, lon))
+        else:
+            clusters.append([(i, t, lane, lat, lon)])
+        want[i] = clusters[min(near)[1] if near else -1][0][0]
+    sizes, held = [], Q.written
+
+    def seen(d, name):
+        out = held(d, name)
+        if "cluster" in out.columns:
+            sizes.extend(r["count"] for r in out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(Q, "written", seen)
+    for windows in (1, 12):
+        sizes.clear()
+        assert {r.event_id: r.cluster for r in Q.associate(df, 600, 100.0, windows).collect()} == want
+        assert max(sizes) <= 30 * windows and len(set(want.values())) < 1500
+
+
+def spark_row(place):
+    return type("Place", (), {"lat": place[0], "lon": place[1]})
