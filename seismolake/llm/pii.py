@@ -104,8 +104,9 @@ def disclosing_terms(docs: DataFrame, text: str = "text", alpha: float = ALPHA,
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     own = said.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     own = own.filter(F.col("n_entity") >= support)
-    all_terms = docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.agg(F.count("*").alias("n_docs"))
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("body")).distinct()
+    all_terms = texts.select(F.explode(terms_of(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")).distinct().agg(F.count("*").alias("n_docs"))
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
     pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     found = together.join(own, "entity").join(all_terms, "term").crossJoin(F.broadcast(n)).withColumn("ic", ic).withColumn("pmi", pmi)

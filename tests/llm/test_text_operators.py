@@ -113,6 +113,16 @@ def test_pii_terms_that_disclose_are_taken_out(spark, monkeypatch):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def test_pii_copies_hide_no_disclosing_term(spark):
+    rows = [(i, f"patient zorblax writes from place{'abc'[i]} me@home.org") for i in range(3) for _ in range(40)]
+    rows += [(100 + i, f"patient writes letters from here {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = df.dropDuplicates(["text"])
+    found = [{(r.entity, r.term, round(r.ic, 9), round(r.pmi, 9)) for r in pii.disclosing_terms(pii.base_spans(d)).collect()} for d in (df, one)]
+    assert found[0] == found[1] and "zorblax" in {r[1] for r in found[0]}
+    assert all("zorblax" not in r.sanitised for r in pii.sanitise(df).filter("doc_id < 3").collect())
+
+
 def brute_license(text):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
