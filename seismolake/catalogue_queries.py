@@ -175,7 +175,7 @@ def b_value_stability(spark, d):
         FROM seis a JOIN seis b ON b.t_us < a.t_us AND b.t_us >= a.t_us - 86400000000 AND b.mag >= 4.5 GROUP BY 1)
 SELECT event_id, round(greatest(2.6, raised), 6) AS mc FROM seis LEFT JOIN p USING (event_id)""")
 def stai_mc_current(spark, d):
-    return rounded(C.stai_current(catalogue(spark, d), 2.6, DAY_US, 4.5))
+    return rounded(C.stai_current(catalogue(spark, d), 2.6))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 
 import duckdb
 import pytest
@@ -158,3 +159,13 @@ def test_association_without_gaps_runs_in_blocks(spark, monkeypatch):
 
 def spark_row(place):
     return type("Place", (), {"lat": place[0], "lon": place[1]})
+
+
+def test_completeness_takes_each_triggers_own_time(spark):
+    rows = [(1, 0, 8.0), (2, 3 * E.DAY_US, 3.0), (3, 40 * E.DAY_US, 4.4), (4, 40 * E.DAY_US + 10_000_000, 3.0), (5, 40 * E.DAY_US + 60_000_000, 2.5)]
+    rows += [(10 + i, 60 * E.DAY_US + i * i * 977_777, 2.3 + i * 37 % 61 / 10) for i in range(300)]
+    got = {r.event_id: r.mc for r in C.stai_current(spark.createDataFrame(rows, "event_id long, t_us long, mag double"), 2.6).collect()}
+    for i, t, _ in rows:
+        want = max([2.6, *(min(m, m - 4.5 - 0.75 * math.log10((t - s) / 8.64e10)) for _, s, m in rows if s < t)])
+        assert abs(got[i] - want) < 1e-9, i
+    assert got[2] > 3.1 and got[4] > 2.8 and got[5] == 2.6
