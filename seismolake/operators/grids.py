@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
+from ..plans.shared import written
 
 #: A lattice: west, south, cell size, columns, rows.
 LATTICE = (80.0, 26.0, 0.5, 18, 9)
@@ -94,15 +95,27 @@ def bilinear(points: DataFrame, field: DataFrame, spec: tuple = LATTICE) -> Data
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, reach: int, spec: tuple = LATTICE) -> DataFrame:
-    """The nearest of sites (site_id, s_lon, s_lat) by squared degrees among those in cells within reach; the first id of equal ones."""
+    """The nearest of all sites (site_id, s_lon, s_lat) by squared degrees; the first id of equal ones. Points look in the cells within reach, and take what is nearer than these cells'
+    edge; those that find no such site look again in cells twice as large, until none is left. Points have no row only if there is no site, or they have no place."""
     west, south, size, _, _ = spec
-    a = located(points, spec).select("event_id", "lon", "lat", "ix", "iy")
-    cell = sites.select("*", S.cell_index("s_lon", west, size).alias("jx"), S.cell_index("s_lat", south, size).alias("jy"))
+    known = lambda *c: F.greatest(*(F.abs(x) for x in c)) < F.lit(1e9)
+    left = points.filter(known("lon", "lat")).filter("lon IS NOT NULL AND lat IS NOT NULL").select("event_id", "lon", "lat")
+    sites = written(sites.filter(known("s_lon", "s_lat")).filter("s_lon IS NOT NULL AND s_lat IS NOT NULL").select("site_id", "s_lon", "s_lat"), "sites")
     span = F.sequence(F.lit(-reach), F.lit(reach))
-    cell = cell.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumns({"ix": F.col("jx") + F.col("dx"), "iy": F.col("jy") + F.col("dy")})
     d2 = F.pow(F.col("lon") - F.col("s_lon"), F.lit(2)) + F.pow(F.col("lat") - F.col("s_lat"), F.lit(2))
-    best = a.join(cell, ["ix", "iy"]).groupBy("event_id").agg(F.min(F.struct(F.round(d2, 9).alias("d2"), "site_id")).alias("b"))
-    return best.select("event_id", F.col("b.site_id").alias("site_id"), F.col("b.d2").alias("d2"))
+    out = None
+    while True:
+        near = sites.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
+        near = near.withColumns({"ix": S.cell_index("s_lon", west, size) + F.col("dx"), "iy": S.cell_index("s_lat", south, size) + F.col("dy")})
+        cells = left.withColumns({"ix": S.cell_index("lon", west, size), "iy": S.cell_index("lat", south, size)})
+        best = cells.join(near, ["ix", "iy"]).groupBy("event_id").agg(F.min(F.struct(F.round(d2, 9).alias("d2"), "site_id")).alias("b"))
+        best = best.select("event_id", F.col("b.site_id").alias("site_id"), F.col("b.d2").alias("d2")).filter(F.col("d2") < F.lit((reach * size) ** 2 * (1 - 1e-6)))
+        best = written(best, "nearest")
+        out = best if out is None else out.unionByName(best)
+        left = written(left.join(best, "event_id", "left_anti"), "nearest")
+        if sites.isEmpty() or left.isEmpty():
+            return out
+        size *= 2
 
 
 def recent_large_alarm(triggers: DataFrame, cells: DataFrame, least: float, slope: float, radius_km: float, size: float = LATTICE[2]) -> DataFrame:

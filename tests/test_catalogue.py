@@ -169,3 +169,11 @@ def test_completeness_takes_each_triggers_own_time(spark):
         want = max([2.6, *(min(m, m - 4.5 - 0.75 * math.log10((t - s) / 8.64e10)) for _, s, m in rows if s < t)])
         assert abs(got[i] - want) < 1e-9, i
     assert got[2] > 3.1 and got[4] > 2.8 and got[5] == 2.6
+
+
+def test_every_point_has_its_nearest_site(spark):
+    sites = [(1, 80.1, 26.1), (2, 88.7, 30.3), (3, 84.0, 29.0), (4, 84.0, 29.0), (5, 200.0, -70.0)]
+    points = [(i, 80 + i * 37 % 90 / 10, 26 + i * 53 % 45 / 10) for i in range(200)] + [(900, -170.0, 80.0), (901, 81.4, 27.4)]
+    got = G.nearest_site(spark.createDataFrame(points, "event_id long, lon double, lat double"), spark.createDataFrame(sites, "site_id long, s_lon double, s_lat double"), 2)
+    want = {i: min((round((x - a) ** 2 + (y - b) ** 2, 9), s) for s, a, b in sites)[1] for i, x, y in points}
+    assert {r.event_id: r.site_id for r in got.collect()} == want
