@@ -571,7 +571,7 @@ def ladder_probabilities(spark, d):
     return rounded(M.ladder(M.productivity_prior(spark, -1.67, 0.5), 6.5, 0.91, [4.0, 5.0, 6.0], 0.05, 1.08, 0.01, 30.0))
 
 
-ETAS = {"mu": 20.0, "k": 0.02, "alpha": 1.2, "c_days": 0.01, "p": 1.1, "mc": 4.0, "reach_us": DAY_US}
+ETAS = {"mu": 20.0, "k": 0.02, "alpha": 1.2, "c_days": 0.01, "p": 1.1, "mc": 4.0}
 
 
 @query(f"""

@@ -36,21 +36,40 @@ def ladder(posterior: DataFrame, main: float, b: float, thresholds: list[float],
     return rows.groupBy("threshold").agg(F.sum(F.col("p") * rate).alias("expected"), F.sum(F.col("p") * (F.lit(1.0) - F.exp(-rate))).alias("probability"))
 
 
-def etas_rates(events: DataFrame, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float, reach_us: int) -> DataFrame:
-    """Conditional rate at each event: the background plus what strictly earlier events within reach trigger (Omori in time, exponential in magnitude)."""
-    side = events.select("event_id", "t_us", "mag")
-    pairs = time_blocks.interval_pairs(side.select("event_id", "t_us"), side, "t_us", reach_us).filter("t_us_r < t_us_l")
-    days = (F.col("t_us_l") - F.col("t_us_r")) / F.lit(8.64e10)
-    part = F.lit(k) * F.exp(F.lit(alpha) * (F.col("mag_r") - F.lit(mc))) * F.pow(days + F.lit(c_days), F.lit(-p))
-    sums = pairs.groupBy(F.col("event_id_l").alias("event_id")).agg(F.sum(part).alias("triggered"))
-    return side.join(sums, "event_id", "left").withColumn("rate", F.lit(mu) + F.coalesce("triggered", F.lit(0.0)))
-
-
-def etas_log_likelihood(events: DataFrame, end_us: int, days: float, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float, reach_us: int) -> DataFrame:
-    """Sum of log rates, less the integrals of the background and of every event's own triggering up to the end (and the reach)."""
-    left = F.least(F.lit(end_us) - F.col("t_us"), F.lit(reach_us)) / F.lit(8.64e10)
+#: Cells of time whose sources act as one on later events, and how many cells back sources act one by one.
+CELL_US, NEAR_CELLS, ORDER = 5_400_000_000, 16, 8
+
+
+def etas_rates(events: DataFrame, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float) -> DataFrame:
+    """Conditional rate at each event: the background plus what all strictly earlier events trigger (Omori in time, exponential in magnitude).
+
+    Sources of the last NEAR_CELLS cells (a day) act one by one. Those of an older cell act through the sums of weight x^j, x being the time from the cell's middle, as
+    (D + c - x)^-p = sum over j of (p)_j / j! x^j (D + c)^(-p - j), D being the time since the middle. As x is below a 33rd of D, ending at j = 8 leaves out less than 1e-13 of a source's rate for p below 2.
+    """
+    days = lambda us: us / F.lit(8.64e10)
+    side = events.select("event_id", "t_us", "mag", F.floor(F.col("t_us") / F.lit(CELL_US)).cast("long").alias("at"))
+    weight = lambda mag: F.lit(k) * F.exp(F.lit(alpha) * (F.col(mag) - F.lit(mc)))
+    pairs = time_blocks.interval_pairs(side.select("event_id", "t_us", "at"), side.select("t_us", "mag", "at"), "t_us", (NEAR_CELLS + 1) * CELL_US)
+    pairs = pairs.filter(f"t_us_r < t_us_l AND at_l - at_r <= {NEAR_CELLS}")
+    near = pairs.select(F.col("event_id_l").alias("event_id"), (weight("mag_r") * F.pow(days(F.col("t_us_l") - F.col("t_us_r")) + F.lit(c_days), F.lit(-p))).alias("part"))
+    middle = F.col("at") * F.lit(CELL_US) + F.lit(CELL_US // 2)
+    x = days(F.col("t_us") - middle)
+    cells = side.groupBy(F.col("at").alias("old")).agg(*(F.sum(weight("mag") * F.pow(x, F.lit(float(j)))).alias(f"s{j}") for j in range(ORDER + 1)))
+    since = days(F.col("t_us") - F.col("old") * F.lit(CELL_US) - F.lit(CELL_US // 2)) + F.lit(c_days)
+    series, factor = F.lit(0.0), 1.0
+    for j in range(ORDER + 1):
+        series = series + F.lit(factor) * F.col(f"s{j}") * F.pow(since, F.lit(-p - j))
+        factor *= (p + j) / (j + 1)
+    far = side.join(F.broadcast(cells), F.col("old") < F.col("at") - F.lit(NEAR_CELLS)).select("event_id", series.alias("part"))
+    sums = near.unionByName(far).groupBy("event_id").agg(F.sum("part").alias("triggered"))
+    return side.drop("at").join(sums, "event_id", "left").withColumn("rate", F.lit(mu) + F.coalesce("triggered", F.lit(0.0)))
+
+
+def etas_log_likelihood(events: DataFrame, end_us: int, days: float, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float) -> DataFrame:
+    """Sum of log rates, less the integrals of the background and of every event's own triggering up to the end."""
+    left = (F.lit(end_us) - F.col("t_us")) / F.lit(8.64e10)
     mass = F.lit(k) * F.exp(F.lit(alpha) * (F.col("mag") - F.lit(mc))) * S.omori_integral(c_days, p, F.lit(0.0), left)
-    rows = etas_rates(events, mu, k, alpha, c_days, p, mc, reach_us)
+    rows = etas_rates(events, mu, k, alpha, c_days, p, mc)
     return rows.agg(F.count("*").alias("n"), F.sum(F.log("rate")).alias("log_rates"), (F.lit(mu * days) + F.sum(mass)).alias("integral")).withColumn("ll", F.col("log_rates") - F.col("integral"))
 
 

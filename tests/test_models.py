@@ -90,3 +90,13 @@ def test_upsert_and_sessions(spark, tmp_path):
     assert {(r.id, r.value) for r in spark.read.parquet(str(tmp_path / "t" / "1")).collect()} == {("a", 9.0), ("b", 2.0), ("c", 3.0)}
     blocks = feed.session_blocks(spark.read.parquet(str(tmp_path / "in")), "ts", "16 seconds", "1 minute", "lane").collect()
     assert sorted(r.n for r in blocks) == [1, 3]
+
+
+def test_etas_takes_all_earlier_sources(spark):
+    day = 86_400_000_000
+    rows = [(i, i * i * 30_000_000_000 % (30 * day), 4.0 + i * 7 % 20 / 10) for i in range(150)]
+    r = M.etas_log_likelihood(spark.createDataFrame(rows, "event_id long, t_us long, mag double"), 30 * day, 30.0, 20.0, 0.02, 1.2, 0.01, 1.1, 4.0).first()
+    part = lambda t, s, m: 0.02 * math.exp(1.2 * (m - 4)) * ((t - s) / day + 0.01) ** -1.1
+    logs = sum(math.log(20 + sum(part(t, s, m) for _, s, m in rows if s < t)) for _, t, _ in rows)
+    mass = sum(0.02 * math.exp(1.2 * (m - 4)) * (((30 * day - s) / day + 0.01) ** -0.1 - 0.01**-0.1) / -0.1 for _, s, m in rows)
+    assert abs(r.log_rates - logs) < 1e-8 and abs(r.integral - 600 - mass) < 1e-8 and r.n == 150
