@@ -649,7 +649,7 @@ def area_skill_null(spark, d):
 @query()
 def aftershock_cascades(spark, d):
     parents = C.at_least(catalogue(spark, d), 4.0).select("event_id", F.lit(0.0).alias("t_days"), "mag")
-    return T.cascade(spark, parents, 50, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, 3, 9)
+    return T.cascade(spark, parents, 50, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, None, 9)
 
 
 @query()

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """In (0, 1), from a hash."""
@@ -14,8 +16,17 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def poisson(rate: Column, u: Column, most: int = 60) -> Column:
-    """Poisson counts by inversion, for rates small enough that `most` is never reached in practice."""
+#: The largest rate that one draw is made for. A Poisson count of this rate is above MOST with a chance below 1e-30, far below what a uniform number of 53 bits tells.
+PIECE, MOST = 20.0, 100
+
+
+def pieces(rate: Column) -> Column:
+    """Numbers 1 .. n of the pieces of at most PIECE that a rate is cut into; the sum of the pieces' counts is the rate's count."""
+    return F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.ceil(rate / F.lit(PIECE))).cast("long"))
+
+
+def piece_count(rate: Column, u: Column) -> Column:
+    """Poisson count of a rate of at most PIECE by inversion."""
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
 
     def step(a: Column, k: Column) -> Column:
@@ -23,7 +34,25 @@ def poisson(rate: Column, u: Column, most: int = 60) -> Column:
         more = u > a["cdf"]
         return F.struct(F.when(more, p).otherwise(a["p"]).alias("p"), F.when(more, a["cdf"] + p).otherwise(a["cdf"]).alias("cdf"), F.when(more, k).otherwise(a["n"]).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda a: a["n"])
+
+
+def piece_draw(rate: Column, u: Column, piece: Column) -> Column:
+    """Count of one of a rate's pieces; the first draws by u, the others by hashes of it."""
+    n = F.size(pieces(rate))
+    return piece_count(rate / n, F.when(piece == 1, u).otherwise(uniform(0, u, piece)))
+
+
+def poisson(rate: Column, u: Column) -> Column:
+    """Poisson counts of any rate."""
+    return F.aggregate(F.transform(pieces(rate), lambda i: piece_draw(rate, u, i).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n).cast("int")
+
+
+def drawn(rows: DataFrame, rate: Column, u: Column, number: str) -> DataFrame:
+    """rows once for every event of their Poisson count, with number 1, 2, ... (with gaps from one piece of the rate to the next). Pieces are rows, so no row holds a large count."""
+    cut = rows.withColumns({"_rate": rate, "_u": u}).withColumn("_piece", F.explode(pieces(F.col("_rate"))))
+    cut = cut.withColumn("_n", piece_draw(F.col("_rate"), F.col("_u"), F.col("_piece"))).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return cut.withColumn(number, (F.col("_piece") - 1) * F.lit(MOST) + F.col("_i")).drop("_rate", "_u", "_piece", "_n", "_i")
 
 
 def normal(u: Column, v: Column) -> Column:
@@ -41,8 +70,7 @@ def event_set(grid: DataFrame, catalogues: int, scale: float, b: float, size: fl
     """grid (cell_ix, lon0, lat0, m0, rate): synthetic events of `catalogues` catalogues, uniform in their cells, each with rate 1 / (catalogues scale)."""
     spark = grid.sparkSession
     draws = grid.join(F.broadcast(spark.range(catalogues).withColumnRenamed("id", "catalogue")))
-    n = poisson(F.col("rate") * F.lit(scale), uniform(seed, "catalogue", "cell_ix", "m0"))
-    rows = draws.withColumn("n", n).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = drawn(draws, F.col("rate") * F.lit(scale), uniform(seed, "catalogue", "cell_ix", "m0"), "k")
     u = lambda i: uniform(seed + i, "catalogue", "cell_ix", "m0", "k")
     return rows.select(
         "catalogue", "cell_ix", "k",
@@ -73,18 +101,28 @@ def area_skill_null(groups: DataFrame, targets: int, simulations: int, seed: int
     return hit.groupBy("sim").agg(F.avg(F.lit(1.0) - F.col("high") + F.col("own") / 2).alias("area"))
 
 
-def cascade(spark: SparkSession, parents: DataFrame, simulations: int, k: float, alpha: float, c_days: float, p: float, b: float, mc: float, days: float, generations: int, seed: int) -> DataFrame:
-    """Branching simulation, a generation at a time over all simulations: sim, generation, t_days, mag. parents (event_id, t_days, mag) start each simulation; times end at `days`."""
+def cascade(
+    spark: SparkSession, parents: DataFrame, simulations: int, k: float, alpha: float, c_days: float, p: float, b: float, mc: float, days: float, generations: int | None, seed: int
+) -> DataFrame:
+    """Branching simulation, a generation at a time over all simulations: sim, generation, t_days, mag. parents (event_id, t_days, mag) start each simulation; times end at `days`.
+    Without a number of generations it goes on until none is born, which needs a branching ratio below 1."""
+    whole, beta = k * c_days ** (1 - p) / (p - 1), b * math.log(10)
+    if generations is None and (alpha >= beta or whole * beta / (beta - alpha) >= 1):
+        raise ValueError("the branching ratio isn't below 1")
     now = parents.join(F.broadcast(spark.range(simulations).withColumnRenamed("id", "sim"))).select("sim", F.col("event_id").alias("id"), "t_days", "mag")
-    out = None
-    for g in range(1, generations + 1):
+    out, g = None, 0
+    while generations is None or g < generations:
+        g += 1
         mean = F.lit(k) * F.exp(F.lit(alpha) * (F.col("mag") - F.lit(mc))) * F.lit(c_days ** (1 - p) / (p - 1))
         u = lambda i, g=g: uniform(seed + 10 * g + i, "sim", "id", "child")
-        n = poisson(F.least(mean, F.lit(20.0)), uniform(seed + 10 * g, "sim", "id"))
-        born = now.withColumn("n", n).filter("n > 0").withColumn("child", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        born = drawn(now, mean, uniform(seed + 10 * g, "sim", "id"), "child")
         wait = F.lit(c_days) * (F.pow(F.lit(1.0) - u(1), F.lit(1 / (1 - p))) - F.lit(1.0))
         now = born.select("sim", F.xxhash64("id", "child").alias("id"), (F.col("t_days") + wait).alias("t_days"), (F.lit(mc) - F.log(F.lit(1.0) - u(2)) / F.lit(b * math.log(10))).alias("mag"))
         now = now.filter(F.col("t_days") < days)
+        if generations is None:
+            now = written(now, "cascade")
         step = now.select("sim", F.lit(g).alias("generation"), "t_days", "mag")
         out = step if out is None else out.unionByName(step)
+        if generations is None and now.isEmpty():
+            break
     return out

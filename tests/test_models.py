@@ -100,3 +100,21 @@ def test_etas_takes_all_earlier_sources(spark):
     logs = sum(math.log(20 + sum(part(t, s, m) for _, s, m in rows if s < t)) for _, t, _ in rows)
     mass = sum(0.02 * math.exp(1.2 * (m - 4)) * (((30 * day - s) / day + 0.01) ** -0.1 - 0.01**-0.1) / -0.1 for _, s, m in rows)
     assert abs(r.log_rates - logs) < 1e-8 and abs(r.integral - 600 - mass) < 1e-8 and r.n == 150
+
+
+def test_counts_of_large_rates_are_not_cut_off(spark):
+    df = spark.range(4000).select("id", T.poisson(F.lit(150.0), T.uniform(3, "id")).alias("n"))
+    r = df.agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(r[0] - 150) < 1 and abs(r[1] - 150) < 15
+    grid = spark.createDataFrame([(0, 80.0, 26.0, 4.5, 150.0)], "cell_ix long, lon0 double, lat0 double, m0 double, rate double")
+    rows = T.event_set(grid, 100, 1.0, 0.9, 0.5, 3.0, 11)
+    assert abs(rows.count() / 100 - 150) < 6 and rows.select("catalogue", "cell_ix", "k").distinct().count() == rows.count()
+
+
+def test_cascades_go_on_until_none_is_born(spark):
+    parents = spark.createDataFrame([(1, 0.0, 9.5)], "event_id long, t_days double, mag double")
+    out = T.cascade(spark, parents, 100, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 1e12, None, 9)
+    sizes = {r.generation: r["count"] for r in out.groupBy("generation").count().collect()}
+    assert max(sizes) > 5 and abs(sizes[1] / 100 / (0.02 * math.exp(5.5) * 0.01**-0.2 / 0.2) - 1) < 0.1
+    with pytest.raises(ValueError, match="branching ratio"):
+        T.cascade(spark, parents, 1, 0.2, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, None, 9)
