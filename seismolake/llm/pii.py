@@ -2,9 +2,11 @@
 
 Four patterns mark e-mail addresses, IP addresses, payment cards and phone numbers. Each marked value is a protected entity.
 Co-occurrence over the corpus then tells how much other terms reveal it: with IC(c) = -log2 p(c) for an entity and
-PMI(c; t) = log2 p(c, t) / (p(c) p(t)) for a term near its mentions, a term that reaches PMI >= IC / ALPHA discloses the entity. In
+PMI(c; t) = log2 p(c, t) / (p(c) p(t)) for a term of the same texts, a term that reaches PMI >= IC / ALPHA discloses the entity. In
 texts that mention the entity such terms are generalised to a placeholder, and removed where PMI reaches IC itself (the term
-alone names the entity). Terms need SUPPORT different texts, so a chance neighbour of a value that stands in one text isn't taken.
+alone names the entity). Terms need SUPPORT different texts, so a chance neighbour of a value that stands in one text isn't taken. Terms are words of
+letters, marks and digits of any length, outside the spans of the patterns. As n_both <= n_entity, PMI >= IC / ALPHA needs n_term <= n_docs (n_entity / n_docs)^(1 / ALPHA); more
+common terms are left out before texts and entities are joined, which changes no result.
 
 Everything runs as DataFrame expressions. Places are code points, ends exclusive. A null text is empty and has no spans.
 Repeated rows are treated one by one and count once as evidence (equal texts are one text). Ties in place are ordered by kind. An empty table
@@ -32,9 +34,8 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 ALPHA = 1.25
 SUPPORT = 3
-#: Code points on either side of a mention whose words are its neighbours.
-REACH = 80
-LEAST_LETTERS = 4
+#: What words are made of.
+LETTER = r"\p{L}\p{M}\p{N}"
 #: More texts with disclosing terms than this are joined by a shuffle instead of a broadcast.
 BROADCAST_TEXTS = 50_000
 LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
@@ -85,38 +86,49 @@ def entity(span: Column) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= LEAST_LETTERS))
+    return F.array_distinct(F.filter(F.split(F.lower(text), rf"[^{LETTER}]+"), lambda w: w != ""))
+
+
+def free_text(text: str) -> Column:
+    """The text without its base spans."""
+    ordered = "array_sort(base, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"
+    step = f"named_struct('at', greatest(a.at, x.end), 'out', concat(a.out, substring({text}, a.at + 1, greatest(x.start - a.at, 0)), ' '))"
+    rest = f"aggregate({ordered}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
+    return F.expr(f"CASE WHEN size(base) > 0 THEN {rest} ELSE coalesce({text}, '') END")
 
 
 def mentions(docs: DataFrame, text: str) -> DataFrame:
-    """text_key, entity and neighbours of each mention."""
-    marked = docs.filter(F.size("base") > 0).select(F.col(text).alias("body"), F.explode("base").alias("span"))
-    left = F.expr(f"substring(body, greatest(span.start - {REACH}, 0) + 1, least({REACH}, span.start))")
-    right = F.expr(f"substring(body, span.end + 1, {REACH})")
-    whole = F.concat_ws(" | ", F.regexp_replace(left, r"^\p{L}+", ""), F.regexp_replace(right, r"\p{L}+$", ""))
-    return marked.select(F.xxhash64("body").alias("text_key"), entity(F.col("span")).alias("entity"), terms_of(whole).alias("near"))
+    """text_key and entity, once for each text and entity."""
+    marked = docs.filter(F.size("base") > 0).select(F.xxhash64(text).alias("text_key"), F.explode("base").alias("span"))
+    return marked.select("text_key", entity(F.col("span")).alias("entity")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """entity, term, ic, pmi, removed for the terms that disclose an entity. docs has base."""
     said = mentions(docs, text)
-    pairs = said.select("text_key", "entity", F.explode("near").alias("term")).distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    own = said.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    own = own.filter(F.col("n_entity") >= support)
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("body")).distinct()
-    all_terms = texts.select(F.explode(terms_of(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")).distinct().agg(F.count("*").alias("n_docs"))
+    own = said.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    said = said.join(own, "entity")
+    key = F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
+    texts = docs.select(key, free_text(text).alias("body")).distinct()
+    n = docs.select(key).distinct().agg(F.count("*").alias("n_docs"))
+    most = lambda c: F.col("n_docs") * F.pow(F.col(c) / F.col("n_docs"), F.lit(1 / alpha)) * F.lit(1 + 1e-9)
+    all_terms = texts.select(F.explode(terms_of(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support)
+    bound = n.crossJoin(F.broadcast(own.agg(F.max("n_entity").alias("n_most"))))
+    all_terms = all_terms.crossJoin(F.broadcast(bound)).filter(F.col("n_term") <= most("n_most"))
+    marked = docs.filter(F.size("base") > 0).select(key, terms_of(free_text(text)).alias("words")).join(said.select("text_key").distinct(), "text_key", "left_semi")
+    words = marked.select("text_key", F.explode("words").alias("term")).join(all_terms, "term").distinct()
+    found = words.join(said, "text_key").filter(F.col("n_term") <= most("n_entity"))
+    found = found.groupBy("entity", "term", "n_entity", "n_term", "n_docs").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
-    pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    found = together.join(own, "entity").join(all_terms, "term").crossJoin(F.broadcast(n)).withColumn("ic", ic).withColumn("pmi", pmi)
+    pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
+    found = found.withColumn("ic", ic).withColumn("pmi", pmi)
     found = found.filter((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
     return found.select("entity", "term", "ic", "pmi", (F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
 
 
 def term_spans(text: str) -> Column:
     """Spans of the terms in `giving` (term, removed), in any case, as whole words and outside the base spans."""
-    gaps = f"split({text}, concat('(?iu)(?<!\\\\p{{L}})', t.term, '(?!\\\\p{{L}})'), -1)"
+    gaps = f"split({text}, concat(r'(?iu)(?<![{LETTER}])', t.term, r'(?![{LETTER}])'), -1)"
     step = f"named_struct('at', a.at + length(g) + length(t.term), 'out', concat(a.out, array(named_struct('kind', IF(t.removed, 'removed', 'term'), 'start', a.at + length(g), 'end', a.at + length(g) + length(t.term), 'value', t.term))))"
     one = f"aggregate({gaps}, named_struct('at', 0, 'out', CAST(array() AS {SPAN})), (a, g) -> {step}, a -> slice(a.out, 1, size(a.out) - 1))"
     free = "s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
@@ -130,7 +142,7 @@ def sanitise(docs: DataFrame, text: str = "text", alpha: float = ALPHA, support:
     giving = disclosing_terms(docs, text, alpha, support)
     by_entity = giving.groupBy("entity").agg(F.collect_set(F.struct("term", "removed")).alias("terms"))
     by_text = (
-        mentions(docs, text).select("text_key", "entity").distinct().join(by_entity, "entity")
+        mentions(docs, text).join(by_entity, "entity")
         .groupBy(F.col("text_key").alias("of_key")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("giving"))
     )
     by_text = checkpoint(by_text)

@@ -123,6 +123,15 @@ def test_pii_copies_hide_no_disclosing_term(spark):
     assert all("zorblax" not in r.sanitised for r in pii.sanitise(df).filter("doc_id < 3").collect())
 
 
+def test_pii_terms_may_be_far_short_and_mixed(spark):
+    far = " ".join(f"filler{i}" for i in range(60))
+    rows = [(i, f"Lee and case77 {'abc'[i]}1x {far} me@home.org") for i in range(3)]
+    rows += [(100 + i, f"{far} writes letters {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.sanitised for r in pii.sanitise(df).collect()}
+    assert all(w not in got[0] for w in ("Lee", "case77", "me@home.org")) and "filler7 " in got[0] and got[100] == rows[3][1]
+
+
 def brute_license(text):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
