@@ -4,16 +4,17 @@ Every byte that a LENGTH-byte string covers which also starts earlier in the cor
 
 1. Each LENGTH-byte window picks the place of its least GRAM-byte hash. Equal windows pick the same place in them, so only
    suffixes that start at picked places need sorting. A place stands for the run of windows that picked it.
-2. Places are dealt by their gram. Places whose runs of windows are byte for byte the same form a class: all but the first are
-   repeats, and only the first goes on. Grams that one class alone has are done. Workers do the same to what they hold
-   before anything is exchanged, so a passage that stands everywhere is no large group.
-3. The suffixes that are left are sorted by a distributed merge sort. Workers sort runs and send them front-coded (what a suffix shares with the
-   one before it isn't sent); the receiver merges the runs with a loser tree that knows the common prefixes and compares no known
-   byte again. Suffixes that share LENGTH - o bytes stand next to each other then, and with equal o bytes to the left they are equal windows.
-   A gram with very many different suffixes is dealt window by window instead of as a whole.
+2. A filter that loses nothing: places whose gram's hash stands nowhere else are done. A worker knows at once that a gram which it holds twice isn't
+   alone, so a passage that stands everywhere sends one record a worker. No byte is removed on account of this step.
+3. All other suffixes are sorted by a distributed merge sort. Workers sort runs, keep the first of suffixes that agree in all bytes with a run's windows (the
+   others are repeats), and send runs front-coded (what a suffix shares with the one before it isn't sent) to the tasks of sorted ranges, whose bounds come from a
+   bounded sample. The receiver merges the runs with a loser tree that knows the common prefixes and compares no known byte again.
+   Suffixes that share LENGTH - o bytes stand next to each other then, and with equal o bytes to the left they are equal windows.
+   A gram before which and after which very many different texts stand is sorted window by window instead of as a whole.
 
 All windows are judged on the input. Documents are ordered by id; a null id is the smallest, a null text is empty. Repeated rows (same id and text) are one
 document: they lose the same bytes, and none on account of each other. Texts under LENGTH bytes lose nothing; longer ones are worked on in pieces of bounded size.
+Columns beside those named are carried through; those that clash with a result's are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,22 +36,27 @@ WINDOW = LENGTH - GRAM + 1
 ORDER_BITS = np.uint64(28)
 FIRST_ID = -(1 << 63)
 #: Places that a worker gathers, and suffixes of a sorted run.
-GATHER = 1_000_000
-RUN = 100_000
+GATHER = 250_000
+RUN = 50_000
 #: Open places of a text that are worked on at once.
-STEP_PLACES = 4000
-#: Least number of different suffixes of one gram for it to be dealt window by window.
+STEP_PLACES = 2000
+#: Bytes of text whose places one group of step 2 filters, and suffixes that one group of step 3 merges, about.
+PART_BYTES = 32 << 20
+MERGE_SUFFIXES = 60_000
+#: The sample of step 3: texts and grams of a text at most, and ranges that it is cut into. More groups than ranges deal a range by hash of the gram.
+SAMPLE_TEXTS, SAMPLE_GRAMS, MOST_RANGES = 1000, 32, 4096
+#: Least number of different surroundings of one gram for it to be sorted window by window.
 SPLIT_LEAST = 256
 
 
-def pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, ends: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, bounds, rows and offsets in their texts, of steps; texts longer than a step come in pieces that overlap by LENGTH - 1 bytes."""
-    for a, b in steps(ends):
-        if b - a > 1 or ends[b] - ends[a] <= 2 * STEP_BYTES:
+    for a, b in steps(ends, step):
+        if b - a > 1 or ends[b] - ends[a] <= 2 * step:
             yield data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], np.arange(a, b), np.zeros(b - a, np.int64)
         else:
-            for at in range(ends[a], ends[b], STEP_BYTES):
-                part = data[at : min(at + STEP_BYTES + LENGTH - 1, ends[b])]
+            for at in range(ends[a], ends[b], step):
+                part = data[at : min(at + step + LENGTH - 1, ends[b])]
                 yield part, np.array([0, len(part)]), np.array([a]), np.array([at - ends[a]])
 
 
@@ -96,9 +102,12 @@ def repeats(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple
 
 
 FOUND = np.dtype([("key", "<i8"), ("low", "<u4"), ("span", "u1")])
-LEFT = np.dtype([("gram", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("low", "<u4"), ("left", "u1"), ("span", "u1")])
-OPEN = np.dtype([("key", "<i8"), ("doc", "<i8"), ("low", "<u4"), ("left", "u1"), ("span", "u1"), ("n", "<u4")])
-WORK = np.dtype([("doc", "<i8"), ("low", "<u4"), ("left", "u1"), ("span", "u1"), ("n", "<u4")])
+#: What step 2 exchanges: six bytes of the gram's hash, four of its run's, and the place; NO_PLACE in span where the place needn't be told.
+PICKED = np.dtype([("gram", "<u4"), ("more", "<u2"), ("run", "<u4"), ("key", "<i8"), ("low", "<u4"), ("left", "u1"), ("span", "u1")])
+NO_PLACE = 255
+SHORT = np.uint64((1 << 48) - 1)
+WORK = np.dtype([("key", "<i8"), ("low", "<u4"), ("left", "u1"), ("span", "u1")])
+HOT = np.dtype([("gram", "<u8"), ("n", "<u4")])
 
 
 def record(dtype: np.dtype, **columns) -> np.ndarray:
@@ -139,148 +148,188 @@ def merged_spans(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
 
 
 def pick(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Step 1 and the workers' part of step 2, for docs (doc, key, text): part with places (LEFT) or with repeats (FOUND)."""
-
-    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        order, new, repeat = repeats([rows["gram"], rows["run"]], rows["doc"], rows["low"])
-        rows = rows[order]
-        gone = rows[repeat]
-        found = record(FOUND, key=gone["key"], low=gone["low"], span=gone["span"])
-        rows = rows[new]
-        own = [(p, d, None) for p, d in dealt((rows["gram"] % np.uint64(n_parts)).astype(np.int64), rows)]
-        yield sent(own + [(p, None, d) for p, d in dealt(found["key"] % n_parts, found)], "left", "found")
+    """Step 1 and the workers' part of step 2, for docs (key, text): part by gram with classes of places (PICKED), or by document with open places (WORK)."""
+    step, gather = STEP_BYTES, GATHER
+
+    def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, run, key, low, left, span = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((run, gram))
+        gram, run, key, low, left, span = (x[order] for x in (gram, run, key, low, left, span))
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        work = record(WORK, key=key[several], low=low[several], left=left[several], span=span[several])
+        span[several] = NO_PLACE
+        own = new | np.r_[True, run[1:] != run[:-1]]
+        gram, run, key, low, left, span = (x[own] for x in (gram, run, key, low, left, span))
+        picked = record(PICKED, gram=gram & np.uint64(0xFFFFFFFF), more=gram >> np.uint64(32), run=run, key=key, low=low, left=left, span=span)
+        out = [(p, d, None) for p, d in dealt((gram % np.uint64(n_parts)).astype(np.int64), picked)]
+        return sent(out + [(p, None, d) for p, d in dealt(work["key"] % n_parts, work)], "picked", "work")
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for data, ends, rows, offset in pieces(*text_bytes(batch.column(2))):
+            keys = batch.column(0).to_numpy()
+            for data, ends, rows, offset in pieces(*text_bytes(batch.column(1)), step):
                 with np.errstate(over="ignore"):
                     gram, run_hash, row, low, high, at = places(data, ends)
-                low_in = low - ends[row] + offset[row]
-                held.append(record(LEFT, gram=gram, run=run_hash, doc=doc[rows[row]], key=key[rows[row]], low=low_in, left=at - low, span=high - low))
+                low_in = (low - ends[row] + offset[row]).astype(np.uint32)
+                held.append((gram & SHORT, run_hash.astype(np.uint32), keys[rows[row]], low_in, (at - low).astype(np.uint8), (high - low).astype(np.uint8)))
                 n += len(gram)
-                if n >= GATHER:
-                    yield from emit(held)
+                if n >= gather:
+                    yield emit(held)
                     held, n = [], 0
         if n:
-            yield from emit(held)
+            yield emit(held)
 
-    return docs.mapInArrow(run, "part int, left binary, found binary")
+    return docs.mapInArrow(run, "part int, picked binary, work binary")
 
 
-def classify(picked: DataFrame, n_parts: int) -> DataFrame:
-    """Step 2: part by document, with repeats (FOUND) and places whose grams have several classes (OPEN)."""
+def open_places(picked: DataFrame, n_parts: int) -> DataFrame:
+    """Step 2: part by document with the places whose grams aren't alone (WORK), and the grams with more than SPLIT_LEAST surroundings (HOT)."""
+    least = SPLIT_LEAST
 
     def run(key, rows):
-        found, left = loaded(rows.column("found"), FOUND), loaded(rows.column("left"), LEFT)
-        order, new, repeat = repeats([left["gram"], left["run"]], left["doc"], left["low"])
-        left = left[order]
-        gone = left[repeat]
-        found = np.concatenate([found, record(FOUND, key=gone["key"], low=gone["low"], span=gone["span"])])
-        left = left[new]
-        gram = np.cumsum(np.r_[True, left["gram"][1:] != left["gram"][:-1]]) - 1 if len(left) else np.zeros(0, np.int64)
-        n = np.bincount(gram)[gram] if len(left) else gram
-        left, n = left[n > 1], n[n > 1]
-        still = record(OPEN, key=left["key"], doc=left["doc"], low=left["low"], left=left["left"], span=left["span"], n=n)
-        out = [(p, d, None) for p, d in dealt(found["key"] % n_parts, found)] + [(p, None, d) for p, d in dealt(still["key"] % n_parts, still)]
-        return pa.Table.from_batches([sent(out, "found", "still")])
+        known = [(key[0].as_py(), x, None) for x in rows.column("work").to_pylist() if x]
+        got = loaded(rows.column("picked"), PICKED)
+        gram = got["gram"].astype(np.uint64) | (got["more"].astype(np.uint64) << np.uint64(32))
+        order = np.lexsort((got["run"], gram))
+        got, gram = got[order], gram[order]
+        new = np.r_[True, gram[1:] != gram[:-1]] if len(gram) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        different = np.bincount(group[new | np.r_[True, got["run"][1:] != got["run"][:-1]]] if len(gram) else group, minlength=int(new.sum()))
+        still = got[(np.bincount(group)[group] > 1) & (got["span"] != NO_PLACE)] if len(gram) else got
+        still = record(WORK, **{c: still[c] for c in WORK.names})
+        hot = record(HOT, gram=gram[new][different > least], n=different[different > least])
+        out = known + [(p, d, None) for p, d in dealt(still["key"] % n_parts, still)] + ([(key[0].as_py(), None, hot.tobytes())] if len(hot) else [])
+        return pa.Table.from_batches([sent(out, "work", "hot")])
+
+    return picked.groupBy("part").applyInArrow(run, "part int, work binary, hot binary")
+
+
+def by_document(still: DataFrame) -> DataFrame:
+    """key, work (WORK of its open places) and n_work; hot grams (HOT) in rows without a key."""
 
-    return picked.groupBy("part").applyInArrow(run, "part int, found binary, still binary")
+    def run(key, rows):
+        hot = [x for x in rows.column("hot").to_pylist() if x]
+        work = loaded(rows.column("work"), WORK)
+        work = work[np.argsort(work["key"], kind="stable")]
+        edge = np.r_[np.flatnonzero(np.r_[True, work["key"][1:] != work["key"][:-1]]), len(work)] if len(work) else np.zeros(1, np.int64)
+        cells = [work[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        keys, none = work["key"][edge[:-1]].tolist(), [None] * len(hot)
+        return pa.table({
+            "key": pa.array(keys + none, pa.int64()), "work": pa.array(cells + none, pa.binary()),
+            "n_work": pa.array(np.diff(edge).tolist() + [0] * len(hot), pa.int64()), "hot": pa.array([None] * len(cells) + hot, pa.binary()),
+        })
 
+    return still.groupBy("part").applyInArrow(run, "key long, work binary, n_work long, hot binary")
 
-def by_document(classified: DataFrame) -> DataFrame:
-    """key, spans (pairs of unsigned 32-bit start and end, merged), work (WORK of its open places) and n_work."""
 
-    def run(key, rows):
-        found, still = loaded(rows.column("found"), FOUND), loaded(rows.column("still"), OPEN)
-        low = found["low"].astype(np.int64)
-        keys, low, high = merged_spans(found["key"], low, low + found["span"] + LENGTH)
-        spans = np.stack([low, high], 1).astype("<u4")
-        still = still[np.argsort(still["key"], kind="stable")]
-        work = record(WORK, **{c: still[c] for c in WORK.names})
-        every = np.union1d(keys, still["key"])
-        cut = lambda values, rows: [rows[a:b].tobytes() or None for a, b in zip(np.searchsorted(values, every), np.searchsorted(values, every, "right"), strict=True)]
-        n = np.searchsorted(still["key"], every, "right") - np.searchsorted(still["key"], every)
-        return pa.table({"key": pa.array(every.astype(np.int64)), "spans": pa.array(cut(keys, spans), pa.binary()), "work": pa.array(cut(still["key"], work), pa.binary()), "n_work": pa.array(n.astype(np.int64))})
+def range_bounds(docs: DataFrame, n_rows: int, n_ranges: int) -> np.ndarray:
+    """Grams that part the sorted suffixes into n_ranges of about equal size, from a bounded sample of docs (key, text)."""
 
-    return classified.groupBy("part").applyInArrow(run, "key long, spans binary, work binary, n_work long")
+    def run(batches):
+        for batch in batches:
+            for data, ends, rows, _ in pieces(*text_bytes(batch.column(0))):
+                with np.errstate(over="ignore"):
+                    gram, _, row, _, _, at = places(data, ends)
+                order = np.lexsort((gram, row))
+                row, at = row[order], at[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                at = at[nth < SAMPLE_GRAMS]
+                yield pa.RecordBatch.from_arrays([pa.array([data[k : k + GRAM].tobytes() for k in at], pa.binary())], names=["gram"])
+
+    few = docs.filter(F.pmod("key", F.lit(max(1, n_rows // SAMPLE_TEXTS))) == 0)
+    sample = np.array(sorted(r[0] for r in few.select("text").mapInArrow(run, "gram binary").collect()), f"S{GRAM}")
+    if not len(sample) or n_ranges < 2:
+        return np.zeros(0, f"S{GRAM}")
+    return np.unique(sample[(np.arange(1, n_ranges) * len(sample)) // n_ranges])
 
 
 SUFFIX = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("near", "u1"), ("far", "u1")])
 
 
-def suffix_runs(rows: DataFrame, n_parts: int, split: int) -> DataFrame:
-    """Step 3, the workers' runs, for rows (key, packed, work): part with a sorted, front-coded run, or with repeats (FOUND).
+def differs(x: np.ndarray) -> np.ndarray:
+    """Is a row unlike the one before?"""
+    out = np.ones(len(x), bool)
+    out[1:] = (x[1:] != x[:-1]).any(1) if x.ndim > 1 else x[1:] != x[:-1]
+    return out
+
+
+def suffix_runs(rows: DataFrame, bounds: np.ndarray, hot: np.ndarray, n_parts: int) -> DataFrame:
+    """Step 3, the workers' runs, for rows (key, doc, packed, work): part with a sorted, front-coded run, or with repeats (FOUND).
 
     A suffix starts at its place and has LENGTH bytes (zeros beyond the text). near and far bound the offsets o of its windows, which start o
-    bytes before the place; the far bytes before it are sent in reverse.
+    bytes before the place; the far bytes before it are sent in reverse. A place with a hot gram is sent window by window, each a suffix of its own.
     """
+    held_bounds, held_hot = (rows.sparkSession.sparkContext.broadcast(x) for x in (bounds, hot))
+    n_ranges = len(bounds) + 1
+    per_range, run_length = -(-n_parts // n_ranges), RUN
 
     def emit(held: list[tuple]) -> pa.RecordBatch:
-        right, left, meta, part, window = (np.concatenate(x) for x in zip(*held, strict=True))
-        alone = np.flatnonzero(window)
-        order, new, repeat = repeats([window[alone]], meta["doc"][alone], meta["at"][alone].astype(np.int64) - meta["far"][alone])
-        gone = meta[alone[order[repeat]]]
-        found = record(FOUND, key=gone["key"], low=gone["at"] - gone["far"], span=np.zeros(len(gone), np.uint8))
-        stays = np.ones(len(meta), bool)
-        stays[alone[order[~new]]] = False
-        right, left, meta, part = right[stays], left[stays], meta[stays], part[stays]
+        right, left, meta, part = (np.concatenate(x) for x in zip(*held, strict=True))
         wide = np.zeros((len(right), -(-LENGTH // 8) * 8), np.uint8)
         wide[:, :LENGTH] = right
         columns = wide.view(">u8")
-        order = np.lexsort((*(columns[:, k] for k in range(columns.shape[1])[::-1]), part))
-        right, left, meta, part = right[order], left[order], meta[order], part[order]
-        differ = np.ones((len(right), LENGTH + 1), bool)
-        differ[1:, :LENGTH] = right[1:] != right[:-1]
-        common = differ.argmax(1)
-        edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+        before = np.zeros((len(left), -(-WINDOW // 8) * 8), np.uint8)
+        before[:, :WINDOW] = np.where(np.arange(WINDOW) < meta["far"][:, None], left, 0)
+        with np.errstate(over="ignore"):
+            side = (before.view("<u8") * powers(before.shape[1] // 8, 0xD6E8FEB86659FD93)).sum(1, dtype=np.uint64)
+        order = np.lexsort((meta["at"], meta["doc"], meta["far"], meta["near"], side, *(columns[:, k] for k in range(columns.shape[1])[::-1]), part))
+        right, before, meta, part = right[order], before[order, :WINDOW], meta[order], part[order]
+        new = differs(part) | differs(right) | differs(before) | differs(meta["near"]) | differs(meta["far"])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = meta[~new & ((meta["doc"] != meta["doc"][first]) | (meta["at"] != meta["at"][first]))]
+        found = record(FOUND, key=gone["key"], low=gone["at"] - gone["far"], span=gone["far"] - gone["near"])
+        right, before, meta, part = right[new], before[new], meta[new], part[new]
+        unlike = np.ones((len(right), LENGTH + 1), bool)
+        unlike[1:, :LENGTH] = right[1:] != right[:-1]
+        common = unlike.argmax(1)
+        edge = np.r_[np.flatnonzero(differs(part)), len(part)]
         common[edge[:-1]] = 0
         shown = np.arange(LENGTH) >= common[:, None]
-        before = np.arange(WINDOW) < meta["far"][:, None]
+        sides = np.arange(WINDOW) < meta["far"][:, None]
         rest = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            rest.append((int(part[a]), meta[a:b].tobytes(), common[a:b].astype(np.uint8).tobytes(), right[a:b][shown[a:b]].tobytes(), left[a:b][before[a:b]].tobytes(), None))
+            rest.append((int(part[a]), meta[a:b].tobytes(), common[a:b].astype(np.uint8).tobytes(), right[a:b][shown[a:b]].tobytes(), before[a:b][sides[a:b]].tobytes(), None))
         return sent(rest + [(p, None, None, None, None, d) for p, d in dealt(found["key"] % n_parts, found)], "meta", "common", "rest", "before", "found")
 
-    def suffixes(text: np.ndarray, key: int, work: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Bytes from each place on and before it, what is known of it, its part, and for places dealt window by window the window's hash."""
-        code = powers(LENGTH + WINDOW, 0xD6E8FEB86659FD93)
+    def suffixes(text: np.ndarray, key: int, doc: int, work: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Bytes from each place on and before it, what is known of it, and its part."""
         far, near, at = work["left"].astype(np.int64), work["left"].astype(np.int64) - work["span"], work["low"].astype(np.int64) + work["left"]
-        many = work["n"] > split
+        many, hot = np.zeros(len(work), bool), held_hot.value
+        if len(hot):
+            with np.errstate(over="ignore"):
+                gram = mix((BYTE_CODE[text[at[:, None] + WINDOW + np.arange(GRAM)]] * powers(GRAM)).sum(1, dtype=np.uint64)) & SHORT
+            many = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
         times = np.where(many, far - near + 1, 1)
         which = np.repeat(np.arange(len(work)), times)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         each = many[which]
-        at, doc = at[which], work["doc"][which]
-        far = np.where(each, near[which] + nth, far[which])
-        near = np.where(each, far, near[which])
+        at = np.where(each, at[which] - near[which] - nth, at[which])
+        far, near = np.where(each, 0, far[which]), np.where(each, 0, near[which])
         right = text[at[:, None] + WINDOW + np.arange(LENGTH)]
         left = text[at[:, None] + WINDOW - 1 - np.arange(WINDOW)]
+        part = np.searchsorted(held_bounds.value, np.ascontiguousarray(right[:, :GRAM]).view(f"S{GRAM}").ravel(), "right") * per_range
         with np.errstate(over="ignore"):
-            part = mix((BYTE_CODE[right[:, :GRAM]] * code[:GRAM]).sum(1, dtype=np.uint64))
-            window = np.zeros(len(at), np.uint64)
+            if per_range > 1:
+                part += (mix((BYTE_CODE[right[:, :GRAM]] * powers(GRAM)).sum(1, dtype=np.uint64)) % np.uint64(per_range)).astype(np.int64)
             if each.any():
-                inside = np.arange(LENGTH) < (LENGTH - far[each])[:, None]
-                value = (BYTE_CODE[right[each]] * code[:LENGTH] * inside).sum(1, dtype=np.uint64)
-                inside = np.arange(WINDOW) < far[each][:, None]
-                value = value + (BYTE_CODE[left[each]] * code[LENGTH:] * inside).sum(1, dtype=np.uint64)
-                window[each] = mix(mix(value) + far[each].astype(np.uint64)) | np.uint64(1)
-                part[each] = mix(window[each])
-        meta = record(SUFFIX, doc=doc, key=np.full(len(at), key), at=at, near=near, far=far)
-        return right, left, meta, (part % np.uint64(n_parts)).astype(np.int64), window
+                whole = mix((BYTE_CODE[right[each]] * powers(LENGTH)).sum(1, dtype=np.uint64))
+                part[each] = n_ranges * per_range + (whole % np.uint64(n_parts)).astype(np.int64)
+        meta = record(SUFFIX, doc=np.full(len(at), doc), key=np.full(len(at), key), at=at, near=near, far=far)
+        return right, left, meta, part
 
     def run(batches):
         unpack, held, n = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            for key, packed, places_left in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                text = np.frombuffer(b"\0" * WINDOW + unpack.decompress(packed) + b"\0" * LENGTH, np.uint8)
-                places_left = np.frombuffer(places_left, WORK)
-                for work in np.split(places_left, range(STEP_PLACES, len(places_left), STEP_PLACES)):
-                    held.append(suffixes(text, key, work))
+            for key, doc, packed, work in zip(*(batch.column(k) for k in range(4)), strict=True):
+                text = np.frombuffer(b"\0" * WINDOW + unpack.decompress(packed.as_py()) + b"\0" * LENGTH, np.uint8)
+                work = np.frombuffer(work.as_py(), WORK)
+                for a in range(0, len(work), STEP_PLACES):
+                    held.append(suffixes(text, key.as_py(), doc.as_py(), work[a : a + STEP_PLACES]))
                     n += len(held[-1][0])
-                    if n >= RUN:
+                    if n >= run_length:
                         yield emit(held)
                         held, n = [], 0
         if n:
@@ -361,8 +410,9 @@ def merge(runs: DataFrame) -> DataFrame:
 
     def run(part, rows):
         found = loaded(rows.column("found"), FOUND)
+        low = found["low"].astype(np.int64)
+        key, start, stop = [found["key"].astype(np.int64)], [low], [low + found["span"] + LENGTH]
         sides = [(a, b, c, d) for a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("meta", "common", "rest", "before")), strict=True) if a]
-        key, start = [found["key"].astype(np.int64)], [found["low"].astype(np.int64)]
         if sides:
             commons = [np.frombuffer(b, np.uint8) for _, b, _, _ in sides]
             which, at, common = merge_runs([(front_decoded(k, c), k.tolist()) for k, (_, _, c, _) in zip(commons, sides, strict=True)])
@@ -372,9 +422,22 @@ def merge(runs: DataFrame) -> DataFrame:
             left = np.zeros((len(meta), WINDOW), np.uint8)
             left[np.arange(WINDOW) < meta["far"][:, None]] = np.frombuffer(b"".join(d for _, _, _, d in sides), np.uint8)
             meta, left = meta[order], left[order]
+            code = powers(WINDOW, 0xD6E8FEB86659FD93)
+            with np.errstate(over="ignore"):
+                whole = (BYTE_CODE[left] * code * (np.arange(WINDOW) < meta["far"][:, None])).sum(1, dtype=np.uint64)
+            # suffixes of equal bytes and windows: all but the first repeat it whole
+            same = np.cumsum(common < LENGTH)
+            o_order, new, repeat = repeats([same, meta["near"], meta["far"], whole], meta["doc"], meta["at"])
+            gone = meta[o_order[repeat]]
+            low = gone["at"].astype(np.int64) - gone["far"]
+            key.append(gone["key"])
+            start.append(low)
+            stop.append(low + (gone["far"] - gone["near"]) + LENGTH)
+            own = np.sort(o_order[new])
+            nearest = np.minimum.reduceat(common, np.r_[0, own[:-1] + 1]) if len(own) else common[:0]
+            meta, left, common = meta[own], left[own], nearest
             near, far = meta["near"].astype(np.int64), meta["far"].astype(np.int64)
             behind = np.zeros(len(meta), np.uint64)
-            code = powers(WINDOW, 0xD6E8FEB86659FD93)
             for o in range(WINDOW):
                 own = np.flatnonzero((near <= o) & (o <= far))
                 if len(own) > 1:
@@ -384,10 +447,10 @@ def merge(runs: DataFrame) -> DataFrame:
                     gone = o_order[repeat]
                     key.append(meta["key"][own][gone])
                     start.append(s[gone])
+                    stop.append(s[gone] + LENGTH)
                 with np.errstate(over="ignore"):
                     behind += BYTE_CODE[left[:, o]] * code[o]
-        keys, starts = np.concatenate(key), np.concatenate(start)
-        keys, low, high = merged_spans(keys, starts, starts + LENGTH)
+        keys, low, high = merged_spans(np.concatenate(key), np.concatenate(start), np.concatenate(stop))
         spans = np.stack([low, high], 1).astype("<u4")
         every = np.unique(keys)
         cut = zip(np.searchsorted(keys, every), np.searchsorted(keys, every, "right"), strict=True)
@@ -418,19 +481,23 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with RESULT and, where wanted, without its repeated passages; else without the text. A character that loses some bytes goes."""
     docs = docs.drop(*(x.split()[0] for x in RESULT.split(", ")), "row_key", "all_spans", "row_of")
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID).cast("long"))
+    least_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row_key = F.xxhash64(F.lit(1), doc_id, text)
-    picked = pick(docs.select(doc.alias("doc"), row_key.alias("key"), F.col(text).alias("text")), n_parts)
-    known = checkpoint(by_document(classify(picked, n_parts)))
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n_parts = max(least_parts, -(-n_bytes // PART_BYTES))
+    keyed = docs.select(row_key.alias("key"), F.col(text).alias("text"))
+    known = checkpoint(by_document(open_places(pick(keyed, n_parts), n_parts)))
     n_work = known.agg(F.sum("n_work")).first()[0] or 0
+    n_merges = max(least_parts, -(-n_work // MERGE_SUFFIXES))
+    hot = np.concatenate([np.zeros(0, HOT), *(np.frombuffer(r[0], HOT) for r in known.select("hot").filter("hot IS NOT NULL").collect())])
+    hot = np.unique(hot["gram"][hot["n"] > max(SPLIT_LEAST, n_work // (2 * n_merges))])
+    bounds = range_bounds(keyed, n_rows, min(MOST_RANGES, n_merges))
+    whole = packed(docs.withColumn("row_key", row_key), text)
     todo = known.filter("n_work > 0").select(F.col("key").alias("todo_key"), "work")
-    texts = packed(docs.select(row_key.alias("key"), F.col(text).alias("packed")), "packed")
-    work = texts.join(todo, F.col("key") == F.col("todo_key")).select("key", "packed", "work")
-    more = merge(suffix_runs(work, n_parts, max(SPLIT_LEAST, n_work // (2 * n_parts))))
-    spans = known.filter("spans IS NOT NULL").select("key", "spans").unionByName(more)
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID).cast("long"))
+    work = whole.join(todo, F.col("row_key") == F.col("todo_key")).select(F.col("row_key").alias("key"), doc.alias("doc"), F.col(text).alias("packed"), "work")
+    spans = merge(suffix_runs(work, bounds, hot, n_merges))
     spans = spans.groupBy(F.col("key").alias("row_of")).agg(F.collect_list("spans").alias("all_spans"))
-    whole = packed(docs.withColumn("row_key", row_key), text)
     rows = whole.join(spans, F.col("row_key") == F.col("row_of"), "left").drop("row_key", "row_of")
     names = [c for c in rows.columns if c != "all_spans"]
     kept = [c for c in names if keep_text or c != text]
