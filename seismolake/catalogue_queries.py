@@ -172,7 +172,7 @@ def b_value_stability(spark, d):
 
 @query("""
 , p AS (SELECT a.event_id, max(least(b.mag, b.mag - 4.5 - 0.75 * log10((a.t_us - b.t_us) / 8.64e10))) AS raised
-        FROM seis a JOIN seis b ON b.t_us < a.t_us AND b.t_us >= a.t_us - 86400000000 AND b.mag >= 4.5 GROUP BY 1)
+        FROM seis a JOIN seis b ON b.t_us < a.t_us GROUP BY 1)
 SELECT event_id, round(greatest(2.6, raised), 6) AS mc FROM seis LEFT JOIN p USING (event_id)""")
 def stai_mc_current(spark, d):
     return rounded(C.stai_current(catalogue(spark, d), 2.6))
@@ -338,8 +338,7 @@ def bilinear_sample(spark, d):
 
 @query("""
 , t AS (SELECT event_id AS site_id, lon AS s_lon, lat AS s_lat FROM seis WHERE mag >= 5.5),
-c AS (SELECT event_id, site_id, round(pow(lon - s_lon, 2) + pow(lat - s_lat, 2), 9) AS d2 FROM placed p, t
-      WHERE abs(ix - CAST(floor((s_lon - 80) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT)) <= 2 AND abs(iy - CAST(floor((s_lat - 26) / CAST(0.5 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS BIGINT)) <= 2)
+c AS (SELECT event_id, site_id, round(pow(lon - s_lon, 2) + pow(lat - s_lat, 2), 9) AS d2 FROM seis, t)
 SELECT event_id, site_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, site_id) AS r FROM c) WHERE r = 1""")
 def nearest_site(spark, d):
     events = catalogue(spark, d)
@@ -577,8 +576,8 @@ ETAS = {"mu": 20.0, "k": 0.02, "alpha": 1.2, "c_days": 0.01, "p": 1.1, "mc": 4.0
 @query(f"""
 , e AS (SELECT * FROM seis WHERE mag >= 4),
 r AS (SELECT a.event_id, 20 + coalesce(sum(0.02 * exp(1.2 * (b.mag - 4)) * pow((a.t_us - b.t_us) / 8.64e10 + 0.01, -1.1)), 0) AS rate
-      FROM e a LEFT JOIN e b ON b.t_us < a.t_us AND b.t_us >= a.t_us - {DAY_US} GROUP BY 1),
-m AS (SELECT sum(0.02 * exp(1.2 * (mag - 4)) * (pow(least({START + 30 * DAY_US} - t_us, {DAY_US}) / 8.64e10 + 0.01, -0.1) - pow(0.01, -0.1)) / (-0.1)) AS mass FROM e)
+      FROM e a LEFT JOIN e b ON b.t_us < a.t_us GROUP BY 1),
+m AS (SELECT sum(0.02 * exp(1.2 * (mag - 4)) * (pow(({START + 30 * DAY_US} - t_us) / 8.64e10 + 0.01, -0.1) - pow(0.01, -0.1)) / (-0.1)) AS mass FROM e)
 SELECT count(*) AS n, round(sum(ln(rate)), 4) AS log_rates, round(600 + (SELECT mass FROM m), 4) AS integral, round(sum(ln(rate)) - 600 - (SELECT mass FROM m), 4) AS ll FROM r""")
 def etas_log_likelihood(spark, d):
     return rounded(M.etas_log_likelihood(C.at_least(catalogue(spark, d), 4.0), START + 30 * DAY_US, 30.0, **ETAS), 4)
