@@ -10,8 +10,10 @@ Documents with equal sets are one class from the start. To find components witho
 candidates are taken twice: first each document with the documents that hold most of what is common in its groups, then only pairs that are still in
 different components. No link between components is lost.
 
+The number of fragments follows from the table's bytes, and n-grams that stand in very many prefixes are split over tasks by the set.
+
 Null or wordless texts have the empty set and link with nothing. Repeated rows (and repeated ids) are kept one by one. A null id links but names no component.
-An empty table gives an empty table.
+An empty table gives an empty table. Other columns are dropped by the query and carried through by the stage. A very long text is one row of n-grams, worked on as a whole.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from .shingles import BITS, set_keys, shingle_sets, shingle_steps
 LEAST_FRAGMENTS = 16
 #: Fragments in which the overlaps of candidates are counted.
 COUNT_FRAGMENTS = 8
-#: N-grams that a worker gathers before it hands on their fragments.
-GATHER = 1_500_000
+#: N-grams that a worker gathers before it hands on their fragments, and sets that it remembers to have handed on.
+GATHER = 400_000
+MOST_SEEN = 500_000
+#: Bytes of text of which one fragment holds the n-grams, about.
+PART_BYTES = 24 << 20
+#: An n-gram that stands in more prefixes than this (and than a ten-thousandth of all) is split over several tasks.
+HOT_ROWS = 1000
 LEADERS = 2
 
 
@@ -59,7 +66,9 @@ def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def fragments_of(docs: DataFrame) -> int:
-    return max(LEAST_FRAGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Fragments for docs (text): by their bytes, so that none grows with the table."""
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(LEAST_FRAGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -104,19 +113,18 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
         )
 
     def run(batches):
-        held, n, seen = [], 0, set()
+        held, n, seen = [], 0, np.zeros(0, np.uint64)
         for batch in batches:
             data, ends = text_bytes(batch.column(0))
             for a, b in shingle_steps(ends):
                 with np.errstate(over="ignore"):
                     row, h, bounds = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], size)
                     keys = set_keys(h, bounds)
+                own_keys, first = np.unique(keys, return_index=True)
+                unseen = seen[np.minimum(np.searchsorted(seen, own_keys), len(seen) - 1)] != own_keys if len(seen) else np.ones(len(own_keys), bool)
                 fresh = np.zeros(b - a, bool)
-                for i, k in enumerate(keys.tolist()):
-                    fresh[i] = k not in seen
-                    seen.add(k)
-                if len(seen) > 2_000_000:
-                    seen.clear()
+                fresh[first[unseen]] = True
+                seen = np.sort(np.r_[seen, own_keys[unseen]]) if len(seen) < MOST_SEEN else own_keys
                 own = fresh[row]
                 held.append((keys, np.diff(bounds), row[own], h[own]))
                 n += int(own.sum())
@@ -144,16 +152,18 @@ def shared(parts: DataFrame, n_fragments: int, percent: int) -> DataFrame:
         keys, sizes, counts = gather(rows.column("keys"), "<u8"), gather(rows.column("sizes"), "<u4"), gather(rows.column("counts"), "<u4")
         h = gather(rows.column("hashes"), None)
         _, first, cell = np.unique(keys, return_index=True, return_inverse=True)
-        keys, sizes, cell = keys[first], sizes[first], np.repeat(cell.reshape(-1), counts)
+        keys, sizes, cell = keys[first], sizes[first], np.repeat(cell.reshape(-1).astype(np.int32), counts)
         order = np.lexsort((cell, h))
         h, cell = h[order], cell[order]
+        del order
         new = np.r_[True, h[1:] != h[:-1]]
         own = new | np.r_[True, cell[1:] != cell[:-1]]
         h, cell, new = h[own], cell[own], new[own]
-        run = np.cumsum(new) - 1
-        df = np.minimum(np.bincount(run)[run], 255)
+        run = np.cumsum(new, dtype=np.int32) - 1
+        df = np.minimum(np.bincount(run), 255).astype(np.uint8)[run]
         often = df > 1
-        h, cell, df = h[often] + lowest(np.array([part]), n_fragments)[0], cell[often], df[often].astype(np.uint8)
+        h, cell, df = h[often] + lowest(np.array([part]), n_fragments)[0], cell[often].astype(np.int64), df[often]
+        del run, new, own, often
         bucket = (keys % np.uint64(n_fragments)).astype(np.int64)
         order = np.lexsort((cell, bucket[cell]))
         h, cell, df = h[order], cell[order], df[order]
@@ -258,9 +268,15 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """set_key and component (a set's key) of sets that link with others."""
     grams = checkpoint(prefixes(sets, percent))
-    lead = grams.groupBy("gram").agg(F.max(F.struct("common", "set_key", "n", "place")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    lead = lead.select(F.col("gram").alias("of"), F.col("lead.set_key").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.place").alias("place_b"))
-    led = grams.join(lead, F.col("gram") == F.col("of")).filter("set_key <> b").withColumnsRenamed({"set_key": "a", "n": "n_a", "place": "place_a"})
+    by_gram = checkpoint(grams.groupBy("gram").agg(F.max(F.struct("common", "set_key", "n", "place")).alias("lead"), F.count("*").alias("size")).filter("size > 1"))
+    # at most ten thousand n-grams stand in more than a ten-thousandth of the rows, so this list is small at any size
+    most = max(HOT_ROWS, (by_gram.agg(F.sum("size")).first()[0] or 0) // 10_000)
+    hot = F.broadcast(by_gram.filter(F.col("size") > most).select(F.col("gram").alias("hot_gram"), F.ceil(F.col("size") / most).cast("int").alias("salts")))
+    salted = lambda rows: rows.join(hot, F.col("gram") == F.col("hot_gram"), "left").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("hot_gram", "salts")
+    spread = lambda rows: rows.join(hot, F.col("of") == F.col("hot_gram"), "left").withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hot_gram", "salts")
+    same = (F.col("gram") == F.col("of")) & (F.col("salt") == F.col("salt_of"))
+    lead = spread(by_gram.select(F.col("gram").alias("of"), F.col("lead.set_key").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.place").alias("place_b")))
+    led = salted(grams).join(lead, same).filter("set_key <> b").withColumnsRenamed({"set_key": "a", "n": "n_a", "place": "place_a"})
     led = led.filter(room(percent)).groupBy("a", "b").agg(F.count("*").alias("votes"))
     ranked = led.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).filter(F.col("rank") <= LEADERS)
     first = links(ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
@@ -269,7 +285,7 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     marked = grams.join(label, F.col("set_key") == F.col("of_key"), "left").withColumn("group", F.coalesce("component", "set_key")).drop("of_key", "component", "common")
     marked = checkpoint(marked)
     mixed = marked.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(F.col("gram").alias("of"))
-    marked = marked.join(mixed, F.col("gram") == F.col("of"), "left_semi")
+    marked = salted(marked).join(spread(mixed), same, "left_semi").drop("salt")
     side = lambda x: marked.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("set_key", "n", "place", "group")))
     rest = side("a").join(side("b").withColumnRenamed("gram", "gram_b"), F.expr(f"gram = gram_b AND group_a <> group_b AND set_key_a < set_key_b AND {room(percent)}"))
     second = links(rest.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct(), sets, percent)
