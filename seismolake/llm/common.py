@@ -43,6 +43,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder: computed once, and its small files are read together."""
+    out = fresh_dir(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 #: The columns of documents that stages know; others are carried through.
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -7,19 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import written
 
 #: Edges that a task contracts at once.
 GATHER = 1_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder: computed once, and its small files are read together."""
-    out = fresh_dir(df.sparkSession, "components")
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
-
-
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and their smallest node reachable by these edges, for the nodes that aren't that themselves."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -56,7 +49,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         a, b = local_roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return written(edges.mapInArrow(run, "a long, b long"))
+    return written(edges.mapInArrow(run, "a long, b long"), "components")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,10 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), F.col(c).alias("to"))
             hook = both.groupBy(F.col("a").alias("of")).agg(F.min(ranked("b")).alias("near")).select("of", F.least("near", ranked("of"))["to"].alias("to"))
-        hook = written(hook)
+        hook = written(hook, "components")
         step = hook.select(F.col("of").alias("via"), F.col("to").alias("beyond"))
-        hook = written(hook.join(step, F.col("to") == F.col("via")).select("of", F.col("beyond").alias("to")))
-        labels = written(labels.join(hook, F.col("group") == F.col("of"), "left").select("node", F.coalesce("to", "group").alias("group")))
+        hook = written(hook.join(step, F.col("to") == F.col("via")).select("of", F.col("beyond").alias("to")), "components")
+        labels = written(labels.join(hook, F.col("group") == F.col("of"), "left").select("node", F.coalesce("to", "group").alias("group")), "components")
         end = lambda side: hook.select(F.col("of").alias(f"of_{side}"), F.col("to").alias(f"to_{side}"))
         moved = edges.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).filter("to_a <> to_b")
         edges = contracted(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())

@@ -1,15 +1,16 @@
 """PII sanitisation: patterns find personal data, corpus statistics find the terms that give it away.
 
-Four patterns mark e-mail addresses, IP addresses, payment cards and phone numbers. Each marked value is a protected entity.
-Co-occurrence over the corpus then tells how much other terms reveal it: with IC(c) = -log2 p(c) for an entity and
+Four patterns mark e-mail addresses, IP addresses, payment cards and phone numbers; a fifth marks secrets, which are long runs of mixed letters and digits. What must not be disclosed
+are the protected entities: each marked value, an address's domain, and each kind as such (that a text holds a card number or a secret).
+Co-occurrence over the corpus then tells how much other terms reveal an entity: with IC(c) = -log2 p(c) for an entity and
 PMI(c; t) = log2 p(c, t) / (p(c) p(t)) for a term of the same texts, a term that reaches PMI >= IC / ALPHA discloses the entity. In
-texts that mention the entity such terms are generalised to a placeholder, and removed where PMI reaches IC itself (the term
-alone names the entity). Terms need SUPPORT different texts, so a chance neighbour of a value that stands in one text isn't taken. Terms are words of
-letters, marks and digits of any length, outside the spans of the patterns. As n_both <= n_entity, PMI >= IC / ALPHA needs n_term <= n_docs (n_entity / n_docs)^(1 / ALPHA); more
-common terms are left out before texts and entities are joined, which changes no result.
+texts that mention the entity such terms are generalised to their class (code, name or word), and removed where PMI reaches IC itself (the term
+alone names the entity). Evidence must not be chance: a term needs SUPPORT different texts, and all of them together must tell more bits (n_both PMI) than naming
+one of all pairs of terms and entities takes, by SURE_BITS. Terms are words of letters, marks and digits of any length, outside the spans of the patterns.
 
-Everything runs as DataFrame expressions. Places are code points, ends exclusive. A null text is empty and has no spans.
-Repeated rows are treated one by one and count once as evidence (equal texts are one text). Ties in place are ordered by kind. An empty table
+Everything runs as DataFrame expressions: the patterns once over the different texts, whose entities and terms are written as a table that all counts read, and once over the rows.
+Places are code points, ends exclusive. A null text is empty and has no spans.
+Repeated rows are treated one by one and count once as evidence (equal texts are one text). Ties in place are ordered by kind. Texts of any length are searched as a whole. An empty table
 gives an empty table; columns beside the text are carried through, those that clash with a result's are replaced.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sheltered, table
+from .common import checkpoint, sheltered, table, written as kept_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The loops are possessive, which changes no match and keeps Java's matcher from recursing on long texts; the look-behinds skip starts that can't match.
@@ -27,18 +28,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
 }
 #: What a text must have for its pattern to be tried.
-GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9]{16}"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 ALPHA = 1.25
 SUPPORT = 3
+SURE_BITS = 7
 #: What words are made of.
 LETTER = r"\p{L}\p{M}\p{N}"
 #: More texts with disclosing terms than this are joined by a shuffle instead of a broadcast.
 BROADCAST_TEXTS = 50_000
-LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
+LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "code": "[CODE]", "name": "[NAME]", "word": "[WORD]", "removed": ""}
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -58,6 +61,8 @@ def valid(kind: str, value: str) -> str:
         return f"(CASE WHEN length({d}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END)"
     if kind == "phone":
         return f"length({d}) BETWEEN 9 AND 15"
+    if kind == "secret":
+        return f"length({d}) BETWEEN 2 AND length({value}) - 2"
     return "true"
 
 
@@ -72,17 +77,22 @@ def placed(kind: str, gaps: str, found: str) -> str:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base: the spans of the four patterns, by kind and place."""
-    docs = docs.drop("base").withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
-    found = {k: F.expr(f"CASE WHEN pii_text RLIKE r'{GATES[k]}' THEN regexp_extract_all(pii_text, r'{PATTERNS[k]}', 0) ELSE CAST(array() AS array<string>) END") for k in KINDS}
+    """docs with base, the spans of the four patterns by kind and place, and secrets, those of the fifth outside them."""
+    docs = docs.drop("base", "secrets").withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
+    found = {k: F.expr(f"CASE WHEN pii_text RLIKE r'{GATES[k]}' THEN regexp_extract_all(pii_text, r'{PATTERNS[k]}', 0) ELSE CAST(array() AS array<string>) END") for k in PATTERNS}
     docs = docs.withColumns({f"pii_m_{k}": v for k, v in found.items()})
-    docs = docs.withColumns({f"pii_g_{k}": F.expr(f"CASE WHEN size(pii_m_{k}) > 0 THEN split(pii_text, r'{PATTERNS[k]}', -1) END") for k in KINDS})
-    docs = docs.withColumns({f"pii_s_{k}": F.expr(placed(k, f"pii_g_{k}", f"pii_m_{k}")) for k in KINDS})
-    return docs.withColumn("base", F.concat(*(f"pii_s_{k}" for k in KINDS))).drop("pii_text", *(f"pii_{x}_{k}" for x in "mgs" for k in KINDS))
+    docs = docs.withColumns({f"pii_g_{k}": F.expr(f"CASE WHEN size(pii_m_{k}) > 0 THEN split(pii_text, r'{PATTERNS[k]}', -1) END") for k in PATTERNS})
+    docs = docs.withColumns({f"pii_s_{k}": F.expr(placed(k, f"pii_g_{k}", f"pii_m_{k}")) for k in PATTERNS})
+    docs = docs.withColumn("base", F.concat(*(f"pii_s_{k}" for k in KINDS)))
+    docs = docs.withColumn("secrets", F.expr("filter(pii_s_secret, s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end))"))
+    return docs.drop("pii_text", *(f"pii_{x}_{k}" for x in "mgs" for k in PATTERNS))
 
 
-def entity(span: Column) -> Column:
-    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+def entities(spans: Column) -> Column:
+    """Names of the protected entities of spans: values, domains and kinds."""
+    values = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    domains = F.transform(F.filter(spans, lambda s: s["kind"] == "email"), lambda s: F.concat(F.lit("domain:"), F.lower(F.substring_index(s["value"], "@", -1))))
+    return F.array_distinct(F.concat(values, domains, F.transform(spans, lambda s: F.concat(F.lit("kind:"), s["kind"]))))
 
 
 def terms_of(text: Column) -> Column:
@@ -90,70 +100,65 @@ def terms_of(text: Column) -> Column:
 
 
 def free_text(text: str) -> Column:
-    """The text without its base spans."""
-    ordered = "array_sort(base, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"
+    """The text without its base spans and secrets."""
+    ordered = "array_sort(concat(base, secrets), (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"
     step = f"named_struct('at', greatest(a.at, x.end), 'out', concat(a.out, substring({text}, a.at + 1, greatest(x.start - a.at, 0)), ' '))"
     rest = f"aggregate({ordered}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
-    return F.expr(f"CASE WHEN size(base) > 0 THEN {rest} ELSE coalesce({text}, '') END")
-
-
-def mentions(docs: DataFrame, text: str) -> DataFrame:
-    """text_key and entity, once for each text and entity."""
-    marked = docs.filter(F.size("base") > 0).select(F.xxhash64(text).alias("text_key"), F.explode("base").alias("span"))
-    return marked.select("text_key", entity(F.col("span")).alias("entity")).distinct()
-
-
-def disclosing_terms(docs: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """entity, term, ic, pmi, removed for the terms that disclose an entity. docs has base."""
-    said = mentions(docs, text)
-    own = said.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    said = said.join(own, "entity")
-    key = F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
-    texts = docs.select(key, free_text(text).alias("body")).distinct()
-    n = docs.select(key).distinct().agg(F.count("*").alias("n_docs"))
-    most = lambda c: F.col("n_docs") * F.pow(F.col(c) / F.col("n_docs"), F.lit(1 / alpha)) * F.lit(1 + 1e-9)
-    all_terms = texts.select(F.explode(terms_of(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support)
-    bound = n.crossJoin(F.broadcast(own.agg(F.max("n_entity").alias("n_most"))))
-    all_terms = all_terms.crossJoin(F.broadcast(bound)).filter(F.col("n_term") <= most("n_most"))
-    marked = docs.filter(F.size("base") > 0).select(key, terms_of(free_text(text)).alias("words")).join(said.select("text_key").distinct(), "text_key", "left_semi")
-    words = marked.select("text_key", F.explode("words").alias("term")).join(all_terms, "term").distinct()
-    found = words.join(said, "text_key").filter(F.col("n_term") <= most("n_entity"))
-    found = found.groupBy("entity", "term", "n_entity", "n_term", "n_docs").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    return F.expr(f"CASE WHEN size(base) + size(secrets) > 0 THEN {rest} ELSE coalesce({text}, '') END")
+
+
+def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
+    """text_key, entities and terms of each different text, as a table in the shared folder."""
+    texts = base_spans(docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).distinct(), "body")
+    return kept_table(texts.select(F.xxhash64("body").alias("text_key"), entities(F.concat("base", "secrets")).alias("entities"), terms_of(free_text("body")).alias("terms")), "evidence")
+
+
+def disclosing_terms(known: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """entity, term, n_entity, n_term, n_both, ic, pmi, removed for the terms that disclose an entity, from the evidence of texts."""
+    n = known.agg(F.count("*").alias("n_docs"))
+    own = known.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    all_terms = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    sizes = n.crossJoin(all_terms.agg(F.count("*").alias("n_terms"))).crossJoin(own.agg(F.count("*").alias("n_entities")))
+    marked = known.filter(F.size("entities") > 0).select("terms", F.explode("entities").alias("entity")).join(own.select("entity"), "entity", "left_semi")
+    both = marked.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    found = both.join(own, "entity").join(all_terms.filter(F.col("n_term") >= support), "term").crossJoin(F.broadcast(sizes))
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
     pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
     found = found.withColumn("ic", ic).withColumn("pmi", pmi)
-    found = found.filter((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
-    return found.select("entity", "term", "ic", "pmi", (F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
+    sure = F.col("n_both") * F.col("pmi") >= F.log2(F.col("n_terms")) + F.log2(F.col("n_entities")) + F.lit(float(SURE_BITS))
+    found = found.filter((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha - 1e-9) & sure)
+    return found.select("entity", "term", "n_entity", "n_term", "n_both", "ic", "pmi", (F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
 
 
 def term_spans(text: str) -> Column:
     """Spans of the terms in `giving` (term, removed), in any case, as whole words and outside the base spans."""
     gaps = f"split({text}, concat(r'(?iu)(?<![{LETTER}])', t.term, r'(?![{LETTER}])'), -1)"
-    step = f"named_struct('at', a.at + length(g) + length(t.term), 'out', concat(a.out, array(named_struct('kind', IF(t.removed, 'removed', 'term'), 'start', a.at + length(g), 'end', a.at + length(g) + length(t.term), 'value', t.term))))"
+    value = f"substring({text}, a.at + length(g) + 1, length(t.term))"
+    kind = f"CASE WHEN t.removed THEN 'removed' WHEN t.term RLIKE r'\\p{{N}}' THEN 'code' WHEN {value} RLIKE r'^\\p{{Lu}}' THEN 'name' ELSE 'word' END"
+    step = f"named_struct('at', a.at + length(g) + length(t.term), 'out', concat(a.out, array(named_struct('kind', {kind}, 'start', a.at + length(g), 'end', a.at + length(g) + length(t.term), 'value', {value}))))"
     one = f"aggregate({gaps}, named_struct('at', 0, 'out', CAST(array() AS {SPAN})), (a, g) -> {step}, a -> slice(a.out, 1, size(a.out) - 1))"
-    free = "s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
+    free = "s -> NOT exists(concat(base, secrets), b -> b.start < s.end AND s.start < b.end)"
     return F.expr(f"CASE WHEN size(giving) > 0 THEN array_sort(filter(flatten(transform(giving, t -> {one})), {free})) ELSE CAST(array() AS {SPAN}) END")
 
 
 def sanitise(docs: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """docs with base and spans (base and disclosing terms; kinds email, ip, card, phone, term, removed) and the sanitised text."""
-    names = ("base", "spans", "sanitised", "giving", "text_key", "of_key")
-    docs = base_spans(docs.drop(*(c for c in names if c != text)), text)
-    giving = disclosing_terms(docs, text, alpha, support)
-    by_entity = giving.groupBy("entity").agg(F.collect_set(F.struct("term", "removed")).alias("terms"))
-    by_text = (
-        mentions(docs, text).join(by_entity, "entity")
-        .groupBy(F.col("text_key").alias("of_key")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("giving"))
-    )
-    by_text = checkpoint(by_text)
-    docs = docs.withColumn("text_key", F.xxhash64(text))
+    """docs with base, secrets, spans (base, secrets and disclosing terms; kinds as in LABEL) and the sanitised text."""
+    names = ("base", "secrets", "spans", "sanitised", "giving", "text_key", "of_key")
+    docs = docs.drop(*(c for c in names if c != text))
+    known = evidence(docs, text)
+    giving = kept_table(disclosing_terms(known, alpha, support), "giving")
+    said = known.filter(F.size("entities") > 0).select("text_key", "entities", F.explode("terms").alias("term"))
+    given = said.join(giving.select(F.col("term").alias("of_term"), "entity", "removed"), (F.col("term") == F.col("of_term")) & F.expr("array_contains(entities, entity)"))
+    given = given.groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    by_text = checkpoint(given.groupBy(F.col("text_key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("giving")))
+    docs = base_spans(docs, text).withColumn("text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     if by_text.count() <= BROADCAST_TEXTS:
         docs = docs.join(F.broadcast(by_text), F.col("text_key") == F.col("of_key"), "left")
     else:
-        marked = F.size("base") > 0
+        marked = F.size("base") + F.size("secrets") > 0
         rest = docs.filter(~marked).withColumn("giving", F.expr("CAST(NULL AS array<struct<term:string,removed:boolean>>)"))
         docs = docs.filter(marked).join(by_text, F.col("text_key") == F.col("of_key"), "left").drop("of_key").unionByName(rest)
-    docs = docs.withColumn("spans", F.concat("base", term_spans(text)))
+    docs = docs.withColumn("spans", F.concat("base", "secrets", term_spans(text)))
     label = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABEL.items()) + " END"
     ordered = "array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"
     step = f"IF(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out), named_struct('at', x.end, 'out', concat(a.out, substring({text}, a.at + 1, x.start - a.at), {label})))"
@@ -168,7 +173,8 @@ def written(spans: str) -> Column:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    more = [F.size("secrets").cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans")]
+    return rows.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), *more)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
