@@ -35,7 +35,7 @@ COUNT_FRAGMENTS = 8
 GATHER = 400_000
 MOST_SEEN = 500_000
 #: Bytes of text of which one fragment holds the n-grams, about.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
 #: An n-gram that stands in more prefixes than this (and than a ten-thousandth of all) is split over several tasks.
 HOT_ROWS = 1000
 LEADERS = 2
@@ -87,30 +87,30 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
-    """Rows of (fragment, keys, sizes, counts, hashes): the parts of many documents in a fragment; counts[i] hashes are of the set keys[i]."""
-    names = ["fragment", "keys", "sizes", "counts", "hashes"]
+    """Rows of (fragment, keys, counts, hashes): the parts of many documents in a fragment; counts[i] hashes are of the set keys[i], which comes several times if it has more than a byte counts."""
+    names = ["fragment", "keys", "counts", "hashes"]
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, total, row, h = [], [], [], []
-        for keys, sizes, rows, hashes in held:
+        key, row, h = [], [], []
+        for keys, rows, hashes in held:
             row.append(rows + sum(map(len, key)))
             key.append(keys)
-            total.append(sizes)
             h.append(hashes)
-        key, total, row, h = map(np.concatenate, (key, total, row, h))
+        key, row, h = map(np.concatenate, (key, row, h))
         part = ((h >> np.uint64(20)) * np.uint64(n_fragments)) >> np.uint64(BITS - 20)
         order = np.argsort(part.astype(np.uint32), kind="stable")
         part, row, h = part[order].astype(np.int64), row[order], h[order]
         h = h - lowest(part, n_fragments)
         edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
-        cells, counts = row[edge], np.diff(np.r_[edge, len(row)]).astype("<u4")
+        counts = np.diff(np.r_[edge, len(row)])
+        several = -(-counts // 255)
+        edge = np.repeat(edge, several) + 255 * (np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several))
+        cells, counts = row[edge], np.diff(np.r_[edge, len(row)]).astype(np.uint8)
         first = np.flatnonzero(np.r_[True, part[edge][1:] != part[edge][:-1]])
         cut, at = np.r_[first, len(edge)], np.r_[edge[first], len(row)]
         packed = six_bytes(h).tobytes()
         hashes = [packed[6 * a : 6 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[edge][first].astype(np.int32)), blobs(key[cells].astype("<u8"), cut), blobs(total[cells].astype("<u4"), cut), blobs(counts, cut), pa.array(hashes, pa.binary())], names=names
-        )
+        return pa.RecordBatch.from_arrays([pa.array(part[edge][first].astype(np.int32)), blobs(key[cells].astype("<u8"), cut), blobs(counts, cut), pa.array(hashes, pa.binary())], names=names)
 
     def run(batches):
         held, n, seen = [], 0, np.zeros(0, np.uint64)
@@ -126,7 +126,7 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
                 fresh[first[unseen]] = True
                 seen = np.sort(np.r_[seen, own_keys[unseen]]) if len(seen) < MOST_SEEN else own_keys
                 own = fresh[row]
-                held.append((keys, np.diff(bounds), row[own], h[own]))
+                held.append((keys, row[own], h[own]))
                 n += int(own.sum())
                 if n >= GATHER:
                     yield emit(held)
@@ -134,7 +134,7 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
         if n:
             yield emit(held)
 
-    return docs.select("text").mapInArrow(run, "fragment int, keys binary, sizes binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "fragment int, keys binary, counts binary, hashes binary")
 
 
 def lowest(part: np.ndarray, n_fragments: int) -> np.ndarray:
@@ -144,15 +144,31 @@ def lowest(part: np.ndarray, n_fragments: int) -> np.ndarray:
     return (((p << np.uint64(BITS - 20)) + n - np.uint64(1)) // n) << np.uint64(20)
 
 
-def shared(parts: DataFrame, n_fragments: int, percent: int) -> DataFrame:
+def set_sizes(member: DataFrame, n_fragments: int) -> DataFrame:
+    """bucket, keys and sizes of many sets (row_id, n_shingles, set_key)."""
+
+    def run(batches):
+        for batch in batches:
+            keys, first = np.unique(batch.column(1).to_numpy().view(np.uint64), return_index=True)
+            sizes = batch.column(0).to_numpy()[first].astype("<u4")
+            bucket = (keys % np.uint64(n_fragments)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+            cut = np.r_[edge, len(order)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edge].astype(np.int32)), blobs(keys[order], cut), blobs(sizes[order], cut)], names=["bucket", "keys", "sizes"])
+
+    return member.select("n_shingles", "set_key").mapInArrow(run, "bucket int, keys binary, sizes binary")
+
+
+def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int) -> DataFrame:
     """set_key, n, grams: the sets of which enough n-grams stand in another set too; grams are those, from the rarest on (dfs: in how many sets, 255 at most)."""
 
     def count(key, rows):
         part = key[0].as_py()
-        keys, sizes, counts = gather(rows.column("keys"), "<u8"), gather(rows.column("sizes"), "<u4"), gather(rows.column("counts"), "<u4")
+        keys, counts = gather(rows.column("keys"), "<u8"), gather(rows.column("counts"), np.uint8)
         h = gather(rows.column("hashes"), None)
-        _, first, cell = np.unique(keys, return_index=True, return_inverse=True)
-        keys, sizes, cell = keys[first], sizes[first], np.repeat(cell.reshape(-1).astype(np.int32), counts)
+        keys, cell = np.unique(keys, return_inverse=True)
+        cell = np.repeat(cell.reshape(-1).astype(np.int32), counts)
         order = np.lexsort((cell, h))
         h, cell = h[order], cell[order]
         del order
@@ -175,17 +191,21 @@ def shared(parts: DataFrame, n_fragments: int, percent: int) -> DataFrame:
         packed, dfs = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), df.tobytes()
         pairs = list(zip(at[:-1], at[1:], strict=True))
         return pa.table({
-            "bucket": pa.array(of[first].astype(np.int32)), "keys": blobs(keys[cells], cut), "sizes": blobs(sizes[cells], cut), "counts": blobs(counts, cut),
+            "bucket": pa.array(of[first].astype(np.int32)), "keys": blobs(keys[cells], cut), "counts": blobs(counts, cut),
             "grams": pa.array([packed[7 * a : 7 * b] for a, b in pairs], pa.binary()), "dfs": pa.array([dfs[a:b] for a, b in pairs], pa.binary()),
         })
 
     def keep(key, rows):
-        keys, sizes, counts, dfs = (gather(rows.column(c), t) for c, t in (("keys", "<u8"), ("sizes", "<u4"), ("counts", "<u4"), ("dfs", np.uint8)))
+        told = rows.filter(rows.column("sizes").is_valid())
+        rows = rows.filter(rows.column("sizes").is_null())
+        of, first = np.unique(gather(told.column("keys"), "<u8"), return_index=True)
+        size_of = gather(told.column("sizes"), "<u4")[first]
+        keys, counts, dfs = (gather(rows.column(c), t) for c, t in (("keys", "<u8"), ("counts", "<u4"), ("dfs", np.uint8)))
         h = np.zeros((len(dfs), 8), np.uint8)
         h[:, :7] = gather(rows.column("grams"), np.uint8).reshape(-1, 7)
         h = h.reshape(-1).view("<u8")
-        _, first, cell = np.unique(keys, return_index=True, return_inverse=True)
-        keys, sizes, cell = keys[first], sizes[first].astype(np.int64), np.repeat(cell.reshape(-1), counts)
+        keys, cell = np.unique(keys, return_inverse=True)
+        sizes, cell = size_of[np.searchsorted(of, keys)].astype(np.int64), np.repeat(cell.reshape(-1), counts)
         n_shared = np.bincount(cell, minlength=len(keys))
         stays = n_shared >= -(-percent * sizes // 100)
         own = stays[cell]
@@ -196,8 +216,9 @@ def shared(parts: DataFrame, n_fragments: int, percent: int) -> DataFrame:
         cut = np.r_[np.searchsorted(cell, left), len(cell)]
         return pa.table({"set_key": pa.array(keys[left].view(np.int64)), "n": pa.array(sizes[left]), "grams": blobs(h, cut), "dfs": blobs(dfs, cut)})
 
-    back = parts.groupBy("fragment").applyInArrow(count, "bucket int, keys binary, sizes binary, counts binary, grams binary, dfs binary")
-    return back.groupBy("bucket").applyInArrow(keep, "set_key long, n long, grams binary, dfs binary")
+    back = parts.repartition(n_fragments, "fragment").groupBy("fragment").applyInArrow(count, "bucket int, keys binary, counts binary, grams binary, dfs binary")
+    back = back.unionByName(set_sizes(member, n_fragments), allowMissingColumns=True)
+    return back.repartition(n_fragments, "bucket").groupBy("bucket").applyInArrow(keep, "set_key long, n long, grams binary, dfs binary")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +318,7 @@ def similar_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
     n_fragments = fragments_of(docs)
     member = checkpoint(sets_of(docs, size))
-    sets = checkpoint(shared(fragments(docs, size, n_fragments), n_fragments, percent))
+    sets = checkpoint(shared(fragments(docs, size, n_fragments), member, n_fragments, percent))
     linked = set_components(sets, percent).withColumnsRenamed({"set_key": "of_key"})
     least = member.filter("n_shingles > 0").groupBy(F.col("set_key").alias("own_key")).agg(F.min("row_id").alias("least_id"), F.count("*").alias("copies"))
     least = least.join(linked, F.col("own_key") == F.col("of_key"), "left").withColumn("group", F.coalesce("component", "own_key"))

@@ -41,7 +41,7 @@ RUN = 50_000
 #: Open places of a text that are worked on at once.
 STEP_PLACES = 2000
 #: Bytes of text whose places one group of step 2 filters, and suffixes that one group of step 3 merges, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 MERGE_SUFFIXES = 60_000
 #: The sample of step 3: texts and grams of a text at most, and ranges that it is cut into. More groups than ranges deal a range by hash of the gram.
 SAMPLE_TEXTS, SAMPLE_GRAMS, MOST_RANGES = 1000, 32, 4096
@@ -204,10 +204,10 @@ def open_places(picked: DataFrame, n_parts: int) -> DataFrame:
         out = known + [(p, d, None) for p, d in dealt(still["key"] % n_parts, still)] + ([(key[0].as_py(), None, hot.tobytes())] if len(hot) else [])
         return pa.Table.from_batches([sent(out, "work", "hot")])
 
-    return picked.groupBy("part").applyInArrow(run, "part int, work binary, hot binary")
+    return picked.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "part int, work binary, hot binary")
 
 
-def by_document(still: DataFrame) -> DataFrame:
+def by_document(still: DataFrame, n_parts: int) -> DataFrame:
     """key, work (WORK of its open places) and n_work; hot grams (HOT) in rows without a key."""
 
     def run(key, rows):
@@ -222,7 +222,7 @@ def by_document(still: DataFrame) -> DataFrame:
             "n_work": pa.array(np.diff(edge).tolist() + [0] * len(hot), pa.int64()), "hot": pa.array([None] * len(cells) + hot, pa.binary()),
         })
 
-    return still.groupBy("part").applyInArrow(run, "key long, work binary, n_work long, hot binary")
+    return still.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "key long, work binary, n_work long, hot binary")
 
 
 def range_bounds(docs: DataFrame, n_rows: int, n_ranges: int) -> np.ndarray:
@@ -405,7 +405,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return out_run, out_at, out_common
 
 
-def merge(runs: DataFrame) -> DataFrame:
+def merge(runs: DataFrame, n_parts: int) -> DataFrame:
     """Step 3, the merge: key and spans of the repeats among sorted suffixes."""
 
     def run(part, rows):
@@ -456,7 +456,7 @@ def merge(runs: DataFrame) -> DataFrame:
         cut = zip(np.searchsorted(keys, every), np.searchsorted(keys, every, "right"), strict=True)
         return pa.table({"key": pa.array(every.astype(np.int64)), "spans": pa.array([spans[a:b].tobytes() for a, b in cut], pa.binary())})
 
-    return runs.groupBy("part").applyInArrow(run, "key long, spans binary")
+    return runs.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "key long, spans binary")
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:
@@ -486,7 +486,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     n_parts = max(least_parts, -(-n_bytes // PART_BYTES))
     keyed = docs.select(row_key.alias("key"), F.col(text).alias("text"))
-    known = checkpoint(by_document(open_places(pick(keyed, n_parts), n_parts)))
+    known = checkpoint(by_document(open_places(pick(keyed, n_parts), n_parts), n_parts))
     n_work = known.agg(F.sum("n_work")).first()[0] or 0
     n_merges = max(least_parts, -(-n_work // MERGE_SUFFIXES))
     hot = np.concatenate([np.zeros(0, HOT), *(np.frombuffer(r[0], HOT) for r in known.select("hot").filter("hot IS NOT NULL").collect())])
@@ -496,7 +496,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     todo = known.filter("n_work > 0").select(F.col("key").alias("todo_key"), "work")
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID).cast("long"))
     work = whole.join(todo, F.col("row_key") == F.col("todo_key")).select(F.col("row_key").alias("key"), doc.alias("doc"), F.col(text).alias("packed"), "work")
-    spans = merge(suffix_runs(work, bounds, hot, n_merges))
+    spans = merge(suffix_runs(work, bounds, hot, n_merges), n_merges)
     spans = spans.groupBy(F.col("key").alias("row_of")).agg(F.collect_list("spans").alias("all_spans"))
     rows = whole.join(spans, F.col("row_key") == F.col("row_of"), "left").drop("row_key", "row_of")
     names = [c for c in rows.columns if c != "all_spans"]
