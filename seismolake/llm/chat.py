@@ -2,10 +2,11 @@
 
 For each conversation and each participant (each speaker but the system), the dialogue is rendered with that speaker as
 assistant, the others as named users, and a mask that covers just the assistant's words and end marks. The rendering is a
-table of segments, in order, with their places in the dialogue; `assemble` joins the segments of dialogues to strings. Places are prefix
-sums over blocks of turns and then within a block, so a conversation of any length is spread over many tasks.
+table of segments, in order, with their places in the dialogue; `assemble` joins the segments of dialogues to strings. Equal turns are counted first, so copies
+of a turn are one row until the end. Participants are joined by conversation and block of turns, and places are prefix
+sums over blocks and then within a block, so a conversation of any length is spread over many tasks; what is held together of it are its blocks.
 
-Nulls: a null role speaks as "unknown", a null text is empty, null conversation ids form one conversation, a null turn comes first.
+Other columns are dropped. Nulls: a null role speaks as "unknown", a null text is empty, null conversation ids form one conversation, a null turn comes first.
 Turns of equal number are ordered by role and text; repeated rows are repeated segments. A conversation without participants (system
 turns only) has no perspective and no rows; an empty table gives no rows. Marks inside texts are broken up, so texts can't forge them.
 """
@@ -26,8 +27,11 @@ def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, seq, speaker, segment, start, end, mask_start, mask_end (code points; null where nothing is learnt)."""
     role = F.coalesce("role", F.lit("unknown"))
     body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
-    said = turns.select("conv_id", "turn", role.alias("speaker"), body.alias("body"), F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS).cast("long").alias("block"))
-    people = said.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of_conv"), F.col("speaker").alias("perspective")).distinct()
+    said = turns.select("conv_id", "turn", role.alias("speaker"), body.alias("body")).groupBy("conv_id", "turn", "speaker", "body").agg(F.count("*").alias("copies"))
+    said = said.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS).cast("long"))
+    met = said.select("conv_id", "block", "speaker").distinct()
+    people = met.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of_conv"), F.col("speaker").alias("perspective")).distinct()
+    people = met.select("conv_id", "block").distinct().join(people, F.col("conv_id").eqNullSafe(F.col("of_conv"))).select("of_conv", F.col("block").alias("of_block"), "perspective")
     own = F.col("speaker") == F.col("perspective")
     head = (
         F.when(own, F.lit("<|assistant|>\n"))
@@ -35,14 +39,14 @@ def rotate(turns: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("<|user name="), F.replace("speaker", F.lit("|"), F.lit("/")), F.lit("|>\n")))
     )
     rows = (
-        said.join(people, F.col("conv_id").eqNullSafe(F.col("of_conv")))
-        .drop("of_conv")
+        said.join(people, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("block") == F.col("of_block")))
+        .drop("of_conv", "of_block")
         .withColumn("head", head)
         .withColumn("size", (F.length("head") + F.length("body") + len(END)).cast("long"))
     )
     key = ["conv_id", "perspective"]
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*key, "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("block_rows"))
+    blocks = rows.groupBy(*key, "block").agg(F.sum(F.col("copies") * F.col("size")).alias("block_size"), F.sum("copies").alias("block_rows"))
     blocks = blocks.select(
         *(F.col(c).alias(f"of_{c}") for c in (*key, "block")),
         F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("size_before"),
@@ -50,10 +54,14 @@ def rotate(turns: DataFrame) -> DataFrame:
     )
     same = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & (F.col("perspective") == F.col("of_perspective")) & (F.col("block") == F.col("of_block"))
     inside = Window.partitionBy(*key, "block").orderBy("turn", "speaker", "body")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = (
         rows.join(blocks, same)
-        .withColumn("seq", F.col("rows_before") + F.row_number().over(inside) - 1)
-        .withColumn("end", F.col("size_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("last_seq", F.col("rows_before") + F.sum("copies").over(upto) - 1)
+        .withColumn("last_end", F.col("size_before") + F.sum(F.col("copies") * F.col("size")).over(upto))
+        .withColumn("later", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("seq", F.col("last_seq") - F.col("later"))
+        .withColumn("end", F.col("last_end") - F.col("later") * F.col("size"))
     )
     start = F.col("end") - F.col("size")
     return rows.select(
