@@ -7,13 +7,15 @@ Reader: files are cut into byte ranges. A task looks for gzip magic in its range
 inflates to a WARC header, and owns the records that start inside its range, however far they reach. So each record is read
 once, whatever the cuts.
 
-Nulls: a null payload is empty, a null url is an empty target; a null id stays null. Repeated ids give repeated records: all
+The writer decides revisits by digest and length. The table of digests that several pages have is broadcast where it is small, so pages aren't shuffled at all; else pages are joined by digest,
+and digests of very many pages are split over several tasks. The reader has as many tasks as the bytes need.
+
+A page of any length is one record; other columns are dropped. Nulls: a null payload is empty, a null url is an empty target; a null id stays null. Repeated ids give repeated records: all
 rows that hold the largest id of equal payloads are responses. An empty table gives no records.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, table
+from .common import checkpoint, fresh_dir, table
 
 LEAST_REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 LEVEL = 3
+#: Bytes of archives that a reading task takes, about.
+TASK_BYTES = 64 << 20
+#: More digests of several pages than this are joined by a shuffle; then a digest of more than HOT_PAGES pages (and a ten-thousandth of all) is split.
+BROADCAST_DIGESTS = 200_000
+HOT_PAGES = 1000
 MAGIC = b"\x1f\x8b\x08"
 NEWLINE = b"\r\n"
 
@@ -66,32 +73,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (page_id, url, html) as WARC files into folder; the manifest: path, bytes, records.
-
-    What goes through the shuffle is compressed already; revisits are decided by digest and length, not by payload.
-    """
-
-    def prepare(batches):
-        for batch in batches:
-            ids, urls, texts = (batch.column(k).to_pylist() for k in range(3))
-            out: list[list] = [[], [], [], [], []]
-            for page_id, url, text in zip(ids, urls, texts, strict=True):
-                payload = (text or "").encode()
-                digest = hashlib.sha1(payload).hexdigest()
-                for column, value in zip(out, (page_id, url, digest, len(payload), gzip_member(record(page_id, url, payload, digest, len(payload), None))), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["page_id", "url", "digest", "size", "member"])
+    """Writes pages (page_id, url, html) as WARC files into folder; the manifest: path, bytes, records."""
 
     def store(batches):
         files, path = None, f"{folder}/part-{uuid.uuid4().hex}"
         held, written, records, number = None, 0, 0, 0
         for batch in batches:
-            for page_id, url, digest, size, member, refers_to in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for page_id, url, text, digest, size, refers_to in zip(*(batch.column(k) for k in range(6)), strict=True):
+                page_id, url, digest, size, refers_to = (x.as_py() for x in (page_id, url, digest, size, refers_to))
                 if held is None:
                     files, at = open_store(f"{path}-{number:04d}.warc.gz")
                     held = files.open_output_stream(at, compression=None)
-                data = member if refers_to is None else gzip_member(record(page_id, url, b"", digest, size, refers_to))
+                payload = b"" if refers_to is not None else (text.as_py() or "").encode()
+                data = gzip_member(record(page_id, url, payload, digest, size, refers_to))
                 held.write(data)
                 written, records = written + len(data), records + 1
                 if written >= FILE_BYTES:
@@ -102,17 +96,28 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             held.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{path}-{number:04d}.warc.gz"], "bytes": [written], "records": [records]})
 
-    pages = pages.select("page_id", "url", "html")
     html = F.coalesce("html", F.lit(""))
-    keys = pages.filter(F.octet_length(html) >= LEAST_REVISIT_BYTES).select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("same_digest"), F.octet_length(html).cast("long").alias("same_size"))
-    copies = keys.groupBy("same_digest", "same_size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = pages.mapInArrow(prepare, "page_id long, url string, digest string, size long, member binary")
-    joined = members.join(copies, (F.col("digest") == F.col("same_digest")) & (F.col("size") == F.col("same_size")), "left")
+    pages = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    copies = pages.filter(F.col("size") >= LEAST_REVISIT_BYTES).groupBy(F.col("digest").alias("same_digest"), F.col("size").alias("same_size"))
+    copies = checkpoint(copies.agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"))
+    same = (F.col("digest") == F.col("same_digest")) & (F.col("size") == F.col("same_size"))
+    n_digests, n_copies = copies.agg(F.count("*"), F.sum("n")).first()
+    if n_digests <= BROADCAST_DIGESTS:
+        joined = pages.join(F.broadcast(copies), same, "left")
+    else:
+        most = max(HOT_PAGES, n_copies // 10_000)
+        salts = F.ceil(F.col("n") / most).cast("int")
+        hot = F.broadcast(copies.filter(F.col("n") > most).select(F.col("same_digest").alias("hot_digest"), salts.alias("salts")))
+        salted = pages.join(hot, F.col("digest") == F.col("hot_digest"), "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
+        spread = copies.withColumn("salt_of", F.explode(F.sequence(F.lit(0), salts - 1)))
+        joined = salted.join(spread, same & (F.col("salt") == F.col("salt_of")), "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    # what the record of a revisit doesn't hold isn't handed to Python
+    text = F.when(refers_to.isNull(), F.col("html"))
     files, at = open_store(folder)
     files.create_dir(at, recursive=True)
     manifest = f"{folder}/_manifest.parquet"
-    joined.select("page_id", "url", "digest", "size", "member", refers_to.alias("refers_to")).mapInArrow(store, "path string, bytes long, records long").write.parquet(manifest)
+    joined.select("page_id", "url", text.alias("html"), "digest", "size", refers_to.alias("refers_to")).mapInArrow(store, "path string, bytes long, records long").write.parquet(manifest)
     return pages.sparkSession.read.parquet(manifest)
 
 
@@ -202,7 +207,10 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     splits = files.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
-    splits = splits.repartition(F.col("path"), F.col("start"))
+    n_files, n_bytes = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n_splits = n_files + n_bytes // split_bytes
+    n_tasks = min(n_splits, max(4 * files.sparkSession.sparkContext.defaultParallelism, n_bytes // TASK_BYTES))
+    splits = splits.repartition(max(1, n_tasks), "path", "start")
     return splits.mapInArrow(run, "path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary")
 
 
