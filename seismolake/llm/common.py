@@ -50,6 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+#: A key of more rows than this (and than a ten-thousandth of all) is split over several tasks by split_join.
+HOT_ROWS = 1000
+
+
+def split_join(rows: DataFrame, table: DataFrame, left: str, right: str, size: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with table on left = right, with keys of very many rows split by a hash of the column `by`. table has one row a key, which says in `size` how many rows have the key.
+
+    At most ten thousand keys have more than a ten-thousandth of the rows, so the list of hot keys that is broadcast is small at any size.
+    """
+    most = max(HOT_ROWS, (table.agg(F.sum(size)).first()[0] or 0) // 10_000)
+    hot = F.broadcast(table.filter(F.col(size) > most).select(F.col(right).alias("hot_key_"), F.ceil(F.col(size) / most).cast("int").alias("salts_")))
+    rows = rows.join(hot, F.col(left) == F.col("hot_key_"), "left").withColumn("salt_", F.pmod(F.xxhash64(by), F.coalesce("salts_", F.lit(1))).cast("int")).drop("hot_key_", "salts_")
+    table = table.withColumn("salt_of_", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col(size) > most, F.ceil(F.col(size) / most)).otherwise(1)).cast("int") - 1)))
+    return rows.join(table, (F.col(left) == F.col(right)) & (F.col("salt_") == F.col("salt_of_")), how).drop("salt_", "salt_of_")
+
+
 #: The columns of documents that stages know; others are carried through.
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import split_join, written
 
 #: Edges that a task contracts at once.
 GATHER = 1_000_000
@@ -60,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = contracted(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = nodes.select("node", F.col("node").alias("group"))
+    labels = written(nodes.select("node", F.col("node").alias("group")), "components")
     turn = 0
     while not edges.isEmpty():
         turn += 1
@@ -77,5 +77,5 @@ def components(edges: DataFrame) -> DataFrame:
         end = lambda side: hook.select(F.col("of").alias(f"of_{side}"), F.col("to").alias(f"to_{side}"))
         moved = edges.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).filter("to_a <> to_b")
         edges = contracted(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    least = labels.groupBy(F.col("group").alias("of_group")).agg(F.min("node").alias("component"))
-    return labels.join(least, F.col("group") == F.col("of_group")).select("node", "component")
+    least = written(labels.groupBy(F.col("group").alias("of_group")).agg(F.min("node").alias("component"), F.count("*").alias("size")), "components")
+    return split_join(labels, least, "group", "of_group", "size", "node").select("node", "component")

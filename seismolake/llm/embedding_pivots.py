@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, written
+from .common import checkpoint, split_join, table, written
 from .components import components
 
 COSINE = 0.9
@@ -265,8 +265,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     links = found.groupBy(F.col("key").alias("of_key")).agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "least_id", "weight").join(label, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
-    least = named.groupBy(F.col("group").alias("of_group")).agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, F.col("group") == F.col("of_group")).join(links, F.col("key") == F.col("of_key"), "left")
+    named = checkpoint(named)
+    least = checkpoint(named.groupBy(F.col("group").alias("of_group")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")))
+    named = split_join(named, least, "group", "of_group", "members", "key").join(links, F.col("key") == F.col("of_key"), "left")
     named = named.select(F.col("key").alias("known_key"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("vec_id", key.alias("key")).join(named, F.col("key") == F.col("known_key"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sheltered, table, text_bytes
+from .common import checkpoint, sheltered, split_join, table, text_bytes
 from .components import components
 from .shingles import BITS, set_keys, shingle_sets, shingle_steps
 
@@ -36,8 +36,6 @@ GATHER = 400_000
 MOST_SEEN = 500_000
 #: Bytes of text of which one fragment holds the n-grams, about.
 PART_BYTES = 8 << 20
-#: An n-gram that stands in more prefixes than this (and than a ten-thousandth of all) is split over several tasks.
-HOT_ROWS = 1000
 LEADERS = 2
 
 
@@ -290,14 +288,8 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """set_key and component (a set's key) of sets that link with others."""
     grams = checkpoint(prefixes(sets, percent))
     by_gram = checkpoint(grams.groupBy("gram").agg(F.max(F.struct("common", "set_key", "n", "place")).alias("lead"), F.count("*").alias("size")).filter("size > 1"))
-    # at most ten thousand n-grams stand in more than a ten-thousandth of the rows, so this list is small at any size
-    most = max(HOT_ROWS, (by_gram.agg(F.sum("size")).first()[0] or 0) // 10_000)
-    hot = F.broadcast(by_gram.filter(F.col("size") > most).select(F.col("gram").alias("hot_gram"), F.ceil(F.col("size") / most).cast("int").alias("salts")))
-    salted = lambda rows: rows.join(hot, F.col("gram") == F.col("hot_gram"), "left").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("hot_gram", "salts")
-    spread = lambda rows: rows.join(hot, F.col("of") == F.col("hot_gram"), "left").withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hot_gram", "salts")
-    same = (F.col("gram") == F.col("of")) & (F.col("salt") == F.col("salt_of"))
-    lead = spread(by_gram.select(F.col("gram").alias("of"), F.col("lead.set_key").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.place").alias("place_b")))
-    led = salted(grams).join(lead, same).filter("set_key <> b").withColumnsRenamed({"set_key": "a", "n": "n_a", "place": "place_a"})
+    lead = by_gram.select(F.col("gram").alias("of"), "size", F.col("lead.set_key").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.place").alias("place_b"))
+    led = split_join(grams, lead, "gram", "of", "size", "set_key").filter("set_key <> b").withColumnsRenamed({"set_key": "a", "n": "n_a", "place": "place_a"})
     led = led.filter(room(percent)).groupBy("a", "b").agg(F.count("*").alias("votes"))
     ranked = led.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).filter(F.col("rank") <= LEADERS)
     first = links(ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
@@ -305,8 +297,9 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     label = components(first).withColumnsRenamed({"node": "of_key"})
     marked = grams.join(label, F.col("set_key") == F.col("of_key"), "left").withColumn("group", F.coalesce("component", "set_key")).drop("of_key", "component", "common")
     marked = checkpoint(marked)
-    mixed = marked.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(F.col("gram").alias("of"))
-    marked = salted(marked).join(spread(mixed), same, "left_semi").drop("salt")
+    mixed = marked.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    mixed = checkpoint(mixed.select(F.col("gram").alias("of"), "size"))
+    marked = split_join(marked, mixed, "gram", "of", "size", "set_key", "left_semi")
     side = lambda x: marked.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("set_key", "n", "place", "group")))
     rest = side("a").join(side("b").withColumnRenamed("gram", "gram_b"), F.expr(f"gram = gram_b AND group_a <> group_b AND set_key_a < set_key_b AND {room(percent)}"))
     second = links(rest.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct(), sets, percent)
@@ -322,9 +315,10 @@ def similar_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     linked = set_components(sets, percent).withColumnsRenamed({"set_key": "of_key"})
     least = member.filter("n_shingles > 0").groupBy(F.col("set_key").alias("own_key")).agg(F.min("row_id").alias("least_id"), F.count("*").alias("copies"))
     least = least.join(linked, F.col("own_key") == F.col("of_key"), "left").withColumn("group", F.coalesce("component", "own_key"))
-    by_group = least.groupBy(F.col("group").alias("of_group")).agg(F.min("least_id").alias("group_id"), F.sum("copies").alias("rows"))
-    by_group = by_group.filter("rows > 1")
-    ids = least.join(by_group, F.col("group") == F.col("of_group")).select("own_key", "group_id")
+    least = checkpoint(least.select("own_key", "group", "least_id", "copies"))
+    by_group = least.groupBy(F.col("group").alias("of_group")).agg(F.min("least_id").alias("group_id"), F.sum("copies").alias("rows"), F.count("*").alias("size"))
+    by_group = checkpoint(by_group.filter("rows > 1"))
+    ids = split_join(least, by_group, "group", "of_group", "size", "own_key").select("own_key", "group_id")
     out = member.join(ids, (F.col("set_key") == F.col("own_key")) & (F.col("n_shingles") > 0), "left")
     return out.select("row_id", "n_shingles", F.coalesce("group_id", "row_id").alias("component_id"))
 

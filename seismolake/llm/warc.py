@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_dir, table
+from .common import checkpoint, fresh_dir, split_join, table
 
 LEAST_REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
@@ -33,9 +33,8 @@ READ_BYTES = 1 << 20
 LEVEL = 3
 #: Bytes of archives that a reading task takes, about.
 TASK_BYTES = 64 << 20
-#: More digests of several pages than this are joined by a shuffle; then a digest of more than HOT_PAGES pages (and a ten-thousandth of all) is split.
+#: More digests of several pages than this are joined by a shuffle, in which digests of very many pages are split.
 BROADCAST_DIGESTS = 200_000
-HOT_PAGES = 1000
 MAGIC = b"\x1f\x8b\x08"
 NEWLINE = b"\r\n"
 
@@ -100,17 +99,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     pages = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     copies = pages.filter(F.col("size") >= LEAST_REVISIT_BYTES).groupBy(F.col("digest").alias("same_digest"), F.col("size").alias("same_size"))
     copies = checkpoint(copies.agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"))
-    same = (F.col("digest") == F.col("same_digest")) & (F.col("size") == F.col("same_size"))
-    n_digests, n_copies = copies.agg(F.count("*"), F.sum("n")).first()
-    if n_digests <= BROADCAST_DIGESTS:
-        joined = pages.join(F.broadcast(copies), same, "left")
+    # a SHA-1 digest and a length as one key
+    copies, key = copies.withColumn("same", F.concat_ws(":", "same_digest", "same_size")).drop("same_digest", "same_size"), F.concat_ws(":", "digest", "size")
+    if copies.count() <= BROADCAST_DIGESTS:
+        joined = pages.join(F.broadcast(copies), key == F.col("same"), "left")
     else:
-        most = max(HOT_PAGES, n_copies // 10_000)
-        salts = F.ceil(F.col("n") / most).cast("int")
-        hot = F.broadcast(copies.filter(F.col("n") > most).select(F.col("same_digest").alias("hot_digest"), salts.alias("salts")))
-        salted = pages.join(hot, F.col("digest") == F.col("hot_digest"), "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
-        spread = copies.withColumn("salt_of", F.explode(F.sequence(F.lit(0), salts - 1)))
-        joined = salted.join(spread, same & (F.col("salt") == F.col("salt_of")), "left")
+        joined = split_join(pages.withColumn("key", key), copies, "key", "same", "n", "page_id", "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     # what the record of a revisit doesn't hold isn't handed to Python
     text = F.when(refers_to.isNull(), F.col("html"))

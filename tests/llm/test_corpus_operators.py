@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from seismolake.llm import components as components_module
-from seismolake.llm import embedding_pivots, ngram_join, packing, sentencepiece_fst, suffix_dedup
+from seismolake.llm import common, embedding_pivots, ngram_join, packing, sentencepiece_fst, suffix_dedup
 from seismolake.llm.components import components
 
 from tests.llm.test_text_operators import ODD
@@ -80,8 +80,10 @@ def brute_join(rows, size, percent):
     return sets, groups(links, sets)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_ngram_join_matches_brute_force(docs, rows, size, percent):
+@pytest.mark.parametrize(("size", "percent", "hot_rows"), [(4, 85, 1000), (5, 80, 1)])
+def test_ngram_join_matches_brute_force(docs, rows, size, percent, hot_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(ngram_join, "PART_BYTES", 1000 * hot_rows)
     sets, want = brute_join(rows, size, percent)
     got = {r.row_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs, size=size, percent=percent).collect()}
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}

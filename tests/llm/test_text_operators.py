@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from seismolake.llm import chat, licenses, pii, quality, warc
+from seismolake.llm import chat, common, licenses, pii, quality, warc
 
 ODD = [
     None, "", " ", "\n\n", "a", "word " * 60, "x" * 30000, "é ü ß\n" * 4, "one two three four five six seven eight nine " * 3,
@@ -226,8 +226,10 @@ def test_chat_rotation(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-@pytest.mark.parametrize("split", [100, 1000, 1 << 20])
-def test_warc_round_trip(spark, split):
+@pytest.mark.parametrize(("split", "broadcast"), [(100, 0), (1000, 100), (1 << 20, 0)])
+def test_warc_round_trip(spark, split, broadcast, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     big = "ü" * 700
     rows = [(1, "http://a", "x" * 1500), (2, None, None), (3, "u\r\nX: y", big), (9, "v", big), (7, "w", big), (5, "s", "short"), (6, "s", "short"), (None, "n", "\x1f\x8b\x08 WARC/1.0")]
     folder = warc.fresh_dir(spark, "warc")
