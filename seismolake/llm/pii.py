@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sheltered, table, written as kept_table
+from .common import checkpoint, sheltered, split_join, table
+from .common import written as kept_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The loops are possessive, which changes no match and keeps Java's matcher from recursing on long texts; the look-behinds skip starts that can't match.
@@ -116,12 +117,14 @@ def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
 def disclosing_terms(known: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """entity, term, n_entity, n_term, n_both, ic, pmi, removed for the terms that disclose an entity, from the evidence of texts."""
     n = known.agg(F.count("*").alias("n_docs"))
-    own = known.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    all_terms = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    own = known.select(F.explode("entities").alias("of_entity")).groupBy("of_entity").agg(F.count("*").alias("n_entity"))
+    own = kept_table(own.filter(F.col("n_entity") >= support), "entities")
+    all_terms = kept_table(known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
     sizes = n.crossJoin(all_terms.agg(F.count("*").alias("n_terms"))).crossJoin(own.agg(F.count("*").alias("n_entities")))
-    marked = known.filter(F.size("entities") > 0).select("terms", F.explode("entities").alias("entity")).join(own.select("entity"), "entity", "left_semi")
-    both = marked.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    found = both.join(own, "entity").join(all_terms.filter(F.col("n_term") >= support), "term").crossJoin(F.broadcast(sizes))
+    marked = known.filter(F.size("entities") > 0).select("text_key", "terms", F.explode("entities").alias("entity"))
+    marked = split_join(marked, own, "entity", "of_entity", "n_entity", "text_key").drop("of_entity")
+    both = marked.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    found = both.join(all_terms.filter(F.col("n_term") >= support), "term").crossJoin(F.broadcast(sizes))
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
     pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
     found = found.withColumn("ic", ic).withColumn("pmi", pmi)
