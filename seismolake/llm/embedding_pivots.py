@@ -78,8 +78,8 @@ def pivots_of(vectors: DataFrame) -> np.ndarray:
     return sample[out] if out else np.ones((1, size))
 
 
-def described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """key, weight, vector (bytes of doubles) and near: the numbers of the nearest pivots, nearest first."""
+def described(vectors: DataFrame, pivots: np.ndarray, item: str) -> DataFrame:
+    """key, weight, vector (bytes, of floats where all are) and near: the numbers of the nearest pivots, nearest first."""
     n_near = min(NEAREST, len(pivots))
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
     names = ["key", "weight", "vector", "near"]
@@ -98,7 +98,7 @@ def described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                 near = np.argpartition(score, n_near - 1, axis=1)[:, :n_near]
                 near = np.sort(near, axis=1)
                 near = np.take_along_axis(near, np.argsort(np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array([v.tobytes() for v in near], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.astype(item).tobytes() for v in raw], pa.binary()), pa.array([v.tobytes() for v in near], pa.binary())], names=names)
 
     return written(vectors.select("key", "weight", "vector").mapInArrow(run, "key long, weight long, vector binary, near binary"), "permutations")
 
@@ -187,7 +187,7 @@ def meetings(edge: np.ndarray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
 
 
-def compare(rows: DataFrame, n_pivots: int, cosine: float) -> DataFrame:
+def compare(rows: DataFrame, n_pivots: int, cosine: float, item: str) -> DataFrame:
     """key, links (weight of the linked vectors found here) and root (a key that links reach here, or null)."""
 
     n_near = min(NEAREST, n_pivots)
@@ -214,7 +214,7 @@ def compare(rows: DataFrame, n_pivots: int, cosine: float) -> DataFrame:
                 x, y = i[c : c + VERIFIED], j[c : c + VERIFIED]
                 for size in np.unique(length[x]).tolist():
                     own = length[x] == size
-                    left, right = (np.frombuffer(b"".join(vectors[k] for k in z[own]), np.float64).reshape(-1, size // 8) for z in (x, y))
+                    left, right = (np.frombuffer(b"".join(vectors[k] for k in z[own]), item).astype(np.float64).reshape(len(z[own]), -1) for z in (x, y))
                     dot = lambda u, v: np.einsum("ij,ij->i", u, v)
                     held = dot(left, right) / np.sqrt(dot(left, left)) / np.sqrt(dot(right, right)) >= cosine
                     found.append(np.stack([x[own][held], y[own][held]]))
@@ -244,7 +244,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes = rows.filter(valid("vector")).groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     classes = checkpoint(classes.withColumn("key", F.xxhash64("vector")))
     pivots = pivots_of(classes)
-    known = described(classes, pivots)
+    # doubles that came from floats are floats again without loss
+    item = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
+    known = described(classes, pivots, item)
     count = lambda rows: rows.groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = checkpoint(count(lists(known, len(pivots), np.zeros(0, np.int64), [])))
     deep = np.array([r[0] for r in sizes.filter(F.col("size") > LONG_LIST).select("list").collect()] if len(pivots) > 2 else [], np.int64)
@@ -261,7 +263,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     entries = entries.select("list", low.alias("low"), high.alias("high"), (F.col("own") == high).cast("int").alias("side"), "key", "weight", "vector", "near")
     n_tasks = max(1, -(-total // TASK_ROWS), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = entries.withColumn("task", F.pmod(F.xxhash64("list", "low", "high"), F.lit(n_tasks)).cast("int")).repartition(n_tasks, "task")
-    found = checkpoint(compare(entries, len(pivots), cosine))
+    found = checkpoint(compare(entries, len(pivots), cosine, item))
     links = found.groupBy(F.col("key").alias("of_key")).agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "least_id", "weight").join(label, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
