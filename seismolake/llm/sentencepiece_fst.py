@@ -1,21 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model is compiled once per worker into a normaliser, piece arcs and byte arcs. A text is composed with them segment by segment (no piece holds
-a space mark after another character, so such places part the text for certain), which gives a lattice of pieces; its shortest path in the
-tropical semiring is the encoding.
+The model is compiled once per worker into a normaliser (its character map as arcs over a trie, and its rules for white space), piece arcs and byte arcs. A text is composed with
+them segment by segment (no piece holds a space mark after another character, so such places part the text for certain), which gives a lattice whose arcs are weighted in the tropical
+semiring. The encoding is the lattice's shortest path, found best first: of the arcs with the least cost the one that reaches furthest comes next.
 
 * Unigram models: an arc weighs minus the piece's score.
 * BPE models: a path is the encoding exactly if every two neighbours, taken together, are encoded as these two. So an arc weighs 0 after a
-  piece it agrees with and infinity after any other, and agreement is found by merging the two pieces' characters, once per pair. The encoding of each
+  piece it agrees with and infinity after any other. Agreement is found by merging the two pieces' characters, once per pair, and only when an arc's turn comes. The encoding of each
   prefix is unique, so one state per place is enough.
 
-A character without a piece takes its byte pieces, or the unknown piece where a model has none. Decoding concatenates the pieces' bytes; it gives
-back the text, but that U+2581 comes back as a space. Models must have the identity normaliser; others are refused. A null text is empty and has no ids; an empty
-table gives an empty table; repeated rows are encoded one by one.
+A character without a piece takes its byte pieces, or the unknown piece where a model has none. Decoding concatenates the pieces' bytes; with the identity normaliser it gives
+back the text, but that U+2581 comes back as a space. Models that mark white space at the end of words or don't escape it are refused. A null text is empty and has no ids; an empty
+table gives an empty table; repeated rows are encoded one by one; other columns are carried through, those that clash with a result's are replaced. A very long text is worked on as a whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -65,13 +66,64 @@ def fields(data: bytes) -> list[tuple[int, int | bytes]]:
     return out
 
 
+class Normaliser:
+    """The model's character map and white space rules. The map is a double-array trie; it is read into arcs from (state, byte) to state, and replacements by state."""
+
+    def __init__(self, spec: dict[int, int | bytes]):
+        self.squeeze = bool(spec.get(4, 1))
+        self.next: dict[tuple[int, int], int] = {}
+        self.gives: dict[int, str] = {}
+        data = spec.get(2, b"")
+        if data:
+            size = int.from_bytes(data[:4], "little")
+            units, texts = np.frombuffer(data, "<u4", size // 4, 4).tolist(), data[4 + size :]
+            base = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+            todo = [(0, 0)]  # state of the map here, place in the array
+            n_states = 1
+            while todo:
+                state, at = todo.pop()
+                down = at ^ base(units[at])
+                if units[at] >> 8 & 1:
+                    start = units[down] & 0x7FFFFFFF
+                    self.gives[state] = texts[start : texts.index(b"\0", start)].decode()
+                for byte in range(1, 256):
+                    child = down ^ byte
+                    if child < len(units) and units[child] & 0x800000FF == byte:
+                        self.next[state, byte] = n_states
+                        todo.append((n_states, child))
+                        n_states += 1
+        self.identity = not data and not self.squeeze
+
+    def mapped(self, text: str) -> str:
+        """The text with the longest matches of the character map replaced, from the left."""
+        raw, out, at = text.encode(), [], 0
+        while at < len(raw):
+            state, end, found, got = 0, at, -1, ""
+            while end < len(raw) and (state := self.next.get((state, raw[end]), -1)) >= 0:
+                end += 1
+                if state in self.gives:
+                    found, got = end, self.gives[state]
+            if found < 0:
+                found = at + 1
+                while found < len(raw) and raw[found] & 0xC0 == 0x80:
+                    found += 1
+                got = raw[at:found].decode()
+            out.append(got)
+            at = found
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text) if self.next else text
+        return re.sub(" +", " ", text.lstrip(" ").rstrip(" " + SPACE_MARK)) if self.squeeze else text
+
+
 class Transducer:
     def __init__(self, model: bytes):
         top = fields(model)
-        trainer = dict(fields(next((v for k, v in top if k == 2), b"")))
-        normaliser = dict(fields(next((v for k, v in top if k == 3), b"")))
-        if normaliser.get(2) or normaliser.get(4, 1):
-            raise ValueError("only models with the identity normaliser, which keep all white space, are supported")
+        trainer, normaliser = (dict(f for k, v in top if k == part for f in fields(v)) for part in (2, 3))
+        if trainer.get(24) or not normaliser.get(5, 1):
+            raise ValueError("models must mark white space at the start of words and escape it")
+        self.normalise = Normaliser(normaliser)
         self.kind, self.prefix = trainer.get(3, UNIGRAM), bool(normaliser.get(3, 1))
         self.pieces, self.byte_ids, self.unknown, self.out = {}, [0] * 256, 0, []
         lowest = 0.0
@@ -124,60 +176,44 @@ class Transducer:
             got = self.agreeing[key] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
-    def agreeing_path(self, segment: str) -> list[str]:
-        """The one path of finite weight: longest pieces first. A place that led nowhere is not tried again, as the way to each place is unique."""
-        n, pieces, starts = len(segment), self.pieces, self.starts
-        out, ids, dead, choices = [], [], set(), []
-        at = 0
+    def path(self, segment: str) -> list[tuple[str, int]]:
+        """Pieces and their ids (-1 where there is no piece) on the shortest path through a segment's lattice, in the tropical semiring.
+
+        Arcs wait with the least cost that they can have; an arc is weighed when its turn comes, and a place is settled by the first arc of finite weight that reaches it.
+        """
+        n, pieces, starts, bpe = len(segment), self.pieces, self.starts, self.kind == BPE
+        came: list[tuple[int, str, int] | None] = [None] * (n + 1)
+        waiting: list[tuple[float, int, int]] = []
+        at, cost = 0, 0.0
         while at < n:
-            if len(choices) == len(out):
-                end, found = at + 1, [at + 1]
-                while end < n and segment[at : end + 1] in starts:
-                    end += 1
-                    if segment[at:end] in pieces:
-                        found.append(end)
-                choices.append(found)
-            left, left_id = (out[-1], ids[-1]) if out else ("", -2)
-            found = choices[-1]
-            while found:
-                end = found.pop()
-                if end in dead:
+            end = at + 1
+            while True:
+                known = pieces.get(segment[at:end])
+                if known is not None or end == at + 1:
+                    if came[end] is None:
+                        heapq.heappush(waiting, (cost + (0.0 if bpe else self.unknown_cost if known is None else -known[1]), -end, at))
+                if end == n or segment[at : end + 1] not in starts:
+                    break
+                end += 1
+            while True:
+                cost, end, start = heapq.heappop(waiting)
+                end = -end
+                if came[end] is not None:
                     continue
-                piece = segment[at:end]
+                piece = segment[start:end]
                 known = pieces.get(piece)
+                before = came[start]
                 # a neighbour without a piece merges with nothing, so the right one stands by itself
-                if known is None or self.agree("" if left_id == -1 else left, -2 if left_id == -1 else left_id, piece, known[0]):
-                    out.append(piece)
-                    ids.append(-1 if known is None else known[0])
+                left, left_id = ("", -2) if before is None or before[2] == -1 else before[1:]
+                if not bpe or known is None or self.agree(left, left_id, piece, known[0]):
+                    came[end] = (start, piece, -1 if known is None else known[0])
                     at = end
                     break
-            else:
-                dead.add(at)
-                choices.pop()
-                ids.pop()
-                at -= len(out.pop())
-        return out
-
-    def path(self, segment: str) -> list[str]:
-        """The pieces on the shortest path through a segment's lattice."""
-        if self.kind == BPE:
-            return self.agreeing_path(segment)
-        n, longest, pieces = len(segment), self.longest, self.pieces
-        cost: list[float] = [0.0] + [np.inf] * n
-        last: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = segment[start:end]
-                known = pieces.get(piece)
-                if known is None and start < end - 1:
-                    continue
-                weight = cost[start] - known[1] if known else cost[start] + self.unknown_cost
-                if weight < cost[end]:
-                    cost[end], last[end] = weight, piece
-        out, at = [], n
+        out = []
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            start, piece, number = came[at]
+            out.append((piece, number))
+            at = start
         return out[::-1]
 
     def ids(self, segment: str) -> list[int]:
@@ -199,10 +235,9 @@ class Transducer:
 
     def path_ids(self, segment: str) -> list[int]:
         out = []
-        for piece in self.path(segment):
-            known = self.pieces.get(piece)
-            if known:
-                out.append(known[0])
+        for piece, number in self.path(segment):
+            if number >= 0:
+                out.append(number)
             elif self.bytes_from >= 0:
                 out += [self.byte_ids[b] for b in piece.encode()]
             elif not out or out[-1] != self.unknown:
@@ -211,6 +246,8 @@ class Transducer:
 
     def segments(self, text: str) -> list[str]:
         """Keys of a text's segments: a line end and what follows it, or what follows a space mark (kept only where there are several)."""
+        if not self.normalise.identity:
+            text = self.normalise(text)
         if not text:
             return []
         if self.prefix and SPACE_MARK not in text:

@@ -164,23 +164,47 @@ def test_sentencepiece_equals_the_library(spark, docs, rows):
     assert [machine.encode(x) for x in extra] == [library.encode(x) for x in extra]
 
 
-def test_unigram_shortest_path_equals_the_library(rows):
-    """The same pieces read as a unigram model, which is what their type field says after this change."""
+def model_with(kind, rules, squeeze=0):
+    """The given model, declared as of another kind, and with the normaliser of another rule name."""
     import sentencepiece
 
     model = sentencepiece_fst.model_bytes(packing.vocabulary_path(sentencepiece_fst.MODEL))
     trainer = next(v for k, v in sentencepiece_fst.fields(model) if k == 2)
     at = model.index(trainer)
     assert trainer.count(b"\x18\x02") == 1
-    model = model[:at] + trainer.replace(b"\x18\x02", b"\x18\x01") + model[at + len(trainer) :]
+    model = model[:at] + trainer.replace(b"\x18\x02", b"\x18" + bytes([kind])) + model[at + len(trainer) :]
+    return model + sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto() + b"\x1a\x02\x20" + bytes([squeeze]) if rules else model
+
+
+def test_unigram_shortest_path_equals_the_library(rows):
+    """The same pieces read as a unigram model, which is what their type field says after this change."""
+    import sentencepiece
+
+    model = model_with(1, None)
     library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model)
-    texts = [t or "" for _, t in rows[:40] + rows[-30:] if len(t or "") < 3000]
     cost = lambda ids: sum(library.get_score(i) for i in ids)
-    for t in texts:
+    for t in [t or "" for _, t in rows[:40] + rows[-30:]]:
         got, want = machine.encode(t), library.encode(t)
         assert got == want or abs(cost(got) - cost(want)) < 1e-3 * abs(cost(want)), t[:50]
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize(("rules", "squeeze"), [("nmt_nfkc", 0), ("nmt_nfkc", 1), ("nmt_nfkc_cf", 1), ("nfkc", 1)])
+def test_compiled_normaliser_equals_the_library(rows, kind, rules, squeeze):
+    import sentencepiece
+
+    model = model_with(kind, rules, squeeze)
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model)
+    rng = random.Random(11)
+    pool = "abcXYZ  \t\n\u00a0\u3000\u200b\u0301é½ﬁÅ㌀ＡＢ１㍿ｶﾞ①…ß🙂日本語▁"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(400)] + [t or "" for _, t in rows[:15] + rows[-40:]]
+    cost = lambda ids: sum(library.get_score(i) for i in ids)
+    for t in texts:
+        assert machine.normalise(t) == library.normalize(t).replace("▁", " ").removeprefix(" ") or "▁" in t, t[:60]
+        got, want = machine.encode(t), library.encode(t)
+        assert got == want or (kind == 1 and abs(cost(got) - cost(want)) < 1e-3 * abs(cost(want))), t[:60]
+
+
 def test_packing_holds_every_id_once(spark, docs, rows):
     from tokenizers import Tokenizer
 
@@ -213,8 +237,8 @@ def test_cuts(total):
     assert sum(n for n, _ in got) == total and all(n * j <= 4096 for n, j in got)
 
 
-@pytest.mark.parametrize(("size", "long_list"), [(24, 4096), (64, 4096), (64, 30)])
-def test_pivot_index_recall_by_bands_of_the_cosine(spark, size, long_list, monkeypatch):
+@pytest.mark.parametrize(("size", "long_list", "kind"), [(24, 4096, "double"), (64, 4096, "float"), (64, 30, "double")])
+def test_pivot_index_recall_by_bands_of_the_cosine(spark, size, long_list, kind, monkeypatch):
     monkeypatch.setattr(embedding_pivots, "LONG_LIST", long_list)
     rng = np.random.default_rng(9)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
@@ -225,11 +249,10 @@ def test_pivot_index_recall_by_bands_of_the_cosine(spark, size, long_list, monke
     c = low + rng.random(1600) * (np.repeat([0.91, 0.93, 0.96, 1.0], 400) - low)
     v = c[:, None] * u + np.sqrt(1 - c * c)[:, None] * w
     rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([u, v, rng.normal(size=(3000, size))]))]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
     got = {r.vec_id: r for r in embedding_pivots.near_duplicates(df).collect()}
     found = np.array([got[i].component_id == got[1600 + i].component_id for i in range(1600)]).reshape(4, 400).mean(1)
     assert (found >= 0.9).all(), found
-    print(found)
 
 
 @pytest.mark.parametrize("long_list", [4096, 30])
