@@ -6,7 +6,7 @@ the hosts' verdicts are joined back to the documents. A document stays if it pas
 rate is at most `worst_rate`.
 
 Nulls: a null text has no words and so fails; a null host is a host of its own. An empty table gives an empty table.
-Repeated rows are judged and counted one by one. Columns beside the named ones are carried through; those whose names clash
+Repeated rows are judged and counted one by one; ties in a text (equal lines) count from the second on. A very long text is measured as a whole. Columns beside the named ones are carried through; those whose names clash
 with a result's are replaced.
 """
 
@@ -16,17 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import SPACE, checkpoint, sheltered, span_hashes, steps, table, text_bytes, window_hashes, words
+from .common import SPACE, checkpoint, sheltered, span_hashes, split_join, steps, table, text_bytes, window_hashes, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 #: A host is refused if more than this part of its documents would fail, after shrinkage.
 WORST_RATE = 0.75
-#: More hosts than this are joined by a salted shuffle instead of a broadcast.
+#: More hosts than this are joined by a shuffle instead of a broadcast.
 BROADCAST_HOSTS = 100_000
-SALTS = 16
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -112,28 +112,30 @@ def host_verdicts(rows: DataFrame, host: str = "source", worst_rate: float = WOR
 
 
 def with_verdicts(rows: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """rows with their host's columns, and kept. Few hosts are broadcast; many are joined with every host split over SALTS keys."""
+    """rows with their host's columns, and kept. Few hosts are broadcast; many are joined with large hosts split over several tasks."""
     held = checkpoint(hosts)
     rows = rows.drop(*(c for c in held.columns if c != host and c in rows.columns), "kept")
-    same = F.col(host).eqNullSafe(F.col("host"))
     if held.count() <= BROADCAST_HOSTS:
-        out = rows.join(F.broadcast(held), same, "left")
+        out = rows.join(F.broadcast(held), F.col(host).eqNullSafe(F.col("host")), "left")
     else:
-        salted = rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
-        spread = held.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = salted.join(spread, same & (F.col("salt") == F.col("salt_of")), "left").drop("salt", "salt_of")
+        # a null host is one, too; rows of one host are dealt by all that they hold of plain columns
+        plain = [f.name for f in rows.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+        rows = rows.withColumns({"host_key": F.to_json(F.struct(F.col(host).alias("h"))), "row_hash": F.xxhash64(*(f"`{c}`" for c in plain))})
+        held = held.withColumn("of_key", F.to_json(F.struct(F.col("host").alias("h"))))
+        out = split_join(rows, held, "host_key", "of_key", "host_docs", "row_hash", "left").drop("host_key", "row_hash", "of_key")
     return out.drop("host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """docs with their counts, base_failed, their host's figures, and kept."""
-    hosts = host_verdicts(measured(docs.select(F.col(text).alias("text"), F.col(host).alias("host_of"))), "host_of")
-    return with_verdicts(measured(docs, text), hosts, host)
+def judge(docs: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
+    """docs (without their text if it isn't to be kept) with their counts, base_failed, their host's figures, and kept. Texts are measured once; the counts are a table that both the hosts' rates and the result read."""
+    rows = measured(docs, text)
+    rows = written(rows if keep_text else rows.drop(text), "measured")
+    return with_verdicts(rows, host_verdicts(rows, host), host)
 
 
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "source", "host_docs", "host_failures", F.round("host_rate", 9).alias("host_rate"))
+    return judge(docs, keep_text=False).select("doc_id", *COUNTS, "base_failed", "kept", "source", "host_docs", "host_failures", F.round("host_rate", 9).alias("host_rate"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
