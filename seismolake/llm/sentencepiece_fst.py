@@ -150,7 +150,12 @@ class Transducer:
         self.size, self.agreeing = len(self.out), {}
         self.parts: dict[str, list[int]] = {}
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.starts = {p[:k] for p in self.pieces for k in range(2, len(p) + 1)}
+        #: What pieces start with: the number of the piece, or -1 where it isn't one itself.
+        self.arcs = {p[:k]: -1 for p in self.pieces for k in range(1, len(p) + 1)} | {p: number for p, (number, _) in self.pieces.items()}
+        self.cost = [0.0] * self.size
+        if self.kind != BPE:
+            for number, score in self.pieces.values():
+                self.cost[number] = -score
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by score, the leftmost of equal scores first."""
@@ -181,32 +186,36 @@ class Transducer:
 
         Arcs wait with the least cost that they can have; an arc is weighed when its turn comes, and a place is settled by the first arc of finite weight that reaches it.
         """
-        n, pieces, starts, bpe = len(segment), self.pieces, self.starts, self.kind == BPE
+        n, arcs, costs, bpe = len(segment), self.arcs, self.cost, self.kind == BPE
+        no_piece = 0.0 if bpe else self.unknown_cost
         came: list[tuple[int, str, int] | None] = [None] * (n + 1)
-        waiting: list[tuple[float, int, int]] = []
+        waiting: list[tuple[float, int, str, int]] = []
         at, cost = 0, 0.0
+        push, pop, agree = heapq.heappush, heapq.heappop, self.agree
         while at < n:
-            end = at + 1
-            while True:
-                known = pieces.get(segment[at:end])
-                if known is not None or end == at + 1:
-                    if came[end] is None:
-                        heapq.heappush(waiting, (cost + (0.0 if bpe else self.unknown_cost if known is None else -known[1]), -end, at))
-                if end == n or segment[at : end + 1] not in starts:
-                    break
+            first = segment[at]
+            number = arcs.get(first)
+            if number is None or number < 0:
+                push(waiting, (cost + no_piece, -at - 1, first, -1))
+            elif came[at + 1] is None:
+                push(waiting, (cost + costs[number], -at - 1, first, number))
+            end = at + 2
+            while end <= n and number is not None:
+                piece = segment[at:end]
+                number = arcs.get(piece)
+                if number is not None and number >= 0 and came[end] is None:
+                    push(waiting, (cost + costs[number], -end, piece, number))
                 end += 1
             while True:
-                cost, end, start = heapq.heappop(waiting)
+                cost, end, piece, number = pop(waiting)
                 end = -end
                 if came[end] is not None:
                     continue
-                piece = segment[start:end]
-                known = pieces.get(piece)
+                start = end - len(piece)
                 before = came[start]
                 # a neighbour without a piece merges with nothing, so the right one stands by itself
-                left, left_id = ("", -2) if before is None or before[2] == -1 else before[1:]
-                if not bpe or known is None or self.agree(left, left_id, piece, known[0]):
-                    came[end] = (start, piece, -1 if known is None else known[0])
+                if not bpe or number < 0 or (agree(before[1], before[2], piece, number) if before is not None and before[2] >= 0 else agree("", -2, piece, number)):
+                    came[end] = (start, piece, number)
                     at = end
                     break
         out = []
