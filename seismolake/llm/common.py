@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,35 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made if the driver runs the tasks itself (tests); on a cluster that is refused."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="seismolake-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Folders made by this driver, in order.
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(out)
+    return out
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with reliable files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are made inside, which what comes after doesn't read."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for folder in _made[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _made[first:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder: computed once, and its small files are read together."""
+    """Cuts lineage with a table in the shared folder: computed once, compressed, and its small files are read together."""
     out = fresh_dir(df.sparkSession, name)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    return written(df, "step")
+
+
 #: A key of more rows than this (and than a ten-thousandth of all) is split over several tasks by split_join.
 HOT_ROWS = 1000
 

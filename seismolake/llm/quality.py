@@ -127,9 +127,13 @@ def with_verdicts(rows: DataFrame, hosts: DataFrame, host: str = "source") -> Da
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
-    """docs (without their text if it isn't to be kept) with their counts, base_failed, their host's figures, and kept. Texts are measured once; the counts are a table that both the hosts' rates and the result read."""
-    rows = measured(docs, text)
-    rows = written(rows if keep_text else rows.drop(text), "measured")
+    """docs (without their text if it isn't to be kept) with their counts, base_failed, their host's figures, and kept.
+
+    Without the text, the counts are a table that both the hosts' rates and the result read, and texts are measured once. With it they are measured twice, as such a table would be a copy of the corpus.
+    """
+    if keep_text:
+        return with_verdicts(measured(docs, text), host_verdicts(measured(docs.select(F.col(text).alias("text"), F.col(host).alias("host_of"))), "host_of"), host)
+    rows = written(measured(docs, text).drop(text), "measured")
     return with_verdicts(rows, host_verdicts(rows, host), host)
 
 
