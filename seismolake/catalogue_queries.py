@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import projection as P
 from .functions import seismology as S
 from .functions import tails
+from .functions.shared_draws import uniform_sql
 from .operators import catalogue as C
 from .operators import grids as G
 from .operators import homogenise as H
@@ -105,7 +106,9 @@ def vintage_summary(spark, d):
 @query(r"""
 , p AS (SELECT event_id // 1000 AS chunk, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest
         FROM (SELECT event_id, event_id || '|' || t_us AS k FROM seis) GROUP BY 1)
-SELECT sha256(string_agg(digest, chr(10) ORDER BY chunk)) AS event_hash FROM p""")
+, q AS (SELECT chunk // 1000 AS chunk, sha256(string_agg(digest, chr(10) ORDER BY chunk)) AS digest FROM p GROUP BY 1),
+r AS (SELECT chunk // 1000 AS chunk, sha256(string_agg(digest, chr(10) ORDER BY chunk)) AS digest FROM q GROUP BY 1)
+SELECT sha256(string_agg(digest, chr(10) ORDER BY chunk)) AS event_hash FROM r""")
 def cat_event_hash(spark, d):
     return C.event_hash(catalogue(spark, d))
 
@@ -252,9 +255,10 @@ def assoc_clusters(spark, d):
     return Q.associate(catalogue(spark, d), GAP, 100.0)
 
 
-@query("SELECT mbin, arg_min(lane, depth_km * 1000000 + event_id) AS lane, list_sort(list(DISTINCT event_id)) AS ids FROM seis WHERE mag >= 5.5 GROUP BY 1")
+@query("SELECT mbin, arg_min(lane, depth_km * 1000000 + event_id) AS lane, list_sort(list(DISTINCT event_id)) AS ids FROM (SELECT * REPLACE (event_id // 4 AS mbin) FROM seis) GROUP BY 1")
 def merge_preferred(spark, d):
-    return C.preferred(C.at_least(catalogue(spark, d), 5.5), ["mbin"], ["depth_km", "event_id", "lane"]).select("mbin", "lane", "ids")
+    """Merged events of four records each."""
+    return C.preferred(catalogue(spark, d).withColumn("mbin", F.floor(F.col("event_id") / 4).cast("long")), ["mbin"], ["depth_km", "event_id", "lane"]).select("mbin", "lane", "ids")
 
 
 @query("SELECT cell_ix, ix, iy, lon0, lat0 FROM cells")
@@ -408,9 +412,22 @@ def leave_one_window_out(spark, d):
     return rounded(K.leave_one_out(_terms(spark, d)))
 
 
-@query()
+def _bootstrap(length: int, resamples: int, seed: int) -> str:
+    return f"""
+w AS (SELECT win - (SELECT min(win) FROM t) AS k, n, r - e AS g FROM t), nw AS (SELECT max(k) + 1 AS nw FROM w),
+d{length} AS MATERIALIZED (SELECT i.range AS resample, b.range AS b, least(nw - 1, CAST(floor({uniform_sql(seed, "i.range", "b.range")} * nw) AS BIGINT)) AS start, nw FROM nw, range({resamples}) i, range(100000) b WHERE b.range < ceil(nw / {length}.0)),
+s{length} AS (SELECT resample, sum(coalesce(n, 0)) AS n, sum(coalesce(g, 0)) AS g FROM (SELECT resample, (start + o.range) % nw AS k FROM d{length}, range({length}) o WHERE b * {length} + o.range < nw) LEFT JOIN w USING (k) GROUP BY 1),
+q{length} AS (SELECT {length} AS length, round(quantile_cont(g / n, 0.05), 6) AS low, round(quantile_cont(g / n, 0.5), 6) AS median, round(quantile_cont(g / n, 0.95), 6) AS high FROM s{length} WHERE n > 0)"""
+
+
+@query(f"{TERMS},{_bootstrap(5, 500, 7)} SELECT low, median, high FROM q5")
 def bootstrap_ci(spark, d):
-    return K.block_bootstrap(_terms(spark, d), 5, 500, 7)
+    return rounded(K.block_bootstrap(_terms(spark, d), 5, 500, 7))
+
+
+@query(f"{TERMS},{_bootstrap(2, 200, 7)},{_bootstrap(3, 200, 7).replace('w AS (', 'w2 AS (', 1).replace('nw AS (', 'nw2 AS (', 1)} SELECT * FROM q2 UNION ALL SELECT * FROM q3")
+def block_length_sensitivity(spark, d):
+    return rounded(K.block_length_sensitivity(_terms(spark, d), [2, 3], 200, 7))
 
 
 @query("SELECT count(*) AS n, round(avg(v), 6) AS mean, round(var_samp(v), 6) AS variance, round(avg(v) / sqrt(var_samp(v) / count(*)), 4) AS t FROM (SELECT 0.1 * (mag - 2.5) - 0.05 AS v FROM seis WHERE mag >= 4)")
@@ -451,10 +468,10 @@ def geometric_pool(spark, d):
     return rounded(K.geometric_pool(a.union(b), 0.01))
 
 
-@query("SELECT event_id, round(pow(10, -1.67 + 0.91 * (mag - 2.5)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08), 6) AS expected FROM seis WHERE mag >= 5")
+@query("SELECT event_id, round(pow(10, -1.67 + 0.91 * (mag - 2.5)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08), 6) AS expected FROM seis")
 def rj_expected_count(spark, d):
     count = S.reasenberg_jones_count(-1.67, 0.91, 0.05, 1.08, F.col("mag"), F.lit(2.5), F.lit(0.01), F.lit(30.0))
-    return rounded(C.at_least(catalogue(spark, d), 5.0).select("event_id", count.alias("expected")))
+    return rounded(catalogue(spark, d).select("event_id", count.alias("expected")))
 
 
 @query("SELECT mbin, round(pow(10, -0.9 * (mbin * CAST(0.1 AS DOUBLE) - 0.05)) - pow(10, -0.9 * (mbin * CAST(0.1 AS DOUBLE) + 0.05)), 9) AS mass FROM (SELECT DISTINCT mbin FROM seis)")
@@ -610,20 +627,20 @@ def projection_forward(spark, d):
 
 
 MAGS = """m AS (SELECT event_id // 3 AS event_id, CASE event_id % 4 WHEN 0 THEN 'gcmt' WHEN 1 THEN 'isc' WHEN 2 THEN 'usgs-comcat' ELSE 'other' END AS source,
-  CASE event_id % 7 WHEN 0 THEN 'mww' WHEN 1 THEN 'mb' WHEN 2 THEN 'ms' WHEN 3 THEN 'ml' WHEN 4 THEN 'mw' ELSE 'xx' END AS kind, mag + 1 AS mag FROM seis)"""
+  CASE event_id % 7 WHEN 0 THEN 'mww' WHEN 1 THEN 'mb' WHEN 2 THEN 'ms' WHEN 3 THEN 'ml' WHEN 4 THEN 'ml' ELSE 'xx' END AS kind, mag + 1 AS mag, event_id % 3 = 1 AS preferred FROM seis)"""
 
 
 @query(f""", {MAGS},
-k AS (SELECT event_id, coalesce(nullif(list_position(['gcmt', 'isc-gem', 'isc', 'usgs-comcat'], source), 0), 99) AS a, list_position(['mww', 'mwc', 'mwb', 'mwr', 'mw'], kind) AS b, kind, mag,
+k AS (SELECT event_id, coalesce(nullif(list_position(['gcmt', 'isc-gem', 'isc', 'usgs-comcat'], source), 0), 99) AS a, list_position(['mww', 'mwc', 'mwb', 'mwr', 'mw'], kind) AS b, kind, mag, preferred,
   round(CASE WHEN kind = 'mb' AND mag BETWEEN 3.5 AND 6.2 THEN 0.85 * mag + 1.03 WHEN kind = 'ms' AND mag BETWEEN 3.0 AND 6.1 THEN 0.67 * mag + 2.07 WHEN kind = 'ms' AND mag BETWEEN 6.2 AND 8.2 THEN 0.99 * mag + 0.08 END, 2) AS v FROM m),
-r AS (SELECT event_id, CASE WHEN b > 0 THEN 1 WHEN v IS NOT NULL THEN 2 WHEN kind = 'ml' THEN 3 END AS step, a, CASE WHEN b > 0 THEN b WHEN kind = 'ms' THEN 1 ELSE 2 END AS b, CASE WHEN b > 0 OR v IS NULL THEN mag ELSE v END AS mw FROM k),
+r AS (SELECT event_id, CASE WHEN b > 0 THEN 1 WHEN v IS NOT NULL THEN 2 WHEN kind = 'ml' AND preferred THEN 3 END AS step, kind, a, CASE WHEN b > 0 THEN b WHEN kind = 'ms' THEN 1 ELSE 2 END AS b, CASE WHEN b > 0 OR v IS NULL THEN mag ELSE v END AS mw FROM k),
 o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY step NULLS LAST, a, b, mw) AS n FROM r)
-SELECT event_id, round(CASE WHEN step IS NOT NULL THEN mw END, 6) AS mw, CASE step WHEN 1 THEN 'moment' WHEN 2 THEN 'converted' WHEN 3 THEN 'assumed' ELSE 'none' END AS how FROM o WHERE n = 1""")
+SELECT event_id, round(CASE WHEN step IS NOT NULL THEN mw END, 6) AS mw, CASE step WHEN 1 THEN 'moment' WHEN 2 THEN 'converted' WHEN 3 THEN 'assumed' ELSE 'none' END AS how, CASE WHEN step IS NOT NULL THEN kind END AS kind FROM o WHERE n = 1""")
 def preferred_mw(spark, d):
     i = F.col("event_id")
     source = F.element_at(F.array(*map(F.lit, ("gcmt", "isc", "usgs-comcat", "other"))), (i % 4 + 1).cast("int"))
-    kind = F.element_at(F.array(*map(F.lit, ("mww", "mb", "ms", "ml", "mw", "xx", "xx"))), (i % 7 + 1).cast("int"))
-    rows = catalogue(spark, d).select(F.floor(i / 3).cast("long").alias("event_id"), source.alias("source"), kind.alias("kind"), (F.col("mag") + 1).alias("mag"))
+    kind = F.element_at(F.array(*map(F.lit, ("mww", "mb", "ms", "ml", "ml", "xx", "xx"))), (i % 7 + 1).cast("int"))
+    rows = catalogue(spark, d).select(F.floor(i / 3).cast("long").alias("event_id"), source.alias("source"), kind.alias("kind"), (F.col("mag") + 1).alias("mag"), (i % 3 == 1).alias("preferred"))
     return rounded(H.preferred_mw(rows, True))
 
 
@@ -634,6 +651,19 @@ def merged_catalogue(spark, d):
     return H.merge_clusters(events.join(clusters, "event_id"), ["depth_km", "event_id"])
 
 
+@query("""
+, g AS (SELECT *, event_id // 3 AS cluster, row_number() OVER (PARTITION BY event_id // 3 ORDER BY depth_km, event_id) AS r FROM seis),
+f AS (SELECT * FROM g WHERE r = 1)
+SELECT 'rup-' || substr(sha1(f.lane || ':' || f.event_id), 1, 12) AS id, f.t_us, f.lat, f.lon, f.depth_km, f.mag,
+  coalesce(first(g.etype ORDER BY g.r) FILTER (g.etype <> 'earthquake'), 'earthquake') AS etype, CASE WHEN count(g.avail_us) = count(*) THEN max(g.avail_us) END AS avail_us,
+  list(g.event_id ORDER BY g.r) AS ids, count(DISTINCT g.lane) AS n_lanes, count(DISTINCT g.mag) FILTER (g.mag <> f.mag) AS n_other
+FROM f JOIN g USING (cluster) GROUP BY f.lane, f.event_id, f.t_us, f.lat, f.lon, f.depth_km, f.mag""")
+def merged_members(spark, d):
+    members = catalogue(spark, d).withColumn("cluster", F.floor(F.col("event_id") / 3).cast("long"))
+    merged = H.merge_clusters(members, ["depth_km", "event_id"])
+    return merged.withColumns({"n_lanes": F.size("lanes").cast("long"), "n_other": F.size("other_mags").cast("long")}).drop("lanes", "other_mags")
+
+
 @query()
 def stochastic_event_set(spark, d):
     rates = G.lattice(spark).join(G.dense_counts(C.at_least(catalogue(spark, d), 4.5)), "cell_ix").select("cell_ix", "lon0", "lat0", F.lit(4.5).alias("m0"), (F.col("n") / F.lit(30.0)).alias("rate"))
@@ -651,12 +681,15 @@ def aftershock_cascades(spark, d):
     return T.cascade(spark, parents, 50, 0.02, 1.0, 0.01, 1.2, 1.0, 4.0, 30.0, None, 9)
 
 
-@query()
+@query(f"""{MOLCHAN}, h AS (SELECT alarm, tau, CAST(round((1 - miss) * (SELECT sum(hits) FROM g), 0) AS BIGINT) AS k, (SELECT CAST(sum(hits) AS BIGINT) FROM g) AS n FROM t),
+b AS (SELECT alarm, tau, k, CASE WHEN k <= 0 OR tau >= 1 THEN 1 ELSE least(1, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(tau) + (n - j) * ln(1 - tau))) FILTER (j >= k)) END AS p
+  FROM (SELECT *, unnest(range(0, n + 1)) AS j FROM (SELECT * REPLACE (CASE WHEN tau >= 1 THEN 1 ELSE tau END AS tau) FROM h) WHERE tau < 1) GROUP BY alarm, tau, k)
+SELECT alarm, round(tau, 6) AS tau, round(p, 6) AS p FROM b UNION ALL SELECT alarm, round(tau, 6), 1.0 FROM h WHERE tau >= 1""")
 def trajectory_p_values(spark, d):
     t = K.molchan_trajectory(K.molchan_groups(_alarm_cells(spark, d)))
     n = _alarm_cells(spark, d).agg(F.sum("n").alias("total"))
     hits = F.round((F.lit(1.0) - F.col("miss")) * F.col("total")).cast("long")
-    return t.crossJoin(F.broadcast(n)).select("alarm", "tau", tails.binomial_sf(hits, F.col("total"), F.col("tau")).alias("p"))
+    return rounded(t.crossJoin(F.broadcast(n)).select("alarm", "tau", tails.binomial_sf(hits, F.col("total"), F.col("tau")).alias("p")))
 
 
 @query("""

@@ -18,16 +18,32 @@ def _poisson_cdf(n: int, rate: float) -> float:
     return min(1.0, math.fsum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(n + 1)))
 
 
+def _beta_tail(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by Lentz' continued fraction."""
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_tail(b, a, 1.0 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1.0 / max(1e-300, 1.0 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 3000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + top * d
+            c = 1.0 + top / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return min(1.0, front * value)
+
+
 def _binomial_sf(hits: int, n: int, p: float) -> float:
     """P(X >= hits)."""
     if hits <= 0:
         return 1.0
     if p <= 0 or hits > n:
         return 0.0
-    if p >= 1:
-        return 1.0
-    log_choose = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    return min(1.0, math.fsum(math.exp(log_choose(k) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(hits, n + 1)))
+    return 1.0 if p >= 1 else _beta_tail(hits, n - hits + 1, p)
 
 
 def poisson_cdf(n: Column, rate: Column) -> Column:
@@ -45,8 +61,14 @@ def binomial_sf(hits: Column, n: Column, p: Column) -> Column:
 
 
 def critical_hits(n: int, tau: float, alpha: float) -> int | None:
-    """The fewest hits with a tail of at most alpha; none if even n hits have more."""
-    return next((c for c in range(n + 1) if _binomial_sf(c, n, tau) <= alpha), None)
+    """The fewest hits with a tail of at most alpha; none if even n hits have more. Tails fall with the hits, so the place is found by halving."""
+    if _binomial_sf(n, n, tau) > alpha:
+        return None
+    few, enough = -1, n
+    while enough - few > 1:
+        mid = (few + enough) // 2
+        few, enough = (few, mid) if _binomial_sf(mid, n, tau) <= alpha else (mid, enough)
+    return enough
 
 
 def power_at_gain(n: int, tau: float, gain: float, alpha: float) -> float:
@@ -54,15 +76,25 @@ def power_at_gain(n: int, tau: float, gain: float, alpha: float) -> float:
     return 0.0 if c is None else _binomial_sf(c, n, min(1.0, gain * tau))
 
 
-def events_needed(tau: float, gain: float, alpha: float, power: float, cap: int = 4096) -> int | None:
-    """The fewest events at which the power is reached, by doubling and bisection; none up to the cap."""
-    high = 1
-    while power_at_gain(high, tau, gain, alpha) < power:
-        high *= 2
-        if high > cap:
-            return None
-    low = high // 2
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if power_at_gain(mid, tau, gain, alpha) >= power else (mid, high)
-    return high
+def events_needed(tau: float, gain: float, alpha: float, power: float, cap: int = 2_000_000) -> int | None:
+    """The fewest events at which the power is reached; none up to the cap. With every hit more that is required the power falls back, in teeth as long as a hit takes events to come by,
+    so each tooth is asked at its end, where it is highest, and the first one that reaches the power is walked through."""
+    reaches = lambda n: power_at_gain(n, tau, gain, alpha) >= power
+    start, c = 1, None
+    while start <= cap:
+        c = critical_hits(start, tau, alpha)
+        low, high = start, start + 1
+        while high <= cap and critical_hits(high, tau, alpha) == c:
+            low, high = high, 2 * high - start
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if critical_hits(mid, tau, alpha) == c else (low, mid)
+        end = min(low, cap)
+        if c is not None and reaches(end):
+            few, enough = start - 1, end
+            while enough - few > 1:
+                mid = (few + enough) // 2
+                few, enough = (few, mid) if reaches(mid) else (mid, enough)
+            return enough
+        start = end + 1
+    return None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
+from ..plans.quantiles import values_at
 
 EVENT_TYPES = ("earthquake", "landslide", "explosion", "other")
 
@@ -45,11 +46,14 @@ def history(events: DataFrame, issue: int, mc: float) -> DataFrame:
 
 
 def event_hash(events: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted `id|time` lines: one row. Lines are digested per thousand ids first, so no row holds the whole catalogue."""
-    line = F.concat_ws("|", "event_id", "t_us")
-    part = events.groupBy(F.floor(F.col("event_id") / 1000).cast("long").alias("chunk")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "digest"))), lambda x: x["digest"])
-    return part.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("event_hash"))
+    """SHA-256 over the sorted `id|time` lines, by a tree: lines are digested per thousand ids, digests per thousand of these, and so on for four levels, so no row holds more than about a thousand."""
+    chunk = F.floor(F.col("event_id") / 1000).cast("long")
+    level = events.select(chunk.alias("chunk"), F.concat_ws("|", "event_id", "t_us").alias("line")).groupBy("chunk").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
+    for last in (False, False, True):
+        up = F.lit(0).cast("long") if last else F.floor(F.col("chunk") / 1000).cast("long")
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "digest"))), lambda x: x["digest"])
+        level = level.groupBy(up.alias("up")).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest")).withColumnRenamed("up", "chunk")
+    return level.select(F.col("digest").alias("event_hash"))
 
 
 def count_by_type(events: DataFrame) -> DataFrame:
@@ -60,20 +64,17 @@ def count_by_type(events: DataFrame) -> DataFrame:
 
 
 def vintage_summary(events: DataFrame, reference: int) -> DataFrame:
-    """Counts, and nearest-rank quantiles of the lags in days. Ranks are taken from counts per lag, not from a sorted list of all lags."""
-    lag = F.col("avail_us") - F.col("t_us")
-    known = events.filter("avail_us IS NOT NULL").groupBy(lag.alias("lag")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("lag")
-    ranked = known.select("lag", "n", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    at = lambda q: F.bround(F.lit(q) * (F.col("total") - 1), 0).cast("long")
-    pick = lambda q: F.min(F.when(F.col("upto") > at(q), F.col("lag"))) / F.lit(8.64e10)
-    lags = ranked.agg(pick(0.5).alias("median_days"), pick(0.9).alias("p90_days"), (F.max("lag") / F.lit(8.64e10)).alias("max_days"))
+    """Counts, and nearest-rank quantiles of the lags in days, by counts of bins of lags rather than a sorted list."""
+    lags = events.filter("avail_us IS NOT NULL").select((F.col("avail_us") - F.col("t_us")).alias("lag"))
+    at = lambda q: lambda n: F.bround(F.lit(q) * (n - 1), 0)
+    got = values_at(lags, [], "lag", {"median_days": at(0.5), "p90_days": at(0.9), "max_days": at(1.0)})
     counts = events.agg(
         F.count("*").alias("n_events"),
         F.count_if(F.col("avail_us").isNull()).alias("n_unknown"),
         F.count_if(F.col("avail_us") >= reference).alias("n_revised"),
     )
-    return counts.crossJoin(F.broadcast(lags))
+    days = [(F.col(c) / F.lit(8.64e10)).alias(c) for c in ("median_days", "p90_days", "max_days")]
+    return counts.join(F.broadcast(got.select(*days)), F.lit(True), "left")
 
 
 def exclusion_funnel(events: DataFrame, least: float, start: int, end: int) -> DataFrame:

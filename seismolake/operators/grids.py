@@ -118,11 +118,25 @@ def nearest_site(points: DataFrame, sites: DataFrame, reach: int, spec: tuple =
         size *= 2
 
 
-def recent_large_alarm(triggers: DataFrame, cells: DataFrame, least: float, slope: float, radius_km: float, size: float = LATTICE[2]) -> DataFrame:
-    """Per cell the largest of 10^(slope (m - least)) / (1 + (d / radius)^2) over triggers, 0 where there are none. Triggers are first reduced to the
-    largest magnitude at each place rounded to a hundredth of a degree, which bounds them by the lattice and changes no maximum there."""
-    top = triggers.groupBy("lon", "lat").agg(F.max("mag").alias("mag"))
-    y = (F.col("lat0") + F.lit(size / 2) - F.col("lat")) * F.lit(111.19)
-    x = (F.col("lon0") + F.lit(size / 2) - F.col("lon")) * F.lit(111.19) * F.cos(F.radians(F.col("lat0") + F.lit(size / 2)))
-    alarm = F.pow(F.lit(10.0), F.lit(slope) * (F.col("mag") - F.lit(least))) / (F.lit(1.0) + (x * x + y * y) / F.lit(radius_km**2))
-    return cells.join(top, F.lit(True), "left").groupBy("cell_ix").agg(F.coalesce(F.max(alarm), F.lit(0.0)).alias("alarm"))
+def recent_large_alarm(triggers: DataFrame, cells: DataFrame, least: float, slope: float, radius_km: float, size: float = LATTICE[2], block: float = 0.5) -> DataFrame:
+    """Per cell the largest of 10^(slope (m - least)) / (1 + (d / radius)^2) over triggers, 0 where there are none.
+
+    Triggers stand in blocks of degrees. The largest trigger of each block gives every cell a value that its maximum reaches at least; only blocks whose largest magnitude at their nearest edge could
+    reach more are looked at, so cells meet blocks, of which there are no more than places, and few triggers.
+    """
+    x0, y0 = F.floor(F.col("lon") / F.lit(block)), F.floor(F.col("lat") / F.lit(block))
+    held = triggers.filter("mag IS NOT NULL").groupBy("lon", "lat").agg(F.max("mag").alias("mag")).withColumns({"bx": x0, "by": y0})
+    tops = held.groupBy(F.col("bx").alias("tx"), F.col("by").alias("ty")).agg(F.max(F.struct("mag", "lon", "lat")).alias("top"))
+    clon, clat = F.col("lon0") + F.lit(size / 2), F.col("lat0") + F.lit(size / 2)
+    per_lon = F.lit(111.19) * F.cos(F.radians(clat))
+
+    def value(mag: Column, dx: Column, dy: Column) -> Column:
+        return F.pow(F.lit(10.0), F.lit(slope) * (mag - F.lit(least))) / (F.lit(1.0) + (F.pow(dx * per_lon, F.lit(2.0)) + F.pow(dy * F.lit(111.19), F.lit(2.0))) / F.lit(radius_km**2))
+
+    pairs = cells.select("cell_ix", "lon0", "lat0").join(tops, F.lit(True))
+    gap = lambda c, low: F.greatest(F.lit(0.0), low * F.lit(block) - c, c - (low + 1) * F.lit(block))
+    pairs = pairs.withColumn("sure", value(F.col("top.mag"), clon - F.col("top.lon"), clat - F.col("top.lat"))).withColumn("most", value(F.col("top.mag"), gap(clon, F.col("tx")), gap(clat, F.col("ty"))))
+    pairs = pairs.withColumn("reached", F.max("sure").over(Window.partitionBy("cell_ix"))).filter(F.col("most") >= F.col("reached") * F.lit(1 - 1e-12))
+    near = pairs.join(held, (F.col("tx") == F.col("bx")) & (F.col("ty") == F.col("by")))
+    best = near.groupBy(F.col("cell_ix").alias("of_cell")).agg(F.max(value(F.col("mag"), clon - F.col("lon"), clat - F.col("lat"))).alias("alarm"))
+    return cells.select("cell_ix").join(best, F.col("cell_ix") == F.col("of_cell"), "left").select("cell_ix", F.coalesce("alarm", F.lit(0.0)).alias("alarm"))

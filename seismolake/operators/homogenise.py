@@ -13,35 +13,41 @@ MOMENT_TYPES = ("mww", "mwc", "mwb", "mwr", "mw")
 
 
 def preferred_mw(magnitudes: DataFrame, assume_local: bool) -> DataFrame:
-    """magnitudes (event_id, source, kind, mag): event_id, mw and how it came about.
+    """magnitudes (event_id, source, kind, mag, preferred): event_id, mw, how it came about and from which kind.
 
     Moment magnitudes come first, by source and then type; then Scordilis' conversions, by source and then Ms before mb; then, where the policy
-    says so, local magnitudes as they are; else none.
+    says so, the preferred solution's own magnitude as it is, if it is a local one; else none.
     """
     place = lambda values, c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0)), F.lit(99))
     source, kind = place(SOURCES, "source"), place(MOMENT_TYPES, "kind")
     converted = S.scordilis_mw(F.col("kind"), F.col("mag"))
-    local = F.col("kind").isin("ml", "md", "mlv") & F.lit(assume_local)
+    local = F.col("kind").isin("ml", "md", "mlv") & F.col("preferred") & F.lit(assume_local)
     ranked = magnitudes.select(
         "event_id",
-        F.when(kind < 99, F.struct(F.lit(1).alias("step"), source.alias("a"), kind.alias("b"), F.col("mag").alias("mw")))
-        .when(converted.isNotNull(), F.struct(F.lit(2).alias("step"), source.alias("a"), F.when(F.col("kind") == "ms", 1).otherwise(2).cast("long").alias("b"), converted.alias("mw")))
-        .when(local, F.struct(F.lit(3).alias("step"), source.alias("a"), F.lit(1).cast("long").alias("b"), F.col("mag").alias("mw")))
+        F.when(kind < 99, F.struct(F.lit(1).alias("step"), source.alias("a"), kind.alias("b"), F.col("mag").alias("mw"), F.col("kind").alias("from")))
+        .when(converted.isNotNull(), F.struct(F.lit(2).alias("step"), source.alias("a"), F.when(F.col("kind") == "ms", 1).otherwise(2).cast("long").alias("b"), converted.alias("mw"), F.col("kind").alias("from")))
+        .when(local, F.struct(F.lit(3).alias("step"), source.alias("a"), F.lit(1).cast("long").alias("b"), F.col("mag").alias("mw"), F.col("kind").alias("from")))
         .alias("r"),
     )
     best = ranked.groupBy("event_id").agg(F.min("r").alias("r"))
     how = F.when(F.col("r.step") == 1, "moment").when(F.col("r.step") == 2, "converted").when(F.col("r.step") == 3, "assumed").otherwise("none")
-    return best.select("event_id", F.col("r.mw").alias("mw"), how.alias("how"))
+    return best.select("event_id", F.col("r.mw").alias("mw"), how.alias("how"), F.col("r.from").alias("kind"))
 
 
 def merge_clusters(members: DataFrame, order: list[str]) -> DataFrame:
-    """members (cluster, event_id, lane, t_us, avail_us, lat, lon, mag, etype): one event per cluster.
+    """members (cluster, event_id, lane, t_us, avail_us, lat, lon, depth_km, mag, etype): one event per cluster, which holds a few records.
 
-    Place and magnitude are the first member's by order; any type but earthquake wins; the vintage is the latest, unknown if any is unknown.
+    Members stand in the given order, then by lane and id. Place, time, depth and magnitude are the first one's, whose lane and id name the event; the first type but earthquake wins; other magnitudes are
+    those that differ from the first one's, each once; contributing ids and lanes stand in members' order; the vintage is the latest, unknown if any is unknown.
     """
-    first = F.min(F.struct(*order, "t_us", "lat", "lon", "mag")).alias("first")
-    odd = F.min(F.when(F.col("etype") != "earthquake", F.col("etype")))
-    vintage = F.when(F.count("avail_us") == F.count("*"), F.max("avail_us"))
-    merged = members.groupBy("cluster").agg(first, odd.alias("odd"), vintage.alias("avail_us"), F.sort_array(F.collect_set("event_id")).alias("ids"), F.sort_array(F.collect_set("lane")).alias("lanes"))
-    name = F.concat(F.lit("rup-"), F.substring(F.sha1(F.col("cluster").cast("string").cast("binary")), 1, 12))
-    return merged.select(name.alias("id"), "first.t_us", "first.lat", "first.lon", "first.mag", F.coalesce("odd", F.lit("earthquake")).alias("etype"), "avail_us", "ids", "lanes")
+    fields = ("lane", "event_id", "t_us", "lat", "lon", "depth_km", "mag", "etype", "avail_us")
+    merged = members.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), *fields))).alias("m"))
+    first, all_of = F.get("m", 0), lambda c: F.transform("m", lambda x: x[c])
+    odd = F.filter(all_of("etype"), lambda x: x != "earthquake")
+    others = F.array_distinct(F.filter(all_of("mag"), lambda x: x.isNotNull() & ~x.eqNullSafe(first["mag"])))
+    name = F.concat(F.lit("rup-"), F.substring(F.sha1(F.concat_ws(":", first["lane"], first["event_id"]).cast("binary")), 1, 12))
+    vintage = F.when(~F.exists(all_of("avail_us"), lambda x: x.isNull()), F.array_max(all_of("avail_us")))
+    return merged.select(
+        name.alias("id"), *(first[c].alias(c) for c in ("t_us", "lat", "lon", "depth_km", "mag")), F.coalesce(F.get(odd, 0), F.lit("earthquake")).alias("etype"), vintage.alias("avail_us"),
+        all_of("event_id").alias("ids"), F.array_distinct(all_of("lane")).alias("lanes"), others.alias("other_mags"),
+    )

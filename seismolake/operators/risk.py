@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
+from ..functions.shared_draws import uniform
+from ..plans.quantiles import linear_quantiles
 
 
 def expected_ratio(im: Column, states: list[tuple[float, float, float]]) -> Column:
@@ -24,8 +26,13 @@ def portfolio_losses(assets: DataFrame, fields: DataFrame, states: list[tuple[fl
 def money_range(losses: DataFrame, key: list[str], loss: str, level: float = 0.9) -> DataFrame:
     """Mean and linear quantiles by group, widened to hold the mean and not below 0."""
     tail = (1 - level) / 2
-    mean, low, high = F.avg(loss), F.percentile(loss, F.lit(tail)), F.percentile(loss, F.lit(1 - tail))
-    return losses.groupBy(*key).agg(mean.alias("mean"), F.greatest(F.lit(0.0), F.least(low, mean)).alias("low"), F.greatest(high, mean).alias("high"))
+    mean = losses.groupBy(*(F.col(k).alias(f"of_{k}") for k in key)).agg(F.avg(loss).alias("mean"))
+    ends = linear_quantiles(losses, key, loss, {"q_low": tail, "q_high": 1 - tail})
+    match = F.lit(True)
+    for k in key:
+        match = match & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    rows = ends.join(mean, match)
+    return rows.select(*key, "mean", F.greatest(F.lit(0.0), F.least("q_low", "mean")).alias("low"), F.greatest("q_high", "mean").alias("high"))
 
 
 def annual_losses(events: DataFrame, catalogues: DataFrame, duration: float) -> DataFrame:
@@ -37,8 +44,67 @@ def annual_losses(events: DataFrame, catalogues: DataFrame, duration: float) ->
 def aggregate_exceedance(losses: DataFrame, duration: float, n: int, periods: list[float]) -> DataFrame:
     """Linear quantiles of annual totals at 1 - duration / T, for return periods the catalogues resolve."""
     kept = [t for t in periods if duration <= t <= n * duration]
-    points = losses.agg(F.percentile("loss", F.array(*(F.lit(1 - duration / t) for t in kept))).alias("q"))
-    return points.select(F.posexplode("q").alias("k", "loss")).select(F.element_at(F.array(*map(F.lit, kept)), F.col("k") + 1).alias("period"), "loss")
+    names = {f"p{k}": 1 - duration / t for k, t in enumerate(kept)}
+    points = linear_quantiles(losses, [], "loss", names)
+    pairs = F.array(*(F.struct(F.lit(t).alias("period"), F.col(f"p{k}").alias("loss")) for k, t in enumerate(kept)))
+    return points.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def average_annual_loss(losses: DataFrame) -> DataFrame:
+    """Mean over catalogues of annual losses (catalogue, loss)."""
+    return losses.agg(F.avg("loss").alias("aal"))
+
+
+def bootstrap_money(losses: DataFrame, replicates: int, seed: int, level: float = 0.9) -> DataFrame:
+    """losses (catalogue numbered from 0, loss): mean, and the percentile interval of the means of resampled catalogues. Replicates are few; each draws as many catalogues as there are."""
+    n = losses.count()
+    draws = losses.sparkSession.range(replicates).withColumnRenamed("id", "replicate").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pick = F.least(F.lit(n - 1), F.floor(uniform(seed, "replicate", "k") * n)).cast("long")
+    means = draws.select("replicate", pick.alias("picked")).join(losses, F.col("picked") == F.col("catalogue")).groupBy("replicate").agg(F.avg("loss").alias("mean_loss"))
+    tail = (1 - level) / 2
+    ends = linear_quantiles(means, [], "mean_loss", {"low": tail, "high": 1 - tail})
+    return losses.agg(F.avg("loss").alias("mean")).crossJoin(ends)
+
+
+def scaled_by_layer(losses: DataFrame, attachment: float, limit: float) -> DataFrame:
+    """losses (event_id, asset_id, loss): losses net of the layer, each asset's share of an event's total kept; 1 where the total is 0."""
+    total = losses.groupBy(F.col("event_id").alias("of")).agg(F.sum("loss").alias("total"))
+    net = F.when(F.col("total") > 0, (F.col("total") - insurance_layer(F.col("total"), attachment, limit)) / F.col("total")).otherwise(F.lit(1.0))
+    return losses.join(total, F.col("event_id") == F.col("of")).select("event_id", "asset_id", (F.col("loss") * net).alias("loss"))
+
+
+def bad_shares(components: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Taxonomies of components (taxonomy, component, share) whose shares don't sum to 1: a sound table has none."""
+    return components.groupBy("taxonomy").agg(F.sum("share").alias("total")).filter(F.abs(F.col("total") - 1) > tolerance)
+
+
+def component_losses(assets: DataFrame, components: DataFrame, fields: DataFrame) -> DataFrame:
+    """assets (asset_id, site_id, taxonomy, value), components (taxonomy, component, share, and states, an array of (median, beta, ratio) in rising order), fields (realisation, site_id, im):
+    realisation, component and loss."""
+    rows = assets.join(fields, "site_id").join(F.broadcast(components), "taxonomy")
+    above = F.transform("states", lambda s: F.when(F.col("im") > 0, S.normal_cdf(F.log(F.col("im") / s["median"]) / s["beta"])).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("above", F.concat(above, F.array(F.lit(0.0))))
+    steps = F.transform(F.sequence(F.lit(0), F.size("states") - 1), lambda k: F.greatest(F.lit(0.0), F.get("above", k) - F.get("above", k + 1)) * F.get("states", k)["ratio"])
+    ratio = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("realisation", "component").agg(F.sum(F.col("value") * F.col("share") * ratio).alias("loss"))
+
+
+def capacity_value(assets: DataFrame, usd_per_kw: float, low: float, high: float) -> DataFrame:
+    """assets (asset_id, capacity_mw): replacement value as an assumed interval."""
+    best = F.col("capacity_mw") * F.lit(1000.0 * usd_per_kw)
+    return assets.select("asset_id", (best * F.lit(low)).alias("low"), best.alias("best"), (best * F.lit(high)).alias("high"))
+
+
+def import_problems(rows: DataFrame, required: list[str]) -> DataFrame:
+    """Rows of an exposure table with what is wrong with them, all of it: missing values of required columns, places off the globe, values below 0, ids that come twice."""
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    twice = rows.groupBy(F.col("asset_id").alias("of")).agg(F.count("*").alias("copies")).filter("copies > 1").select("of", F.lit(True).alias("repeated"))
+    checks = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in required]
+    checks += [F.when(~F.col("lon").between(-180, 180) | ~F.col("lat").between(-90, 90), F.lit("off the globe")), F.when(F.col("value") < 0, F.lit("value below 0")), F.when(F.col("repeated"), F.lit("id comes twice"))]
+    rows = rows.join(twice, F.col("asset_id") == F.col("of"), "left").withColumn("problems", F.array_compact(F.array(*checks)))
+    return rows.filter(F.size("problems") > 0).select("asset_id", F.array_join("problems", "; ").alias("problems"))
 
 
 def occurrence_exceedance(events: DataFrame, periods: list[float]) -> DataFrame:

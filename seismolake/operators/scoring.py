@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
+from ..functions.shared_draws import uniform
 
 
 def molchan_groups(cells: DataFrame) -> DataFrame:
@@ -75,14 +76,39 @@ def geometric_pool(models: DataFrame, floor: float) -> DataFrame:
     return cells.select("cell_ix", (F.col("rate") * F.col("target") / F.sum("rate").over(Window.partitionBy())).alias("rate"))
 
 
-def block_bootstrap(terms: DataFrame, length: int, resamples: int, seed: int, level: float = 0.9) -> DataFrame:
-    """Percentile interval of the pooled gain over circular moving blocks of windows 0 .. n - 1. Starts come from hashes of (seed, resample, block), so they don't depend on partitions."""
+def filled(terms: DataFrame) -> DataFrame:
+    """Windows from the first to the last, numbered from 0, those without events with zeros."""
+    low, high = terms.agg(F.min("window"), F.max("window")).first()
+    if low is None:
+        return terms
+    every = terms.sparkSession.range(high - low + 1).withColumnRenamed("id", "number")
+    rows = every.join(terms, F.col("window") == F.col("number") + F.lit(low), "left")
+    return rows.select(F.col("number").alias("window"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "rate_diff", "expected_diff")))
+
+
+def bootstrap_gains(terms: DataFrame, length: int, resamples: int, seed: int) -> DataFrame:
+    """resample, n and gain over circular moving blocks of the windows; starts are draws for (resample, block)."""
+    terms = filled(terms)
     n = terms.count()
     blocks = -(-n // length)
     draws = terms.sparkSession.range(resamples).withColumnRenamed("id", "resample").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "resample", "b"), F.lit(n))
+    start = F.least(F.lit(n - 1), F.floor(uniform(seed, "resample", "b") * n))
     draws = draws.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).filter(F.col("b") * length + F.col("o") < n)
     draws = draws.select("resample", ((F.col("start") + F.col("o")) % n).alias("window"))
-    sums = draws.join(F.broadcast(terms) if n <= 100_000 else terms, "window").groupBy("resample").agg(F.sum("n").alias("n"), (F.sum("rate_diff") - F.sum("expected_diff")).alias("gain"))
+    return draws.join(F.broadcast(terms) if n <= 100_000 else terms, "window").groupBy("resample").agg(F.sum("n").alias("n"), (F.sum("rate_diff") - F.sum("expected_diff")).alias("gain"))
+
+
+def block_bootstrap(terms: DataFrame, length: int, resamples: int, seed: int, level: float = 0.9) -> DataFrame:
+    """Percentile interval of the pooled gain; resamples without events count for nothing."""
+    sums = bootstrap_gains(terms, length, resamples, seed)
     tail = (1 - level) / 2
     return sums.filter("n > 0").agg(*(F.percentile(F.col("gain") / F.col("n"), F.lit(q)).alias(c) for q, c in ((tail, "low"), (0.5, "median"), (1 - tail, "high"))))
+
+
+def block_length_sensitivity(terms: DataFrame, lengths: list[int], resamples: int, seed: int) -> DataFrame:
+    """The interval for several block lengths."""
+    out = None
+    for length in lengths:
+        one = block_bootstrap(terms, length, resamples, seed).select(F.lit(length).alias("length"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

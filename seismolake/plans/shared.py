@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     held = context._jsc.sc().getCheckpointDir()
     folder = context.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seismolake-")
         context.setCheckpointDir(folder)
     out = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
