@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import re
 import tempfile
 import uuid
@@ -121,6 +123,32 @@ def steps(ends: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         first = last
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as workers outlive their tasks and stand idle beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function of batches, or of a group's key and rows, that gives back its memory when they are done."""
+
+    def batches(parts):
+        try:
+            yield from run(parts)
+        finally:
+            give_back()
+
+    def group(key, rows):
+        try:
+            return run(key, rows)
+        finally:
+            give_back()
+
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

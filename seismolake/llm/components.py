@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, written
+from .common import lean, split_join, written
 
 #: Edges that a task contracts at once.
 GATHER = 1_000_000
@@ -49,7 +49,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         a, b = local_roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return written(edges.mapInArrow(run, "a long, b long"), "components")
+    return written(edges.mapInArrow(lean(run), "a long, b long"), "components")
 
 
 def components(edges: DataFrame) -> DataFrame:

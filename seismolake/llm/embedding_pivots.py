@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, split_join, table, written
+from .common import checkpoint, lean, split_join, table, written
 from .components import components
 
 COSINE = 0.9
@@ -60,7 +60,7 @@ def pivots_of(vectors: DataFrame) -> np.ndarray:
 
     n = vectors.count()
     few = vectors.select("vector").orderBy(F.xxhash64(F.lit(7), "vector"), "vector").limit(SAMPLE)
-    rows = [np.frombuffer(r[0], "<f4") for r in few.mapInArrow(run, "raw binary").collect()]
+    rows = [np.frombuffer(r[0], "<f4") for r in few.mapInArrow(lean(run), "raw binary").collect()]
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_PER_PIVOT))
     size = max(map(len, rows), default=1)
     sample = np.zeros((len(rows), size))
@@ -100,7 +100,7 @@ def described(vectors: DataFrame, pivots: np.ndarray, item: str) -> DataFrame:
                 near = np.take_along_axis(near, np.argsort(np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.astype(item).tobytes() for v in raw], pa.binary()), pa.array([v.tobytes() for v in near], pa.binary())], names=names)
 
-    return written(vectors.select("key", "weight", "vector").mapInArrow(run, "key long, weight long, vector binary, near binary"), "permutations")
+    return written(vectors.select("key", "weight", "vector").mapInArrow(lean(run), "key long, weight long, vector binary, near binary"), "permutations")
 
 
 def list_key(pivots: np.ndarray, n_pivots: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def lists(vectors: DataFrame, n_pivots: int, long_lists: np.ndarray, columns: li
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(row) for c in batch.columns[1:])], names=names)
 
     schema = ", ".join(["list long", *(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*columns).schema)])
-    return vectors.select(F.col("near").alias("head"), *columns).mapInArrow(run, schema)
+    return vectors.select(F.col("near").alias("head"), *columns).mapInArrow(lean(run), schema)
 
 
 def order_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def compare(rows: DataFrame, n_pivots: int, cosine: float, item: str) -> DataFra
                 break
         return pa.table({"key": pa.array(keys.astype(np.int64)), "links": pa.array(links), "root": pa.array(keys[root].astype(np.int64))})
 
-    return rows.groupBy("task").applyInArrow(run, "key long, links long, root long")
+    return rows.groupBy("task").applyInArrow(lean(run), "key long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:

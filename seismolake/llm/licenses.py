@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import lean, table, text_bytes
 
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(lean(run), schema)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sheltered, split_join, table, text_bytes
+from .common import checkpoint, lean, sheltered, split_join, table, text_bytes
 from .components import components
 from .shingles import BITS, set_keys, shingle_sets, shingle_steps
 
@@ -81,7 +81,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
                     keys = set_keys(h, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(keys.view(np.int64))], names=["row_id", "n_shingles", "set_key"])
 
-    return docs.mapInArrow(run, "row_id long, n_shingles long, set_key long")
+    return docs.mapInArrow(lean(run), "row_id long, n_shingles long, set_key long")
 
 
 def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
@@ -132,7 +132,7 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
         if n:
             yield emit(held)
 
-    return docs.select("text").mapInArrow(run, "fragment int, keys binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(lean(run), "fragment int, keys binary, counts binary, hashes binary")
 
 
 def lowest(part: np.ndarray, n_fragments: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def set_sizes(member: DataFrame, n_fragments: int) -> DataFrame:
             cut = np.r_[edge, len(order)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edge].astype(np.int32)), blobs(keys[order], cut), blobs(sizes[order], cut)], names=["bucket", "keys", "sizes"])
 
-    return member.select("n_shingles", "set_key").mapInArrow(run, "bucket int, keys binary, sizes binary")
+    return member.select("n_shingles", "set_key").mapInArrow(lean(run), "bucket int, keys binary, sizes binary")
 
 
 def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int) -> DataFrame:
@@ -214,9 +214,9 @@ def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int)
         cut = np.r_[np.searchsorted(cell, left), len(cell)]
         return pa.table({"set_key": pa.array(keys[left].view(np.int64)), "n": pa.array(sizes[left]), "grams": blobs(h, cut), "dfs": blobs(dfs, cut)})
 
-    back = parts.repartition(n_fragments, "fragment").groupBy("fragment").applyInArrow(count, "bucket int, keys binary, counts binary, grams binary, dfs binary")
+    back = parts.repartition(n_fragments, "fragment").groupBy("fragment").applyInArrow(lean(count), "bucket int, keys binary, counts binary, grams binary, dfs binary")
     back = back.unionByName(set_sizes(member, n_fragments), allowMissingColumns=True)
-    return back.repartition(n_fragments, "bucket").groupBy("bucket").applyInArrow(keep, "set_key long, n long, grams binary, dfs binary")
+    return back.repartition(n_fragments, "bucket").groupBy("bucket").applyInArrow(lean(keep), "set_key long, n long, grams binary, dfs binary")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +237,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             columns = [gram.astype(np.int64), batch.column(0).to_numpy()[row], n[row], place, common[row]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "set_key", "n", "place", "common"])
 
-    return sets.mapInArrow(run, "gram long, set_key long, n long, place long, common double")
+    return sets.mapInArrow(lean(run), "gram long, set_key long, n long, place long, common double")
 
 
 def room(percent: int) -> str:
@@ -270,12 +270,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             counts = np.bincount(row[1:][same], minlength=len(a)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts)], names=["a", "b", "n_a", "n_b", "overlap"])
 
-    parts = sets.select("set_key", "n", "grams").mapInArrow(cut, "fragment int, set_key long, n long, part binary")
+    parts = sets.select("set_key", "n", "grams").mapInArrow(lean(cut), "fragment int, set_key long, n long, part binary")
     side = lambda x: parts.select(F.col("fragment").alias(f"f_{x}"), F.col("set_key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}"))
     wide = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("f"))
     wide = wide.join(side("a"), (F.col("f") == F.col("f_a")) & (F.col("a") == F.col("key_a")))
     wide = wide.join(side("b"), (F.col("f") == F.col("f_b")) & (F.col("b") == F.col("key_b")))
-    counted = wide.select("a", "b", "n_a", "n_b", "part_a", "part_b").mapInArrow(partial, "a long, b long, n_a long, n_b long, overlap long")
+    counted = wide.select("a", "b", "n_a", "n_b", "part_a", "part_b").mapInArrow(lean(partial), "a long, b long, n_a long, n_b long, overlap long")
     return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, steps, table, text_bytes
+from .common import checkpoint, lean, steps, table, text_bytes
 from .wordcache import WordCache, kept
 
 CAPACITY = 4096
@@ -173,7 +173,7 @@ def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPAC
         if rows:
             yield batch_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECE)
 
 
 def stream(rest: DataFrame, groups: int, keep_ids: bool, capacity: int = CAPACITY) -> DataFrame:
@@ -202,7 +202,7 @@ def stream(rest: DataFrame, groups: int, keep_ids: bool, capacity: int = CAPACIT
         return pa.Table.from_batches([batch_of(out)])
 
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
-    return rest.withColumn("stream", group).groupBy("stream").applyInArrow(run, PIECE)
+    return rest.withColumn("stream", group).groupBy("stream").applyInArrow(lean(run), PIECE)
 
 
 def pack(docs: DataFrame, vocabulary: str, keep_ids: bool = True, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import SPACE, checkpoint, sheltered, span_hashes, split_join, steps, table, text_bytes, window_hashes, words, written
+from .common import SPACE, checkpoint, lean, sheltered, span_hashes, split_join, steps, table, text_bytes, window_hashes, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -84,7 +84,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=[*names, *COUNTS])
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return docs.mapInArrow(run, schema).withColumn("base_failed", failed)
+    return docs.mapInArrow(lean(run), schema).withColumn("base_failed", failed)
 
 
 def host_verdicts(rows: DataFrame, host: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:

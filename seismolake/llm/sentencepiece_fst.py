@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, text_bytes
+from .common import lean, steps, table, text_bytes
 from .packing import vocabulary_path
 from .wordcache import WordCache, kept
 
@@ -315,7 +315,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", round_trip: bool = F
                     columns.append(pa.array([machine.decode(ids[x:y].tolist()).decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *more])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -330,7 +330,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [machine.decode(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace") for x in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BACK, BYTE_CODE, STEP_BYTES, checkpoint, mix, powers, sheltered, steps, table, text_bytes
+from .common import _BACK, BYTE_CODE, STEP_BYTES, checkpoint, lean, mix, powers, sheltered, steps, table, text_bytes
 
 LENGTH = 100
 GRAM = 28
@@ -36,13 +36,13 @@ WINDOW = LENGTH - GRAM + 1
 ORDER_BITS = np.uint64(28)
 FIRST_ID = -(1 << 63)
 #: Places that a worker gathers, and suffixes of a sorted run.
-GATHER = 250_000
-RUN = 50_000
+GATHER = 200_000
+RUN = 32_000
 #: Open places of a text that are worked on at once.
 STEP_PLACES = 2000
 #: Bytes of text whose places one group of step 2 filters, and suffixes that one group of step 3 merges, about.
-PART_BYTES = 16 << 20
-MERGE_SUFFIXES = 60_000
+PART_BYTES = 12 << 20
+MERGE_SUFFIXES = 40_000
 #: The sample of step 3: texts and grams of a text at most, and ranges that it is cut into. More groups than ranges deal a range by hash of the gram.
 SAMPLE_TEXTS, SAMPLE_GRAMS, MOST_RANGES = 1000, 32, 4096
 #: Least number of different surroundings of one gram for it to be sorted window by window.
@@ -182,7 +182,7 @@ def pick(docs: DataFrame, n_parts: int) -> DataFrame:
         if n:
             yield emit(held)
 
-    return docs.mapInArrow(run, "part int, picked binary, work binary")
+    return docs.mapInArrow(lean(run), "part int, picked binary, work binary")
 
 
 def open_places(picked: DataFrame, n_parts: int) -> DataFrame:
@@ -204,7 +204,7 @@ def open_places(picked: DataFrame, n_parts: int) -> DataFrame:
         out = known + [(p, d, None) for p, d in dealt(still["key"] % n_parts, still)] + ([(key[0].as_py(), None, hot.tobytes())] if len(hot) else [])
         return pa.Table.from_batches([sent(out, "work", "hot")])
 
-    return picked.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "part int, work binary, hot binary")
+    return picked.repartition(n_parts, "part").groupBy("part").applyInArrow(lean(run), "part int, work binary, hot binary")
 
 
 def by_document(still: DataFrame, n_parts: int) -> DataFrame:
@@ -222,7 +222,7 @@ def by_document(still: DataFrame, n_parts: int) -> DataFrame:
             "n_work": pa.array(np.diff(edge).tolist() + [0] * len(hot), pa.int64()), "hot": pa.array([None] * len(cells) + hot, pa.binary()),
         })
 
-    return still.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "key long, work binary, n_work long, hot binary")
+    return still.repartition(n_parts, "part").groupBy("part").applyInArrow(lean(run), "key long, work binary, n_work long, hot binary")
 
 
 def range_bounds(docs: DataFrame, n_rows: int, n_ranges: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def range_bounds(docs: DataFrame, n_rows: int, n_ranges: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([data[k : k + GRAM].tobytes() for k in at], pa.binary())], names=["gram"])
 
     few = docs.filter(F.pmod("key", F.lit(max(1, n_rows // SAMPLE_TEXTS))) == 0)
-    sample = np.array(sorted(r[0] for r in few.select("text").mapInArrow(run, "gram binary").collect()), f"S{GRAM}")
+    sample = np.array(sorted(r[0] for r in few.select("text").mapInArrow(lean(run), "gram binary").collect()), f"S{GRAM}")
     if not len(sample) or n_ranges < 2:
         return np.zeros(0, f"S{GRAM}")
     return np.unique(sample[(np.arange(1, n_ranges) * len(sample)) // n_ranges])
@@ -335,7 +335,7 @@ def suffix_runs(rows: DataFrame, bounds: np.ndarray, hot: np.ndarray, n_parts: i
         if n:
             yield emit(held)
 
-    return rows.mapInArrow(run, "part int, meta binary, common binary, rest binary, before binary, found binary")
+    return rows.mapInArrow(lean(run), "part int, meta binary, common binary, rest binary, before binary, found binary")
 
 
 def front_decoded(common: np.ndarray, rest: bytes) -> list[bytes]:
@@ -456,7 +456,7 @@ def merge(runs: DataFrame, n_parts: int) -> DataFrame:
         cut = zip(np.searchsorted(keys, every), np.searchsorted(keys, every, "right"), strict=True)
         return pa.table({"key": pa.array(every.astype(np.int64)), "spans": pa.array([spans[a:b].tobytes() for a, b in cut], pa.binary())})
 
-    return runs.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "key long, spans binary")
+    return runs.repartition(n_parts, "part").groupBy("part").applyInArrow(lean(run), "key long, spans binary")
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:
@@ -472,7 +472,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
             small = pa.array([pack.compress(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([small if c == text else batch.column(c) for c in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -523,7 +523,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             figures = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *figures], names=[*kept, *(x.split()[0] for x in RESULT.split(", "))])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

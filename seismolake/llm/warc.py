@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_dir, split_join, table
+from .common import checkpoint, fresh_dir, lean, split_join, table
 
 LEAST_REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
@@ -111,7 +111,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     files, at = open_store(folder)
     files.create_dir(at, recursive=True)
     manifest = f"{folder}/_manifest.parquet"
-    joined.select("page_id", "url", text.alias("html"), "digest", "size", refers_to.alias("refers_to")).mapInArrow(store, "path string, bytes long, records long").write.parquet(manifest)
+    joined.select("page_id", "url", text.alias("html"), "digest", "size", refers_to.alias("refers_to")).mapInArrow(lean(store), "path string, bytes long, records long").write.parquet(manifest)
     return pages.sparkSession.read.parquet(manifest)
 
 
@@ -205,7 +205,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     n_splits = n_files + n_bytes // split_bytes
     n_tasks = min(n_splits, max(4 * files.sparkSession.sparkContext.defaultParallelism, n_bytes // TASK_BYTES))
     splits = splits.repartition(max(1, n_tasks), "path", "start")
-    return splits.mapInArrow(run, "path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary")
+    return splits.mapInArrow(lean(run), "path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
