@@ -6,7 +6,8 @@ regions may be missing as a whole, and replaceable regions take any words up to
 label wherever the automaton accepts.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z are lower-cased. A null text is empty;
-an empty text has no words, null word places, empty labels and score 0. Repeated rows are scanned one by one.
+an empty text has no words, null word places, empty labels and score 0. Repeated rows are scanned one by one. Of runs that start at one word the longest counts, equal spans of
+several labels are all told, in order of place and label. A very long text is scanned as a whole. Other columns are carried through, those that clash with a result's are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ coarser classes. What stands in a worker's unfinished bins (fewer than one capac
 cuts a stream of such pieces at the capacity, spread over tasks by hash; the end of each stream is cut into sequences whose
 lengths are powers of two, which need no padding.
 
-A null text is empty; an empty document is its end id alone. Repeated rows are packed one by one. Null ids of documents are carried along. An
+A document of any length is cut as a whole; columns beside doc_id and text are dropped. A null text is empty; an empty document is its end id alone. Repeated rows are packed one by one. Null ids of documents are carried along. An
 empty table gives no pieces.
 """
 
