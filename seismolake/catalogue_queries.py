@@ -664,15 +664,24 @@ def merged_members(spark, d):
     return merged.withColumns({"n_lanes": F.size("lanes").cast("long"), "n_other": F.size("other_mags").cast("long")}).drop("lanes", "other_mags")
 
 
-@query()
+@query(f"""
+, g AS (SELECT c.cell_ix, c.lon0, c.lat0, count(p.event_id) / 30.0 AS rate FROM cells c LEFT JOIN placed p ON p.cell_ix = c.cell_ix AND mag >= 4.5 GROUP BY ALL),
+u AS MATERIALIZED (SELECT g.*, range AS catalogue, {uniform_sql(11, 'range', 'cell_ix', '450')} AS u FROM g, range(100)),
+k AS (SELECT rate, range AS k, sum(exp(-rate + CASE WHEN rate > 0 THEN range * ln(rate) WHEN range = 0 THEN 0 ELSE -1e9 END - lgamma(range + 1))) OVER (PARTITION BY rate ORDER BY range) AS upto FROM (SELECT DISTINCT rate FROM g), range(100)),
+n AS (SELECT u.catalogue, u.cell_ix, lon0, lat0, count(k.k) AS n FROM u LEFT JOIN k ON k.rate = u.rate AND k.upto < u.u GROUP BY ALL),
+e AS MATERIALIZED (SELECT catalogue, cell_ix, lon0, lat0, unnest(range(1, n + 1)) AS k FROM n),
+d AS (SELECT *, {", ".join(f"{uniform_sql(11 + i, 'catalogue', 'cell_ix', '450', 'k')} AS u{i}" for i in (1, 2, 3))} FROM e)
+SELECT catalogue, cell_ix, k, round(lon0 + 0.5 * u1, 6) AS lon, round(lat0 + 0.5 * u2, 6) AS lat, round(4.5 - ln(1 - u3 * (1 - exp(-0.9 * ln(10) * 3.0))) / (0.9 * ln(10)), 6) AS mag, CAST(0.01 AS DOUBLE) AS rate FROM d""")
 def stochastic_event_set(spark, d):
     rates = G.lattice(spark).join(G.dense_counts(C.at_least(catalogue(spark, d), 4.5)), "cell_ix").select("cell_ix", "lon0", "lat0", F.lit(4.5).alias("m0"), (F.col("n") / F.lit(30.0)).alias("rate"))
-    return T.event_set(rates, 100, 1.0, 0.9, 0.5, 3.0, 11)
+    return rounded(T.event_set(rates, 100, 1.0, 0.9, 0.5, 3.0, 11))
 
 
-@query()
+@query(f"""{MOLCHAN}, b AS (SELECT sum(mass) OVER (ORDER BY alarm DESC ROWS UNBOUNDED PRECEDING) / sum(mass) OVER () AS high, mass / sum(mass) OVER () AS own FROM g),
+u AS MATERIALIZED (SELECT s.range AS sim, {uniform_sql(5, 's.range', 'k.range')} AS u FROM range(200) s, range(1, 51) k)
+SELECT sim, round(avg(1.0 - high + own / 2), 6) AS area FROM u JOIN b ON u > high - own AND u <= high GROUP BY 1""")
 def area_skill_null(spark, d):
-    return T.area_skill_null(K.molchan_groups(_alarm_cells(spark, d)), 50, 200, 5)
+    return rounded(T.area_skill_null(K.molchan_groups(_alarm_cells(spark, d)), 50, 200, 5))
 
 
 @query()

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared_draws import uniform as shared_uniform
 from ..plans.shared import written
 
 
@@ -70,8 +71,9 @@ def event_set(grid: DataFrame, catalogues: int, scale: float, b: float, size: fl
     """grid (cell_ix, lon0, lat0, m0, rate): synthetic events of `catalogues` catalogues, uniform in their cells, each with rate 1 / (catalogues scale)."""
     spark = grid.sparkSession
     draws = grid.join(F.broadcast(spark.range(catalogues).withColumnRenamed("id", "catalogue")))
-    rows = drawn(draws, F.col("rate") * F.lit(scale), uniform(seed, "catalogue", "cell_ix", "m0"), "k")
-    u = lambda i: uniform(seed + i, "catalogue", "cell_ix", "m0", "k")
+    bin_of = F.round(F.col("m0") * 100).cast("long")
+    rows = drawn(draws, F.col("rate") * F.lit(scale), shared_uniform(seed, "catalogue", "cell_ix", bin_of), "k")
+    u = lambda i: shared_uniform(seed + i, "catalogue", "cell_ix", bin_of, "k")
     return rows.select(
         "catalogue", "cell_ix", "k",
         (F.col("lon0") + F.lit(size) * u(1)).alias("lon"), (F.col("lat0") + F.lit(size) * u(2)).alias("lat"),
@@ -96,7 +98,7 @@ def area_skill_null(groups: DataFrame, targets: int, simulations: int, seed: int
     w = Window.orderBy(F.desc("alarm")).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("mass").over(Window.partitionBy())
     bounds = groups.select((F.sum("mass").over(w) / total).alias("high"), (F.col("mass") / total).alias("own")).withColumn("low", F.col("high") - F.col("own"))
-    draws = groups.sparkSession.range(simulations).withColumnRenamed("id", "sim").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(targets)))).withColumn("u", uniform(seed, "sim", "k"))
+    draws = groups.sparkSession.range(simulations).withColumnRenamed("id", "sim").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(targets)))).withColumn("u", shared_uniform(seed, "sim", "k"))
     hit = draws.join(F.broadcast(bounds), (F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
     return hit.groupBy("sim").agg(F.avg(F.lit(1.0) - F.col("high") + F.col("own") / 2).alias("area"))
 
