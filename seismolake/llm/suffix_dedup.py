@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ FIRST_ID = -(1 << 63)
 GATHER = 200_000
 RUN = 32_000
 #: Open places of a text that are worked on at once.
-STEP_PLACES = 2000
+STEP_PLACES = 250
 #: Bytes of text whose places one group of step 2 filters, and suffixes that one group of step 3 merges, about.
 PART_BYTES = 12 << 20
 MERGE_SUFFIXES = 40_000
@@ -249,6 +250,17 @@ def range_bounds(docs: DataFrame, n_rows: int, n_ranges: int) -> np.ndarray:
 SUFFIX = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("near", "u1"), ("far", "u1")])
 
 
+def row_hashes(rows: np.ndarray, code: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of rows of bytes, a few thousand rows at a time; of the first inside[i] bytes of row i where that is given."""
+    out = np.zeros(len(rows), np.uint64)
+    for a in range(0, len(rows), 4096):
+        part = BYTE_CODE[rows[a : a + 4096]] * code
+        if inside is not None:
+            part *= np.arange(rows.shape[1]) < inside[a : a + 4096, None]
+        out[a : a + 4096] = part.sum(1, dtype=np.uint64)
+    return out
+
+
 def differs(x: np.ndarray) -> np.ndarray:
     """Is a row unlike the one before?"""
     out = np.ones(len(x), bool)
@@ -300,7 +312,7 @@ def suffix_runs(rows: DataFrame, bounds: np.ndarray, hot: np.ndarray, n_parts: i
         many, hot = np.zeros(len(work), bool), held_hot.value
         if len(hot):
             with np.errstate(over="ignore"):
-                gram = mix((BYTE_CODE[text[at[:, None] + WINDOW + np.arange(GRAM)]] * powers(GRAM)).sum(1, dtype=np.uint64)) & SHORT
+                gram = mix(row_hashes(sliding_window_view(text, GRAM)[at + WINDOW], powers(GRAM))) & SHORT
             many = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
         times = np.where(many, far - near + 1, 1)
         which = np.repeat(np.arange(len(work)), times)
@@ -308,14 +320,14 @@ def suffix_runs(rows: DataFrame, bounds: np.ndarray, hot: np.ndarray, n_parts: i
         each = many[which]
         at = np.where(each, at[which] - near[which] - nth, at[which])
         far, near = np.where(each, 0, far[which]), np.where(each, 0, near[which])
-        right = text[at[:, None] + WINDOW + np.arange(LENGTH)]
-        left = text[at[:, None] + WINDOW - 1 - np.arange(WINDOW)]
+        right = sliding_window_view(text, LENGTH)[at + WINDOW]
+        left = sliding_window_view(text, WINDOW)[at][:, ::-1]
         part = np.searchsorted(held_bounds.value, np.ascontiguousarray(right[:, :GRAM]).view(f"S{GRAM}").ravel(), "right") * per_range
         with np.errstate(over="ignore"):
             if per_range > 1:
-                part += (mix((BYTE_CODE[right[:, :GRAM]] * powers(GRAM)).sum(1, dtype=np.uint64)) % np.uint64(per_range)).astype(np.int64)
+                part += (mix(row_hashes(right[:, :GRAM], powers(GRAM))) % np.uint64(per_range)).astype(np.int64)
             if each.any():
-                whole = mix((BYTE_CODE[right[each]] * powers(LENGTH)).sum(1, dtype=np.uint64))
+                whole = mix(row_hashes(right[each], powers(LENGTH)))
                 part[each] = n_ranges * per_range + (whole % np.uint64(n_parts)).astype(np.int64)
         meta = record(SUFFIX, doc=np.full(len(at), doc), key=np.full(len(at), key), at=at, near=near, far=far)
         return right, left, meta, part
@@ -424,7 +436,7 @@ def merge(runs: DataFrame, n_parts: int) -> DataFrame:
             meta, left = meta[order], left[order]
             code = powers(WINDOW, 0xD6E8FEB86659FD93)
             with np.errstate(over="ignore"):
-                whole = (BYTE_CODE[left] * code * (np.arange(WINDOW) < meta["far"][:, None])).sum(1, dtype=np.uint64)
+                whole = row_hashes(left, code, meta["far"])
             # suffixes of equal bytes and windows: all but the first repeat it whole
             same = np.cumsum(common < LENGTH)
             o_order, new, repeat = repeats([same, meta["near"], meta["far"], whole], meta["doc"], meta["at"])
