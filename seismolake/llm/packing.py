@@ -142,11 +142,12 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
 
-def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPACITY) -> DataFrame:
-    """First step: PIECE rows; those of unfinished bins have no sequence, and always their ids."""
+def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+    """First step: PIECE rows; those of unfinished bins have no sequence, and always their ids. With keep_words workers keep their words for the next task."""
 
     def run(batches):
-        cache = kept(("words", vocabulary), lambda: WordCache(word_encoder(vocabulary)))
+        fresh = lambda: WordCache(word_encoder(vocabulary))
+        cache = kept(("words", vocabulary), fresh) if keep_words else fresh()
         tails, bins, made, rows = tail_classes(capacity), {}, 0, []
         first = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -205,9 +206,9 @@ def stream(rest: DataFrame, groups: int, keep_ids: bool, capacity: int = CAPACIT
     return rest.withColumn("stream", group).groupBy("stream").applyInArrow(lean(run), PIECE)
 
 
-def pack(docs: DataFrame, vocabulary: str, keep_ids: bool = True, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, keep_ids: bool = True, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
     """The pieces of docs (doc_id, text): PIECE. Without keep_ids the ids column is null."""
-    pieces = checkpoint(fill(docs, vocabulary, keep_ids, capacity))
+    pieces = checkpoint(fill(docs, vocabulary, keep_ids, capacity, keep_words))
     rest = pieces.filter(F.col("sequence_id").isNull())
     left = rest.agg(F.sum("length")).first()[0] or 0
     done = pieces.filter(F.col("sequence_id").isNotNull())
@@ -225,4 +226,5 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary_path(), keep_ids=False).drop("ids")
+    """The pieces of the documents. Workers keep no words, as the pipeline's other stages need the memory."""
+    return pack(docs, vocabulary_path(), keep_ids=False, keep_words=False).drop("ids")
