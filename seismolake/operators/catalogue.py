@@ -164,3 +164,42 @@ def preferred(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key: the least by order, with the sorted set of contributing ids."""
     first = F.min(F.struct(*order)).alias("first")
     return events.groupBy(*key).agg(first, F.sort_array(F.collect_set("event_id")).alias("ids")).select(*key, "first.*", "ids")
+
+
+def bounds(events: DataFrame) -> DataFrame:
+    """West, east, south, north and depths of a catalogue: one row, nulls if it is empty."""
+    ends = [f(c).alias(n) for c, low, high in (("lon", "west", "east"), ("lat", "south", "north"), ("depth_km", "shallowest", "deepest")) for f, n in ((F.min, low), (F.max, high))]
+    return events.agg(*ends)
+
+
+def depth_in_range(events: DataFrame, least: float, most: float) -> DataFrame:
+    """The lower bound counts only above 0, as networks report small negative depths; unknown depths stay."""
+    depth = F.col("depth_km")
+    return events.filter(depth.isNull() | ((depth <= most) & (F.lit(least <= 0) | (depth >= least))))
+
+
+def mw_coverage(events: DataFrame, threshold: float, mw: str = "mw") -> DataFrame:
+    """Of the earthquakes reported at or above a threshold, in any scale, how many have a moment magnitude."""
+    rows = events.filter((F.col("etype") == "earthquake") & (F.col("mag") >= threshold))
+    return rows.agg(F.count(mw).alias("with_mw"), F.count("*").alias("total"))
+
+
+def completeness_decision(events: DataFrame, threshold: float, least_b: float = 0.7, least_coverage: float = 0.8, force: bool = False) -> DataFrame:
+    """Is the maximum-curvature completeness published? It needs a b value and a coverage, unless it is forced. events has mw."""
+    rows = mc_and_b(events).crossJoin(F.broadcast(mw_coverage(events, threshold))).withColumn("coverage", F.when(F.col("total") > 0, F.col("with_mw") / F.col("total")).otherwise(F.lit(0.0)))
+    sound = F.coalesce((F.col("b") >= least_b) & (F.col("coverage") >= least_coverage), F.lit(False))
+    return rows.select("mc", "b", "coverage", sound.alias("sound"), F.when(sound | F.lit(force), F.col("mc")).alias("published"))
+
+
+def left_apart(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b) that could be one event but stand in different clusters: what a merged catalogue must have few of."""
+    held = lambda c: clusters.select(F.col("event_id").alias(f"of_{c}"), F.col("cluster").alias(f"cluster_{c}"))
+    rows = pairs.join(held("a"), F.col("a") == F.col("of_a")).join(held("b"), F.col("b") == F.col("of_b"))
+    return rows.filter("cluster_a <> cluster_b").select("a", "b")
+
+
+def in_zone(events: DataFrame, lon: float, lat: float, radius_km: float) -> DataFrame:
+    """Events within a radius of a place, first by a box around it so that files and cells can be pruned."""
+    box = radius_km / 111.0
+    near = events.filter(F.col("lat").between(lat - box, lat + box))
+    return near.filter(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), S.ZONE_EARTH_KM) <= radius_km)

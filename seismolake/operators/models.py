@@ -73,6 +73,48 @@ def etas_log_likelihood(events: DataFrame, end_us: int, days: float, mu: float,
     return rows.agg(F.count("*").alias("n"), F.sum(F.log("rate")).alias("log_rates"), (F.lit(mu * days) + F.sum(mass)).alias("integral")).withColumn("ll", F.col("log_rates") - F.col("integral"))
 
 
+def etas_expectation_maximisation(events: DataFrame, end_us: int, days: float, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float, iterations: int) -> DataFrame:
+    """iteration, mu, k and log likelihood of the background rate and productivity, fitted by expectation and maximisation at a given shape of the kernel.
+
+    An event is background with probability mu / rate and triggered with the rest; the new background is the sum of the first over the days, the new productivity the sum of the second over what
+    sources of productivity 1 are expected to trigger. Each iteration is one pass of `etas_rates`; two numbers come to the driver.
+    """
+    left = (F.lit(end_us) - F.col("t_us")) / F.lit(8.64e10)
+    exposure = events.agg(F.sum(F.exp(F.lit(alpha) * (F.col("mag") - F.lit(mc))) * S.omori_integral(c_days, p, F.lit(0.0), left))).first()[0]
+    steps = []
+    for i in range(iterations + 1):
+        rates = etas_rates(events, mu, k, alpha, c_days, p, mc)
+        log_rates, background, triggered = rates.agg(F.sum(F.log("rate")), F.sum(F.lit(mu) / F.col("rate")), F.sum(F.coalesce("triggered", F.lit(0.0)) / F.col("rate"))).first()
+        steps.append((i, mu, k, log_rates - mu * days - k * exposure))
+        mu, k = background / days, triggered / exposure
+    return events.sparkSession.createDataFrame(steps, "iteration int, mu double, k double, ll double")
+
+
+def branching_ratio(k: float, alpha: float, c_days: float, p: float, b: float) -> float:
+    """Events that one triggers in the mean over all time, magnitudes being Gutenberg and Richter's; infinite where it has no mean."""
+    beta = b * math.log(10)
+    return math.inf if alpha >= beta or p <= 1 else k * c_days ** (1 - p) / (p - 1) * beta / (beta - alpha)
+
+
+def triggered_forecast(events: DataFrame, cells: DataFrame, issue_us: int, days: float, mu: float, k: float, alpha: float, c_days: float, p: float, d_km: float, q: float, mc: float, ratio: float, size: float) -> DataFrame:
+    """cells (cell_ix, lon0, lat0, share) with the expected events from the issue on: background by share, and what earlier events trigger, by their kernel's density at the cell's centre.
+
+    Later generations multiply what is triggered by 1 / (1 - ratio), as every triggered event has that many descendants in the mean, itself included; they are put where the first one is. Events of a cell
+    act together through their summed mass, so cells meet cells, not events.
+    """
+    if not 0 <= ratio < 1:
+        raise ValueError("the branching ratio must be below 1")
+    start = (F.lit(issue_us) - F.col("t_us")) / F.lit(8.64e10)
+    mass = F.lit(k) * F.exp(F.lit(alpha) * (F.col("mag") - F.lit(mc))) * S.omori_integral(c_days, p, start, start + F.lit(days))
+    held = events.filter(F.col("t_us") < issue_us).filter("cell_ix >= 0").groupBy(F.col("cell_ix").alias("of")).agg(F.sum(mass).alias("mass"))
+    sources = held.join(cells.select(F.col("cell_ix").alias("c"), F.col("lon0").alias("x0"), F.col("lat0").alias("y0")), F.col("of") == F.col("c"))
+    half = F.lit(size / 2)
+    km = S.haversine_km(F.col("lat0") + half, F.col("lon0") + half, F.col("y0") + half, F.col("x0") + half)
+    density = F.lit((q - 1) / (math.pi * d_km**2)) * F.pow(F.lit(1.0) + km * km / F.lit(d_km**2), F.lit(-q)) * S.cell_area_km2(F.col("lat0"), size)
+    near = cells.join(F.broadcast(sources), F.lit(True), "left").groupBy("cell_ix", "share").agg(F.sum(F.col("mass") * F.least(F.lit(1.0), density)).alias("triggered"))
+    return near.select("cell_ix", (F.lit(mu * days) * F.col("share") + F.coalesce("triggered", F.lit(0.0)) / F.lit(1 - ratio)).alias("expected"))
+
+
 def simplex(spark: SparkSession, names: list[str], steps: int) -> DataFrame:
     """All weight vectors on a lattice of the simplex: one column per name."""
     rows = spark.range(1).select(F.lit(0).alias("used"))

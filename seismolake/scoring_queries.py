@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue_queries import AREA, CUT, MOLCHAN, RING, START, _alarm_cells, _terms, query, rounded
+from .catalogue_queries import AREA, CUT, ETAS, MOLCHAN, RING, START, _alarm_cells, _terms, query, rounded
 from .functions import ground as D
 from .functions import seismology as S
 from .functions.shared_draws import uniform_sql
@@ -14,6 +14,7 @@ from .operators import catalogue as C
 from .operators import consistency as N
 from .operators import features as X
 from .operators import grids as G
+from .operators import models as M
 from .operators import schedule as P
 from .operators import scoring as K
 from .sources.events import DAY_US, catalogue
@@ -421,3 +422,72 @@ def effective_blocks(spark, d):
 def omori_integral(spark, d):
     value = S.omori_integral(0.01, 1.1, F.lit(0.0), F.lit(9.99) + F.col("mag"))
     return rounded(catalogue(spark, d).select("event_id", value.alias("value")))
+
+
+EM = f"""
+, e AS (SELECT * FROM seis WHERE mag >= 4),
+u AS (SELECT a.event_id, coalesce(sum(exp(1.2 * (b.mag - 4)) * pow((a.t_us - b.t_us) / 8.64e10 + 0.01, -1.1)), 0) AS u FROM e a LEFT JOIN e b ON b.t_us < a.t_us GROUP BY 1),
+x AS (SELECT sum(exp(1.2 * (mag - 4)) * (pow(({START + 30 * DAY_US} - t_us) / 8.64e10 + 0.01, -0.1) - pow(0.01, -0.1)) / (-0.1)) AS x FROM e),
+i0 AS (SELECT 0 AS iteration, CAST(20 AS DOUBLE) AS mu, CAST(0.02 AS DOUBLE) AS k)"""
+EM += "".join(f", i{n} AS (SELECT {n} AS iteration, sum(mu / (mu + k * u)) / 30 AS mu, sum(k * u / (mu + k * u)) / (SELECT x FROM x) AS k FROM i{n - 1}, u)" for n in (1, 2, 3))
+
+
+@query(EM + " " + " UNION ALL ".join(f"SELECT iteration, round(mu, 6) AS mu, round(k, 6) AS k, round((SELECT sum(ln(mu + k * u)) FROM u) - 30 * mu - k * (SELECT x FROM x), 4) AS ll FROM i{n}" for n in range(4)))
+def etas_fit(spark, d):
+    out = M.etas_expectation_maximisation(C.at_least(catalogue(spark, d), 4.0), START + 30 * DAY_US, 30.0, iterations=3, **ETAS)
+    return out.select("iteration", F.round("mu", 6).alias("mu"), F.round("k", 6).alias("k"), F.round("ll", 4).alias("ll"))
+
+
+@query(f"""
+, h AS (SELECT cell_ix, sum(0.02 * exp(1.2 * (mag - 4)) * (pow(({CUT} - t_us) / 8.64e10 + 10.01, -0.1) - pow(({CUT} - t_us) / 8.64e10 + 0.01, -0.1)) / (-0.1)) AS mass FROM placed WHERE t_us < {CUT} AND mag >= 4 AND cell_ix >= 0 GROUP BY 1),
+b AS (SELECT cell_ix, (n + 1.0) / sum(n + 1.0) OVER () AS share FROM counts),
+j AS (SELECT a.cell_ix, share, h.mass, least(1, 0.5 / (pi() * 100) * pow(1 + pow({HAVERSINE.format(a='(a.lat0 + 0.25)', b='(c.lat0 + 0.25)', x='(a.lon0 + 0.25)', y='(c.lon0 + 0.25)')}, 2) / 100, -1.5)
+  * 6371.0 * 6371.0 * radians(0.5) * (sin(radians(a.lat0 + 0.5)) - sin(radians(a.lat0)))) AS part FROM cells a JOIN b USING (cell_ix) LEFT JOIN (h JOIN cells c USING (cell_ix)) ON true)
+SELECT cell_ix, round(200 * share + coalesce(sum(mass * part), 0) / (1 - 0.4), 6) AS expected FROM j GROUP BY cell_ix, share""")
+def etas_forecast(spark, d):
+    """Ten days from the cut-off."""
+    events = G.located(C.at_least(catalogue(spark, d), 4.0))
+    shares = G.dense_counts(catalogue(spark, d)).select(F.col("cell_ix").alias("c"), (F.col("n") + F.lit(1.0)).alias("w"))
+    total = shares.agg(F.sum("w").alias("total"))
+    cells = G.lattice(spark).join(shares.crossJoin(F.broadcast(total)), F.col("cell_ix") == F.col("c")).select("cell_ix", "lon0", "lat0", (F.col("w") / F.col("total")).alias("share"))
+    e = ETAS
+    return rounded(M.triggered_forecast(events, cells, CUT, 10.0, e["mu"], e["k"], e["alpha"], e["c_days"], e["p"], 10.0, 1.5, e["mc"], 0.4, 0.5))
+
+
+@query("SELECT min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north, min(depth_km) AS shallowest, max(depth_km) AS deepest FROM seis")
+def catalogue_bounds(spark, d):
+    return C.bounds(catalogue(spark, d))
+
+
+@query("SELECT event_id FROM seis WHERE depth_km IS NULL OR (depth_km <= 60 AND depth_km >= 5)")
+def depth_range(spark, d):
+    return C.depth_in_range(catalogue(spark, d), 5.0, 60.0).select("event_id")
+
+
+@query("SELECT count(*) FILTER (event_id % 4 > 0) AS with_mw, count(*) AS total FROM seis WHERE etype = 'earthquake' AND mag >= 4")
+def mw_coverage(spark, d):
+    return C.mw_coverage(catalogue(spark, d).withColumn("mw", F.when(F.col("event_id") % 4 > 0, F.col("mag"))), 4.0)
+
+
+@query("""
+, m AS (SELECT mbin AS mode_bin, count(*) AS mode_n FROM seis GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+b AS (SELECT round(mode_bin * CAST(0.1 AS DOUBLE) + 0.2, 2) AS mc, log10(exp(1)) / (avg(mbin * CAST(0.1 AS DOUBLE)) - ((mode_bin + 2) * CAST(0.1 AS DOUBLE) - 0.05)) AS b FROM seis JOIN m ON mbin >= mode_bin + 2 GROUP BY mode_bin),
+c AS (SELECT count(*) FILTER (event_id % 10 > 0) / count(*) AS coverage FROM seis WHERE etype = 'earthquake' AND mag >= 4)
+SELECT mc, round(b, 6) AS b, round(coverage, 6) AS coverage, b >= 0.7 AND coverage >= 0.8 AS sound, CASE WHEN b >= 0.7 AND coverage >= 0.8 THEN mc END AS published FROM b, c""")
+def completeness_decision(spark, d):
+    return rounded(C.completeness_decision(catalogue(spark, d).withColumn("mw", F.when(F.col("event_id") % 10 > 0, F.col("mag"))), 4.0))
+
+
+@query(f"""
+SELECT a.event_id AS a, b.event_id AS b FROM seis a JOIN seis b ON a.event_id < b.event_id AND a.lane <> b.lane AND abs(a.t_us - b.t_us) <= 3600000000
+WHERE {HAVERSINE.format(a='a.lat', b='b.lat', x='a.lon', y='b.lon')} <= 100 AND a.event_id // 3 <> b.event_id // 3""")
+def assoc_no_cross_lane_left(spark, d):
+    from .operators import sequences as Q
+
+    events = catalogue(spark, d)
+    return C.left_apart(Q.association_pairs(events, 3_600_000_000, 100.0), events.select("event_id", F.floor(F.col("event_id") / 3).cast("long").alias("cluster")))
+
+
+@query(f"SELECT event_id FROM seis WHERE {HAVERSINE.format(a='lat', b='28.0', x='lon', y='84.0').replace('6371.0', '6371.0088')} <= 150")
+def radius_zone(spark, d):
+    return C.in_zone(catalogue(spark, d), 84.0, 28.0, 150.0).select("event_id")

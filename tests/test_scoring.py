@@ -120,3 +120,11 @@ def test_undecided_comparisons_say_why(spark):
     why = lambda rows: P.paired_interval(spark.createDataFrame(rows, "d double"), totals).first().reason
     assert why([(1.0,)]) == "fewer than two events" and why([(1.0,), (math.inf,)]) == "a rate of zero" and why([(1.0,), (1.0,)]) == "no variance"
     assert why([(1.0,), (2.0,)]) is None
+
+
+def test_each_iteration_of_the_fit_is_at_least_as_likely(spark, sf_dir):
+    steps = [r.ll for r in Q.etas_fit(spark, sf_dir).orderBy("iteration").collect()]
+    assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:], strict=False))
+    assert Q.M.branching_ratio(0.02, 1.2, 0.01, 1.1, 1.0) == pytest.approx(0.02 * 0.01**-0.1 / 0.1 * math.log(10) / (math.log(10) - 1.2))
+    with pytest.raises(ValueError):
+        Q.M.triggered_forecast(None, None, 0, 1.0, 1.0, 1.0, 1.0, 0.01, 1.1, 1.0, 1.5, 4.0, 1.0, 0.5)
