@@ -67,7 +67,7 @@ def cut(total: int, capacity: int = CAPACITY, tails: list[int] | None = None) ->
 
 
 #: Stems (words without the marks after them) that a worker keeps before it starts anew.
-MOST_STEMS = 250_000
+MOST_STEMS = 500_000
 MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 WORD_END = "</w>"
 LATIN = "\xff"
@@ -75,7 +75,7 @@ LATIN = "\xff"
 
 def stem_of(word: str) -> str:
     """A word without the ASCII marks after its last letter or digit, lower-cased: what the tokenizer takes by itself. Special tokens, and words beyond Latin-1, stay as they are."""
-    if "<|" in word or max(word) > LATIN:
+    if "<|" in word or not (word.isascii() or max(word) <= LATIN):
         return word
     stem = word.rstrip(MARKS)
     return stem.lower() if stem and (stem[-1].isalpha() or stem[-1] in "0123456789") else word
@@ -83,7 +83,7 @@ def stem_of(word: str) -> str:
 
 def is_plain(stem: str) -> bool:
     """One run of letters, which is one word to the tokenizer."""
-    return stem.isalpha() and max(stem) <= LATIN
+    return stem.isalpha() and (stem.isascii() or max(stem) <= LATIN)
 
 
 def word_encoder(vocabulary: str):
@@ -93,23 +93,23 @@ def word_encoder(vocabulary: str):
 
     tokenizer = Tokenizer.from_file(vocabulary)
     known: dict[str, list[int]] = {}
-    ends = {i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)}
+    vocabulary_items = tokenizer.get_vocab()
+    is_end = np.zeros(max(vocabulary_items.values()) + 1, bool)
+    is_end[[i for t, i in vocabulary_items.items() if t.endswith(WORD_END)]] = True
 
     def learn(stems: list[str]) -> None:
-        plain = [s for s in stems if is_plain(s)]
+        plain, rest = [], []
+        for s in stems:
+            (plain if is_plain(s) else rest).append(s)
         for a in range(0, len(plain), 1000):
-            part, run = iter(plain[a : a + 1000]), []
-            for i in tokenizer.encode(" ".join(plain[a : a + 1000]), add_special_tokens=False).ids:
-                run.append(i)
-                if i in ends:
-                    known[next(part)] = run
-                    run = []
-        rest = [s for s in stems if not is_plain(s)]
+            ids = tokenizer.encode(" ".join(plain[a : a + 1000]), add_special_tokens=False).ids
+            stops = (np.flatnonzero(is_end[ids]) + 1).tolist()
+            known.update(zip(plain[a : a + 1000], (ids[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
         known.update(zip(rest, (x.ids for x in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_many(words: list[bytes]) -> list[list[int]]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        stems = [stem_of(t) for t in texts]
+        stems = [t.lower() if t.isascii() and t.isalnum() else stem_of(t) for t in texts]
         marks = [t[len(s) :] for t, s in zip(texts, stems, strict=True)]
         if len(known) > MOST_STEMS:
             known.clear()

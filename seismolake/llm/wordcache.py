@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
 #: Words that a worker keeps before it starts anew; bounds its memory.
-MOST_WORDS = 250_000
+MOST_WORDS = 500_000
 
 
 _kept: dict = {}
@@ -35,7 +36,7 @@ class WordCache:
     def learn(self, words: list) -> None:
         if len(self.index) + len(words) > self.most and self.index:
             raise OverflowError
-        got = [np.asarray(x, np.uint32) for x in self.encode_many(words)]
+        got = list(self.encode_many(words))
         first, n = len(self.index), len(words)
         self.index.update(zip(words, range(first, first + n), strict=True))
         while len(self.start) < first + n:
@@ -45,20 +46,25 @@ class WordCache:
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, self.flat])
         if n:
-            self.flat[self.used : self.used + total] = np.concatenate(got)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
             self.size[first : first + n] = sizes
             self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.used += total
 
     def encode(self, words: list, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that are given as one list of words, counts[k] of them in text k; and the texts' bounds in the ids."""
-        fresh = list(set(words).difference(self.index))
-        try:
-            self.learn(fresh)
-        except OverflowError:
-            self.clear()
-            self.learn(list(set(words)))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        found = list(map(self.index.get, words))
+        if None in found:
+            missing = [k for k, x in enumerate(found) if x is None]
+            try:
+                self.learn(list({words[k] for k in missing}))
+                for k in missing:
+                    found[k] = self.index[words[k]]
+            except OverflowError:
+                self.clear()
+                self.learn(list(set(words)))
+                found = list(map(self.index.get, words))
+        at = np.array(found, np.int64)
         size, start = self.size[at], self.start[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
