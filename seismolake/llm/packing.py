@@ -135,7 +135,7 @@ def encoded(column: pa.Array, cache: WordCache):
 
 
 def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,7 +154,8 @@ def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPAC
             doc_ids = batch.column(0).to_pylist()
             for a, b, ids, ends in encoded(batch.column(1), cache):
                 for i in range(a, b):
-                    own = np.append(ids[ends[i - a] : ends[i - a + 1]], np.uint32(END_ID)).astype("<u4")
+                    own = np.empty(ends[i - a + 1] - ends[i - a] + 1, "<u4")
+                    own[:-1], own[-1] = ids[ends[i - a] : ends[i - a + 1]], END_ID
                     start = 0
                     for length, j in cut(len(own), capacity, tails):
                         held = bins.setdefault(j, [])

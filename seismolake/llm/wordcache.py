@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker keeps before it starts anew; bounds its memory.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 
 
 _kept: dict = {}
