@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe_trie, chat, embedding_pivots, filter_audit, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, suffix_dedup, warc
+    from . import bpe_trie, chat, embedding_pivots, filter_audit, licenses, ngram_join, packing, pii, quality, sentencepiece_fst, spelling_trie, suffix_dedup, warc
 
     return {
         "op1_pivot_dedup": embedding_pivots.op1_pivot_dedup,
@@ -17,13 +17,14 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_spelling_variants": spelling_trie.op11_spelling_variants,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_trie_bpe": bpe_trie.op13_trie_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, embedding_pivots, filter_audit, ngram_join, quality, suffix_dedup, warc
+    from . import chat, embedding_pivots, filter_audit, ngram_join, quality, spelling_trie, suffix_dedup, warc
 
     return {
         "op1_pivot_dedup": embedding_pivots.SQL,
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_host_quality": quality.SQL,
         "op8_ngram_join": ngram_join.SQL,
         "op10_suffix_dedup": suffix_dedup.SQL,
+        "op11_spelling_variants": spelling_trie.SQL,
         "op12_filter_audit": filter_audit.SQL,
     }
