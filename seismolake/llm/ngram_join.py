@@ -10,7 +10,9 @@ Documents with equal sets are one class from the start. To find components witho
 candidates are taken twice: first each document with the documents that hold most of what is common in its groups, then only pairs that are still in
 different components. No link between components is lost.
 
-The number of fragments follows from the table's bytes, and n-grams that stand in very many prefixes are split over tasks by the set.
+The number of fragments follows from the table's bytes. An n-gram of very many documents (HOT_CELLS, and over a millionth of all) would make one fragment grow with the table, so the tasks that take the sets
+count what recurs, and the cells of such n-grams go straight to their documents, spread by the set: their frequency is known to be the highest that is told apart. N-grams that stand in very many
+prefixes are split over tasks by the set, and meet only sets of about their size.
 
 Null or wordless texts have the empty set and link with nothing. Repeated rows (and repeated ids) are kept one by one. A null id links but names no component.
 An empty table gives an empty table. Other columns are dropped by the query and carried through by the stage. A very long text is one row of n-grams, worked on as a whole.
@@ -18,6 +20,8 @@ An empty table gives an empty table. Other columns are dropped by the query and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +41,12 @@ MOST_SEEN = 500_000
 #: Bytes of text of which one fragment holds the n-grams, about.
 PART_BYTES = 8 << 20
 LEADERS = 2
+#: Cells of an n-gram from which it leaves its fragment; at least MOST_DF, so that its frequency is known.
+HOT_CELLS = 4096
+#: N-grams that a worker gathers before it says which recur, and how often these do at least: n-grams below this in every such part have under four millionths of all cells.
+COUNT_CELLS, LEAST_REPEATS = 4 << 20, 16
+#: The highest frequency that is told apart.
+MOST_DF = 255
 
 
 def six_bytes(x: np.ndarray) -> np.ndarray:
@@ -69,23 +79,73 @@ def fragments_of(docs: DataFrame) -> int:
     return max(LEAST_FRAGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
 
 
+class Unseen:
+    """Tells sets that a task has met from new ones, by their keys; of equal sets one is enough. It may forget, which only makes work."""
+
+    def __init__(self) -> None:
+        self.seen = np.zeros(0, np.uint64)
+
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        own_keys, first = np.unique(keys, return_index=True)
+        unseen = self.seen[np.minimum(np.searchsorted(self.seen, own_keys), len(self.seen) - 1)] != own_keys if len(self.seen) else np.ones(len(own_keys), bool)
+        fresh = np.zeros(len(keys), bool)
+        fresh[first[unseen]] = True
+        self.seen = np.sort(np.r_[self.seen, own_keys[unseen]]) if len(self.seen) < MOST_SEEN else own_keys
+        return fresh
+
+
+def recurring(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that come at least so often, and how often."""
+    h = np.sort(np.concatenate(held))
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    times = np.diff(np.r_[edge, len(h)])
+    often = times >= least
+    return h[edge[often]], times[often]
+
+
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """row_id, n_shingles and set_key of docs (row_id, text)."""
+    """row_id, n_shingles and set_key of docs (row_id, text); and rows with gram, an n-gram that n_shingles sets of a task hold, where these are many."""
+    names = ["row_id", "n_shingles", "set_key", "gram"]
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, times = recurring(held, LEAST_REPEATS)
+        nothing = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, pa.array(times), nothing, pa.array(h.view(np.int64))], names=names)
 
     def run(batches):
+        held, n, unseen = [], 0, Unseen()
         for batch in batches:
             data, ends = text_bytes(batch.column(1))
             for a, b in shingle_steps(ends):
                 with np.errstate(over="ignore"):
-                    _, h, bounds = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], size)
+                    row, h, bounds = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], size)
                     keys = set_keys(h, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(keys.view(np.int64))], names=["row_id", "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(keys.view(np.int64)), pa.nulls(b - a, pa.int64())], names=names)
+                held.append(h[unseen.fresh(keys)[row]])
+                n += len(held[-1])
+                if n >= COUNT_CELLS:
+                    yield told(held)
+                    held, n = [], 0
+        if n:
+            yield told(held)
+
+    return docs.mapInArrow(lean(run), "row_id long, n_shingles long, set_key long, gram long")
+
 
-    return docs.mapInArrow(lean(run), "row_id long, n_shingles long, set_key long")
+def hot_grams(found: DataFrame) -> np.ndarray:
+    """The n-grams that leave their fragments, in order: by the threshold a million at most, 8 MB."""
+    cells = found.filter("gram is null").agg(F.sum("n_shingles")).first()[0] or 0
+    most = max(HOT_CELLS, MOST_DF, cells // 1_000_000)
+    grams = found.filter("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("cells")).filter(F.col("cells") >= most)
+    return np.sort(grams.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
 
 
-def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
-    """Rows of (fragment, keys, counts, hashes): the parts of many documents in a fragment; counts[i] hashes are of the set keys[i], which comes several times if it has more than a byte counts."""
+def fragments(docs: DataFrame, size: int, n_fragments: int, hot: np.ndarray) -> DataFrame:
+    """Rows of (fragment, keys, counts, hashes): the parts of many documents in a fragment; counts[i] hashes are of the set keys[i], which comes several times if it has more than a byte counts.
+
+    Fragments from n_fragments on have the hot n-grams, as places in their list, of the sets of a bucket.
+    """
+    told = docs.sparkSession.sparkContext.broadcast(hot)
     names = ["fragment", "keys", "counts", "hashes"]
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -95,10 +155,12 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
             key.append(keys)
             h.append(hashes)
         key, row, h = map(np.concatenate, (key, row, h))
-        part = ((h >> np.uint64(20)) * np.uint64(n_fragments)) >> np.uint64(BITS - 20)
+        part = (((h >> np.uint64(20)) * np.uint64(n_fragments)) >> np.uint64(BITS - 20)).astype(np.int64)
+        h, place = h - lowest(part, n_fragments), place_in(told.value, h)
+        part = np.where(place < 0, part, n_fragments + (key[row] % np.uint64(n_fragments)).astype(np.int64))
+        h = np.where(place < 0, h, place.astype(np.uint64))
         order = np.argsort(part.astype(np.uint32), kind="stable")
-        part, row, h = part[order].astype(np.int64), row[order], h[order]
-        h = h - lowest(part, n_fragments)
+        part, row, h = part[order], row[order], h[order]
         edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
         counts = np.diff(np.r_[edge, len(row)])
         several = -(-counts // 255)
@@ -111,19 +173,14 @@ def fragments(docs: DataFrame, size: int, n_fragments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(part[edge][first].astype(np.int32)), blobs(key[cells].astype("<u8"), cut), blobs(counts, cut), pa.array(hashes, pa.binary())], names=names)
 
     def run(batches):
-        held, n, seen = [], 0, np.zeros(0, np.uint64)
+        held, n, unseen = [], 0, Unseen()
         for batch in batches:
             data, ends = text_bytes(batch.column(0))
             for a, b in shingle_steps(ends):
                 with np.errstate(over="ignore"):
                     row, h, bounds = shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], size)
                     keys = set_keys(h, bounds)
-                own_keys, first = np.unique(keys, return_index=True)
-                unseen = seen[np.minimum(np.searchsorted(seen, own_keys), len(seen) - 1)] != own_keys if len(seen) else np.ones(len(own_keys), bool)
-                fresh = np.zeros(b - a, bool)
-                fresh[first[unseen]] = True
-                seen = np.sort(np.r_[seen, own_keys[unseen]]) if len(seen) < MOST_SEEN else own_keys
-                own = fresh[row]
+                own = unseen.fresh(keys)[row]
                 held.append((keys, row[own], h[own]))
                 n += int(own.sum())
                 if n >= GATHER:
@@ -142,6 +199,14 @@ def lowest(part: np.ndarray, n_fragments: int) -> np.ndarray:
     return (((p << np.uint64(BITS - 20)) + n - np.uint64(1)) // n) << np.uint64(20)
 
 
+def place_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in sorted values, -1 where it isn't there."""
+    if not len(sorted_values):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == x, at, -1)
+
+
 def set_sizes(member: DataFrame, n_fragments: int) -> DataFrame:
     """bucket, keys and sizes of many sets (row_id, n_shingles, set_key)."""
 
@@ -158,9 +223,11 @@ def set_sizes(member: DataFrame, n_fragments: int) -> DataFrame:
     return member.select("n_shingles", "set_key").mapInArrow(lean(run), "bucket int, keys binary, sizes binary")
 
 
-def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int) -> DataFrame:
+def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int, hot: np.ndarray) -> DataFrame:
     """set_key, n, grams: the sets of which enough n-grams stand in another set too; grams are those, from the rarest on (dfs: in how many sets, 255 at most)."""
 
+    told = parts.sparkSession.sparkContext.broadcast(hot)
+
     def count(key, rows):
         part = key[0].as_py()
         keys, counts = gather(rows.column("keys"), "<u8"), gather(rows.column("counts"), np.uint8)
@@ -174,9 +241,13 @@ def shared(parts: DataFrame, member: DataFrame, n_fragments: int, percent: int)
         own = new | np.r_[True, cell[1:] != cell[:-1]]
         h, cell, new = h[own], cell[own], new[own]
         run = np.cumsum(new, dtype=np.int32) - 1
-        df = np.minimum(np.bincount(run), 255).astype(np.uint8)[run]
+        df = np.minimum(np.bincount(run), MOST_DF).astype(np.uint8)[run]
+        if part < n_fragments:
+            h += lowest(np.array([part]), n_fragments)[0]
+        else:
+            h, df = told.value[h.astype(np.int64)], np.full(len(h), MOST_DF, np.uint8)
         often = df > 1
-        h, cell, df = h[often] + lowest(np.array([part]), n_fragments)[0], cell[often].astype(np.int64), df[often]
+        h, cell, df = h[often], cell[often].astype(np.int64), df[often]
         del run, new, own, often
         bucket = (keys % np.uint64(n_fragments)).astype(np.int64)
         order = np.lexsort((cell, bucket[cell]))
@@ -300,8 +371,11 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     mixed = marked.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).filter("low <> high")
     mixed = checkpoint(mixed.select(F.col("gram").alias("of"), "size"))
     marked = split_join(marked, mixed, "gram", "of", "size", "set_key", "left_semi")
-    side = lambda x: marked.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("set_key", "n", "place", "group")))
-    rest = side("a").join(side("b").withColumnRenamed("gram", "gram_b"), F.expr(f"gram = gram_b AND group_a <> group_b AND set_key_a < set_key_b AND {room(percent)}"))
+    # sizes of similar sets are at most one band apart
+    marked = marked.withColumn("band", F.floor(F.log("n") / F.lit(1.001 * math.log(100 / percent) if percent < 100 else 1.0)))
+    side = lambda x: marked.select("gram", "band", *(F.col(c).alias(f"{c}_{x}") for c in ("set_key", "n", "place", "group")))
+    near = side("b").withColumnRenamed("gram", "gram_b").withColumn("band_b", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).drop("band")
+    rest = side("a").join(near, F.expr(f"gram = gram_b AND band = band_b AND group_a <> group_b AND set_key_a < set_key_b AND {room(percent)}"))
     second = links(rest.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct(), sets, percent)
     return components(first.union(second)).withColumnsRenamed({"node": "set_key"})
 
@@ -310,8 +384,9 @@ def similar_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     """row_id, n_shingles, component_id (the smallest row id that links reach): one row per row of docs."""
     docs = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
     n_fragments = fragments_of(docs)
-    member = checkpoint(sets_of(docs, size))
-    sets = checkpoint(shared(fragments(docs, size, n_fragments), member, n_fragments, percent))
+    found = checkpoint(sets_of(docs, size))
+    member, hot = found.filter("gram is null").drop("gram"), hot_grams(found)
+    sets = checkpoint(shared(fragments(docs, size, n_fragments, hot), member, n_fragments, percent, hot))
     linked = set_components(sets, percent).withColumnsRenamed({"set_key": "of_key"})
     least = member.filter("n_shingles > 0").groupBy(F.col("set_key").alias("own_key")).agg(F.min("row_id").alias("least_id"), F.count("*").alias("copies"))
     least = least.join(linked, F.col("own_key") == F.col("of_key"), "left").withColumn("group", F.coalesce("component", "own_key"))

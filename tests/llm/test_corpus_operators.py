@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seismolake.llm import components as components_module
 from seismolake.llm import common, embedding_pivots, ngram_join, packing, sentencepiece_fst, suffix_dedup
@@ -80,15 +81,34 @@ def brute_join(rows, size, percent):
     return sets, groups(links, sets)
 
 
-@pytest.mark.parametrize(("size", "percent", "hot_rows"), [(4, 85, 1000), (5, 80, 1)])
-def test_ngram_join_matches_brute_force(docs, rows, size, percent, hot_rows, monkeypatch):
+@pytest.mark.parametrize(("size", "percent", "hot_rows", "hot_cells"), [(4, 85, 1000, 4096), (5, 80, 1, 2), (4, 85, 1, 30)])
+def test_ngram_join_matches_brute_force(docs, rows, size, percent, hot_rows, hot_cells, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(ngram_join, "PART_BYTES", 1000 * hot_rows)
+    if hot_cells < 4096:
+        for name, value in {"HOT_CELLS": hot_cells, "MOST_DF": hot_cells, "LEAST_REPEATS": 2, "COUNT_CELLS": 5000}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     sets, want = brute_join(rows, size, percent)
     got = {r.row_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs, size=size, percent=percent).collect()}
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_hot_ngrams_leave_their_fragment(spark):
+    """Documents that share a phrase and nothing else: the largest group falls with the number of fragments."""
+    phrase = "the same licence line stands in each of these texts "
+    docs = spark.createDataFrame([(k, phrase + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(6000)], "row_id long, text string").repartition(4)
+    hot = ngram_join.hot_grams(ngram_join.sets_of(docs, 4))
+    assert len(hot) == 7
+    largest = {}
+    for n in (16, 64, 256):
+        cells = ngram_join.fragments(docs, 4, n, hot).groupBy("fragment").agg(F.sum(F.octet_length("hashes") / 6).alias("n"))
+        largest[n] = cells.agg(F.max("n")).first()[0]
+        assert cells.agg(F.sum("n")).first()[0] == 6000 * 27
+    assert largest[256] < 1.5 * largest[64] / 4 * 2 and largest[64] < 1.5 * largest[16] / 4 * 1.5 and largest[256] < 1200
+    got = ngram_join.similar_groups(docs.withColumnRenamed("row_id", "doc_id"))
+    assert got.filter("row_id <> component_id or n_shingles <> 27").isEmpty() and got.count() == 6000
+
+
 def test_ngram_join_odd_tables(spark):
     assert ngram_join.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, None), (None, "a b c d e"), (3, "")], "doc_id long, text string")
