@@ -654,7 +654,7 @@ def merged_catalogue(spark, d):
 @query("""
 , g AS (SELECT *, event_id // 3 AS cluster, row_number() OVER (PARTITION BY event_id // 3 ORDER BY depth_km, event_id) AS r FROM seis),
 f AS (SELECT * FROM g WHERE r = 1)
-SELECT 'rup-' || substr(sha1(f.lane || ':' || f.event_id), 1, 12) AS id, f.t_us, f.lat, f.lon, f.depth_km, f.mag,
+SELECT 'merged-' || substr(sha1(f.lane || ':' || f.event_id), 1, 12) AS id, f.t_us, f.lat, f.lon, f.depth_km, f.mag,
   coalesce(first(g.etype ORDER BY g.r) FILTER (g.etype <> 'earthquake'), 'earthquake') AS etype, CASE WHEN count(g.avail_us) = count(*) THEN max(g.avail_us) END AS avail_us,
   list(g.event_id ORDER BY g.r) AS ids, count(DISTINCT g.lane) AS n_lanes, count(DISTINCT g.mag) FILTER (g.mag <> f.mag) AS n_other
 FROM f JOIN g USING (cluster) GROUP BY f.lane, f.event_id, f.t_us, f.lat, f.lon, f.depth_km, f.mag""")

@@ -152,12 +152,12 @@ def from_local_frame(x: Column, y: Column, lon0: float, lat0: float) -> tuple[Co
     return F.pmod(F.degrees(lo) + 180, F.lit(360.0)) - 180, F.degrees(la)
 
 
-def rupture_distances(lon: Column, lat: Column, corners: list[tuple[float, float, float]], hypocentre: tuple[float, float, float]) -> dict[str, Column | float]:
+def plane_distances(lon: Column, lat: Column, corners: list[tuple[float, float, float]], hypocentre: tuple[float, float, float]) -> dict[str, Column | float]:
     """rjb, rrup, rx, rhypo and ztor of sites at the surface. corners: top left, top right, bottom right, bottom left (lon, lat, depth), or none for a point source."""
     import math
 
     if len(corners) not in (0, 4) or any(c[2] < 0 for c in corners):
-        raise ValueError("a rupture has four corners at depths of 0 or more, or none")
+        raise ValueError("a fault plane has four corners at depths of 0 or more, or none")
     origin = (sum(c[0] for c in corners) / 4, sum(c[1] for c in corners) / 4) if corners else hypocentre[:2]
 
     def plane(x: float, y: float) -> tuple[float, float]:
@@ -180,6 +180,6 @@ def rupture_distances(lon: Column, lat: Column, corners: list[tuple[float, float
     along = (flat[1][0] - flat[0][0], flat[1][1] - flat[0][1])
     length = math.hypot(*along)
     if length == 0:
-        raise ValueError("the rupture's top edge has no length")
+        raise ValueError("the plane's top edge has no length")
     rx = (at[0] - F.lit(flat[0][0])) * F.lit(along[1] / length) - (at[1] - F.lit(flat[0][1])) * F.lit(along[0] / length)
     return {"rjb": polygon_km(at, [fixed(*f) for f in flat]), "rrup": rrup, "rx": rx, "rhypo": rhypo, "ztor": float(min(c[2] for c in corners))}

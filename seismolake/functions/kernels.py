@@ -1,4 +1,4 @@
-"""Kernels of self-exciting models, their masses and inverse distributions, and small formulas of warning and rupture size, as column expressions."""
+"""Kernels of self-exciting models, their masses and inverse distributions, and small formulas of warning and fault size, as column expressions."""
 
 from __future__ import annotations
 
@@ -75,7 +75,7 @@ def shutdown_fires(im: Column, hypocentral: Column, threshold: float, s_wave_km_
     return (im >= threshold) & (warning_seconds(hypocentral, s_wave_km_s, latency_s) > 0)
 
 
-def rupture_length_km(mag: Column) -> Column:
+def fault_length_km(mag: Column) -> Column:
     return F.pow(F.lit(10.0), F.lit(-2.44) + F.lit(0.59) * mag)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions import seismology as S
 from ..functions.shared_draws import uniform
+from ..plans import nearby
 from . import risk
 
 
@@ -20,18 +20,14 @@ def truncated_normal(u: Column, v: Column, level: float) -> Column:
 
 
 def fields(events: DataFrame, sites: DataFrame, mean_ln: Callable[[Column, Column], Column], tau: float, phi: float, level: float, seed: int, reach_km: float) -> DataFrame:
-    """events (event_id, lon, lat, depth_km, mag) and sites (site_id, s_lon, s_lat): im, hypocentral_km of the pairs within reach.
+    """events (event_id, lon, lat, depth_km, mag) and sites (site_id, s_lon, s_lat): im, hypocentral_km of the pairs within reach, anywhere on the sphere.
 
-    Sites, few enough to be broadcast, meet events by cells of two degrees around them. One draw for an event, one for an event and site; level 0 is the median.
+    Sites meet events by cells as large as the reach. One draw for an event, one for an event and site; level 0 is the median.
     """
-    cell = lambda x: F.floor(x / F.lit(2.0)).cast("int")
-    ring = int(reach_km / 111.19 / 2.0) + 1
-    wide = F.sequence(F.lit(-2 * ring), F.lit(2 * ring))  # a degree of longitude is at least half as long below 60 degrees of latitude
-    near = sites.withColumn("dx", F.explode(wide)).withColumn("dy", F.explode(F.sequence(F.lit(-ring), F.lit(ring))))
-    near = F.broadcast(near.withColumns({"cx": cell(F.col("s_lon")) + F.col("dx"), "cy": cell(F.col("s_lat")) + F.col("dy")}).drop("dx", "dy"))
-    rows = events.withColumns({"ex": cell(F.col("lon")), "ey": cell(F.col("lat"))}).join(near, (F.col("ex") == F.col("cx")) & (F.col("ey") == F.col("cy")))
-    km = kernels.hypocentral_km(S.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), F.col("depth_km"))
-    rows = rows.withColumn("hypocentral_km", km).filter(F.col("hypocentral_km") <= reach_km)
+    places = sites.select("site_id", F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat"))
+    met = nearby.pairs_within(places, events.select("event_id", "lon", "lat", "depth_km", "mag"), F.lit(float(reach_km)), reach_km, least_km=reach_km)
+    rows = met.select(F.col("event_id_r").alias("event_id"), F.col("site_id_l").alias("site_id"), F.col("mag_r").alias("mag"), kernels.hypocentral_km(F.col("km"), F.col("depth_km_r")).alias("hypocentral_km"))
+    rows = rows.filter(F.col("hypocentral_km") <= reach_km)
     between = truncated_normal(uniform(seed, "event_id"), uniform(seed + 1, "event_id"), level)
     within = truncated_normal(uniform(seed + 2, "event_id", "site_id"), uniform(seed + 3, "event_id", "site_id"), level)
     spread = F.lit(0.0) if level == 0 else F.lit(tau) * between + F.lit(phi) * within
@@ -40,7 +36,7 @@ def fields(events: DataFrame, sites: DataFrame, mean_ln: Callable[[Column, Colum
 
 def asset_losses(shaken: DataFrame, assets: DataFrame, states: list[tuple[float, float, float]]) -> DataFrame:
     """assets (asset_id, site_id, value): event_id, asset_id, loss."""
-    joined = shaken.join(F.broadcast(assets), "site_id")
+    joined = shaken.join(assets, "site_id")
     return joined.select("event_id", "asset_id", "hypocentral_km", "im", (F.col("value") * risk.expected_ratio(F.col("im"), states)).alias("loss"))
 
 

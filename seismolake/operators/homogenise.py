@@ -34,10 +34,10 @@ def preferred_mw(magnitudes: DataFrame, assume_local: bool) -> DataFrame:
     return best.select("event_id", F.col("r.mw").alias("mw"), how.alias("how"), F.col("r.from").alias("kind"))
 
 
-def merge_clusters(members: DataFrame, order: list[str]) -> DataFrame:
+def merge_clusters(members: DataFrame, order: list[str], prefix: str = "merged-") -> DataFrame:
     """members (cluster, event_id, lane, t_us, avail_us, lat, lon, depth_km, mag, etype): one event per cluster, which holds a few records.
 
-    Members stand in the given order, then by lane and id. Place, time, depth and magnitude are the first one's, whose lane and id name the event; the first type but earthquake wins; other magnitudes are
+    Members stand in the given order, then by lane and id. Place, time, depth and magnitude are the first one's, whose lane and id name the event (after a prefix); the first type but earthquake wins; other magnitudes are
     those that differ from the first one's, each once; contributing ids and lanes stand in members' order; the vintage is the latest, unknown if any is unknown.
     """
     fields = ("lane", "event_id", "t_us", "lat", "lon", "depth_km", "mag", "etype", "avail_us")
@@ -45,7 +45,7 @@ def merge_clusters(members: DataFrame, order: list[str]) -> DataFrame:
     first, all_of = F.get("m", 0), lambda c: F.transform("m", lambda x: x[c])
     odd = F.filter(all_of("etype"), lambda x: x != "earthquake")
     others = F.array_distinct(F.filter(all_of("mag"), lambda x: x.isNotNull() & ~x.eqNullSafe(first["mag"])))
-    name = F.concat(F.lit("rup-"), F.substring(F.sha1(F.concat_ws(":", first["lane"], first["event_id"]).cast("binary")), 1, 12))
+    name = F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws(":", first["lane"], first["event_id"]).cast("binary")), 1, 12))
     vintage = F.when(~F.exists(all_of("avail_us"), lambda x: x.isNull()), F.array_max(all_of("avail_us")))
     return merged.select(
         name.alias("id"), *(first[c].alias(c) for c in ("t_us", "lat", "lon", "depth_km", "mag")), F.coalesce(F.get(odd, 0), F.lit("earthquake")).alias("etype"), vintage.alias("avail_us"),

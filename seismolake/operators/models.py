@@ -38,12 +38,15 @@ def ladder(posterior: DataFrame, main: float, b: float, thresholds: list[float],
 
 #: Cells of time whose sources act as one on later events, and how many cells back sources act one by one.
 CELL_US, NEAR_CELLS, ORDER = 5_400_000_000, 16, 8
+#: Levels with at most so many cells are broadcast.
+BROADCAST_CELLS = 4096
 
 
 def etas_rates(events: DataFrame, mu: float, k: float, alpha: float, c_days: float, p: float, mc: float) -> DataFrame:
     """Conditional rate at each event: the background plus what all strictly earlier events trigger (Omori in time, exponential in magnitude).
 
-    Sources of the last NEAR_CELLS cells (a day) act one by one. Those of an older cell act through the sums of weight x^j, x being the time from the cell's middle, as
+    Sources of the last NEAR_CELLS cells (a day) act one by one. Older ones act through cells that double in length from level to level: on an event at cell b act those cells a of a level with b - a > NEAR_CELLS whose
+    parents are nearer than that, so an event meets some seventeen cells a level, and each earlier source is in exactly one of them. A cell acts through its sums of weight x^j, x being the time from its middle, as
     (D + c - x)^-p = sum over j of (p)_j / j! x^j (D + c)^(-p - j), D being the time since the middle. As x is below a 33rd of D, ending at j = 8 leaves out less than 1e-13 of a source's rate for p below 2.
     """
     days = lambda us: us / F.lit(8.64e10)
@@ -52,15 +55,28 @@ def etas_rates(events: DataFrame, mu: float, k: float, alpha: float, c_days: flo
     pairs = time_blocks.interval_pairs(side.select("event_id", "t_us", "at"), side.select("t_us", "mag", "at"), "t_us", (NEAR_CELLS + 1) * CELL_US)
     pairs = pairs.filter(f"t_us_r < t_us_l AND at_l - at_r <= {NEAR_CELLS}")
     near = pairs.select(F.col("event_id_l").alias("event_id"), (weight("mag_r") * F.pow(days(F.col("t_us_l") - F.col("t_us_r")) + F.lit(c_days), F.lit(-p))).alias("part"))
-    middle = F.col("at") * F.lit(CELL_US) + F.lit(CELL_US // 2)
+
+    low, high = events.agg(F.min("t_us"), F.max("t_us")).first()
+    n_cells = ((high or 0) - (low or 0)) // CELL_US + 2
+    levels = max(1, math.ceil(math.log2(n_cells / NEAR_CELLS)) + 1)
+    coarse = max(0, math.ceil(math.log2(n_cells / BROADCAST_CELLS)))
+    raised = side.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("cell", F.floor(F.col("at") / F.pow(F.lit(2.0), "level")).cast("long"))
+    middle = (F.col("cell") + F.lit(0.5)) * F.lit(float(CELL_US)) * F.pow(F.lit(2.0), "level")
     x = days(F.col("t_us") - middle)
-    cells = side.groupBy(F.col("at").alias("old")).agg(*(F.sum(weight("mag") * F.pow(x, F.lit(float(j)))).alias(f"s{j}") for j in range(ORDER + 1)))
-    since = days(F.col("t_us") - F.col("old") * F.lit(CELL_US) - F.lit(CELL_US // 2)) + F.lit(c_days)
+    cells = raised.groupBy("level", "cell").agg(*(F.sum(weight("mag") * F.pow(x, F.lit(float(j)))).alias(f"s{j}") for j in range(ORDER + 1)))
+    reached = F.explode(F.sequence(F.col("cell") + F.lit(NEAR_CELLS + 1), F.col("cell") + F.lit(2 * NEAR_CELLS + 1)))
+    acting = cells.withColumn("of_level", F.col("level")).withColumn("middle", middle).withColumn("to", reached).filter(F.floor(F.col("to") / 2) - F.floor(F.col("cell") / 2) <= NEAR_CELLS).drop("level", "cell")
+    targets = raised.select("event_id", "t_us", "level", "cell")
+    meets = (F.col("level") == F.col("of_level")) & (F.col("cell") == F.col("to"))
+    met = targets.filter(F.col("level") >= coarse).join(F.broadcast(acting.filter(F.col("of_level") >= coarse)), meets)
+    if coarse:
+        met = met.unionByName(targets.filter(F.col("level") < coarse).join(acting.filter(F.col("of_level") < coarse), meets))
+    since = days(F.col("t_us") - F.col("middle")) + F.lit(c_days)
     series, factor = F.lit(0.0), 1.0
     for j in range(ORDER + 1):
         series = series + F.lit(factor) * F.col(f"s{j}") * F.pow(since, F.lit(-p - j))
         factor *= (p + j) / (j + 1)
-    far = side.join(F.broadcast(cells), F.col("old") < F.col("at") - F.lit(NEAR_CELLS)).select("event_id", series.alias("part"))
+    far = met.select("event_id", series.alias("part"))
     sums = near.unionByName(far).groupBy("event_id").agg(F.sum("part").alias("triggered"))
     return side.drop("at").join(sums, "event_id", "left").withColumn("rate", F.lit(mu) + F.coalesce("triggered", F.lit(0.0)))
 

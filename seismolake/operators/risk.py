@@ -81,7 +81,7 @@ def bad_shares(components: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 def component_losses(assets: DataFrame, components: DataFrame, fields: DataFrame) -> DataFrame:
     """assets (asset_id, site_id, taxonomy, value), components (taxonomy, component, share, and states, an array of (median, beta, ratio) in rising order), fields (realisation, site_id, im):
     realisation, component and loss."""
-    rows = assets.join(fields, "site_id").join(F.broadcast(components), "taxonomy")
+    rows = assets.join(fields, "site_id").join(components, "taxonomy")
     above = F.transform("states", lambda s: F.when(F.col("im") > 0, S.normal_cdf(F.log(F.col("im") / s["median"]) / s["beta"])).otherwise(F.lit(0.0)))
     rows = rows.withColumn("above", F.concat(above, F.array(F.lit(0.0))))
     steps = F.transform(F.sequence(F.lit(0), F.size("states") - 1), lambda k: F.greatest(F.lit(0.0), F.get("above", k) - F.get("above", k + 1)) * F.get("states", k)["ratio"])

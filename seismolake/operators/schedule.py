@@ -82,7 +82,7 @@ def pass_rate_condition(rates: DataFrame, windows: int, least_windows: int = 12)
 def overall_verdict(regions: DataFrame, expected: list[str], least: int = 2) -> DataFrame:
     """regions (region_id, promotable): promoted if enough regions pass; robust if the regions nobody ran couldn't change that."""
     wanted = regions.sparkSession.createDataFrame([(r,) for r in expected], "region string")
-    rows = wanted.join(F.broadcast(regions), F.col("region") == F.col("region_id"), "left")
+    rows = wanted.join(regions, F.col("region") == F.col("region_id"), "left")
     s = rows.agg(F.count_if(F.coalesce("promotable", F.lit(False))).alias("passing"), F.count("region_id").alias("evaluated"), F.count("*").alias("expected"))
     reachable = F.col("passing") + F.col("expected") - F.col("evaluated")
     return s.select("passing", "evaluated", (F.col("passing") >= least).alias("promoted"), (reachable < least).alias("robust"))

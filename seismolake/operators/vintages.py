@@ -40,7 +40,7 @@ def summary(rows: DataFrame, reference: int) -> DataFrame:
 
 def refit_plan(cutoffs: DataFrame, have: DataFrame, now: int, coverage_end: int) -> DataFrame:
     """cutoffs (cutoff_us) with what becomes of each: already fitted, not yet due, beyond coverage, or planned."""
-    rows = cutoffs.join(F.broadcast(have.select(F.col("cutoff_us").alias("fitted"))), F.col("cutoff_us") == F.col("fitted"), "left")
+    rows = cutoffs.join(have.select(F.col("cutoff_us").alias("fitted")), F.col("cutoff_us") == F.col("fitted"), "left")
     what = F.when(F.col("fitted").isNotNull(), "already-fitted").when(F.col("cutoff_us") > now, "not-yet-due").when(F.col("cutoff_us") > coverage_end, "beyond-coverage").otherwise("planned")
     return rows.select("cutoff_us", what.alias("outcome"))
 

@@ -36,7 +36,7 @@ def geometric_scales(spark, d):
 
 @query("SELECT event_id, round(pow(10, (mag - 4.5 - 2.6) / 0.75), 9) AS days, round(pow(10, -2.44 + 0.59 * mag), 6) AS length_km FROM seis")
 def influence_and_length(spark, d):
-    return catalogue(spark, d).select("event_id", F.round(E.influence_days(F.col("mag"), 2.6), 9).alias("days"), F.round(E.rupture_length_km(F.col("mag")), 6).alias("length_km"))
+    return catalogue(spark, d).select("event_id", F.round(E.influence_days(F.col("mag"), 2.6), 9).alias("days"), F.round(E.fault_length_km(F.col("mag")), 6).alias("length_km"))
 
 
 @query("""

@@ -391,8 +391,8 @@ def local_frame_inverse(spark, d):
 
 
 @query()
-def rupture_distances(spark, d):
-    got = D.rupture_distances(F.col("lon"), F.col("lat"), FAULT, HYPOCENTRE)
+def plane_distances(spark, d):
+    got = D.plane_distances(F.col("lon"), F.col("lat"), FAULT, HYPOCENTRE)
     return rounded(catalogue(spark, d).select("event_id", *(got[k].alias(k) for k in ("rjb", "rrup", "rx", "rhypo"))), 6)
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seismolake import catalogue_queries as cq
+from seismolake import model_queries, risk_queries, scoring_queries  # noqa: F401 - they add to the first one's tables
 from seismolake.operators import catalogue as C
 from seismolake.operators import grids as G
 from seismolake.operators import risk as R

@@ -87,19 +87,19 @@ def numpy_distances(lon, lat):
     return np.sqrt(((surface - [*p, 0]) ** 2).sum(1).min()), np.sqrt(((surface[:, :2] - p) ** 2).sum(1).min())
 
 
-def test_rupture_distances_match_a_sampled_plane(spark):
+def test_plane_distances_match_a_sampled_plane(spark):
     rng = random.Random(4)
     points = [(rng.uniform(83.5, 85.6), rng.uniform(27.5, 28.8)) for _ in range(40)]
-    got = D.rupture_distances(F.col("lon"), F.col("lat"), Q.FAULT, Q.HYPOCENTRE)
+    got = D.plane_distances(F.col("lon"), F.col("lat"), Q.FAULT, Q.HYPOCENTRE)
     rows = spark.createDataFrame(points, "lon double, lat double").select("lon", "lat", *(got[k].alias(k) for k in ("rrup", "rjb", "rhypo"))).collect()
     for r in rows:
         rrup, rjb = numpy_distances(r.lon, r.lat)
         assert abs(r.rrup - rrup) < 0.4 and abs(r.rjb - rjb) < 0.4 and r.rhypo >= r.rrup - 1 and r.rjb <= r.rrup + 1e-9
-    point = D.rupture_distances(F.col("lon"), F.col("lat"), [], Q.HYPOCENTRE)
+    point = D.plane_distances(F.col("lon"), F.col("lat"), [], Q.HYPOCENTRE)
     r = spark.createDataFrame([Q.HYPOCENTRE[:2]], "lon double, lat double").select(point["rjb"].alias("rjb"), point["rhypo"].alias("rhypo")).first()
     assert r.rjb == pytest.approx(0, abs=1e-9) and r.rhypo == pytest.approx(12.0)
     with pytest.raises(ValueError):
-        D.rupture_distances(F.col("lon"), F.col("lat"), Q.FAULT[:3], Q.HYPOCENTRE)
+        D.plane_distances(F.col("lon"), F.col("lat"), Q.FAULT[:3], Q.HYPOCENTRE)
 
 
 def test_blur_reflects_and_keeps_a_constant(spark):
