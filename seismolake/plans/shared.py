@@ -6,12 +6,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table in spark.checkpoint.dir, or in a temporary folder where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in spark.checkpoint.dir, or in a temporary folder where that is unset (tests)."""
+    context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     folder = context.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if folder is None:
@@ -19,6 +19,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seismolake-")
         context.setCheckpointDir(folder)
-    out = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder."""
+    out = fresh_folder(df.sparkSession, name)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
