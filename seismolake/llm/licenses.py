@@ -1,7 +1,7 @@
 """License scans: template markup compiled to token automata, beside fixed phrases.
 
-A template is license wording with two kinds of markup, `<<beginOptional>> ... <<endOptional>>` and `<<var;max=N>>` (any words, N
-at most). It is compiled into an automaton over words whose mandatory words must all stand in the text as they are, optional
+A template is the whole wording of a license (or a one-line notice, which has a label of its own) with two kinds of markup, `<<beginOptional>> ... <<endOptional>>` and `<<var;max=N>>` (any words, N
+at most; they stand where texts have names and years). It is compiled into an automaton over words whose mandatory words must all stand in the text as they are, optional
 regions may be missing as a whole, and replaceable regions take any words up to their bound. A text carries a template's
 label wherever the automaton accepts.
 
@@ -24,18 +24,78 @@ from .common import lean, table, text_bytes
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and template.
-TEMPLATES = {
+#: Public licenses as their texts stand, label and template. Only names, years and copyright lines are replaceable, only titles and wording that the texts' own publishers call optional may be missing.
+TEXTS = {
+    "mit": """
+        <<beginOptional>>The<<endOptional>> <<beginOptional>>MIT License<<endOptional>> <<beginOptional>>(MIT)<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+        so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<beginOptional>>THE<<endOptional>> <<var;max=10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause": """
+        <<beginOptional>>BSD 2-Clause License<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """
+        <<beginOptional>>BSD 3-Clause License<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.
+        <<beginOptional>>3.<<endOptional>> Neither the name of <<var;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.
+        THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc": """
+        <<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+        ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib": """
+        <<beginOptional>>zlib License<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+        in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "apache-2.0": """
+        <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-3.0-or-later": """
+        <<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;max=20>><<endOptional>>
+        <<beginOptional>>This program is free software: you can redistribute it and/or modify it<<endOptional>> under the terms of the GNU General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://www.gnu.org/licenses/.""",
+}
+
+#: One-line notices, which name a license without its wording; label and template.
+NOTICES = {
     "mit-notice": "<<beginOptional>>this <<var;max=3>> is<<endOptional>> <<beginOptional>>released<<endOptional>> under the mit license",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction <<var;max=60>> subject to the following conditions <<beginOptional>>the above copyright notice and this permission notice <<var;max=6>> shall be included in all copies or substantial portions of the software<<endOptional>>",
-    "apache-2.0": "licensed under the apache license version 2 0 <<beginOptional>>the license you may not use this file except in compliance with the license<<endOptional>>",
-    "gpl-3.0": "<<beginOptional>>this <<var;max=4>> is<<endOptional>> licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license or at your option any later version<<endOptional>>",
-    "cc-by-4.0": "<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons attribution<<endOptional>> cc by 4 0 <<beginOptional>>international license<<endOptional>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify <<beginOptional>>and or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
+    "apache-2.0-notice": "licensed under the apache license version 2 0",
+    "gpl-3.0-notice": "<<beginOptional>>this <<var;max=4>> is<<endOptional>> licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license or at your option any later version<<endOptional>>",
+    "cc-by-4.0-notice": "<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons attribution<<endOptional>> cc by 4 0 <<beginOptional>>international license<<endOptional>>",
     "copyright-notice": "copyright <<beginOptional>>c<<endOptional>> <<var;max=8>> all rights reserved",
 }
 
+TEMPLATES = TEXTS | NOTICES
+
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -80,11 +140,12 @@ class Automaton:
 
 def compiled(label: str, template: str) -> Automaton:
     out, at, opened, run = Automaton(label), 0, [], []
-    for mark, word in re.findall(r"<<([^>]*)>>|([^\s<]+)", template):
-        if word:
-            out.words[at][word.encode()] = at = out.state()
-            if not opened:
-                run.append(word.encode())
+    for mark, plain in re.findall(r"<<([^>]*)>>|((?:(?!<<).)+)", template, re.DOTALL):
+        if plain:
+            for word in plain.encode().translate(FOLD).split():
+                out.words[at][word] = at = out.state()
+                if not opened:
+                    run.append(word)
             continue
         if run:
             out.runs.append(b" " + b" ".join(run) + b" ")

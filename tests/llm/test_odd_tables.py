@@ -53,12 +53,12 @@ def plain(template):
 
 def test_template_automata_match_plain_expressions():
     rng = random.Random(8)
-    automata = {k: licenses.compiled(k, v) for k, v in licenses.TEMPLATES.items()}
+    automata = {k: licenses.compiled(k, v) for k, v in licenses.NOTICES.items()}
     accepted = Counter()
     for _ in range(600):
-        label = rng.choice(list(licenses.TEMPLATES))
+        label = rng.choice(list(licenses.NOTICES))
         words = []
-        for mark, word in re.findall(r"<<([^>]*)>>|([^\s<]+)", licenses.TEMPLATES[label]):
+        for mark, word in re.findall(r"<<([^>]*)>>|([^\s<]+)", licenses.NOTICES[label]):
             if word:
                 words.append(word)
             elif "var" in mark:
@@ -67,7 +67,7 @@ def test_template_automata_match_plain_expressions():
             del words[rng.randrange(len(words))]
         words = ["before", "this"] * rng.randrange(2) + words + words[: rng.randrange(4)] + ["after"]
         for name, automaton in automata.items():
-            sought, got, at = plain(licenses.TEMPLATES[name]), [], 0
+            sought, got, at = plain(licenses.NOTICES[name]), [], 0
             while at < len(words):
                 ends = [e for e in range(len(words), at, -1) if sought.fullmatch("".join(w + " " for w in words[at:e]))]
                 if ends:
@@ -76,7 +76,50 @@ def test_template_automata_match_plain_expressions():
             raw = [w.encode() for w in words]
             assert licenses.matches(automaton, raw, b" " + b" ".join(raw) + b" ") == got, (name, words)
             accepted[name] += len(got)
-    assert all(accepted[k] > 5 for k in licenses.TEMPLATES)
+    assert all(accepted[k] > 5 for k in licenses.NOTICES)
+
+
+def filled(template, rng, name, optional):
+    """A text of a template: regions taken or left out, names in replaceable ones; and which of its words are mandatory."""
+    words, fixed, depth, skip = [], [], 0, None
+    for mark, plain_text in re.findall(r"<<([^>]*)>>|((?:(?!<<).)+)", template, re.DOTALL):
+        if mark == "beginOptional":
+            depth += 1
+            if skip is None and rng.random() > optional:
+                skip = depth
+        elif mark == "endOptional":
+            skip = None if skip == depth else skip
+            depth -= 1
+        elif skip is None:
+            got = name.split() if mark else plain_text.split()
+            words += got
+            fixed += [not mark and not depth and any(c.isalnum() for c in w) for w in got]
+    return words, fixed
+
+
+def test_whole_license_texts_and_altered_ones(spark):
+    """Genuine texts with other names carry their label, texts with any mandatory word changed, missing or put in don't."""
+    rng, docs, want = random.Random(3), [], {}
+    for label, template in licenses.TEXTS.items():
+        for k in range(24):
+            words, fixed = filled(template, rng, rng.choice(["Ann Lee", "THE EXAMPLE AUTHORS AND CONTRIBUTORS", "2024 Ännchen", ""]), rng.choice([0, 0.5, 1]))
+            words = ["Before."] * rng.randrange(3) + words
+            fixed = [False] * (len(words) - len(fixed)) + fixed
+            if k % 3:
+                at = rng.choice([i for i, f in enumerate(fixed) if f and 0 < i < len(words) - 1 and fixed[i - 1] and fixed[i + 1]])
+                words[at : at + 1] = rng.choice([["payable"], [], [words[at], "not"]]) if k % 3 == 1 else ["altered", words[at]]
+            docs.append((len(docs), rng.choice([" ", "\n * "]).join(words) + " After."))
+            want[len(docs) - 1] = (label, k % 3 == 0)
+    grant = " ".join(licenses.TEXTS["mit"].split("including without")[0].split("<<endOptional>>")[-1].split())
+    docs += [(9001, grant + " EXCEPT that no rights to sell or modify are granted, subject to the following conditions"), (9002, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: you pay me")]
+    gnu = " ".join(filled(licenses.TEXTS["gpl-3.0-or-later"], rng, "A", 0)[0]).replace("://www", "https://www")
+    docs += [(9005, gnu), (9006, gnu.replace("https", "http"))]
+    docs += [(9003, None), (9004, "x " * 300_000 + " ".join(filled(licenses.TEXTS["zlib"], rng, "A", 1)[0]))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (label, genuine) in want.items():
+        assert (label in got[i]) == genuine, (i, label, docs[i][1][:300])
+    assert not got[9001] & set(licenses.TEXTS) and not got[9002] & set(licenses.TEXTS) and got[9003] == {""} and "zlib" in got[9004]
+    assert "https://www.gnu.org" in gnu and all("gpl-3.0-or-later" in got[i] for i in (9005, 9006))
 
 
 def test_last_stages_change_what_they_say(spark, sf_dir):
