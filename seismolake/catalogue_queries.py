@@ -261,9 +261,10 @@ def merge_preferred(spark, d):
     return C.preferred(catalogue(spark, d).withColumn("mbin", F.floor(F.col("event_id") / 4).cast("long")), ["mbin"], ["depth_km", "event_id", "lane"]).select("mbin", "lane", "ids")
 
 
-@query("SELECT cell_ix, ix, iy, lon0, lat0 FROM cells")
+@query("SELECT cell_ix, ix, iy, lon0, lat0, n FROM counts")
 def lattice_cells(spark, d):
-    return G.lattice(spark).select("cell_ix", "ix", "iy", "lon0", "lat0")
+    """The lattice with its events."""
+    return G.lattice(spark).join(G.dense_counts(catalogue(spark, d)), "cell_ix").select("cell_ix", "ix", "iy", "lon0", "lat0", "n")
 
 
 @query("SELECT event_id, cell_ix FROM placed")
@@ -301,9 +302,13 @@ def ref_marginal(spark, d):
 AREA = "(6371.0 * 6371.0 * radians(0.5) * (sin(radians(lat0 + 0.5)) - sin(radians(lat0))))"
 
 
-@query(f"SELECT cell_ix, round({AREA}, 4) AS area, round({AREA} / sum({AREA}) OVER (), 9) AS mass FROM cells")
+@query(f"SELECT cell_ix, round({AREA}, 4) AS area, round({AREA} / sum({AREA}) OVER (), 9) AS mass, round({AREA} / sum({AREA}) OVER () * sum(n) OVER (), 6) AS expected, n FROM counts")
 def ref_uniform_area(spark, d):
-    return G.uniform_area(G.lattice(spark)).select("cell_ix", F.round("area", 4).alias("area"), F.round("mass", 9).alias("mass"))
+    """What each cell would have of the table's events by its area, and what it has."""
+    counts = G.dense_counts(catalogue(spark, d))
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
+    rows = G.uniform_area(G.lattice(spark)).join(counts, "cell_ix").crossJoin(total)
+    return rows.select("cell_ix", F.round("area", 4).alias("area"), F.round("mass", 9).alias("mass"), F.round(F.col("mass") * F.col("total"), 6).alias("expected"), "n")
 
 
 SMOOTH = """s AS (
@@ -558,33 +563,40 @@ def hazard_unpivot(spark, d):
     return R.unpivot_curves(wide, ["event_type"])
 
 
-@query(helpers=False, sql="""
-WITH t AS (SELECT unnest([0.1, 0.3, 1.0, 3.0]) AS p, unnest([1.0, 2.0, 2.5, 0.5]) AS c), s AS (SELECT p AS p0, c AS c0, lead(p) OVER (ORDER BY p) AS p1, lead(c) OVER (ORDER BY p) AS c1 FROM t),
-w AS (SELECT CAST((range + 1) * 0.05 AS DOUBLE) AS period FROM range(80))
-SELECT round(period, 2) AS period, round(max(c0 + ln(period / p0) / ln(p1 / p0) * (c1 - c0)), 6) AS coefficient FROM w JOIN s ON period BETWEEN p0 AND p1 GROUP BY 1""")
+@query("""
+, t AS (SELECT unnest([0.1, 0.3, 1.0, 3.0]) AS p, unnest([1.0, 2.0, 2.5, 0.5]) AS c), s AS (SELECT p AS p0, c AS c0, lead(p) OVER (ORDER BY p) AS p1, lead(c) OVER (ORDER BY p) AS c1 FROM t),
+w AS (SELECT round(mag - 2.4, 3) AS period, count(*) AS n FROM seis GROUP BY 1)
+SELECT round(period, 3) AS period, round(max(c0 + ln(period / p0) / ln(p1 / p0) * (c1 - c0)), 6) AS coefficient FROM w JOIN s ON period BETWEEN p0 AND p1 GROUP BY 1""")
 def coeff_log_interp(spark, d):
+    """At periods that grow with the events' magnitudes."""
     held = spark.createDataFrame([(0.1, 1.0), (0.3, 2.0), (1.0, 2.5), (3.0, 0.5)], "period double, coefficient double")
-    wanted = spark.range(80).select(((F.col("id") + 1) * F.lit(0.05)).alias("period"))
-    return R.log_interpolated(wanted, held).select(F.round("period", 2).alias("period"), F.round("coefficient", 6).alias("coefficient"))
+    wanted = catalogue(spark, d).select(F.round(F.col("mag") - F.lit(2.4), 3).alias("period")).distinct()
+    return R.log_interpolated(wanted, held).select(F.round("period", 3).alias("period"), F.round("coefficient", 6).alias("coefficient"))
 
 
 @query("""
-, g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
+, o AS (SELECT count(*) AS n FROM seis WHERE mag >= 4),
+g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
 p AS (SELECT a, w / sum(w) OVER () AS p FROM g),
-l AS (SELECT a, ln(p) + 12 * ln(pow(10, a) * 40.0) - pow(10, a) * 40.0 AS l FROM p), e AS (SELECT a, exp(l - max(l) OVER ()) AS w FROM l)
+l AS (SELECT a, ln(p) + n * ln(pow(10, a) * 60.0 * n) - pow(10, a) * 60.0 * n AS l FROM p, o), e AS (SELECT a, exp(l - max(l) OVER ()) AS w FROM l)
 SELECT round(a, 6) AS a, round(w / sum(w) OVER (), 9) AS p FROM e""")
 def bayes_grid_update(spark, d):
-    posterior = M.productivity_posterior(M.productivity_prior(spark, -1.67, 0.5), 12, 40.0)
+    """The table's events of 4 and more, at an exposure of sixty each."""
+    n = C.at_least(catalogue(spark, d), 4.0).count()
+    posterior = M.productivity_posterior(M.productivity_prior(spark, -1.67, 0.5), n, 60.0 * n)
     return posterior.select(F.round("a", 6).alias("a"), F.round("p", 9).alias("p"))
 
 
 @query("""
-, g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
+, x AS (SELECT max(mag) AS top FROM seis),
+g AS (SELECT CAST(-3.67 AS DOUBLE) + range * 0.04 AS a, exp(-pow((-3.67 + range * 0.04 + 1.67) / 0.5, 2) / 2) AS w FROM range(101)),
 p AS (SELECT a, w / sum(w) OVER () AS p FROM g),
-r AS (SELECT t AS threshold, p, pow(10, a + 0.91 * (6.5 - t)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08) AS rate FROM p, (VALUES (CAST(4.0 AS DOUBLE)), (5.0), (6.0)) v(t))
+r AS (SELECT t AS threshold, p, pow(10, a + 0.91 * (top - t)) * (pow(30.05, -0.08) - pow(0.06, -0.08)) / (-0.08) AS rate FROM p, x, (VALUES (CAST(4.0 AS DOUBLE)), (5.0), (6.0)) v(t))
 SELECT threshold, round(sum(p * rate), 6) AS expected, round(sum(p * (1 - exp(-rate))), 6) AS probability FROM r GROUP BY 1""")
 def ladder_probabilities(spark, d):
-    return rounded(M.ladder(M.productivity_prior(spark, -1.67, 0.5), 6.5, 0.91, [4.0, 5.0, 6.0], 0.05, 1.08, 0.01, 30.0))
+    """After the table's largest event."""
+    top = catalogue(spark, d).agg(F.max("mag")).first()[0]
+    return rounded(M.ladder(M.productivity_prior(spark, -1.67, 0.5), top, 0.91, [4.0, 5.0, 6.0], 0.05, 1.08, 0.01, 30.0))
 
 
 ETAS = {"mu": 20.0, "k": 0.02, "alpha": 1.2, "c_days": 0.01, "p": 1.1, "mc": 4.0}

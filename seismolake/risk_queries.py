@@ -29,9 +29,11 @@ def kernel_values(spark, d):
     )
 
 
-@query("SELECT range AS k, round(0.01 * pow(10000, range / 7.0), 9) AS scale FROM range(8)", helpers=False)
+@query("SELECT range AS k, round(low * pow(high / low, range / 7.0), 9) AS scale FROM (SELECT min(mag) AS low, max(mag) AS high FROM seis), range(8)")
 def geometric_scales(spark, d):
-    return rounded(spark.range(1).select(F.posexplode(E.geometric_scales(0.01, 100.0, 8)).alias("k", "scale")).select(F.col("k").cast("long").alias("k"), "scale"), 9)
+    """From the table's least magnitude to its largest."""
+    low, high = catalogue(spark, d).agg(F.min("mag"), F.max("mag")).first()
+    return rounded(spark.range(1).select(F.posexplode(E.geometric_scales(low, high, 8)).alias("k", "scale")).select(F.col("k").cast("long").alias("k"), "scale"), 9)
 
 
 @query("SELECT event_id, round(pow(10, (mag - 4.5 - 2.6) / 0.75), 9) AS days, round(pow(10, -2.44 + 0.59 * mag), 6) AS length_km FROM seis")
@@ -52,12 +54,16 @@ def forecast_ids(spark, d):
 
 
 @query("""
-SELECT token, CASE WHEN upper(trim(token)) IN ('PGA', 'PGV') THEN upper(trim(token)) WHEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) > 0 THEN 'SA' END AS kind,
-  CASE WHEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) > 0 THEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) END AS period
-FROM (VALUES ('pga'), (' PGV '), ('SA(0.3)'), ('sa(1)'), ('SA(0)'), ('MMI'), ('0.5')) v(token)""", helpers=False)
+, t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'pga' WHEN 1 THEN ' PGV ' WHEN 2 THEN 'SA(0.' || event_id % 40 || ')' WHEN 3 THEN 'sa(' || event_id % 9 || ')' WHEN 4 THEN 'SA(-1)' WHEN 5 THEN 'MMI' ELSE '0.' || event_id % 10 END AS token FROM seis)
+SELECT event_id, token, CASE WHEN upper(trim(token)) IN ('PGA', 'PGV') THEN upper(trim(token)) WHEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) > 0 THEN 'SA' END AS kind,
+  CASE WHEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) > 0 THEN try_cast(regexp_extract(upper(trim(token)), '^SA\\(([0-9]*\\.?[0-9]+)\\)$', 1) AS DOUBLE) END AS period FROM t""")
 def imt_tokens(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("pga", " PGV ", "SA(0.3)", "sa(1)", "SA(0)", "MMI", "0.5")], "token string")
-    return rows.withColumn("i", T.parse_imt(F.col("token"))).select("token", "i.kind", "i.period")
+    """Tokens of seven forms, by event."""
+    i = F.col("event_id")
+    text = lambda low, k, high="": F.concat(F.lit(low), (i % k).cast("string"), F.lit(high))
+    forms = [F.lit("pga"), F.lit(" PGV "), text("SA(0.", 40, ")"), text("sa(", 9, ")"), F.lit("SA(-1)"), F.lit("MMI"), text("0.", 10)]
+    rows = catalogue(spark, d).select("event_id", F.get(F.array(*forms), (i % 7).cast("int")).alias("token"))
+    return rows.withColumn("i", T.parse_imt(F.col("token"))).select("event_id", "token", "i.kind", "i.period")
 
 
 @query(f"SELECT event_id, len(generate_series(date_trunc('month', make_timestamp(t_us - {40 * DAY_US})), date_trunc('month', make_timestamp(t_us + event_id % 90 * {DAY_US} - 1)), INTERVAL 1 MONTH)) AS months FROM seis")
@@ -72,15 +78,17 @@ def identity_and_bbox(spark, d):
     return rows.select("event_id", F.round("m.mw", 6).alias("mw"), "m.route", T.in_bbox(F.col("lon"), F.col("lat"), (81.0, 27.0, 86.0, 29.0)).alias("inside"))
 
 
-OUTLINE = "POLYGON((" + ", ".join(f"{x} {y}" for x, y in [*RING, RING[0]]) + "))"
 
 
-@query(f"SELECT '{OUTLINE}' AS wkt, {min(x for x, _ in RING)}::DOUBLE AS west, {min(y for _, y in RING)}::DOUBLE AS south, {max(x for x, _ in RING)}::DOUBLE AS east, {max(y for _, y in RING)}::DOUBLE AS north", helpers=False)
+@query("""
+, b AS (SELECT lane, round(min(lon), 2) AS west, round(min(lat), 2) AS south, round(max(lon), 2) AS east, round(max(lat), 2) AS north FROM seis GROUP BY 1)
+SELECT lane, 'POLYGON((' || west || ' ' || south || ', ' || east || ' ' || south || ', ' || east || ' ' || north || ', ' || west || ' ' || north || ', ' || west || ' ' || south || '))' AS wkt, west, south, east, north FROM b""")
 def region_outline(spark, d):
-    """Outline to text and back."""
-    ring = T.wkt_ring(T.region_wkt(F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in RING))))
-    box = T.bbox(ring)
-    return spark.range(1).select(T.region_wkt(ring).alias("wkt"), *(F.get(box, k).alias(n) for k, n in enumerate(("west", "south", "east", "north"))))
+    """The outline of each lane's events to text and back."""
+    b = catalogue(spark, d).groupBy("lane").agg(*(F.round(f(c), 2).alias(n) for f, c, n in ((F.min, "lon", "w"), (F.min, "lat", "s"), (F.max, "lon", "e"), (F.max, "lat", "n"))))
+    ring = T.wkt_ring(T.region_wkt(F.array(*(F.array(F.col(x), F.col(y)) for x, y in ("ws", "es", "en", "wn")))))
+    box = T.bbox(F.col("ring"))
+    return b.withColumn("ring", ring).select("lane", T.region_wkt(F.col("ring")).alias("wkt"), *(F.get(box, k).alias(n) for k, n in enumerate(("west", "south", "east", "north"))))
 
 
 OBSERVED = f"""o AS (SELECT event_id, event_id // 5 AS site, t_us AS valid_us, CASE event_id % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'rapid' ELSE 'ultra' END AS product, CASE WHEN event_id % 7 = 0 THEN t_us + {3 * DAY_US} END AS published_us FROM seis),
@@ -112,17 +120,21 @@ def observation_vintage(spark, d):
 
 
 @query(f"""
-SELECT {START} + range * {3 * DAY_US} AS cutoff_us, CASE WHEN range IN (1, 2) THEN 'already-fitted' WHEN {START} + range * {3 * DAY_US} > {START + 24 * DAY_US} THEN 'not-yet-due'
-  WHEN {START} + range * {3 * DAY_US} > {START + 12 * DAY_US} THEN 'beyond-coverage' ELSE 'planned' END AS outcome FROM range(10)""", helpers=False)
+, c AS (SELECT DISTINCT t_us // {3 * DAY_US} * {3 * DAY_US} AS cutoff_us FROM seis)
+SELECT cutoff_us, CASE WHEN cutoff_us // {3 * DAY_US} % 5 = 0 THEN 'already-fitted' WHEN cutoff_us > {START + 24 * DAY_US} THEN 'not-yet-due' WHEN cutoff_us > {START + 12 * DAY_US} THEN 'beyond-coverage' ELSE 'planned' END AS outcome FROM c""")
 def refit_plan(spark, d):
-    cutoffs = spark.range(10).select((F.lit(START) + F.col("id") * 3 * DAY_US).alias("cutoff_us"))
-    return V.refit_plan(cutoffs, cutoffs.filter(F.col("cutoff_us").isin(START + 3 * DAY_US, START + 6 * DAY_US)), START + 24 * DAY_US, START + 12 * DAY_US)
+    """Cut-offs every three days that have events; each fifth is fitted."""
+    cutoffs = catalogue(spark, d).select((F.floor(F.col("t_us") / (3 * DAY_US)) * F.lit(3 * DAY_US)).alias("cutoff_us")).distinct()
+    return V.refit_plan(cutoffs, cutoffs.filter(F.floor(F.col("cutoff_us") / (3 * DAY_US)) % 5 == 0), START + 24 * DAY_US, START + 12 * DAY_US)
 
 
-@query(f"SELECT {START} + r.range * {DAY_US} AS issue_us, max({START} + c.range * {3 * DAY_US}) AS cutoff_us FROM range(20) r JOIN range(10) c ON c.range * 3 <= r.range GROUP BY 1", helpers=False)
+@query(f"""
+, i AS (SELECT DISTINCT t_us // {DAY_US} * {DAY_US} AS issue_us FROM seis), c AS (SELECT DISTINCT t_us // {3 * DAY_US} * {3 * DAY_US} AS cutoff_us FROM seis)
+SELECT issue_us, max(cutoff_us) AS cutoff_us FROM i LEFT JOIN c ON cutoff_us <= issue_us GROUP BY 1""")
 def scheduled_cutoffs(spark, d):
-    cutoffs = spark.range(10).select((F.lit(START) + F.col("id") * 3 * DAY_US).alias("cutoff_us"))
-    return V.last_cutoff(spark.range(20).select((F.lit(START) + F.col("id") * DAY_US).alias("issue_us")), cutoffs)
+    """Issues on the days that have events, cut-offs every three days that do."""
+    days = lambda n, name: catalogue(spark, d).select((F.floor(F.col("t_us") / (n * DAY_US)) * F.lit(n * DAY_US)).alias(name)).distinct()
+    return V.last_cutoff(days(1, "issue_us"), days(3, "cutoff_us"))
 
 
 @query(f"{YEARS} SELECT round(avg(loss), 4) AS aal FROM y")
@@ -147,9 +159,17 @@ def layered_asset_losses(spark, d):
 COMPONENTS = [("masonry", "walls", 0.6), ("masonry", "roof", 0.4), ("steel", "frame", 0.7), ("steel", "cladding", 0.2)]
 
 
-@query("SELECT 'steel' AS taxonomy, CAST(0.9 AS DOUBLE) AS total", helpers=False)
+@query("""
+, k AS (SELECT lane || event_id % 3 AS lane, etype, count(*) AS n FROM seis GROUP BY ALL),
+c AS (SELECT lane, etype, CASE WHEN etype = 'landslide' THEN CAST(0.9 AS DOUBLE) ELSE 1.0 END * n / sum(n) OVER (PARTITION BY lane) AS share FROM k)
+SELECT lane AS taxonomy, round(sum(share), 6) AS total FROM c GROUP BY 1 HAVING abs(sum(share) - 1) > 1e-9""")
 def component_share_problems(spark, d):
-    return rounded(R.bad_shares(spark.createDataFrame(COMPONENTS, "taxonomy string, component string, share double")))
+    """Types of events as components of lanes; landslides' shares are a tenth short."""
+    rows = catalogue(spark, d).select(F.concat("lane", (F.col("event_id") % 3).cast("string")).alias("taxonomy"), F.col("etype").alias("component"))
+    counts = rows.groupBy("taxonomy", "component").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(F.col("taxonomy").alias("of")).agg(F.sum("n").alias("total"))
+    share = F.when(F.col("component") == "landslide", 0.9).otherwise(1.0) * F.col("n") / F.col("total")
+    return rounded(R.bad_shares(counts.join(totals, F.col("taxonomy") == F.col("of")).select("taxonomy", "component", share.alias("share"))))
 
 
 @query(f"""

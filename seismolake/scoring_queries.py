@@ -189,14 +189,27 @@ def pooled_alarm_schedule(spark, d):
     return A.pooled_schedule(cells).select("window", "cell_ix", "alarm", F.round("mass", 12).alias("mass"), "n")
 
 
-@query(f"SELECT {START} + range * {2 * DAY_US} AS issue_us, {START} + range * {2 * DAY_US} + {5 * DAY_US} AS end_us FROM range(100) WHERE {START} + range * {2 * DAY_US} + {5 * DAY_US} <= {START + 30 * DAY_US}", helpers=False)
+@query(f"""
+, b AS (SELECT min(t_us) // {DAY_US} * {DAY_US} AS low, max(t_us) AS high FROM seis),
+w AS (SELECT low + range * {2 * DAY_US} AS issue_us, low + range * {2 * DAY_US} + {5 * DAY_US} AS end_us FROM b, range(10000) WHERE low + range * {2 * DAY_US} + {5 * DAY_US} <= high)
+SELECT issue_us, end_us, count(event_id) AS n FROM w LEFT JOIN seis ON t_us >= issue_us AND t_us < end_us GROUP BY ALL""")
 def issue_windows(spark, d):
-    return P.issue_windows(spark, START, START + 30 * DAY_US, 2 * DAY_US, 5 * DAY_US)
+    """Windows of five days every two over the table's time, with their events; windows meet the table of counts by day."""
+    events = catalogue(spark, d)
+    low, high = events.agg(F.min("t_us"), F.max("t_us")).first()
+    days = events.groupBy(F.floor(F.col("t_us") / DAY_US).alias("day")).agg(F.count("*").alias("k"))
+    windows = P.issue_windows(spark, low // DAY_US * DAY_US, high, 2 * DAY_US, 5 * DAY_US)
+    of = windows.withColumn("of", F.explode(F.sequence(F.floor(F.col("issue_us") / DAY_US), F.floor(F.col("end_us") / DAY_US) - 1)))
+    return of.join(days, F.col("of") == F.col("day"), "left").groupBy("issue_us", "end_us").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
 
-@query(f"SELECT epoch_us(make_timestamp(y, 1, 1, 0, 0, 0.0)) AS boundary_us FROM (SELECT unnest(range(2021, 2025)) AS y) WHERE epoch_us(make_timestamp(y, 1, 1, 0, 0, 0.0)) > {START - 1000 * DAY_US} AND epoch_us(make_timestamp(y, 1, 1, 0, 0, 0.0)) <= {START + 30 * DAY_US}", helpers=False)
+@query(f"""
+, b AS (SELECT min(t_us) - {1000 * DAY_US} AS low, max(t_us) AS high FROM seis), y AS (SELECT epoch_us(make_timestamp(range, 1, 1, 0, 0, 0.0)) AS boundary_us FROM range(1970, 2100))
+SELECT boundary_us FROM y, b WHERE boundary_us > low AND boundary_us <= high""")
 def refit_boundaries(spark, d):
-    return P.refit_boundaries(spark, START - 1000 * DAY_US, START + 30 * DAY_US)
+    """From a thousand days before the table's first event to its last."""
+    low, high = catalogue(spark, d).agg(F.min("t_us"), F.max("t_us")).first()
+    return P.refit_boundaries(spark, low - 1000 * DAY_US, high)
 
 
 DIFFS = "d AS (SELECT 0.1 * (mag - 2.5) - 0.05 AS d FROM seis WHERE mag >= 4)"
@@ -353,13 +366,11 @@ def liquefaction_coverage(spark, d):
     return _sites(spark, d).select("event_id", c.alias("coverage"))
 
 
-@query("""
-, c AS (SELECT range AS i, 0.02 * range AS p FROM range(51)), g AS (SELECT i, p, exp(-7.592 + 5.237 * p - 3.042 * p * p + 4.035 * p * p * p) AS coverage FROM c)
-SELECT i, CAST(round(p, 6) AS DOUBLE) AS p FROM g""")
+@query("SELECT event_id, CAST(round(0.02 * (event_id % 51), 6) AS DOUBLE) AS p FROM seis")
 def landslide_inversion(spark, d):
-    """Coverage there and back again gives the probability."""
-    p = F.lit(0.02) * F.col("id")
-    return spark.range(51).select(F.col("id").alias("i"), F.round(D.landslide_probability_of(D.landslide_coverage_of(p)), 6).alias("p"))
+    """Coverage there and back again gives the probability, by event."""
+    p = F.lit(0.02) * (F.col("event_id") % 51)
+    return catalogue(spark, d).select("event_id", F.round(D.landslide_probability_of(D.landslide_coverage_of(p)), 6).alias("p"))
 
 
 @query(f", {SITES} SELECT event_id, round(exp(-7.15 / 4 * ln((pow(vs30, 4) + pow(571.0, 4)) / (pow(1360.0, 4) + pow(571.0, 4)))), 6) AS z1pt0, round(exp(7.089 - 1.144 * ln(vs30)), 6) AS z2pt5 FROM x")
@@ -401,16 +412,19 @@ EDGES = ", ".join(str((*a, *b)) for a, b in zip(RING, RING[1:] + RING[:1], stric
 
 @query(f"""
 , e AS (SELECT * FROM (VALUES {EDGES}) v(x1, y1, x2, y2)),
-i AS (SELECT cell_ix, count(*) FILTER (((y1 > lat0 + 0.25) <> (y2 > lat0 + 0.25)) AND lon0 + 0.25 < (x2 - x1) * (lat0 + 0.25 - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM cells, e GROUP BY 1)
-SELECT cell_ix FROM i WHERE inside""")
+i AS (SELECT cell_ix, n, count(*) FILTER (((y1 > lat0 + 0.25) <> (y2 > lat0 + 0.25)) AND lon0 + 0.25 < (x2 - x1) * (lat0 + 0.25 - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM counts, e GROUP BY ALL)
+SELECT cell_ix, n FROM i WHERE inside""")
 def polygon_lattice(spark, d):
+    """Cells whose centres are in the polygon, with their events."""
     centres = G.lattice(spark).select("cell_ix", (F.col("lon0") + 0.25).alias("lon"), (F.col("lat0") + 0.25).alias("lat"))
-    return G.in_polygon(centres, RING).filter("inside").select("cell_ix")
+    return G.in_polygon(centres, RING).filter("inside").join(G.dense_counts(catalogue(spark, d)), "cell_ix").select("cell_ix", "n")
 
 
-@query(f"SELECT cell_ix, round({AREA}, 6) AS km2 FROM cells")
+@query(f"SELECT cell_ix, round({AREA}, 6) AS km2, round(1e6 * n / ({AREA}), 6) AS per_million_km2 FROM counts")
 def cell_area(spark, d):
-    return rounded(G.lattice(spark).select("cell_ix", S.cell_area_km2(F.col("lat0"), 0.5).alias("km2")))
+    """Areas of cells, and the density of their events."""
+    cells = G.lattice(spark).join(G.dense_counts(catalogue(spark, d)), "cell_ix").withColumn("km2", S.cell_area_km2(F.col("lat0"), 0.5))
+    return rounded(cells.select("cell_ix", "km2", (F.lit(1e6) * F.col("n") / F.col("km2")).alias("per_million_km2")))
 
 
 @query("SELECT round(CAST(sum(n) AS DOUBLE) * sum(n) / sum(n * n), 6) AS effective_blocks FROM (SELECT (t_us - " + str(START) + f") // {DAY_US} AS w, count(*) AS n FROM seis WHERE mag >= 4 GROUP BY 1)")
