@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 
 import duckdb
 import pytest
@@ -129,20 +130,32 @@ def test_streaming_feed(spark, tmp_path):
     assert {(r.lane, r.n, r.largest) for r in spark.sql("SELECT * FROM counts").collect()} == {("x", 3, 2.0), ("y", 1, 5.0)}
 
 
+def km_between(lat1, lon1, lat2, lon2):
+    h = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(min(1, math.sqrt(h)))
+
+
+def greedy_association(records, window, km):
+    """records (id, lane, keys of (t, lat, lon)), one after the other."""
+    clusters, out = [], {}
+    for i, lane, keys in sorted(records, key=lambda r: (min(k[0] for k in r[2]), r[1], r[0])):
+        first, near = min(k[0] for k in keys), []
+        for n, c in enumerate(clusters):
+            if c["first"] >= first - window and lane not in c["lanes"]:
+                near += [(abs(t - s), n) for held in c["keys"] for t, la, lo in keys for s, y, x in held if abs(t - s) <= window and None not in (la, lo, y, x) and km_between(la, lo, y, x) <= km]
+        if not near:
+            clusters.append({"first": first, "lanes": set(), "keys": [], "id": i})
+        c = clusters[min(near)[1] if near else -1]
+        c["lanes"].add(lane)
+        c["keys"].append(keys)
+        out[i] = c["id"]
+    return out
+
+
 def test_association_without_gaps_runs_in_blocks(spark, monkeypatch):
     rows = [(i, (i * 37 % 4000) * 20, "abcd"[i * 7 % 4], (i * 13 % 29) / 10, (i * 17 % 31) / 10) for i in range(2000)]
     df = spark.createDataFrame(rows, "event_id long, t_us long, lane string, lat double, lon double")
-    clusters, want = [], {}
-    for i, t, lane, lat, lon in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
-        near = []
-        for k, c in enumerate(clusters):
-            if c[0][1] >= t - 600 and all(m[2] != lane for m in c):
-                near += [(t - m[1], k) for m in c if Q._km(*(spark_row(x) for x in ((lat, lon), m[3:]))) <= 100]
-        if near:
-            clusters[min(near)[1]].append((i, t, lane, lat, lon))
-        else:
-            clusters.append([(i, t, lane, lat, lon)])
-        want[i] = clusters[min(near)[1] if near else -1][0][0]
+    want = greedy_association([(i, lane, [(t, lat, lon)]) for i, t, lane, lat, lon in rows], 600, 100)
     sizes, held = [], Q.written
 
     def seen(d, name):
@@ -152,14 +165,33 @@ def test_association_without_gaps_runs_in_blocks(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(Q, "written", seen)
+    monkeypatch.setattr(Q, "MOST_PARTS", 1)
     for windows in (1, 12):
         sizes.clear()
         assert {r.event_id: r.cluster for r in Q.associate(df, 600, 100.0, windows).collect()} == want
         assert max(sizes) <= 30 * windows and len(set(want.values())) < 1500
 
 
-def spark_row(place):
-    return type("Place", (), {"lat": place[0], "lon": place[1]})
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_association_by_either_key_is_brute_force(spark, seed):
+    """Records with a reference time and place beside their own: earlier or later, near or far, missing in part; many equal times."""
+    rng, rows = random.Random(seed), []
+    for i in range(400):
+        t, lat, lon = rng.randrange(6000) // 5 * 5, rng.choice([0.0, 0.5, 1.5, 3.0]), rng.random()
+        ref = (t + rng.randrange(-90, 91), rng.choice([lat, 0.2, 3.0]), lon) if rng.random() < 0.4 else (None, None, None)
+        rows.append((i, t, rng.choice("abcd"), lat if rng.random() < 0.97 else None, lon, *(ref if rng.random() < 0.9 else (ref[0], None, ref[2]))))
+    df = spark.createDataFrame(rows, "event_id long, t_us long, lane string, lat double, lon double, ref_t_us long, ref_lat double, ref_lon double")
+    both = [(i, lane, [(t, lat, lon)] + ([(u, y, x)] if None not in (u, y, x) else [])) for i, t, lane, lat, lon, u, y, x in rows]
+    want = greedy_association(both, 60, 100)
+    for windows in (1, 3, 50):
+        assert {r.event_id: r.cluster for r in Q.associate(df.repartition(3), 60, 100.0, windows).collect()} == want
+    assert len(set(want.values())) < 380
+
+
+def test_clusters_of_the_whole_table_are_brute_force(spark, sf_dir):
+    got = {r.event_id: r.cluster for r in cq.QUERIES["assoc_clusters"](spark, sf_dir).collect()}
+    rows = E.catalogue(spark, sf_dir).select("event_id", "lane", "t_us", "lat", "lon").collect()
+    assert got == greedy_association([(r.event_id, r.lane, [(r.t_us, r.lat, r.lon)]) for r in rows], cq.GAP, 100)
 
 
 def test_completeness_takes_each_triggers_own_time(spark):
