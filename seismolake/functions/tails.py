@@ -9,13 +9,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function: a series below x = a + 1, Lentz' continued fraction from there on. Some sqrt(a) terms do."""
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1.0 - front * total)
+    tiny, b = 1e-300, x + 1.0 - a
+    c, d = 1.0 / tiny, 1.0 / b
+    value, k = d, 0
+    while True:
+        k += 1
+        b += 2.0
+        top = -k * (k - a)
+        d = 1.0 / ((top * d + b) or tiny)
+        c = (b + top / c) or tiny
+        value *= c * d
+        if abs(c * d - 1.0) < 1e-15 or k > 100_000_000:
+            return min(1.0, front * value)
+
+
 def _poisson_cdf(n: int, rate: float) -> float:
     """P(X <= n)."""
     if n < 0:
         return 0.0
-    if rate <= 0:
-        return 1.0
-    return min(1.0, math.fsum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(n + 1)))
+    return 1.0 if rate <= 0 else _gamma_upper(n + 1.0, rate)
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:

@@ -16,12 +16,50 @@ def format_horizon(seconds: Column) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """Microseconds of an ISO 8601 time; without a zone it is UTC, which the session's zone must be. Null where it is none."""
-    return F.unix_micros(F.try_to_timestamp(text))
+    """Microseconds of an ISO 8601 time; without a zone it is UTC, whatever the session's zone is. Null where it is none."""
+    zoned = F.when(text.rlike(r"(?i)(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$") & text.rlike(r"\d[T ]\d"), text).when(text.rlike(r"\d[T ]\d"), F.concat(F.trim(text), F.lit("Z"))).otherwise(F.concat(F.trim(text), F.lit("T00:00:00Z")))
+    return F.unix_micros(F.try_to_timestamp(zoned))
+
+
+def utc_text(us: Column) -> Column:
+    """yyyyMMddTHHmmssZ of microseconds since 1970, whatever the session's zone is."""
+    seconds = F.floor(us / F.lit(1_000_000)).cast("long")
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    within = F.pmod(seconds, F.lit(86400))
+    return F.concat(F.regexp_replace(day.cast("string"), "-", ""), F.lit("T"), two(F.floor(within / 3600)), two(F.floor(within / 60) % 60), two(within % 60), F.lit("Z"))
 
 
 def grid_id(model: Column, region: Column, issue_us: Column, horizon_s: Column) -> Column:
-    return F.concat_ws("_", model, region, F.date_format(F.timestamp_micros(issue_us), "yyyyMMdd'T'HHmmss'Z'"), format_horizon(horizon_s))
+    return F.concat_ws("_", model, region, utc_text(issue_us), format_horizon(horizon_s))
+
+
+def float_repr(x: Column) -> Column:
+    """The shortest decimal of a double as Python writes it: positional from 1e-4 to below 1e16, else with an exponent of two digits at least. The digits are those of the JVM, which before version 19 may have one too many far from 1."""
+    text = F.abs(x).cast("string")
+    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    mantissa = F.regexp_extract(text, r"^(\d)(?:\.(\d+))?E", 1)
+    behind = F.regexp_replace(F.regexp_extract(text, r"^(\d)(?:\.(\d+))?E", 2), "0+$", "")
+    digits = F.concat(mantissa, behind)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(F.rpad(F.substring(digits, 1, power + 1), power + 1, "0"), F.lit("."), F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise(F.lit("0")))
+    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
+    scientific = F.concat(mantissa, F.when(behind == "", F.lit("")).otherwise(F.concat(F.lit("."), behind)), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    plain = F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.lit("inf")).when(~text.contains("E"), text)
+    body = plain.when((power < 0) & (power >= -4), small).when((power >= 0) & (power < 16), large).otherwise(scientific)
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.concat(F.when(negative & ~F.isnan(x), F.lit("-")).otherwise(F.lit("")), body)
+
+
+def snapshot_hash(columns: dict[str, Column]) -> Column:
+    """Hash of a model's parameters: lines of name=value in order of names, texts in quotes and doubles as in `float_repr`; null is None."""
+
+    def written(c: Column) -> Column:
+        kind, text = F.typeof(c), c.cast("string")
+        value = F.when(kind.isin("double", "float"), float_repr(c.try_cast("double"))).when(kind == "string", F.concat(F.lit("'"), text, F.lit("'"))).when(kind == "boolean", F.initcap(text)).otherwise(text)
+        return F.coalesce(value, F.lit("None"))
+
+    return F.sha2(F.concat_ws("\n", *(F.concat(F.lit(f"{k}="), written(columns[k])) for k in sorted(columns))), 256)
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:

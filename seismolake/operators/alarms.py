@@ -4,28 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seismology as S
+from ..functions import tails
 from ..functions.shared_draws import uniform
 from . import scoring
 
 
-def binomial_tail(hits: Column, n: Column, p: Column) -> Column:
-    """P(X >= hits) for whole hits and n, by summation over the tail."""
-    term = lambda k: F.exp(S.log_factorial(n) - S.log_factorial(k) - S.log_factorial(n - k) + k * F.log(p) + (n - k) * F.log1p(-p))
-    tail = F.aggregate(F.transform(F.sequence(hits, n), term), F.lit(0.0), lambda a, x: a + x)
-    return F.when(hits <= 0, F.lit(1.0)).when((hits > n) | (p <= 0), F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
-
-
 def declared_point(cells: DataFrame, threshold: float, alpha: float = 0.05) -> DataFrame:
     """cells (cell_ix, alarm, mass, n): the footprint's mass tau, hits, gain over the reference, p value. Without targets or without mass there is no gain."""
     on = F.col("alarm") >= threshold
     s = cells.agg(F.sum(F.when(on, F.col("mass")).otherwise(0.0)).alias("tau"), F.sum(F.when(on, F.col("n")).otherwise(0)).cast("long").alias("hits"), F.sum("n").cast("long").alias("n_targets"), F.count_if(on).alias("n_alarm_cells"))
     sound = (F.col("n_targets") > 0) & (F.col("tau") > 0)
     gain = F.when(sound, F.col("hits") / F.col("n_targets") / F.col("tau"))
-    p = F.when(sound, binomial_tail(F.col("hits"), F.col("n_targets"), F.least(F.lit(1.0), F.col("tau"))))
+    p = F.when(sound, tails.binomial_sf(F.col("hits"), F.col("n_targets"), F.least(F.lit(1.0), F.col("tau"))))
     return s.withColumn("gain", gain).withColumn("p_value", p).withColumn("significant", F.col("p_value") <= alpha)
 
 

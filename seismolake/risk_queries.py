@@ -44,13 +44,13 @@ def influence_and_length(spark, d):
 @query("""
 SELECT event_id, CASE WHEN s % 86400 = 0 THEN s // 86400 || 'd' WHEN s % 3600 = 0 THEN s // 3600 || 'h' ELSE s || 's' END AS horizon,
   'etas_' || lane || '_' || strftime(make_timestamp(t_us), '%Y%m%dT%H%M%SZ') || '_' || CASE WHEN s % 86400 = 0 THEN s // 86400 || 'd' WHEN s % 3600 = 0 THEN s // 3600 || 'h' ELSE s || 's' END AS id,
-  sha256('{"lane":"' || lane || '","s":' || s || '}') AS snapshot FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 86400 * (1 + event_id % 30) WHEN 1 THEN 3600 * (1 + event_id % 23) ELSE 61 END AS s FROM seis)""")
+  sha256('lane=''' || lane || '''' || chr(10) || 'm=' || round(mag, 2) || chr(10) || 's=' || s) AS snapshot FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 86400 * (1 + event_id % 30) WHEN 1 THEN 3600 * (1 + event_id % 23) ELSE 61 END AS s FROM seis)""")
 def forecast_ids(spark, d):
     i = F.col("event_id")
     s = F.when(i % 3 == 0, 86400 * (1 + i % 30)).when(i % 3 == 1, 3600 * (1 + i % 23)).otherwise(61)
     rows = catalogue(spark, d).withColumn("s", s)
     ids = T.grid_id(F.lit("etas"), F.col("lane"), F.col("t_us"), F.col("s"))
-    return rows.select("event_id", T.format_horizon(F.col("s")).alias("horizon"), ids.alias("id"), T.sha256_hex(T.canonical_json({"s": F.col("s"), "lane": F.col("lane")})).alias("snapshot"))
+    return rows.select("event_id", T.format_horizon(F.col("s")).alias("horizon"), ids.alias("id"), T.snapshot_hash({"s": F.col("s"), "lane": F.col("lane"), "m": F.round("mag", 2)}).alias("snapshot"))
 
 
 @query("""
