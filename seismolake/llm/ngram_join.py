@@ -43,8 +43,8 @@ PART_BYTES = 8 << 20
 LEADERS = 2
 #: Cells of an n-gram from which it leaves its fragment; at least MOST_DF, so that its frequency is known.
 HOT_CELLS = 4096
-#: N-grams that a worker gathers before it says which recur, and how often these do at least: n-grams below this in every such part have under four millionths of all cells.
-COUNT_CELLS, LEAST_REPEATS = 4 << 20, 16
+#: N-grams that a worker gathers before it says which recur, and how often these do at least: n-grams below this in every such part have under eight millionths of all cells.
+COUNT_CELLS, LEAST_REPEATS = 1 << 20, 8
 #: The highest frequency that is told apart.
 MOST_DF = 255
 
