@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, motion
 from ..functions.shared_draws import uniform
 from ..plans import nearby
 from . import risk
@@ -34,6 +34,27 @@ def fields(events: DataFrame, sites: DataFrame, mean_ln: Callable[[Column, Colum
     return rows.select("event_id", "site_id", "hypocentral_km", F.exp(mean_ln(F.col("mag"), F.col("hypocentral_km")) + spread).alias("im"))
 
 
+def logic_tree_fields(
+    events: DataFrame, sites: DataFrame, branches: list[tuple[str, float, float]], realisations: int, level: float, seed: int, reach_km: float, coefficients: dict[str, float] = motion.PGA_2014
+) -> DataFrame:
+    """event_id, site_id, realisation, branch, mean_ln and im of events (event_id, lon, lat, mag, rake) at sites (site_id, s_lon, s_lat, vs30) within reach of their epicentres.
+
+    branches: name, weight and regional loss with distance. Realisations are apportioned by weight, so weights are met exactly and not in the mean; an event has one draw a realisation for all sites, and each site one of its own.
+    """
+    places = sites.select("site_id", F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat"), "vs30")
+    met = nearby.pairs_within(places, events.select("event_id", "lon", "lat", "mag", "rake"), F.lit(float(reach_km)), reach_km, least_km=reach_km)
+    shares = motion.allocation([w for _, w, _ in branches], realisations)
+    plan = [(name, loss) for (name, _, loss), n in zip(branches, shares, strict=True) for _ in range(n)]
+    each = F.posexplode(F.array(*(F.struct(F.lit(name).alias("branch"), F.lit(float(loss)).alias("loss")) for name, loss in plan))).alias("realisation", "b")
+    rows = met.select(F.col("event_id_r").alias("event_id"), F.col("site_id_l").alias("site_id"), F.col("mag_r").alias("mag"), F.col("rake_r").alias("rake"), F.col("vs30_l").alias("vs30"), "km", each)
+    own = lambda name: F.col("b.loss") if name == "Dc3" else F.lit(float(coefficients[name]))
+    mean, tau, phi = motion.boore_2014(own, own, F.col("mag"), F.col("rake"), F.col("km"), F.col("vs30"))
+    between = truncated_normal(uniform(seed, "event_id", "realisation"), uniform(seed + 1, "event_id", "realisation"), level)
+    within = truncated_normal(uniform(seed + 2, "event_id", "realisation", "site_id"), uniform(seed + 3, "event_id", "realisation", "site_id"), level)
+    noise = F.lit(0.0) if level == 0 else tau * between + phi * within
+    return rows.select("event_id", "site_id", "realisation", F.col("b.branch").alias("branch"), mean.alias("mean_ln"), F.exp(mean + noise).alias("im"))
+
+
 def asset_losses(shaken: DataFrame, assets: DataFrame, states: list[tuple[float, float, float]]) -> DataFrame:
     """assets (asset_id, site_id, value): event_id, asset_id, loss."""
     joined = shaken.join(assets, "site_id")

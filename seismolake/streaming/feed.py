@@ -27,14 +27,25 @@ def late_rows(feed: DataFrame, time: str, arrived: str, late_seconds: int) -> Da
 
 
 def upsert_latest(key: str, version: str, path: str):
-    """For foreachBatch: keeps the latest version of each key in a Parquet table, batch by batch into a new snapshot, so a repeated batch changes nothing."""
+    """For foreachBatch: keeps the latest version of each key in a Parquet table, batch by batch into a new snapshot, so a repeated batch changes nothing.
+
+    A batch builds on the last whole snapshot before it, wherever that is, so gaps in epochs after a restart lose nothing.
+    """
+
+    def last_before(spark: SparkSession, epoch: int) -> str | None:
+        fs = spark._jvm.org.apache.hadoop.fs
+        folder = fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return None
+        whole = [int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit() and system.exists(fs.Path(f.getPath(), "_SUCCESS"))]
+        earlier = [e for e in whole if e < epoch]
+        return f"{path}/{max(earlier)}" if earlier else None
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs
-        before = f"{path}/{epoch - 1}"
-        held = fs.Path(before).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(before)) if epoch else False
-        rows = spark.read.parquet(before).unionByName(batch) if held else batch
+        before = last_before(spark, epoch)
+        rows = spark.read.parquet(before).unionByName(batch) if before else batch
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{path}/{epoch}")
 

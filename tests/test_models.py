@@ -92,6 +92,18 @@ def test_upsert_and_sessions(spark, tmp_path):
     assert sorted(r.n for r in blocks) == [1, 3]
 
 
+def test_upserts_survive_gaps_in_epochs(spark, tmp_path):
+    schema, path = "id string, version long, value double", str(tmp_path / "t")
+    run = feed.upsert_latest("id", "version", path)
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    run(batch(("a", 1, 1.0), ("b", 1, 1.0)), 0)
+    run(batch(("a", 2, 2.0)), 4)
+    (tmp_path / "t" / "5").mkdir()  # begun, never finished
+    for _ in range(2):
+        run(batch(("c", 1, 3.0), ("a", 1, 9.0)), 7)
+    assert {(r.id, r.value) for r in spark.read.parquet(f"{path}/7").collect()} == {("a", 2.0), ("b", 1.0), ("c", 3.0)}
+
+
 def test_etas_takes_all_earlier_sources(spark):
     day = 86_400_000_000
     rows = [(i, i * i * 30_000_000_000 % (30 * day), 4.0 + i * 7 % 20 / 10) for i in range(150)]
