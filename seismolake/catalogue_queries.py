@@ -49,11 +49,12 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, helpers: bool = True):
+def query(sql: str | None = None, helpers: bool = True, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = f"WITH {SEIS} {sql}" if helpers and not sql.lstrip().startswith(",") else f"WITH {SEIS}{sql}" if helpers else sql
+            head = f"WITH RECURSIVE {SEIS}" if recursive else f"WITH {SEIS}"
+            ORACLE[f.__name__] = f"{head} {sql}" if helpers and not sql.lstrip().startswith(",") else f"{head}{sql}" if helpers else sql
         return f
 
     return add

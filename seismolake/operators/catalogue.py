@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
+from ..plans import skew
 from ..plans.quantiles import values_at
 
 EVENT_TYPES = ("earthquake", "landslide", "explosion", "other")
@@ -134,14 +135,15 @@ def b_value_stability(events: DataFrame, least: int = 30, ahead: int = 5) -> Dat
 
 def stai_current(events: DataFrame, background: float) -> DataFrame:
     """Completeness at each event: the largest over strictly earlier triggers, floored by the background. A trigger's curve is above the background for its own time only;
-    triggers meet events in time cells at least as long as that, by classes of cell sizes that are powers of eight, and those not above the background stay out."""
+    triggers meet events in time cells at least as long as that, by classes of cell sizes that are powers of eight, and those not above the background stay out. The largest classes have few triggers and long cells, whose
+    events are split over tasks."""
     reach = F.ceil(F.pow(F.lit(10.0), (F.col("mag") - F.lit(4.5 + background)) / F.lit(0.75)) * F.lit(8.64e10)) + F.lit(1)
     triggers = events.filter(F.col("mag") > background).select(F.col("t_us").alias("began"), "mag", reach.alias("reach"))
     triggers = triggers.withColumn("size", F.pow(F.lit(8.0), F.ceil(F.log(F.col("reach").cast("double")) / F.lit(math.log(8)) + F.lit(1e-9))).cast("long"))
     cell = lambda t: F.floor(F.col(t) / F.col("size")).cast("long")
     placed = triggers.withColumn("cell", F.explode(F.array(cell("began"), cell("began") + 1)))
     looked = events.select("event_id", "t_us").crossJoin(F.broadcast(triggers.select("size").distinct())).withColumn("cell", cell("t_us"))
-    pairs = looked.join(placed, ["size", "cell"]).filter("began < t_us AND t_us - began <= reach")
+    pairs = skew.split_join(looked, placed, ["size", "cell"], "event_id").filter("began < t_us AND t_us - began <= reach")
     mc = S.stai_completeness(F.col("mag"), (F.col("t_us") - F.col("began")) / F.lit(8.64e10))
     best = pairs.groupBy("event_id").agg(F.max(mc).alias("raised"))
     return events.select("event_id").join(best, "event_id", "left").select("event_id", F.greatest(F.lit(background), F.col("raised")).alias("mc"))
@@ -161,7 +163,7 @@ def parse_rejects(events: DataFrame) -> DataFrame:
 
 
 def preferred(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the least by order, with the sorted set of contributing ids."""
+    """One row per key: the least by order, with the sorted set of contributing ids; for keys of few records, such as merged events, as these are one row."""
     first = F.min(F.struct(*order)).alias("first")
     return events.groupBy(*key).agg(first, F.sort_array(F.collect_set("event_id")).alias("ids")).select(*key, "first.*", "ids")
 

@@ -44,8 +44,13 @@ def poisson_counts(bins: DataFrame, simulations: int, seed: int) -> DataFrame:
     table = total.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most)))
     mass = F.exp(F.col("k") * F.log("total") - F.col("total") - S.log_factorial(F.col("k")))
     table = table.select("k", F.sum(mass).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    draws = bins.sparkSession.range(simulations).select(F.col("id").alias("simulation"), uniform(seed, "id").alias("u"))
-    return draws.join(F.broadcast(table), F.col("upto") < F.col("u"), "left").groupBy("simulation").agg(F.count("k").alias("n_events"))
+    table = table.select("k", F.coalesce(F.lag("upto").over(Window.orderBy("k")), F.lit(0.0)).alias("low"), F.col("upto").alias("high"))
+    slice_of = lambda c: F.least(F.lit(SLICES - 1), F.floor(c * SLICES)).cast("int")
+    table = table.filter("high > low").withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high")))))
+    draws = bins.sparkSession.range(simulations).select(F.col("id").alias("simulation"), uniform(seed, "id").alias("u")).withColumn("slice_of", slice_of(F.col("u")))
+    met = draws.join(table, (F.col("slice_of") == F.col("slice")) & (F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")), "left")
+    # a draw beyond the table's end, which rounding may leave below 1, is the count after it
+    return met.crossJoin(F.broadcast(total.select(F.when(F.col("total") > 0, most + 1).otherwise(0).alias("beyond")))).select("simulation", F.coalesce("k", "beyond").alias("n_events"))
 
 
 def simulated_statistics(bins: DataFrame, counts: DataFrame, seed: int) -> DataFrame:

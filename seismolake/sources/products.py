@@ -82,6 +82,27 @@ def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     return out.select("imt", F.col("p.coefficient").alias("coefficient"), F.col("p.value").try_cast("double").alias("value"))
 
 
+#: The names of a finite-fault file's header that place its plane.
+FAULT_HEADER = {"h_lat": "LAT", "h_lon": "LON", "h_depth_km": "DEP", "mag": "Mw", "strike": "STRK", "dip": "DIP", "rake": "RAKE", "dx_km": "Dx", "dz_km": "Dz"}
+
+
+def read_faults(spark: SparkSession, path: str) -> DataFrame:
+    """model_id (the file's name), lat, lon, depth_km and slip of each sub-fault of finite-fault files, with the header's hypocentre, magnitude, strike, dip, rake, dx_km and dz_km.
+
+    Comments begin with %; rows are lat, lon, x, y, z, slip and further columns. A file that lacks one of the header's values is refused when it is read; rows that aren't numbers are left out.
+    """
+    number = r"(-?\d+\.?\d*)"
+    texts = spark.read.text(path, wholetext=True).withColumn("model_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    found = {k: F.regexp_extract("value", rf"\b{v}\s*=\s*{number}", 1).try_cast("double") for k, v in FAULT_HEADER.items()}
+    checked = {k: F.coalesce(v, F.raise_error(F.lit(f"a finite-fault file has no {FAULT_HEADER[k]}")).cast("double")) for k, v in found.items()}
+    rows = texts.withColumns(checked).withColumn("line", F.explode(F.split("value", r"\r?\n"))).drop("value")
+    cells = F.split(F.trim("line"), r"\s+")
+    at = lambda k: F.get(F.col("cells"), k).try_cast("double")
+    rows = rows.filter(~F.trim("line").startswith("%")).withColumn("cells", cells).filter(F.size("cells") >= 6)
+    out = rows.select("model_id", at(0).alias("lat"), at(1).alias("lon"), at(4).alias("depth_km"), at(5).alias("slip"), *FAULT_HEADER)
+    return out.filter("lat IS NOT NULL AND lon IS NOT NULL AND depth_km IS NOT NULL AND slip IS NOT NULL")
+
+
 def read_verification(spark: SparkSession, path: str) -> DataFrame:
     """case, result_type, kind, period, expected and inputs (a map of the columns rup_, dist_ and site_) of expected ground motions in CSV, one row a measure."""
     rows = spark.read.option("header", True).csv(path)

@@ -16,6 +16,7 @@ from seismolake.operators import grids as G
 from seismolake.operators import risk as R
 from seismolake.operators import scoring as K
 from seismolake.operators import sequences as Q
+from seismolake.plans import skew
 from seismolake.sources import events as E
 from seismolake.streaming import feed
 
@@ -194,7 +195,10 @@ def test_clusters_of_the_whole_table_are_brute_force(spark, sf_dir):
     assert got == greedy_association([(r.event_id, r.lane, [(r.t_us, r.lat, r.lon)]) for r in rows], cq.GAP, 100)
 
 
-def test_completeness_takes_each_triggers_own_time(spark):
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_completeness_takes_each_triggers_own_time(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "HOT_PART", 10**6)
     rows = [(1, 0, 8.0), (2, 3 * E.DAY_US, 3.0), (3, 40 * E.DAY_US, 4.4), (4, 40 * E.DAY_US + 10_000_000, 3.0), (5, 40 * E.DAY_US + 60_000_000, 2.5)]
     rows += [(10 + i, 60 * E.DAY_US + i * i * 977_777, 2.3 + i * 37 % 61 / 10) for i in range(300)]
     got = {r.event_id: r.mc for r in C.stai_current(spark.createDataFrame(rows, "event_id long, t_us long, mag double"), 2.6).collect()}
