@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seismology as S
@@ -10,6 +10,8 @@ from ..functions import seismology as S
 #: Precedence of sources and of moment magnitude types.
 SOURCES = ("gcmt", "isc-gem", "isc", "usgs-comcat")
 MOMENT_TYPES = ("mww", "mwc", "mwb", "mwr", "mw")
+#: Sources that carry the records of several networks.
+CARRIERS = ("usgs-comcat",)
 
 
 def preferred_mw(magnitudes: DataFrame, assume_local: bool) -> DataFrame:
@@ -51,3 +53,14 @@ def merge_clusters(members: DataFrame, order: list[str], prefix: str = "merged-"
         name.alias("id"), *(first[c].alias(c) for c in ("t_us", "lat", "lon", "depth_km", "mag")), F.coalesce(F.get(odd, 0), F.lit("earthquake")).alias("etype"), vintage.alias("avail_us"),
         all_of("event_id").alias("ids"), F.array_distinct(all_of("lane")).alias("lanes"), others.alias("other_mags"),
     )
+
+
+def source_lane(source: Column, event_id: Column) -> Column:
+    """The lane that a record stands in for association: its source, but for a source that carries networks' own records, the network that begins the record's id, too."""
+    network = F.regexp_extract(event_id, "^[a-z]+", 0)
+    return F.when(source.isin(*CARRIERS), F.concat(source, F.lit("/"), F.when(network == "", F.lit("unknown")).otherwise(network))).otherwise(source)
+
+
+def contributing_lanes(ids: Column) -> Column:
+    """Lanes of the records source:id that are merged into an event, each once, in order."""
+    return F.array_sort(F.array_distinct(F.transform(ids, lambda x: source_lane(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:?", "")))))
