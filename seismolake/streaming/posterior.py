@@ -1,7 +1,7 @@
 """Productivity of aftershock sequences, updated online: keyed state with timers, and the same figures by one batch query.
 
 A sequence is a main event and what follows it. At issue times, fixed delays after the main event, the posterior of its productivity is the prior times the Poisson likelihood of the events strictly before the issue. Online, a
-sequence's state is the latest version of each of its events, so neither the order of rows, repeats, revisions nor the cut of the stream into batches matter; an issue's timer fires once the watermark has passed
+sequence's state are the rows of its events, of which an issue takes the latest versions, so neither the order of rows, repeats, revisions nor the cut of the stream into batches matter; an issue's timer fires once the watermark has passed
 the issue, when rows before it can't come any more, and the last one drops the state. Rows later than the watermark's delay are left out, by Spark itself.
 """
 
@@ -64,7 +64,7 @@ class Sequences(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.main = handle.getValueState("main", "main_us long, main_mag double")
-        self.events = handle.getMapState("events", "event_id string", "t_us long, mag double, version long")
+        self.events = handle.getListState("events", "event_id string, t_us long, mag double, version long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -77,18 +77,15 @@ class Sequences(StatefulProcessor):
                 self.main.update((main_us, main_mag))
                 for delay in left:
                     self.handle.registerTimer(-(-self.issue_us(main_us, delay) // 1000))
-            latest = batch.sort_values("version").drop_duplicates("event_id", keep="last")
-            for event_id, t_us, mag, version in zip(latest.event_id, latest.t_us, latest.mag, latest.version, strict=True):
-                held = self.events.getValue((event_id,)) if self.events.containsKey((event_id,)) else None
-                if held is None or held[2] <= version:
-                    self.events.updateValue((event_id,), (int(t_us), float(mag), int(version)))
+            self.events.appendList(list(zip(batch.event_id.tolist(), batch.t_us.tolist(), batch.mag.tolist(), batch.version.tolist(), strict=True)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         main_us, main_mag = self.main.get()
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.events.values())
-        t_us, mag = np.array([v[0] for v in held], np.int64), np.array([v[1] for v in held], float)
+        held = pd.DataFrame(self.events.get(), columns=["event_id", "t_us", "mag", "version"])
+        held = held.sort_values("version", kind="stable").drop_duplicates("event_id", keep="last")
+        t_us, mag = held.t_us.to_numpy(np.int64), held.mag.to_numpy(float)
         for delay in self.delays:
             issue = self.issue_us(main_us, delay)
             if -(-issue // 1000) == fired:
