@@ -68,6 +68,8 @@ def cut(total: int, capacity: int = CAPACITY, tails: list[int] | None = None) ->
 
 #: Stems (words without the marks after them) that a worker keeps before it starts anew.
 MOST_STEMS = 500_000
+#: Words and stems of a worker that keeps none for its next task, which has less memory to itself.
+LEAN_WORDS, LEAN_STEMS = 150_000, 75_000
 MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 WORD_END = "</w>"
 LATIN = "\xff"
@@ -86,7 +88,7 @@ def is_plain(stem: str) -> bool:
     return stem.isalpha() and (stem.isascii() or max(stem) <= LATIN)
 
 
-def word_encoder(vocabulary: str):
+def word_encoder(vocabulary: str, most_stems: int = MOST_STEMS):
     """Ids of words. This tokenizer lower-cases, and takes runs of letters, digits and runs of marks one by one, so marks are put on afterwards and the letters in common are encoded once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -111,7 +113,7 @@ def word_encoder(vocabulary: str):
         texts = [w.decode("utf-8", "replace") for w in words]
         stems = [t.lower() if t.isascii() and t.isalnum() else stem_of(t) for t in texts]
         marks = [t[len(s) :] for t, s in zip(texts, stems, strict=True)]
-        if len(known) > MOST_STEMS:
+        if len(known) > most_stems:
             known.clear()
         fresh = set(stems).union(marks).difference(known)
         fresh.discard("")
@@ -146,8 +148,7 @@ def fill(docs: DataFrame, vocabulary: str, keep_ids: bool, capacity: int = CAPAC
     """First step: PIECE rows; those of unfinished bins have no sequence, and always their ids. With keep_words workers keep their words for the next task."""
 
     def run(batches):
-        fresh = lambda: WordCache(word_encoder(vocabulary))
-        cache = kept(("words", vocabulary), fresh) if keep_words else fresh()
+        cache = kept(("words", vocabulary), lambda: WordCache(word_encoder(vocabulary))) if keep_words else WordCache(word_encoder(vocabulary, LEAN_STEMS), LEAN_WORDS)
         tails, bins, made, rows = tail_classes(capacity), {}, 0, []
         first = TaskContext.get().partitionId() << 32
         for batch in batches:
