@@ -133,3 +133,37 @@ def test_pairs_within_reach_on_the_whole_sphere(spark, monkeypatch):
     assert {k: v for k, v in got.items() if abs(v - rows[k[1]][3]) > 1e-6} == want
     with pytest.raises(Exception, match="most_km"):
         nearby.pairs_within(df, df, F.col("reach_km"), 100.0).collect()
+
+
+def test_summed_rates_are_those_of_all_pairs_without_a_list_of_them(spark):
+    events = simulated(1)[:220]
+    start = events[40][1]
+    rows = I.summed_rates(spark.createDataFrame(events, COLUMNS), TRUE, MC, start, int(DAYS * DAY))
+    want = all_pairs(events, start, TRUE)
+    got = rows.collect()
+    assert {r.event_id: pytest.approx(r.rate, rel=1e-9) for r in got} == want and all(r.background == pytest.approx(10 ** TRUE["log10_mu"] / want[r.event_id]) for r in got)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_sum" in plan
+
+
+def test_points_that_become_many_rows_are_not_broadcast(spark, monkeypatch):
+    """Left is small by Spark's estimate, right has more points; only a right of few points is broadcast, whatever the classes."""
+    left = spark.range(60).select("id", (F.col("id") / 10).alias("lon"), (F.col("id") % 7).cast("double").alias("lat"))
+    right = spark.range(90).select("id", (F.col("id") / 15).alias("lon"), (F.col("id") % 5).cast("double").alias("lat"))
+    found = []
+    for most in (100_000, 10):
+        monkeypatch.setattr(nearby, "BROADCAST_ROWS", most)
+        met = nearby.pairs_within(left, right, F.lit(40.0), 600.0)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Inner, BuildLeft" not in plan and ("Inner, BuildRight" in plan) == (most > 10)
+        assert "explode([4])" in plan
+        found.append(sorted((r.id_l, r.id_r, round(r.km, 6)) for r in met.collect()))
+    assert found[0] == found[1] and found[0]
+
+
+def test_pairs_are_equal_in_what_they_share(spark):
+    rows = [(k, float(k % 9) / 4, float(k % 4) / 4, k % 3) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, slot int")
+    both = nearby.pairs_within(df, df, F.lit(50.0), 50.0, F.col("id_l") < F.col("id_r"))
+    want = sorted((r.id_l, r.id_r) for r in both.collect() if r.slot_l == r.slot_r)
+    assert sorted((r.id_l, r.id_r) for r in nearby.pairs_within(df, df, F.lit(50.0), 50.0, F.col("id_l") < F.col("id_r"), same=("slot",)).collect()) == want and want
