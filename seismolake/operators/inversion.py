@@ -44,17 +44,37 @@ def cell_of(x: Column, least: float) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.log2(x / F.lit(least))) * F.lit(float(FINENESS))).cast("int")
 
 
+def targets_of(events: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    return events.filter(F.col("t_us").between(start_us, end_us - 1)).select("event_id", "t_us", "lon", "lat")
+
+
+def source_pairs(events: DataFrame, start_us: int, end_us: int, most_km: float, lengths: float) -> DataFrame:
+    """event_id of a target, and m, days and km2 of a strictly earlier source that reaches it."""
+    sources = events.filter(F.col("t_us") < end_us).select("event_id", "t_us", "lon", "lat", "mag")
+    reach = F.least(F.lit(most_km), F.lit(lengths) * kernels.fault_length_km(F.col("mag")))
+    met = nearby.pairs_within(targets_of(events, start_us, end_us), sources, reach, most_km, F.col("t_us_r") < F.col("t_us_l"))
+    days, km2 = (F.col("t_us_l") - F.col("t_us_r")) / F.lit(DAY_US), F.col("km") * F.col("km")
+    return met.select(F.col("event_id_l").alias("event_id"), F.col("mag_r").alias("m"), days.alias("days"), km2.alias("km2"))
+
+
+def summed_rates(events: DataFrame, theta: dict[str, float], mc: float, start_us: int, end_us: int, most_km: float = 2000.0, lengths: float = FAULT_LENGTHS) -> DataFrame:
+    """event_id, rate and background of each target, as `expectation` of all pairs has them. Pairs are summed where they are found: only targets' sums move, so nothing is kept that grows as the pairs do."""
+    c, tau, d = (10 ** theta[f"log10_{x}"] for x in ("c", "tau", "d"))
+    above = F.col("m") - F.lit(float(mc))
+    logs = F.lit(math.log(10) * theta["log10_k0"]) + F.lit(theta["a"]) * above - F.col("days") / F.lit(tau) - F.lit(1 + theta["omega"]) * F.log(F.col("days") + F.lit(c))
+    triggered = F.exp(logs - F.lit(1 + theta["rho"]) * F.log(F.col("km2") + F.lit(d) * F.exp(F.lit(theta["gamma"]) * above)))
+    held = source_pairs(events, start_us, end_us, most_km, lengths).groupBy(F.col("event_id").alias("of")).agg(F.sum(triggered).alias("g"))
+    mu = F.lit(10 ** theta["log10_mu"])
+    rate = mu + F.coalesce("g", F.lit(0.0))
+    return targets_of(events, start_us, end_us).join(held, F.col("event_id") == F.col("of"), "left").select("event_id", rate.alias("rate"), (mu / rate).alias("background"))
+
+
 def pair_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2000.0, compressed: bool = True, lengths: float = FAULT_LENGTHS) -> DataFrame:
     """A row for each target of events (event_id, t_us, lon, lat, mag), those in [start, end): its entries (m, days, km2, n) of strictly earlier sources that reach it. A reach is most_km at most.
 
     Without compression each source is an entry. The number of entries is bounded by the number of cells, not by the events.
     """
-    targets = events.filter(F.col("t_us").between(start_us, end_us - 1)).select("event_id", "t_us", "lon", "lat")
-    sources = events.filter(F.col("t_us") < end_us).select("event_id", "t_us", "lon", "lat", "mag")
-    reach = F.least(F.lit(most_km), F.lit(lengths) * kernels.fault_length_km(F.col("mag")))
-    met = nearby.pairs_within(targets, sources, reach, most_km, F.col("t_us_r") < F.col("t_us_l"))
-    days, km2 = (F.col("t_us_l") - F.col("t_us_r")) / F.lit(DAY_US), F.col("km") * F.col("km")
-    pairs = met.select(F.col("event_id_l").alias("event_id"), F.col("mag_r").alias("m"), days.alias("days"), km2.alias("km2"))
+    targets, pairs = targets_of(events, start_us, end_us), source_pairs(events, start_us, end_us, most_km, lengths)
     cells = [F.floor(F.col("m") * 10 + 0.5 + 1e-9).cast("int").alias("m_cell"), cell_of(F.col("days"), LEAST_DAYS).alias("t_cell"), cell_of(F.col("km2"), LEAST_KM2).alias("r_cell")]
     if compressed:
         entries = pairs.groupBy("event_id", *cells).agg(F.avg("m").alias("m"), F.avg("days").alias("days"), F.avg("km2").alias("km2"), F.count("*").cast("double").alias("n"))
