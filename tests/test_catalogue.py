@@ -214,3 +214,33 @@ def test_every_point_has_its_nearest_site(spark):
     got = G.nearest_site(spark.createDataFrame(points, "event_id long, lon double, lat double"), spark.createDataFrame(sites, "site_id long, s_lon double, s_lat double"), 2)
     want = {i: min((round((x - a) ** 2 + (y - b) ** 2, 9), s) for s, a, b in sites)[1] for i, x, y in points}
     assert {r.event_id: r.site_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("spread", [9.0, 0.02])
+def test_nearest_sites_are_found_without_a_sort_of_all_candidates(spark, spread):
+    """Very many sites and points in few cells, many of them at the same places; the aggregation has no struct, for which Spark would sort every candidate."""
+    rng = random.Random(3)
+    at = lambda: (80 + rng.randrange(60) / 60 * spread, 26 + rng.randrange(40) / 40 * spread)
+    sites, points = [(i, *at()) for i in rng.sample(range(10_000), 300)], [(i, *at()) for i in range(300)] + [(900, -170.0, 80.0), (901, None, 1.0)]
+    spark_points, spark_sites = spark.createDataFrame(points, "event_id long, lon double, lat double"), spark.createDataFrame(sites, "site_id long, s_lon double, s_lat double")
+    tables, write = [], G.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(G, "written", lambda df, name: (tables.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+        got = {r.event_id: r.site_id for r in G.nearest_site(spark_points, spark_sites, 2).collect()}
+    want = {i: min((round((x - a) ** 2 + (y - b) ** 2, 9), s) for s, a, b in sites)[1] for i, x, y in points if x is not None}
+    assert got == want and not any("SortAggregate" in plan for plan in tables)
+
+
+def test_association_pairs_are_brute_force_and_meet_few_candidates(spark):
+    """Equal times, windows' edges, both sides of 180 degrees; the join's keys hold place and time."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(60) * 50, rng.choice("abc"), rng.choice([0.0, 0.4, 2.0, 89.5]), rng.choice([179.9, -179.9, -178.0, 10.0]), i // 3) for i in range(240)] + [(999, 10, "a", None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "event_id long, t_us long, lane string, lat double, lon double, cluster long")
+    km = lambda a, b: 2 * 6371.0 * math.asin(min(1, math.sqrt(math.sin(math.radians(b[3] - a[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2)))
+    want = {(a[0], b[0]): pytest.approx(km(a, b), abs=1e-6) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and a[2] != b[2] and abs(a[1] - b[1]) <= 500 and km(a, b) <= 100}
+    pairs = Q.association_pairs(df, 500, 100.0)
+    assert {(r.a, r.b): r.km for r in pairs.collect()} == want and pairs.count() == len(want) > 500
+    apart = Q.association_pairs(df, 500, 100.0, apart="cluster")
+    assert {(r.a, r.b) for r in apart.collect()} == {(a, b) for a, b in want if a // 3 != b // 3}
+    join = next(line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "slot_l" in line and "HashJoin" in line)
+    assert "row_l" in join and "column_l" in join
