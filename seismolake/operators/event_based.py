@@ -71,3 +71,10 @@ def annual(losses: DataFrame, catalogue_of: DataFrame, catalogues: DataFrame, du
     """Annual loss by catalogue; catalogue_of (event_id, catalogue)."""
     by_event = losses.groupBy("event_id").agg(F.sum("loss").alias("loss")).join(catalogue_of, "event_id")
     return risk.annual_losses(by_event.select("catalogue", "loss"), catalogues, duration)
+
+
+def annual_branches(losses: DataFrame, catalogue_of: DataFrame, catalogues: DataFrame, duration: float) -> DataFrame:
+    """losses (event_id, loss, other): annual loss and other by catalogue. Both are summed over the same rows in the same order, whatever the order is, so the other isn't larger by rounding where no event's is."""
+    by_event = losses.groupBy("event_id").agg(F.sum("loss").alias("loss"), F.sum("other").alias("other")).join(catalogue_of, "event_id")
+    sums = by_event.groupBy("catalogue").agg(F.sum("loss").alias("loss"), F.sum("other").alias("other"))
+    return catalogues.join(sums, "catalogue", "left").select("catalogue", *((F.coalesce(c, F.lit(0.0)) / F.lit(duration)).alias(c) for c in ("loss", "other")))

@@ -127,7 +127,12 @@ def insurance_layer(total: Column, attachment: float, limit: float) -> Column:
 
 def branch_difference(base: DataFrame, branch: DataFrame) -> DataFrame:
     """Catalogue by catalogue avoided loss: mean, and the share of catalogues where it is negative."""
-    d = base.join(branch.withColumnRenamed("loss", "other"), "catalogue").withColumn("d", F.col("loss") - F.col("other"))
+    return differences(base.join(branch.withColumnRenamed("loss", "other"), "catalogue"))
+
+
+def differences(both: DataFrame) -> DataFrame:
+    """both (catalogue, loss, other): mean of loss - other, and the share of catalogues where it is negative."""
+    d = both.withColumn("d", F.col("loss") - F.col("other"))
     return d.agg(F.avg("d").alias("mean"), F.avg((F.col("d") < 0).cast("double")).alias("negative_share"))
 
 

@@ -239,9 +239,16 @@ def _annual_sql(loss: str) -> str:
     return f"SELECT c.range AS catalogue, coalesce(sum({loss}), 0) / 2.0 AS loss FROM range(50) c LEFT JOIN l ON l.catalogue = c.range GROUP BY 1"
 
 
+def _of_event():
+    return (F.col("event_id") % 50).alias("catalogue")
+
+
+def _years(spark) -> DataFrame:
+    return spark.range(50).withColumnRenamed("id", "catalogue")
+
+
 def _annual(spark, losses: DataFrame) -> DataFrame:
-    of = losses.select("event_id", (F.col("event_id") % 50).alias("catalogue")).distinct()
-    return B.annual(losses, of, spark.range(50).withColumnRenamed("id", "catalogue"), 2.0)
+    return B.annual(losses, losses.select("event_id", _of_event()).distinct(), _years(spark), 2.0)
 
 
 @query(f"{SHAKEN}, y AS ({_annual_sql('loss')}) SELECT catalogue, round(loss, 4) AS loss FROM y")
@@ -253,6 +260,6 @@ def event_based_losses(spark, d):
 SELECT round(avg(y.loss - w.loss), 4) AS mean, avg(CAST(y.loss - w.loss < 0 AS INT)) AS negative_share FROM y JOIN w USING (catalogue)""")
 def avoided_loss(spark, d):
     """What a shutdown on warning saves, catalogue by catalogue with the same draws."""
-    losses = _shaken(spark, d)
-    other = B.with_shutdown(losses, 0.05, 3.5, 8.0, 0.6)
-    return R.branch_difference(_annual(spark, losses), _annual(spark, other)).select(F.round("mean", 4).alias("mean"), "negative_share")
+    losses = B.with_shutdown(_shaken(spark, d).withColumn("full", F.col("loss")), 0.05, 3.5, 8.0, 0.6).select("event_id", F.col("full").alias("loss"), F.col("loss").alias("other"))
+    both = B.annual_branches(losses, losses.select("event_id", _of_event()).distinct(), _years(spark), 2.0)
+    return R.differences(both).select(F.round("mean", 4).alias("mean"), "negative_share")
