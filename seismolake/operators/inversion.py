@@ -6,7 +6,8 @@ The rate at (t, x, y) is mu plus, for every earlier source of magnitude m at a d
 
 in events a day and square kilometre. Sources act within a reach that grows with the size of their fault.
 
-`pair_table` finds the pairs once, in a distributed join, and compresses them: of a target, sources of one magnitude class in one cell of delay and one of distance (cells of equal ratios) are one entry
+The inversion keeps blocks of targets with the sources that may reach them (`block_table`), which grow as the events do, and makes their pairs anew, piece by piece, in each expectation.
+`pair_table` finds the pairs once, in a distributed join, and compresses them, for catalogues whose pairs can be kept: of a target, sources of one magnitude class in one cell of delay and one of distance (cells of equal ratios) are one entry
 with their number and means. A target's entries are one row, so an expectation is a narrow pass over the table that hands on sums: by cells of delay, and by magnitude and cells of distance. The kernel's logarithm is a sum
 of a part of the delay and a part of magnitude and distance, so these sums are all that the maximisation needs, however long the catalogue is. What sources should trigger is likewise summed by
 magnitude and by cells of the time they have had. The likelihood of the catalogue can't fall from one iteration to the next, but for what the cells round off.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions import seismology as S
 from ..plans import nearby
 from ..plans.shared import written
 
@@ -32,6 +34,8 @@ START = {"log10_mu": -6.0, "log10_k0": -2.5, "a": 1.8, "log10_c": -2.5, "omega":
 BOUNDS = {"log10_mu": (-10, 0), "log10_k0": (-4, 0), "a": (0.01, 5), "log10_c": (-8, 0), "omega": (-0.99, 1), "log10_tau": (0.01, 12.26), "log10_d": (-4, 3), "gamma": (0.01, 5), "rho": (0.01, 5)}
 #: Cells to each doubling of a delay and of a squared distance, and where they begin: days and square kilometres below which all is one cell.
 FINENESS, LEAST_DAYS, LEAST_KM2 = 16, 1e-5, 1e-3
+#: Blocks of targets, km, and how many targets one has at most, about; degrees of a block's spots, whose targets look at the same sources; pairs that are looked at together.
+BLOCK_KM, BLOCK_TARGETS, SPOT_DEGREES, PIECE = 64.0, 20_000, 0.15, 500_000
 #: A source acts within so many lengths of its fault.
 FAULT_LENGTHS = 100.0
 TOLERANCE, MOST_ITERATIONS = 1e-3, 200
@@ -69,6 +73,11 @@ def summed_rates(events: DataFrame, theta: dict[str, float], mc: float, start_us
     return targets_of(events, start_us, end_us).join(held, F.col("event_id") == F.col("of"), "left").select("event_id", rate.alias("rate"), (mu / rate).alias("background"))
 
 
+def ratio_cell(x: np.ndarray, least: float) -> np.ndarray:
+    """`cell_of` for arrays."""
+    return np.floor(np.maximum(0.0, np.log2(np.maximum(x, least) / least)) * FINENESS)
+
+
 def pair_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2000.0, compressed: bool = True, lengths: float = FAULT_LENGTHS) -> DataFrame:
     """A row for each target of events (event_id, t_us, lon, lat, mag), those in [start, end): its entries (m, days, km2, n) of strictly earlier sources that reach it. A reach is most_km at most.
 
@@ -84,6 +93,94 @@ def pair_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2
     return targets.select("event_id").join(held, "event_id", "left").withColumn("entries", F.coalesce("entries", F.expr("array()").cast(held.schema["entries"].dataType)))
 
 
+def block_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2000.0, lengths: float = FAULT_LENGTHS) -> DataFrame:
+    """A row for each block of targets: targets (t_us, lon, lat) and sources (t_us, lon, lat, m, reach), all those before the end that may reach the block. Each target is in one block.
+
+    Blocks are cells of BLOCK_KM; those with very many targets are dealt by a hash. So the table grows as the events do, not as their pairs, which are made anew by each expectation.
+    """
+    size = F.lit(BLOCK_KM)
+    row = nearby.rows_of(size, F.col("lat"))
+    targets = targets_of(events, start_us, end_us).filter("lon IS NOT NULL AND lat IS NOT NULL").withColumn("row", row).withColumn("column", nearby.column_of(F.col("lon"), nearby.columns_around(size, F.col("row"))))
+    parts = targets.groupBy("row", "column").agg(F.ceil(F.count("*") / BLOCK_TARGETS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")
+    held = targets.join(parts, ["row", "column"]).withColumn("part", part).groupBy("row", "column", "part").agg(F.collect_list(F.struct("t_us", "lon", "lat")).alias("targets"))
+    reach = F.least(F.lit(most_km), F.lit(lengths) * kernels.fault_length_km(F.col("mag")))
+    sources = events.filter(F.col("t_us") < end_us).filter("lon IS NOT NULL AND lat IS NOT NULL AND mag IS NOT NULL").select("t_us", "lon", "lat", F.col("mag").alias("m"), reach.alias("reach"))
+    # the rows and columns of cells that a cap around the source touches
+    wide = (F.col("reach") + 0.1) / F.lit(nearby.DEGREE_KM)
+    rows = F.sequence(nearby.rows_of(size, F.col("lat") - wide), nearby.rows_of(size, F.col("lat") + wide))
+    laid = sources.withColumn("row", F.explode(rows)).withColumn("around", nearby.columns_around(size, F.col("row")))
+    ratio = F.sin(F.radians(wide)) / F.cos(F.radians("lat"))
+    whole = (F.abs("lat") + wide >= 90) | (ratio >= 1)
+    turn = F.when(whole, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))))
+    column = lambda lon: F.floor((lon + 180) * F.col("around") / 360).cast("long")
+    columns = F.array_distinct(F.transform(F.sequence(column(F.col("lon") - turn), column(F.col("lon") + turn)), lambda c: F.pmod(c, F.col("around"))))
+    laid = laid.withColumn("column", F.explode(columns)).join(parts, ["row", "column"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    reaching = laid.groupBy("row", "column", "part").agg(F.collect_list(F.struct("t_us", "lon", "lat", "m", "reach")).alias("sources"))
+    blocks = held.join(reaching, ["row", "column", "part"], "left").select("targets", F.coalesce("sources", F.expr("array()").cast(reaching.schema["sources"].dataType)).alias("sources"))
+    return blocks.repartition(8 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    lon, lat = np.radians(lon), np.radians(lat)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def neighbours(targets: pa.StructArray, sources: pa.StructArray) -> Iterator[tuple]:
+    """Pairs of a block, in pieces that hold all sources of their targets: number of targets, of each pair the target's number, the source's m, days and km2."""
+    t, lon, lat = (targets.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    s, x, y, m, reach = (sources.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+    order = np.argsort(s, kind="stable")
+    s, m, reach, v = s[order], m[order], reach[order], unit_vectors(x[order], y[order])
+    u = unit_vectors(lon, lat)
+    chord = 2 * np.sin(np.minimum(math.pi / 2, reach / (2 * S.EARTH_KM)))
+    near = np.floor(lat / SPOT_DEGREES).astype(np.int64) << 32 | np.floor(lon / SPOT_DEGREES).astype(np.int64) & 0xFFFFFFFF
+    by_spot = np.lexsort((t, near))
+    for spot in np.split(by_spot, np.flatnonzero(np.diff(near[by_spot])) + 1):
+        # chords obey the triangle inequality, so nothing else reaches the spot's targets
+        middle = u[:, spot].mean(axis=1, keepdims=True)
+        span = np.sqrt(((u[:, spot] - middle) ** 2).sum(axis=0)).max()
+        here = np.flatnonzero(np.sqrt(((v - middle) ** 2).sum(axis=0)) <= chord + span + 1e-9)
+        sh, vh, mh, ch = s[here], v[:, here], m[here], chord[here] ** 2
+        step = max(1, PIECE // max(1, len(here)))
+        for k in range(0, len(spot), step):
+            some = spot[k : k + step]
+            n = int(np.searchsorted(sh, t[some[-1]], "left"))
+            c2 = sum((u[i, some][:, None] - vh[i, :n][None, :]) ** 2 for i in range(3))
+            of, source = np.nonzero((c2 <= ch[:n] * (1 + 1e-12)) & (sh[None, :n] < t[some][:, None]))
+            km = 2 * S.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(c2[of, source]) / 2))
+            yield len(some), of, mh[source], (t[some[of]] - sh[source]) / DAY_US, km * km
+
+
+def summed_blocks(blocks: DataFrame, theta: dict[str, float], mc: float) -> DataFrame:
+    """The sums of `expected_sums`, of all pairs of a block table. Tasks hold pieces of a block's pairs and sums by cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mu = 10 ** theta["log10_mu"]
+        for batch in batches:
+            at, ends = (batch.column(k).offsets.to_numpy() for k in (0, 1))
+            for i in range(batch.num_rows):
+                of_target, of_source = batch.column(0).values.slice(at[i], at[i + 1] - at[i]), batch.column(1).values.slice(ends[i], ends[i + 1] - ends[i])
+                sums: dict[int, dict[int, np.ndarray]] = {0: {0: np.zeros(3)}, 1: {}, 2: {}}
+                for n, of, m, days, km2 in neighbours(of_target, of_source):
+                    g = kernel(theta, mc, m, days, km2)
+                    rate = mu + np.bincount(of, g, n)
+                    p = g / rate[of]
+                    sums[0][0] += (n, np.log(rate).sum(), (mu / rate).sum())
+                    delay = ratio_cell(days, LEAST_DAYS).astype(np.int64)
+                    place = np.floor(m * 10 + 0.5 + 1e-9).astype(np.int64) << 16 | ratio_cell(km2, LEAST_KM2).astype(np.int64)
+                    for kind, cell, values in ((1, delay, (p, p * days, None)), (2, place, (p, p * m, p * km2))):
+                        keys, inverse = np.unique(cell, return_inverse=True)
+                        columns = [np.zeros(len(keys)) if w is None else np.bincount(inverse, w, len(keys)) for w in values]
+                        for key, *three in zip(keys.tolist(), *columns, strict=True):
+                            sums[kind][key] = sums[kind].get(key, 0) + np.array(three)
+                rows = [(kind, key >> 16 if kind == 2 else key, key & 0xFFFF if kind == 2 else 0, *x.tolist()) for kind, cells in sums.items() for key, x in cells.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.float64()] * 3, strict=True)], names=["kind", "i", "j", "p", "x", "y"])
+
+    rows = blocks.mapInArrow(run, "kind int, i int, j int, p double, x double, y double")
+    return rows.groupBy("kind", "i", "j").agg(*(F.sum(c).alias(c) for c in "pxy"))
+
+
 def source_table(events: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """m, since, left and n of sources by classes of magnitude and cells of time: the mean time from a source to the start (0 for those after it) and to the end, days."""
     since, left = F.greatest(F.lit(0.0), F.lit(start_us) - F.col("t_us")) / F.lit(DAY_US), (F.lit(end_us) - F.col("t_us")) / F.lit(DAY_US)
@@ -138,9 +235,6 @@ def expected_sums(pairs: DataFrame, theta: dict[str, float], mc: float) -> DataF
         columns = [np.full(len(keys), kind, np.int32), (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), *sums]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "i", "j", "p", "x", "y"])
 
-    def ratio_cell(x: np.ndarray, least: float) -> np.ndarray:
-        return np.floor(np.maximum(0.0, np.log2(np.maximum(x, least) / least)) * FINENESS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, rate, m, days, km2, p = weighed(batch.column(0), theta, mc)
@@ -240,7 +334,7 @@ def aki_beta(events: DataFrame, mc: float, width: float = 0.1) -> float:
     return 1 / (mean - (mc - width / 2))
 
 
-def invert(events: DataFrame, area_km2: float, start_us: int, end_us: int, mc: float, beta: float, theta: dict[str, float] | None = None, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, most_km: float = 2000.0, compressed: bool = True) -> DataFrame:
+def invert(events: DataFrame, area_km2: float, start_us: int, end_us: int, mc: float, beta: float, theta: dict[str, float] | None = None, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, most_km: float = 2000.0) -> DataFrame:
     """A row for each iteration: the parameters that it began with, their log likelihood (targets in [start, end), given the sources before), n_background, branching_ratio, and change, the summed absolute change that followed.
 
     The fit is the last row; it has converged if its change is below the tolerance. Refused: an empty window, a start from outside the bounds.
@@ -249,11 +343,11 @@ def invert(events: DataFrame, area_km2: float, start_us: int, end_us: int, mc: f
     if any(not BOUNDS[n][0] <= theta[n] <= BOUNDS[n][1] for n in NAMES):
         raise ValueError("a starting value is out of its bounds")
     events = events.filter(F.col("mag") >= mc).select("event_id", "t_us", "lon", "lat", "mag")
-    pairs = written(pair_table(events, start_us, end_us, most_km, compressed), "pairs")
+    blocks = written(block_table(events, start_us, end_us, most_km), "blocks")
     sources = source_table(events, start_us, end_us).toPandas()
     days, rows = (end_us - start_us) / DAY_US, []
     for i in range(iterations + 1):
-        objective = Objective(expected_sums(pairs, theta, mc).toPandas(), sources, mc)
+        objective = Objective(summed_blocks(blocks, theta, mc).toPandas(), sources, mc)
         if not objective.targets:
             raise ValueError("no events in the window")
         ll = objective.log_rates - 10 ** theta["log10_mu"] * area_km2 * days - objective.expected(theta)

@@ -167,3 +167,21 @@ def test_pairs_are_equal_in_what_they_share(spark):
     both = nearby.pairs_within(df, df, F.lit(50.0), 50.0, F.col("id_l") < F.col("id_r"))
     want = sorted((r.id_l, r.id_r) for r in both.collect() if r.slot_l == r.slot_r)
     assert sorted((r.id_l, r.id_r) for r in nearby.pairs_within(df, df, F.lit(50.0), 50.0, F.col("id_l") < F.col("id_r"), same=("slot",)).collect()) == want and want
+
+
+def test_blocks_sum_all_pairs_on_the_whole_sphere(spark, monkeypatch):
+    """Against the uncompressed pair table: poles, 180 degrees, equal times and places, split blocks and small pieces. Blocks hold events, not pairs."""
+    monkeypatch.setattr(I, "BLOCK_TARGETS", 15)
+    monkeypatch.setattr(I, "PIECE", 400)
+    rng = random.Random(2)
+    at = lambda: rng.choice([(rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))), (rng.choice([179.9, -179.9, 180.0, 0.0]), rng.choice([89.7, -89.8, 90.0, 60.0])), (10 + rng.uniform(0, 3), 20 + rng.uniform(0, 3))])
+    rows = [(i, rng.randrange(200) * DAY // 4, *at(), 3.0 + rng.choice([0.0, 0.4, 2.0, 3.1])) for i in range(500)] + [(900, 30 * DAY, None, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    start, end = 5 * DAY, 48 * DAY
+    table = I.pair_table(df.filter("lon IS NOT NULL"), start, end, 700.0, compressed=False)
+    want = {(r.kind, r.i, r.j): (r.p, r.x, r.y) for r in I.expected_sums(table, TRUE, MC).collect()}
+    blocks = I.block_table(df, start, end, 700.0).collect()
+    got = {(r.kind, r.i, r.j): (r.p, r.x, r.y) for r in I.summed_blocks(I.block_table(df, start, end, 700.0), TRUE, MC).collect()}
+    assert sum(len(r.targets) for r in blocks) == table.count() and max(len(r.targets) for r in blocks) < 60
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
+    assert want[0, 0, 0][0] == table.count() and len(want) > 50
