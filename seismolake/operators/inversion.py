@@ -36,6 +36,8 @@ BOUNDS = {"log10_mu": (-10, 0), "log10_k0": (-4, 0), "a": (0.01, 5), "log10_c":
 FINENESS, LEAST_DAYS, LEAST_KM2 = 16, 1e-5, 1e-3
 #: Blocks of targets, km, and how many targets one has at most, about; degrees of a block's spots, whose targets look at the same sources; pairs that are looked at together.
 BLOCK_KM, BLOCK_TARGETS, SPOT_DEGREES, PIECE = 64.0, 20_000, 0.15, 500_000
+#: Cells of distance are fewer than two to this.
+CELL_BITS = 10
 #: A source acts within so many lengths of its fault.
 FAULT_LENGTHS = 100.0
 TOLERANCE, MOST_ITERATIONS = 1e-3, 200
@@ -168,13 +170,14 @@ def summed_blocks(blocks: DataFrame, theta: dict[str, float], mc: float) -> Data
                     p = g / rate[of]
                     sums[0][0] += (n, np.log(rate).sum(), (mu / rate).sum())
                     delay = ratio_cell(days, LEAST_DAYS).astype(np.int64)
-                    place = np.floor(m * 10 + 0.5 + 1e-9).astype(np.int64) << 16 | ratio_cell(km2, LEAST_KM2).astype(np.int64)
+                    place = np.floor(m * 10 + 0.5 + 1e-9).astype(np.int64) << CELL_BITS | ratio_cell(km2, LEAST_KM2).astype(np.int64)
                     for kind, cell, values in ((1, delay, (p, p * days, None)), (2, place, (p, p * m, p * km2))):
-                        keys, inverse = np.unique(cell, return_inverse=True)
-                        columns = [np.zeros(len(keys)) if w is None else np.bincount(inverse, w, len(keys)) for w in values]
-                        for key, *three in zip(keys.tolist(), *columns, strict=True):
+                        low = cell.min(initial=1 << 40)
+                        keys = np.flatnonzero(np.bincount(cell - low))
+                        columns = [np.zeros(len(keys)) if w is None else np.bincount(cell - low, w)[keys] for w in values]
+                        for key, *three in zip((keys + low).tolist(), *columns, strict=True):
                             sums[kind][key] = sums[kind].get(key, 0) + np.array(three)
-                rows = [(kind, key >> 16 if kind == 2 else key, key & 0xFFFF if kind == 2 else 0, *x.tolist()) for kind, cells in sums.items() for key, x in cells.items()]
+                rows = [(kind, key >> CELL_BITS if kind == 2 else key, key & (1 << CELL_BITS) - 1 if kind == 2 else 0, *x.tolist()) for kind, cells in sums.items() for key, x in cells.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.float64()] * 3, strict=True)], names=["kind", "i", "j", "p", "x", "y"])
 
     rows = blocks.mapInArrow(run, "kind int, i int, j int, p double, x double, y double")
