@@ -244,3 +244,26 @@ def test_association_pairs_are_brute_force_and_meet_few_candidates(spark):
     assert {(r.a, r.b) for r in apart.collect()} == {(a, b) for a, b in want if a // 3 != b // 3}
     join = next(line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "slot_l" in line and "HashJoin" in line)
     assert "row_l" in join and "column_l" in join
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_a_dense_association_runs_each_block_a_few_times(spark, monkeypatch, several):
+    """What blocks hand on never settles here; rounds of all blocks would be as many as there are blocks. Long looks back, many equal times."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(6000) // 4 * 4, rng.choice("abcde"), rng.random() * 9, rng.random() * 9) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, t_us long, lane string, lat double, lon double")
+    if several:
+        df = df.withColumns({"ref_t_us": F.col("t_us"), "ref_lat": F.col("lat"), "ref_lon": F.col("lon")})
+    for name, value in (("STRETCH", 16), ("MOST_BACK", 40), ("STEP_ROWS", 1000), ("MOST_PARTS", 2)):
+        monkeypatch.setattr(Q, name, value)
+    ran, held = [], Q.written
+
+    def seen(d, name):
+        out = held(d, name)
+        ran.extend([out.count()] if "cluster" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(Q, "written", seen)
+    want = greedy_association([(i, lane, [(t, lat, lon)]) for i, t, lane, lat, lon in rows], 60, 100)
+    assert {r.event_id: r.cluster for r in Q.associate(df, 60, 100.0, 3).collect()} == want
+    assert len(ran) < 16 and len(set(want.values())) < 3000
