@@ -1,12 +1,14 @@
 """What consistency tests can see: the least departure that a test would reject with a wanted power, and the events that it would need.
 
-All candidates of a search share one set of draws. A simulation draws, for each bin, the points of one Poisson process up to the largest of the candidates' rates; a candidate's catalogue are the points below its own
-rate, which is a Poisson catalogue of these rates, and the larger the rate the more of the same points it has. So neighbouring candidates differ by their departure and not by luck, and a whole round of candidates is one job, with
+All candidates of a search share one set of draws. A simulation draws, for each bin, one Poisson process up to the largest of the candidates' rates; a candidate's catalogue are the points below its own
+rate, which is a Poisson catalogue of these rates, and the larger the rate the more of the same points it has. Only the counts between neighbouring candidates' rates are drawn, which are independent and Poisson, and no points are listed: a
+simulation holds a number for each bin and candidate, however many events there are. So neighbouring candidates differ by their departure and not by luck, and a whole round of candidates is one job, with
 the simulations spread over tasks. Draws depend on the seed and the simulation's number alone. A forecast's bins, which a lattice bounds, are the one thing that each task holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 TESTS = ("N", "L", "CL", "S", "M")
 #: Bins of a forecast at most.
 MOST_BINS = 1_000_000
-#: Candidates of a round, and points that a simulation may hold.
-CANDIDATES, MOST_POINTS = 8, 50_000_000
+#: Candidates of a round.
+CANDIDATES = 8
 
 
 class Forecast:
@@ -62,25 +64,26 @@ def statistic(test: str, forecast: Forecast, rates: np.ndarray, counts: np.ndarr
         rates = rates * (n / rates.sum())
     counts = counts.astype(np.int64)
     held = counts > 0
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, counts.max(initial=0) + 1)))])
-    return float((counts[held] * np.log(rates[held]) - logs[counts[held]]).sum() - rates.sum())
+    counts, rates, total = counts[held], rates[held], rates.sum()
+    values, at = np.unique(counts, return_inverse=True)
+    logs = np.array([math.lgamma(c + 1.0) for c in values.tolist()])
+    return float((counts * np.log(rates) - logs[at]).sum() - total)
 
 
 def simulated(spark: SparkSession, forecast: Forecast, test: str, drawn: list[np.ndarray], judged: list[np.ndarray], simulations: int, seed: int) -> DataFrame:
     """candidate, simulation and statistic: catalogues of the rates drawn[candidate], all from the same draws, judged under judged[candidate]."""
-    top = np.max(drawn, axis=0)
-    if top.sum() > MOST_POINTS:
-        raise ValueError("a simulation would hold too many events")
+    order = np.argsort(drawn, axis=0, kind="stable")
+    between = np.diff(np.take_along_axis(np.asarray(drawn), order, axis=0), axis=0, prepend=0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for s in batch.id.tolist():
                 rng = np.random.default_rng([seed, s])
-                of = np.repeat(np.arange(len(top)), rng.poisson(top))
-                height = rng.random(len(of)) * top[of]
-                for k, (rates, under) in enumerate(zip(drawn, judged, strict=True)):
-                    out.append((k, s, statistic(test, forecast, under, np.bincount(of[height < rates[of]], minlength=len(top)))))
+                counts = np.empty(order.shape, np.int64)
+                np.put_along_axis(counts, order, np.cumsum(rng.poisson(between), axis=0), axis=0)
+                for k, under in enumerate(judged):
+                    out.append((k, s, statistic(test, forecast, under, counts[k])))
             yield pd.DataFrame(out, columns=["candidate", "simulation", "statistic"])
 
     tasks = max(1, min(simulations, int(spark.conf.get("spark.sql.shuffle.partitions"))))
