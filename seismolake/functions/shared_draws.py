@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,13 +11,15 @@ PRIME = 2_147_483_647
 
 
 def _round(h: Column) -> Column:
-    return (h * h + F.lit(48271) * h + F.lit(12345)) % F.lit(PRIME)
+    return (h * (h + F.lit(48271)) + F.lit(12345)) % F.lit(PRIME)
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """In (0, 1), from the seed and whole numbers that aren't negative: two squaring rounds after each key."""
     cast = [(F.col(k) if isinstance(k, str) else k).cast("long") for k in keys]
-    h = F.aggregate(F.array(*cast), F.lit(seed % PRIME).cast("long"), lambda h, k: _round(_round((h + k) % F.lit(PRIME))))
+    start, mixed = F.lit(seed % PRIME).cast("long"), lambda h, k: _round(_round((h + k) % F.lit(PRIME)))
+    # written out for few keys, which Spark compiles; each key more makes the expression four times as long
+    h = reduce(mixed, cast, start) if len(cast) <= 2 else F.aggregate(F.array(*cast), start, mixed)
     return (h.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
 
 

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import seismology as S
 from ..functions import tails
 from ..functions.shared_draws import uniform
+from ..plans.shared import written
 
 #: Slices of (0, 1) by which draws find their bins.
 SLICES = 1024
+#: Draws of a simulation that are made in one go.
+PIECE = 10_000
 
 
 def marginal(bins: DataFrame, by: str) -> DataFrame:
@@ -41,7 +44,9 @@ def poisson_counts(bins: DataFrame, simulations: int, seed: int) -> DataFrame:
     """simulation and its number of events: a Poisson draw of the forecast's total, by inversion of a table of its distribution."""
     total = bins.agg(F.sum("rate").alias("total"))
     most = F.ceil(F.col("total") + 12 * F.sqrt("total") + 30).cast("long")
-    table = total.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most)))
+    # what lies below has a chance of less than 1e-30
+    least = F.greatest(F.lit(0), F.floor(F.col("total") - 12 * F.sqrt("total") - 30)).cast("long")
+    table = total.withColumn("k", F.explode(F.sequence(least, most)))
     mass = F.exp(F.col("k") * F.log("total") - F.col("total") - S.log_factorial(F.col("k")))
     table = table.select("k", F.sum(mass).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     table = table.select("k", F.coalesce(F.lag("upto").over(Window.orderBy("k")), F.lit(0.0)).alias("low"), F.col("upto").alias("high"))
@@ -53,6 +58,15 @@ def poisson_counts(bins: DataFrame, simulations: int, seed: int) -> DataFrame:
     return met.crossJoin(F.broadcast(total.select(F.when(F.col("total") > 0, most + 1).otherwise(0).alias("beyond")))).select("simulation", F.coalesce("k", "beyond").alias("n_events"))
 
 
+def numbered(counts: DataFrame) -> DataFrame:
+    """simulation and k = 1 .. n_events. Simulations are cut into pieces of PIECE numbers, which are dealt out before their rows are made, so no task makes more than its share."""
+    spark = counts.sparkSession
+    cut = counts.filter("n_events > 0").select("simulation", "n_events", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_events") - 1) / PIECE).cast("long"))).alias("piece"))
+    cut = cut.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "simulation", "piece")
+    first, last = F.col("piece") * PIECE + 1, F.least(F.col("n_events"), (F.col("piece") + 1) * PIECE)
+    return cut.select("simulation", F.explode(F.sequence(first, last)).alias("k"))
+
+
 def simulated_statistics(bins: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
     """simulation and statistic of catalogues with counts (simulation, n_events) drawn from the bins' rates (bin, rate)."""
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -61,8 +75,7 @@ def simulated_statistics(bins: DataFrame, counts: DataFrame, seed: int) -> DataF
     edges = edges.withColumn("low", F.col("high") - F.col("share"))
     slice_of = lambda c: F.least(F.lit(SLICES - 1), F.floor(c * SLICES)).cast("int")
     edges = edges.withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high"))))).drop("share")
-    events = counts.filter("n_events > 0").select("simulation", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_events"))).alias("k"))
-    events = events.withColumn("u", uniform(seed + 1, "simulation", "k")).withColumn("slice_of", slice_of(F.col("u")))
+    events = numbered(counts).withColumn("u", uniform(seed + 1, "simulation", "k")).withColumn("slice_of", slice_of(F.col("u")))
     hit = events.join(F.broadcast(edges), (F.col("slice_of") == F.col("slice")) & (F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
     cells = hit.groupBy("simulation", "bin", "rate").agg(F.count("*").alias("c"))
     sums = cells.groupBy("simulation").agg(F.sum(_term(F.col("c"), F.col("rate"))).alias("hits"))
@@ -88,6 +101,7 @@ def quantile_verdict(bins: DataFrame, conditional: bool, simulations: int, seed:
 
 def consistency_tests(bins: DataFrame, simulations: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """One row each for L, CL, S and M. bins: cell_ix, m_bin, rate, n."""
+    bins = written(bins, "bins")
     wide = bins.withColumn("bin", F.col("cell_ix") * F.lit(1000) + F.col("m_bin")).select("bin", "rate", "n")
     sides = (("L", wide, False), ("CL", wide, True), ("S", marginal(bins, "cell_ix"), True), ("M", marginal(bins, "m_bin"), True))
     out = [quantile_verdict(b, conditional, simulations, seed, alpha).select(F.lit(name).alias("test"), "*") for name, b, conditional in sides]
@@ -138,7 +152,8 @@ def simulated_power(forecast: DataFrame, alternative: DataFrame, simulations: in
 
     forecast and alternative: bin, rate. The threshold is the largest simulated statistic below which at most alpha of the forecast's statistics lie; nothing is interpolated.
     """
-    own = simulated_statistics(forecast, poisson_counts(forecast, simulations, seed), seed).withColumn("rank", F.row_number().over(Window.orderBy("statistic")))
+    forecast, alternative = written(forecast, "bins"), written(alternative, "bins")
+    own = written(simulated_statistics(forecast, poisson_counts(forecast, simulations, seed), seed), "statistics").withColumn("rank", F.row_number().over(Window.orderBy("statistic")))
     bound = own.filter(F.col("rank") == max(1, int(alpha * simulations))).agg(F.max("statistic").alias("bound"))
     held = forecast.select(F.col("bin").alias("of"), F.col("rate").alias("own_rate"))
     rates = alternative.join(held, F.col("bin") == F.col("of")).select("bin", "rate", "own_rate")
@@ -155,8 +170,7 @@ def _cross_statistics(rates: DataFrame, counts: DataFrame, seed: int) -> DataFra
     edges = rates.select("bin", "own_rate", (F.sum("rate").over(upto) / total).alias("high"), (F.col("rate") / total).alias("share")).withColumn("low", F.col("high") - F.col("share"))
     slice_of = lambda c: F.least(F.lit(SLICES - 1), F.floor(c * SLICES)).cast("int")
     edges = edges.withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high")))))
-    events = counts.filter("n_events > 0").select("simulation", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_events"))).alias("k"))
-    events = events.withColumn("u", uniform(seed + 1, "simulation", "k")).withColumn("slice_of", slice_of(F.col("u")))
+    events = numbered(counts).withColumn("u", uniform(seed + 1, "simulation", "k")).withColumn("slice_of", slice_of(F.col("u")))
     hit = events.join(F.broadcast(edges), (F.col("slice_of") == F.col("slice")) & (F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
     cells = hit.groupBy("simulation", "bin", "own_rate").agg(F.count("*").alias("c"))
     sums = cells.groupBy("simulation").agg(F.sum(_term(F.col("c"), F.col("own_rate"))).alias("hits"))
