@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +21,7 @@ from ..functions import seismology as S
 from ..operators import models as M
 
 DAY_US = 86_400_000_000
+COUNTED = "sequence string, main_mag double, delay double, issue_us long, n long"
 ISSUED = "sequence string, issue_us long, n long, mean_a double, expected double, probability double"
 
 
@@ -52,8 +54,11 @@ class Law:
         return float(weight @ a), float(weight @ ahead), float(weight @ -np.expm1(-ahead))
 
 
+HELD = pa.schema([("event_id", pa.string()), ("t_us", pa.int64()), ("mag", pa.float64()), ("version", pa.int64())])
+
+
 class Sequences(StatefulProcessor):
-    """Rows of a sequence (main_us, main_mag, event_id, t_us, mag, version), in any order and number."""
+    """Rows of a sequence, or of a part of its events (main_us, main_mag, event_id, t_us, mag, version), in any order and number: COUNTED rows. A batch of rows is one entry of the state."""
 
     def __init__(self, law: Law, delays: list[float]):
         self.law, self.delays = law, sorted(delays)
@@ -64,7 +69,7 @@ class Sequences(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.main = handle.getValueState("main", "main_us long, main_mag double")
-        self.events = handle.getListState("events", "event_id string, t_us long, mag double, version long")
+        self.events = handle.getListState("events", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -77,20 +82,24 @@ class Sequences(StatefulProcessor):
                 self.main.update((main_us, main_mag))
                 for delay in left:
                     self.handle.registerTimer(-(-self.issue_us(main_us, delay) // 1000))
-            self.events.appendList(list(zip(batch.event_id.tolist(), batch.t_us.tolist(), batch.mag.tolist(), batch.version.tolist(), strict=True)))
+            held = pa.RecordBatch.from_pandas(batch[["event_id", "t_us", "mag", "version"]], HELD, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, HELD) as writer:
+                writer.write_batch(held)
+            self.events.appendValue((sink.getvalue().to_pybytes(),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         main_us, main_mag = self.main.get()
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        held = pd.DataFrame(self.events.get(), columns=["event_id", "t_us", "mag", "version"])
+        held = pa.concat_tables([pa.ipc.open_stream(bytes(rows)).read_all() for (rows,) in self.events.get()]).to_pandas()
         held = held.sort_values("version", kind="stable").drop_duplicates("event_id", keep="last")
         t_us, mag = held.t_us.to_numpy(np.int64), held.mag.to_numpy(float)
         for delay in self.delays:
             issue = self.issue_us(main_us, delay)
             if -(-issue // 1000) == fired:
                 n = int(self.law.counts(t_us, mag, main_us, issue).sum())
-                yield pd.DataFrame([(key[0], issue, n, *self.law.issued(main_mag, delay, n))], columns=[x.split()[0] for x in ISSUED.split(", ")])
+                yield pd.DataFrame([(key[0], main_mag, delay, issue, n)], columns=[x.split()[0] for x in COUNTED.split(", ")])
         if fired >= -(-self.issue_us(main_us, self.delays[-1]) // 1000):
             self.main.clear()
             self.events.clear()
@@ -99,11 +108,33 @@ class Sequences(StatefulProcessor):
         pass
 
 
-def online(rows: DataFrame, time: str, late: str, law: Law, delays: list[float]) -> DataFrame:
-    """ISSUED rows of a stream (sequence, main_us, main_mag, event_id, t_us, mag, version and a timestamp column); an issue comes out once the watermark is past it."""
+def online_counts(rows: DataFrame, time: str, late: str, law: Law, delays: list[float], parts: int = 1) -> DataFrame:
+    """COUNTED rows of a stream (sequence, main_us, main_mag, event_id, t_us, mag, version and a timestamp column), one for each part of a sequence's events by their ids; an issue's come out once the watermark is past it."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = rows.withWatermark(time, late).withColumn("event_id", F.col("event_id").cast("string")).groupBy("sequence")
-    return keyed.transformWithStateInPandas(Sequences(law, delays), ISSUED, "Append", "EventTime")
+    rows = rows.withWatermark(time, late).withColumn("event_id", F.col("event_id").cast("string"))
+    keyed = rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(parts))).groupBy("sequence", "part")
+    return keyed.transformWithStateInPandas(Sequences(law, delays), COUNTED, "Append", "EventTime")
+
+
+def issued(counted: DataFrame, law: Law) -> DataFrame:
+    """ISSUED rows of COUNTED ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r.sequence, r.issue_us, r.n, *law.issued(r.main_mag, r.delay, r.n)) for r in batch.itertuples()]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in ISSUED.split(", ")])
+
+    return counted.mapInPandas(run, ISSUED)
+
+
+def summed(counted: DataFrame) -> DataFrame:
+    """COUNTED rows of whole sequences, of a table of those of their parts."""
+    return counted.groupBy("sequence", "main_mag", "delay", "issue_us").agg(F.sum("n").alias("n"))
+
+
+def online(rows: DataFrame, time: str, late: str, law: Law, delays: list[float]) -> DataFrame:
+    """ISSUED rows of such a stream whose sequences are one part each."""
+    return issued(online_counts(rows, time, late, law, delays), law)
 
 
 def in_batch(rows: DataFrame, law: Law, delays: list[float]) -> DataFrame:
