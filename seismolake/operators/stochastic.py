@@ -35,7 +35,8 @@ def piece_count(rate: Column, u: Column) -> Column:
         more = u > a["cdf"]
         return F.struct(F.when(more, p).otherwise(a["p"]).alias("p"), F.when(more, a["cdf"] + p).otherwise(a["cdf"]).alias("cdf"), F.when(more, k).otherwise(a["n"]).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda a: a["n"])
+    # most draws of small rates are 0, which the first term tells
+    return F.when(u > F.exp(-rate), F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda a: a["n"])).otherwise(F.lit(0))
 
 
 def piece_draw(rate: Column, u: Column, piece: Column) -> Column:
@@ -51,7 +52,9 @@ def poisson(rate: Column, u: Column) -> Column:
 
 def drawn(rows: DataFrame, rate: Column, u: Column, number: str) -> DataFrame:
     """rows once for every event of their Poisson count, with number 1, 2, ... (with gaps from one piece of the rate to the next). Pieces are rows, so no row holds a large count."""
-    cut = rows.withColumns({"_rate": rate, "_u": u}).withColumn("_piece", F.explode(pieces(F.col("_rate"))))
+    cut = rows.withColumns({"_rate": rate, "_u": u})
+    # a rate of one piece without an event has no rows; that is told before anything is made for it
+    cut = cut.filter((F.col("_rate") > PIECE) | (F.col("_u") > F.exp(-F.col("_rate")))).withColumn("_piece", F.explode(pieces(F.col("_rate"))))
     cut = cut.withColumn("_n", piece_draw(F.col("_rate"), F.col("_u"), F.col("_piece"))).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return cut.withColumn(number, (F.col("_piece") - 1) * F.lit(MOST) + F.col("_i")).drop("_rate", "_u", "_piece", "_n", "_i")
 
@@ -111,7 +114,8 @@ def cascade(
     whole, beta = k * c_days ** (1 - p) / (p - 1), b * math.log(10)
     if generations is None and (alpha >= beta or whole * beta / (beta - alpha) >= 1):
         raise ValueError("the branching ratio isn't below 1")
-    now = parents.join(F.broadcast(spark.range(simulations).withColumnRenamed("id", "sim"))).select("sim", F.col("event_id").alias("id"), "t_days", "mag")
+    # dealt out anew, as a table of few files would make few tasks for all simulations
+    now = parents.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id").join(F.broadcast(spark.range(simulations).withColumnRenamed("id", "sim"))).select("sim", F.col("event_id").alias("id"), "t_days", "mag")
     out, g = None, 0
     while generations is None or g < generations:
         g += 1
