@@ -243,12 +243,12 @@ def _of_event():
     return (F.col("event_id") % 50).alias("catalogue")
 
 
-def _years(spark) -> DataFrame:
+def _fifty(spark) -> DataFrame:
     return spark.range(50).withColumnRenamed("id", "catalogue")
 
 
 def _annual(spark, losses: DataFrame) -> DataFrame:
-    return B.annual(losses, losses.select("event_id", _of_event()).distinct(), _years(spark), 2.0)
+    return B.annual(losses, losses.select("event_id", _of_event()).distinct(), _fifty(spark), 2.0)
 
 
 @query(f"{SHAKEN}, y AS ({_annual_sql('loss')}) SELECT catalogue, round(loss, 4) AS loss FROM y")
@@ -261,5 +261,5 @@ SELECT round(avg(y.loss - w.loss), 4) AS mean, avg(CAST(y.loss - w.loss < 0 AS I
 def avoided_loss(spark, d):
     """What a shutdown on warning saves, catalogue by catalogue with the same draws."""
     losses = B.with_shutdown(_shaken(spark, d).withColumn("full", F.col("loss")), 0.05, 3.5, 8.0, 0.6).select("event_id", F.col("full").alias("loss"), F.col("loss").alias("other"))
-    both = B.annual_branches(losses, losses.select("event_id", _of_event()).distinct(), _years(spark), 2.0)
+    both = B.annual_branches(losses, losses.select("event_id", _of_event()).distinct(), _fifty(spark), 2.0)
     return R.differences(both).select(F.round("mean", 4).alias("mean"), "negative_share")
