@@ -40,6 +40,8 @@ BLOCK_KM, BLOCK_TARGETS, SPOT_DEGREES, PIECE = 64.0, 20_000, 0.15, 500_000
 CELL_BITS = 10
 #: A source acts within so many lengths of its fault.
 FAULT_LENGTHS = 100.0
+#: Half a great circle, km.
+ALL_KM = math.pi * S.EARTH_KM
 TOLERANCE, MOST_ITERATIONS = 1e-3, 200
 DAY_US = 8.64e10
 NODES, WEIGHTS = np.polynomial.legendre.leggauss(64)
@@ -95,8 +97,9 @@ def pair_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2
     return targets.select("event_id").join(held, "event_id", "left").withColumn("entries", F.coalesce("entries", F.expr("array()").cast(held.schema["entries"].dataType)))
 
 
-def block_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2000.0, lengths: float = FAULT_LENGTHS) -> DataFrame:
+def block_table(events: DataFrame, start_us: int, end_us: int, most_km: float = ALL_KM, lengths: float = FAULT_LENGTHS) -> DataFrame:
     """A row for each block of targets: targets (t_us, lon, lat) and sources (t_us, lon, lat, m, reach), all those before the end that may reach the block. Each target is in one block.
+    Sources reach as far as their faults say, unless most_km bounds them; nothing is farther away than ALL_KM.
 
     Blocks are cells of BLOCK_KM; those with very many targets are dealt by a hash. So the table grows as the events do, not as their pairs, which are made anew by each expectation.
     """
@@ -337,7 +340,7 @@ def aki_beta(events: DataFrame, mc: float, width: float = 0.1) -> float:
     return 1 / (mean - (mc - width / 2))
 
 
-def invert(events: DataFrame, area_km2: float, start_us: int, end_us: int, mc: float, beta: float, theta: dict[str, float] | None = None, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, most_km: float = 2000.0) -> DataFrame:
+def invert(events: DataFrame, area_km2: float, start_us: int, end_us: int, mc: float, beta: float, theta: dict[str, float] | None = None, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, most_km: float = ALL_KM) -> DataFrame:
     """A row for each iteration: the parameters that it began with, their log likelihood (targets in [start, end), given the sources before), n_background, branching_ratio, and change, the summed absolute change that followed.
 
     The fit is the last row; it has converged if its change is below the tolerance. Refused: an empty window, a start from outside the bounds.
