@@ -8,7 +8,7 @@ texts that mention the entity such terms are generalised to their class (code, n
 alone names the entity). Evidence must not be chance: a term needs SUPPORT different texts, and all of them together must tell more bits (n_both PMI) than naming
 one of all pairs of terms and entities takes, by SURE_BITS. Terms are words of letters, marks and digits of any length, outside the spans of the patterns.
 
-Everything runs as DataFrame expressions: the patterns once over the different texts, whose entities and terms are written as a table that all counts read, and once over the rows.
+Everything runs as DataFrame expressions: the patterns once over the different texts, whose spans, entities and terms are written as a table that all counts and the rows read.
 Places are code points, ends exclusive. A null text is empty and has no spans.
 Repeated rows are treated one by one and count once as evidence (equal texts are one text). Ties in place are ordered by kind. Texts of any length are searched as a whole. An empty table
 gives an empty table; columns beside the text are carried through, those that clash with a result's are replaced.
@@ -32,7 +32,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
 }
 #: What a text must have for its pattern to be tried.
-GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9]{16}"}
+GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16}"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 ALPHA = 1.25
@@ -40,7 +40,7 @@ SUPPORT = 3
 SURE_BITS = 7
 #: What words are made of.
 LETTER = r"\p{L}\p{M}\p{N}"
-#: More texts with disclosing terms than this are joined by a shuffle instead of a broadcast.
+#: More texts with spans than this are joined by a shuffle instead of a broadcast.
 BROADCAST_TEXTS = 50_000
 LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "code": "[CODE]", "name": "[NAME]", "word": "[WORD]", "removed": ""}
 
@@ -108,10 +108,29 @@ def free_text(text: str) -> Column:
     return F.expr(f"CASE WHEN size(base) + size(secrets) > 0 THEN {rest} ELSE coalesce({text}, '') END")
 
 
+def keys_of(text: Column) -> list[Column]:
+    """text_key and text_check, two hashes that tell texts apart together."""
+    return [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit("check"), text).alias("text_check")]
+
+
 def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """text_key, entities and terms of each different text, as a table in the shared folder."""
+    """The keys, base, secrets, entities and terms of each different text, as a table in the shared folder."""
     texts = base_spans(docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).distinct(), "body")
-    return kept_table(texts.select(F.xxhash64("body").alias("text_key"), entities(F.concat("base", "secrets")).alias("entities"), terms_of(free_text("body")).alias("terms")), "evidence")
+    return kept_table(texts.select(*keys_of(F.col("body")), "base", "secrets", entities(F.concat("base", "secrets")).alias("entities"), terms_of(free_text("body")).alias("terms")), "evidence")
+
+
+def with_spans(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataFrame:
+    """docs with base, secrets and giving of marked (by a text's keys), none where the text isn't in it. Patterns aren't searched again: of many marked texts, the rows that pass a pattern's gate meet them in a shuffle, the others stay."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    of = marked.select(F.col("text_key").alias("of_key"), F.col("text_check").alias("of_check"), "base", "secrets", "giving")
+    join = lambda rows, table: rows.join(table, (F.col("text_key") == F.col("of_key")) & (F.col("text_check") == F.col("of_check")), "left").drop("of_key", "of_check", "text_key", "text_check")
+    if marked.count() <= BROADCAST_TEXTS:
+        docs = join(docs.select("*", *keys_of(body)), F.broadcast(of))
+    else:
+        gated = F.expr(" OR ".join(f"coalesce(`{text}`, '') RLIKE r'{g}'" for g in GATES.values()))
+        rest = docs.filter(~gated).select("*", *(F.expr(f"CAST(NULL AS {of.schema[c].dataType.simpleString()})").alias(c) for c in ("base", "secrets", "giving")))
+        docs = join(docs.filter(gated).select("*", *keys_of(body)), of).unionByName(rest)
+    return docs.withColumns({c: F.coalesce(c, F.expr(f"CAST(array() AS {SPAN})")) for c in ("base", "secrets")})
 
 
 def disclosing_terms(known: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
@@ -146,27 +165,22 @@ def term_spans(text: str) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """docs with base, secrets, spans (base, secrets and disclosing terms; kinds as in LABEL) and the sanitised text."""
-    names = ("base", "secrets", "spans", "sanitised", "giving", "text_key", "of_key")
+    names = ("base", "secrets", "spans", "sanitised", "giving", "text_key", "text_check", "of_key", "of_check")
     docs = docs.drop(*(c for c in names if c != text))
     known = evidence(docs, text)
     giving = kept_table(disclosing_terms(known, alpha, support), "giving")
     said = known.filter(F.size("entities") > 0).select("text_key", "entities", F.explode("terms").alias("term"))
     given = said.join(giving.select(F.col("term").alias("of_term"), "entity", "removed"), (F.col("term") == F.col("of_term")) & F.expr("array_contains(entities, entity)"))
     given = given.groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
-    by_text = checkpoint(given.groupBy(F.col("text_key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("giving")))
-    docs = base_spans(docs, text).withColumn("text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    if by_text.count() <= BROADCAST_TEXTS:
-        docs = docs.join(F.broadcast(by_text), F.col("text_key") == F.col("of_key"), "left")
-    else:
-        marked = F.size("base") + F.size("secrets") > 0
-        rest = docs.filter(~marked).withColumn("giving", F.expr("CAST(NULL AS array<struct<term:string,removed:boolean>>)"))
-        docs = docs.filter(marked).join(by_text, F.col("text_key") == F.col("of_key"), "left").drop("of_key").unionByName(rest)
+    by_text = given.groupBy(F.col("text_key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("giving"))
+    spotted = known.filter(F.size("entities") > 0).select("text_key", "text_check", "base", "secrets")
+    docs = with_spans(docs, checkpoint(spotted.join(by_text, F.col("text_key") == F.col("of_key"), "left").drop("of_key")), text)
     docs = docs.withColumn("spans", F.concat("base", "secrets", term_spans(text)))
     label = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABEL.items()) + " END"
     ordered = "array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"
     step = f"IF(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out), named_struct('at', x.end, 'out', concat(a.out, substring({text}, a.at + 1, x.start - a.at), {label})))"
     clean = f"aggregate({ordered}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
-    return docs.withColumn("sanitised", F.expr(f"CASE WHEN size(spans) > 0 THEN {clean} ELSE {text} END")).drop("giving", "text_key", "of_key")
+    return docs.withColumn("sanitised", F.expr(f"CASE WHEN size(spans) > 0 THEN {clean} ELSE {text} END")).drop("giving")
 
 
 def written(spans: str) -> Column:
