@@ -66,17 +66,62 @@ def source_pairs(events: DataFrame, start_us: int, end_us: int, most_km: float,
 
 
 def summed_rates(events: DataFrame, theta: dict[str, float], mc: float, start_us: int, end_us: int, most_km: float = 2000.0, lengths: float = FAULT_LENGTHS) -> DataFrame:
-    """event_id, rate and background of each target, as `expectation` of all pairs has them. Pairs are summed where they are found: only targets' sums move, so nothing is kept that grows as the pairs do."""
-    c, tau, d = (10 ** theta[f"log10_{x}"] for x in ("c", "tau", "d"))
-    above = F.col("m") - F.lit(float(mc))
-    logs = F.lit(math.log(10) * theta["log10_k0"]) + F.lit(theta["a"]) * above - F.col("days") / F.lit(tau) - F.lit(1 + theta["omega"]) * F.log(F.col("days") + F.lit(c))
-    triggered = F.exp(logs - F.lit(1 + theta["rho"]) * F.log(F.col("km2") + F.lit(d) * F.exp(F.lit(theta["gamma"]) * above)))
-    held = source_pairs(events, start_us, end_us, most_km, lengths).groupBy(F.col("event_id").alias("of")).agg(F.sum(triggered).alias("g"))
+    """event_id, rate and background of each target, as `expectation` of all pairs has them. Pairs are summed in pieces where a block's targets meet its sources, so nothing is kept that grows as the pairs do."""
+    blocks = written(block_table(events, start_us, end_us, most_km, lengths), "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ends = (batch.column(k).offsets.to_numpy() for k in (0, 1))
+            for i in range(batch.num_rows):
+                ids, g = triggered(batch.column(0).values.slice(at[i], at[i + 1] - at[i]), batch.column(1).values.slice(ends[i], ends[i + 1] - ends[i]), theta, mc)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(g)], names=["of", "g"])
+
+    held = blocks.mapInArrow(run, "of long, g double").groupBy("of").agg(F.sum("g").alias("g"))
     mu = F.lit(10 ** theta["log10_mu"])
     rate = mu + F.coalesce("g", F.lit(0.0))
     return targets_of(events, start_us, end_us).join(held, F.col("event_id") == F.col("of"), "left").select("event_id", rate.alias("rate"), (mu / rate).alias("background"))
 
 
+def triggered(targets: pa.StructArray, sources: pa.StructArray, theta: dict[str, float], mc: float) -> tuple[np.ndarray, np.ndarray]:
+    """A block's targets and their triggered rates. Distances and what depends on them and the magnitude are found once for a source and a place of targets; a pair adds its delay's part."""
+    t, lon, lat, ids = (targets.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    s, x, y, m, reach = (sources.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+    order = np.argsort(s, kind="stable")
+    s, x, y, m, reach = s[order], np.radians(x[order]), np.radians(y[order]), m[order] - mc, reach[order]
+    c, tau, d = (10 ** theta[f"log10_{name}"] for name in ("c", "tau", "d"))
+    size, wide, level = math.log(10) * theta["log10_k0"] + theta["a"] * m, d * np.exp(theta["gamma"] * m), np.cos(y)
+    out = np.zeros(len(t))
+
+    def aged(times: np.ndarray, began: np.ndarray) -> np.ndarray:
+        days = (times[:, None] - began[None, :]) / DAY_US
+        logs = np.log(days + c)
+        logs *= -(1 + theta["omega"])
+        logs -= days / tau
+        return np.exp(logs, out=logs)
+
+    by_place = np.lexsort((t, lat, lon))
+    for spot in np.split(by_place, np.flatnonzero((np.diff(lon[by_place]) != 0) | (np.diff(lat[by_place]) != 0)) + 1):
+        n = int(np.searchsorted(s, t[spot[-1]], "left"))
+        u, v = np.radians(lon[spot[0]]), np.radians(lat[spot[0]])
+        h = np.sin((y[:n] - v) / 2) ** 2 + np.cos(v) * level[:n] * np.sin((x[:n] - u) / 2) ** 2
+        km = 2 * S.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+        here = np.flatnonzero(km <= reach[:n])
+        part = np.exp(size[here] - (1 + theta["rho"]) * np.log(km[here] ** 2 + wide[here]))
+        began, k = s[here], 0
+        while k < len(spot):
+            # a piece of targets, and of the sources before the first of them; those between its first and last are few
+            some = spot[k : k + max(1, PIECE // 4 // max(1, len(here)))]
+            k += len(some)
+            first, last = (int(np.searchsorted(began, t[e], "left")) for e in (some[0], some[-1]))
+            for low in range(0, first, PIECE // 4):
+                high = min(first, low + PIECE // 4)
+                out[some] += aged(t[some], began[low:high]) @ part[low:high]
+            for e in some[np.searchsorted(began, t[some], "left") > first]:
+                to = int(np.searchsorted(began[:last], t[e], "left"))
+                out[e] += (aged(t[[e]], began[first:to]) @ part[first:to])[0]
+    return ids, out
+
+
 def ratio_cell(x: np.ndarray, least: float) -> np.ndarray:
     """`cell_of` for arrays."""
     return np.floor(np.maximum(0.0, np.log2(np.maximum(x, least) / least)) * FINENESS)
@@ -98,7 +143,7 @@ def pair_table(events: DataFrame, start_us: int, end_us: int, most_km: float = 2
 
 
 def block_table(events: DataFrame, start_us: int, end_us: int, most_km: float = ALL_KM, lengths: float = FAULT_LENGTHS) -> DataFrame:
-    """A row for each block of targets: targets (t_us, lon, lat) and sources (t_us, lon, lat, m, reach), all those before the end that may reach the block. Each target is in one block.
+    """A row for each block of targets: targets (t_us, lon, lat, event_id) and sources (t_us, lon, lat, m, reach), all those before the end that may reach the block. Each target is in one block.
     Sources reach as far as their faults say, unless most_km bounds them; nothing is farther away than ALL_KM.
 
     Blocks are cells of BLOCK_KM; those with very many targets are dealt by a hash. So the table grows as the events do, not as their pairs, which are made anew by each expectation.
@@ -108,7 +153,7 @@ def block_table(events: DataFrame, start_us: int, end_us: int, most_km: float =
     targets = targets_of(events, start_us, end_us).filter("lon IS NOT NULL AND lat IS NOT NULL").withColumn("row", row).withColumn("column", nearby.column_of(F.col("lon"), nearby.columns_around(size, F.col("row"))))
     parts = targets.groupBy("row", "column").agg(F.ceil(F.count("*") / BLOCK_TARGETS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")
-    held = targets.join(parts, ["row", "column"]).withColumn("part", part).groupBy("row", "column", "part").agg(F.collect_list(F.struct("t_us", "lon", "lat")).alias("targets"))
+    held = targets.join(parts, ["row", "column"]).withColumn("part", part).groupBy("row", "column", "part").agg(F.collect_list(F.struct("t_us", "lon", "lat", "event_id")).alias("targets"))
     reach = F.least(F.lit(most_km), F.lit(lengths) * kernels.fault_length_km(F.col("mag")))
     sources = events.filter(F.col("t_us") < end_us).filter("lon IS NOT NULL AND lat IS NOT NULL AND mag IS NOT NULL").select("t_us", "lon", "lat", F.col("mag").alias("m"), reach.alias("reach"))
     # the rows and columns of cells that a cap around the source touches
